@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, packing, token_binary
 from .common import table
 
 
@@ -38,5 +38,20 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op5_exact_dedup": op5_exact_dedup}
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer file lies; they are installed with the library, not copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), white_space_counts=False, size=2048)
+
+
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_token_binary": op7_token_binary}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL}
