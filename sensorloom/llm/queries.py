@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, token_binary
+from . import exact_dedup, line_dedup, packing, token_binary, topk
 from .common import table
 
 
@@ -53,5 +53,18 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_token_binary": op7_token_binary}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM s QUALIFY rank <= 5
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_token_binary": op7_token_binary, "op8_top_k_search": op8_top_k_search}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_top_k_search": OP8_SQL}
