@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, token_binary, topk
+from . import exact_dedup, line_dedup, packing, token_binary, topk, warc
 from .common import table
 
 
@@ -28,6 +28,17 @@ FROM k LEFT JOIN m USING (key) GROUP BY doc_id
 """
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
+OP3_SQL = """
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < best THEN best END AS refers_to
+FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages)
+"""
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -66,5 +77,5 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_token_binary": op7_token_binary, "op8_top_k_search": op8_top_k_search}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_top_k_search": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op3_warc": op3_warc, "op5_exact_dedup": op5_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_token_binary": op7_token_binary, "op8_top_k_search": op8_top_k_search}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_top_k_search": OP8_SQL}
