@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, token_binary, topk, warc
-from .common import table
+from . import exact_dedup, line_dedup, packing, quality, token_binary, topk, toxicity, warc
+from .common import crc32_mod, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda doc_id: crc32_mod(doc_id, 3) != 1)
+    held_out = F.coalesce(crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +46,13 @@ FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, ''))
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), lambda doc_id: crc32_mod(doc_id, 5) != 0)
+    held_out = F.coalesce(crc32_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -77,5 +91,5 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_line_dedup": op2_line_dedup, "op3_warc": op3_warc, "op5_exact_dedup": op5_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_token_binary": op7_token_binary, "op8_top_k_search": op8_top_k_search}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_exact_dedup": op5_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_token_binary": op7_token_binary, "op8_top_k_search": op8_top_k_search}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_top_k_search": OP8_SQL}
