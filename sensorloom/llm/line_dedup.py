@@ -17,6 +17,8 @@ from .common import partitions, stored
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Stands for a null id while sorting: smaller than all others.
+NO_ID = -(1 << 63)
 #: A key is hot if it has more than 1 / (HOT_SHARE * partitions) of all lines: so there are under HOT_SHARE * partitions.
 HOT_SHARE = 8
 
@@ -40,25 +42,25 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
     """
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     keyed = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    hashed = keyed.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.reverse("key")).alias("h2"))
+    none = F.lit(NO_ID)
+    hashed = keyed.select(F.coalesce("doc_id", none).alias("doc"), "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.reverse("key")).alias("h2"))
+    hashed = stored(hashed, "line-hashes")  # texts are split and hashed once; what follows reads narrow rows
 
-    # Counts are partly summed in each task before the shuffle; rows of one line or one document are of no further use.
-    counted = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id"))).alias("first"), F.max(F.struct(F.col("doc_id"))).alias("last"))
-    shared = stored(counted.where("n > 1 AND NOT (first <=> last)").select("h1", "h2", "n", F.col("first.doc_id").alias("first_doc")), "line-counts")
+    # Counts are partly summed in each task before the shuffle; keys of one line or one document are of no further use.
+    counted = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
+    shared = stored(counted.where("n > 1 AND first_doc < last_doc").drop("last_doc"), "line-counts")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = shared.where(F.col("n") > total / (HOT_SHARE * partitions(docs.sparkSession)))
     # Broadcast is safe: under HOT_SHARE rows for each shuffle partition pass that filter.
-    marked = hashed.join(F.broadcast(hot.select("h1", "h2", "first_doc", F.lit(True).alias("is_hot"))), ["h1", "h2"], "left")
-    by_count = marked.where("is_hot AND NOT (doc_id <=> first_doc)").select("doc_id", "pos")
+    marked = hashed.join(F.broadcast(hot.drop("n")), ["h1", "h2"], "left")
+    by_count = marked.where("first_doc < doc").select("doc", "pos")
 
-    # Lines go by range of hash, then stand by document and position; the running first document streams along. Sampling
-    # splitters needs no second pass over the texts, as hashes are even: equal slices of their range are the splitters.
-    cold = marked.where("is_hot IS NULL").repartitionByRange(partitions(docs.sparkSession), "h1")
-    stream = Window.partitionBy("h1", "h2").orderBy(F.asc_nulls_first("doc_id"), "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first(F.struct("doc_id")).over(stream)
-    by_order = cold.select("doc_id", "pos", first.alias("f")).where("NOT (doc_id <=> f.doc_id)").select("doc_id", "pos")
+    # Lines go by range of hash, then stand by document and position; the running first document streams along.
+    cold = marked.where("first_doc IS NULL").repartitionByRange(partitions(docs.sparkSession), "h1")
+    stream = Window.partitionBy("h1", "h2").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_order = cold.select("doc", "pos", F.first("doc").over(stream).alias("first_doc")).where("first_doc < doc").select("doc", "pos")
 
-    gone = by_order.unionByName(by_count)
+    gone = by_order.unionByName(by_count).select(F.when(F.col("doc") != none, F.col("doc")).alias("doc_id"), "pos")
     near = Window.partitionBy("doc_id").orderBy("pos")
     islands = gone.distinct().withColumn("island", F.col("pos") - F.row_number().over(near))
     runs = islands.groupBy("doc_id", "island").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("len"))
