@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, quality, token_binary, topk, toxicity, warc
+from . import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, token_binary, topk, toxicity, warc
 from .common import crc32_mod, table
 
 
@@ -91,5 +91,16 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_line_dedup": op2_line_dedup, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_exact_dedup": op5_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_token_binary": op7_token_binary, "op8_top_k_search": op8_top_k_search}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), threshold=0.8, width=5, target_recall=0.99)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), target_entropy=0.97, max_repeats=4.0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_line_dedup, op3_warc, op4_quality, op5_exact_dedup, op6_best_fit_packing, op7_token_binary, op8_top_k_search, op9_ngram_join, op10_mixing)
+}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_top_k_search": OP8_SQL}
