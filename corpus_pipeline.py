@@ -1,8 +1,59 @@
-"""Corpus pipeline (stages follow)."""
+"""A corpus pipeline of five stages: toxic documents go, exact copies go, near copies go, sources are mixed, sequences are packed.
 
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns
+of documents. Between stages the rows are written as Parquet and read again. An empty table passes through all stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensorloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from sensorloom.llm.common import stored, table
+from sensorloom.llm.queries import vocabulary
+
+#: No SQL: scoring, tokens and packing can't be expressed; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.7 or more go. Learnt from at most toxicity.MAX_ROWS labelled rows."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda doc_id: F.lit(True))
+    return toxicity.drop_toxic(docs, model, 0.7)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the smallest doc_id stays."""
+    return exact_dedup.drop_copies(docs, keep="smallest")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingle similarity of 0.8 or more, the smallest doc_id stays."""
+    return ngram_join.drop_near_copies(docs, threshold=0.8, width=5, target_recall=0.99)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed by temperature: all documents stay, those of small sources come up to twice."""
+    return mixing.mixed(docs, target_entropy=None, max_repeats=2.0)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces packed into sequences of 2048."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), white_space_counts=False, size=2048)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -51,17 +51,27 @@ def _bisect(good: Callable[[float], bool], low: float, high: float) -> float:
     return high
 
 
-def solve_exponent(tokens: dict[str, int], budget: float, target_entropy: float | None, max_repeats: float | None) -> float:
-    """The exponent in [0, 1] whose weights have target_entropy (or that nearest to it), raised until max_repeats holds.
+def covering_budget(tokens: dict[str, int], shares: dict[str, float]) -> float:
+    """The least budget with which these weights take each source whole at least once."""
+    return max((n / shares[s] for s, n in tokens.items() if n), default=0.0)
 
-    Entropy falls and repetition falls as the exponent grows to 1. Where even exponent 1 repeats too often (a budget above
-    max_repeats times the corpus), the budget can't be met without repeating more: 1 is returned.
+
+def solve_exponent(tokens: dict[str, int], budget: int | None, target_entropy: float | None, max_repeats: float | None) -> float:
+    """The least exponent in [0, 1] whose weights have an entropy of at most target_entropy and repeat no source more than max_repeats times.
+
+    Without a budget, the one that covers all sources goes with each exponent. Entropy and repetition fall as the exponent
+    grows to 1. Where even exponent 1 repeats too often (a budget above max_repeats times the corpus), 1 is returned.
     """
     exponent = 0.0
     if target_entropy is not None:
         exponent = _bisect(lambda e: entropy(weights(tokens, e)) <= target_entropy, 0.0, 1.0)
     if max_repeats is not None:
-        exponent = max(exponent, _bisect(lambda e: repeats(tokens, weights(tokens, e), budget) <= max_repeats, 0.0, 1.0))
+
+        def few(e: float) -> bool:
+            shares = weights(tokens, e)
+            return repeats(tokens, shares, covering_budget(tokens, shares) if budget is None else budget) <= max_repeats
+
+        exponent = max(exponent, _bisect(few, 0.0, 1.0))
     return exponent
 
 
@@ -71,46 +81,66 @@ def token_count(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.length(bare) - F.length(F.translate(bare, " ", "")) + 1).cast("long")
 
 
-def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per taken copy of a document: doc_id, source, n_tokens, copy (0 for the first pass), block, place.
+def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None = 0.97, max_repeats: float | None = 4.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per taken copy of a document: doc_id, source, n_tokens, copy (0 for the first pass), block, place, text_hash.
 
-    budget: tokens of the mixture, by default as many as the input has. place, in (0, 1], is where a copy stands in the
-    mixture: sorted by it, any stretch holds the sources in their weights. A source's budget is met to within the document
-    that reaches it. Null sources are one source of their own; documents without tokens are taken in each pass that takes
-    their block's place; rows that repeat an id are documents like any others. An empty table gives no rows.
+    budget: tokens of the mixture, by default the least that takes every source whole at least once. place, in (0, 1], is
+    where a copy stands in the mixture: sorted by it, any stretch holds the sources in their weights. A source's budget is
+    met to within the document that reaches it. A first pass that the budget covers takes all documents, also those without
+    tokens. Null sources are one source of their own; rows that repeat an id are documents like any others. Other columns
+    are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("none")).alias("src"), token_count(F.col(text_col).cast("string")).alias("n_tokens"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _source(source_col).alias("src"), token_count(F.col(text_col).cast("string")).alias("n_tokens"), _text_hash(text_col).alias("text_hash"))
     rows = stored(rows, "mix-rows")
     totals = rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     tokens = {r.src: r.tokens for r in totals}
-    total = sum(tokens.values())
-    budget = total if budget is None else budget
-    shares = weights(tokens, solve_exponent(tokens, budget, target_entropy, max_repeats)) if total else {}
-    plan = [(r.src, -(-r.docs // BLOCK_DOCS), shares.get(r.src, 0.0) * budget, float(r.tokens)) for r in totals]
-    sources = spark.createDataFrame(plan, "src string, n_blocks long, want double, have double")  # MAX_SOURCES rows at most
+    shares = weights(tokens, solve_exponent(tokens, budget, target_entropy, max_repeats)) if sum(tokens.values()) else {}
+    whole = covering_budget(tokens, shares) if budget is None else budget
+    plan = [(r.src, -(-r.docs // BLOCK_DOCS), round(shares.get(r.src, 0.0) * whole), r.tokens) for r in totals]
+    sources = spark.createDataFrame(plan, "src string, n_blocks long, want long, have long")  # MAX_SOURCES rows at most
 
     # A document's block and its order there come from hashes of its own; blocks are permuted anew in each pass.
-    keyed = rows.withColumn("mix", F.xxhash64("doc_id", "src", "n_tokens", F.lit(seed))).join(F.broadcast(sources), "src")
+    keyed = rows.withColumn("mix", F.xxhash64("doc_id", "src", "text_hash", F.lit(seed))).join(F.broadcast(sources), "src")
     keyed = keyed.withColumn("block", F.pmod("mix", "n_blocks")).withColumn("shuffled", F.xxhash64("mix", F.lit(seed + 1)))
-    blocks = stored(keyed.groupBy("src", "block").agg(F.sum("n_tokens").alias("size"), F.first("want").alias("want"), F.first("have").alias("have")), "mix-blocks")
-    passes = F.when(F.col("have") > 0, F.ceil(F.col("want") / F.col("have"))).otherwise(1).cast("int")
+    blocks = keyed.groupBy("src", "block").agg(F.sum("n_tokens").alias("size"), F.first("want").alias("want"), F.first("have").alias("have"))
+    passes = F.when(F.col("have") > 0, F.ceil(F.col("want") / F.greatest("have", F.lit(1)))).otherwise(1).cast("int")
     passed = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1)))
     # Narrow rows, one per BLOCK_DOCS documents and pass.
     order = Window.partitionBy("src", "copy").orderBy(F.xxhash64("block", "copy", F.lit(seed + 2)), "block").rowsBetween(Window.unboundedPreceding, -1)
     placed = passed.withColumn("begin", F.col("copy") * F.col("have") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    taken = stored(placed.where("begin < want OR (have = 0 AND copy = 0)").select("src", "block", "copy", "begin", "want"), "mix-taken")
+    first_whole = "(copy = 0 AND want >= have)"
+    taken = stored(placed.where(f"begin < want OR {first_whole}").select("src", "block", "copy", "begin", "want", "have"), "mix-taken")
 
-    before = Window.partitionBy("src", "block").orderBy("shuffled", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    inside = keyed.select("doc_id", "src", "n_tokens", "block", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("ahead"))
+    before = Window.partitionBy("src", "block").orderBy("shuffled", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    inside = keyed.select("doc_id", "src", "n_tokens", "text_hash", "block", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("ahead"))
     both = inside.join(taken.hint("merge"), ["src", "block"]).withColumn("at", F.col("begin") + F.col("ahead"))
-    return both.where("at < want OR want = 0").select(
+    return both.where(f"at < want OR {first_whole}").select(
         "doc_id",
         F.when(F.col("src") != "none", F.substring("src", 3, 1 << 30)).alias("source"),
         "n_tokens",
         "copy",
         "block",
-        F.when(F.col("want") > 0, (F.col("at") + 1) / F.col("want")).otherwise(1.0).alias("place"),
+        F.least((F.col("at") + 1) / F.greatest("want", F.lit(1)), F.lit(1.0)).alias("place"),
+        "text_hash",
     )
+
+
+def _source(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("none"))
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, as often as mix() takes them, with all their columns. Rows equal in id, source and text are taken together."""
+    takes = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    key = lambda doc, src, text: F.concat_ws("/", F.coalesce(doc.cast("string"), F.lit("null")), text.cast("string"), src)
+    taken = takes.select(key(F.col("doc_id"), _source("source"), F.col("text_hash")).alias("_take_key"), "copy").distinct().groupBy("_take_key").agg(F.count("*").cast("int").alias("_times"))
+    keyed = docs.withColumn("_take_key", key(F.col(id_col), _source(source_col), _text_hash(text_col)))
+    both = keyed.join(taken.hint("merge"), "_take_key")
+    return both.withColumn("_take", F.explode(F.sequence(F.lit(1), "_times"))).select(*[docs[c] for c in docs.columns])

@@ -166,6 +166,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     share = Fraction(threshold).limit_denominator(1000)
     runs = runs_for(share, target_recall)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
@@ -175,9 +176,9 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
                 sets = [shingles(t.as_py()) for t in some.column(1)]
                 marks = [_fingerprint(s) for s in sets]
                 picks = pa.array([_picks(s, runs, threshold) for s in sets], pa.list_(pa.list_(pa.int64())))
-                yield pa.record_batch([some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([h for h, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.int64()), picks], names=["doc", "n", "mark", "cls", "picks"])
+                yield pa.record_batch([some.column(0), some.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([h for h, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.int64()), picks], names=["doc", "text_hash", "n", "mark", "cls", "picks"])
 
-    described = stored(rows.mapInArrow(describe, "doc long, n long, mark long, cls long, picks array<array<long>>"), "join-described")
+    described = stored(hashed.mapInArrow(describe, "doc long, text_hash long, n long, mark long, cls long, picks array<array<long>>"), "join-described")
     with_words = described.where("n > 0")
     classes = with_words.groupBy("mark", "cls").agg(F.min("doc").alias("low"), F.count("*").alias("copies"))
     classes = stored(classes, "join-classes")
@@ -247,7 +248,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     lows = named.groupBy("label").agg(F.min("low").alias("group_low"))
     grouped = named.select("a", "label").join(lows.hint("merge"), "label").join(links.hint("merge"), "a", "left")
     about = stored(classes.join(grouped.withColumnRenamed("a", "cls").hint("merge"), "cls", "left").select(*keys, "low", "copies", F.coalesce("group_low", "low").alias("group_low"), F.coalesce("links", F.lit(0)).alias("links")), "join-classes")
-    full = described.select("doc", "n", *keys).join(about.hint("merge"), keys, "left")
+    full = described.select("doc", "text_hash", "n", *keys).join(about.hint("merge"), keys, "left")
     real = lambda c: F.when(c != _NO_ID, c)
     has = F.col("n") > 0
     return full.select(
@@ -256,9 +257,19 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
         real(F.when(has, F.col("group_low")).otherwise(F.col("doc"))).alias("group_id"),
         F.when(has, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
         F.col("n").alias("n_shingles"),
+        "text_hash",
     )
 
 
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the least of their group, with all their columns. Texts without words all stay."""
+    key = lambda doc, text: F.concat_ws("/", F.coalesce(doc.cast("string"), F.lit("null")), text.cast("string"))
+    found = ngram_join(docs, threshold, width, target_recall, id_col, text_col)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(key(F.col("doc_id"), F.col("text_hash")).alias("_near_key")).distinct()
+    keyed = docs.withColumn("_near_key", key(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    return keyed.join(stored(gone, "join-gone").hint("merge"), "_near_key", "left_anti").select(*docs.columns)
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[list]]]:
     """Rows in (key, i, j) order -> each task's columns; a task is at most two blocks."""
     now: tuple[int, int, int] | None = None

@@ -92,11 +92,11 @@ FROM s QUALIFY rank <= 5
 """
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), threshold=0.8, width=5, target_recall=0.99)
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), threshold=0.8, width=5, target_recall=0.99).drop("text_hash")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), target_entropy=0.97, max_repeats=4.0)
+    return mixing.mix(table(spark, sf_dir, "documents"), target_entropy=0.97, max_repeats=4.0).drop("text_hash")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

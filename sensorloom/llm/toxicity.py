@@ -221,3 +221,21 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(scores, "doc_id long, score double, n_tokens long, passages array<struct<start:int,end:int,e_value:double>>")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores under the threshold, with all their columns; no row moves."""
+    on_workers(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(shared.value)
+        m = own.model
+        for batch in batches:
+            if batch.num_rows:
+                values = (own.tokens(t.as_py() or "")[1] for t in batch.column(at))
+                evidence = [(m.evidence(len(v), [s for _, _, s in segments(v)]), math.log1p(len(v))) for v in values]
+                yield batch.filter(pa.array(m.calibration(_features(np.array(evidence, float).reshape(-1, 2))) < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
