@@ -96,8 +96,8 @@ class SlicedBlock:
                 if n >= k:
                     even = with_bit
                 else:
-                    sure |= with_bit
-                    even &= ~s
+                    sure = sure | with_bit
+                    even = even & ~s
             some = self._rows(sure | even)[: 4 * k]  # k rows at least have this lower bound
             # Exact scores of k such rows bound the k-th best score from below.
             reach = ((1 << self.drop) - 1) * int(np.abs(q).sum())
@@ -124,7 +124,7 @@ class SlicedBlock:
             if (least >> i) & 1:
                 even = even & slices[i]
             else:
-                above |= even & slices[i]
+                above = above | (even & slices[i])
                 even = even & ~slices[i]
         return above | even
 
