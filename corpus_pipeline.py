@@ -30,7 +30,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingle similarity of 0.8 or more, the smallest doc_id stays."""
-    return ngram_join.drop_near_copies(docs, threshold=0.8, width=5, target_recall=0.99)
+    return ngram_join.drop_near_copies(docs, threshold=0.8, width=5, target_recall=0.9999)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Set-similarity self join on word shingles by chosen paths.
 
 After Christiani, Pagh and Sivertsen, "Scalable and robust set similarity join" (2018). Each text is the set of its shingles'
-hashes. In a run, a set x picks each shingle with chance 1 / (threshold * |x|), by a hash that all sets share, so similar
-sets meet on a shingle that both picked. Where more than BUCKET sets meet, they split again on the next picks, up to LEVELS
+hashes. In a run, a set x picks each shingle with chance PICKED / (threshold * |x|), by a hash that all sets share, so
+similar sets meet on a shingle that both picked. Where more than BUCKET sets meet, they split again on the next picks, up to LEVELS
 deep; buckets that are small, or don't split, are compared by brute force, exactly. A pair at the threshold meets in one run
 with a known chance (a branching process), which gives the number of runs for the target recall.
 
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import on_workers, partitions, stored
 
-BUCKET, LEVELS, BLOCK = 64, 3, 1024
+BUCKET, LEVELS, BLOCK = 64, 3, 512
+#: Shingles that a set picks, about, times the threshold. Over 1, so that a pair's paths multiply rather than die out.
+PICKED = 2.0
 KEPT_WORDS = 400_000
 _NO_ID = -(1 << 63)
 _SEED = np.random.default_rng(20180607)
@@ -38,7 +40,7 @@ WORDS = re.compile(r"\w+").findall
 
 def runs_for(threshold: Fraction, target_recall: float) -> int:
     """Runs after which a pair at the threshold has met, in buckets LEVELS deep, with the target chance."""
-    mean = float(2 / (1 + threshold))  # shared picks of a pair of equal size
+    mean = PICKED * float(2 / (1 + threshold))  # shared picks of a pair of equal size
     meets = 1.0
     for _ in range(LEVELS):
         meets = 1 - math.exp(-mean * meets)
@@ -84,7 +86,7 @@ def _picks(tokens: np.ndarray, runs: int, threshold: float) -> list[list[int]]:
     """For each run and level the shingles picked, as signed 64-bit numbers."""
     if not len(tokens):
         return [[] for _ in range(runs * LEVELS)]
-    limit = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(tokens)))))
+    limit = np.uint64(min(2**64 - 1, int(PICKED * 2**64 / (threshold * len(tokens)))))
     return [tokens[_mixed(tokens * odd) <= limit].view(np.int64).tolist() for odd in PICKS[: runs * LEVELS]]
 
 
@@ -152,7 +154,7 @@ def _labels(edges: DataFrame) -> DataFrame:
         labels = new.select("a", "label")
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, group_id, n_links, n_shingles.
 
     Words are maximal runs of word characters in lower case. class_id: the least id among rows with the same shingle set.
@@ -261,7 +263,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     )
 
 
-def drop_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the least of their group, with all their columns. Texts without words all stay."""
     key = lambda doc, text: F.concat_ws("/", F.coalesce(doc.cast("string"), F.lit("null")), text.cast("string"))
     found = ngram_join(docs, threshold, width, target_recall, id_col, text_col)
