@@ -117,7 +117,7 @@ def from_yaw(angle: Column) -> Quat:
     return Quat(F.cos(angle / 2), F.lit(0.0), F.lit(0.0), F.sin(angle / 2))
 
 
-#: Corner signs (x, y, z) in the order of the box model: front then back, each left-up, right-up, right-down, left-down... (fixed values)
+#: Corner signs (x, y, z) in the order of the box model (fixed values).
 CORNER_SIGNS = ((1, 1, 1), (1, -1, 1), (1, -1, -1), (1, 1, -1), (-1, 1, 1), (-1, -1, 1), (-1, -1, -1), (-1, 1, -1))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pose import Pose, Quat, Vec, apply_inverse, conjugate, multiply, normalized, project, rotate, visible
+from ..functions.pose import CORNER_SIGNS, Pose, Quat, Vec, apply_inverse, conjugate, multiply, normalized, project, rotate, visible
 
 
 def labelled(annotations: DataFrame, categories: DataFrame, keep_unmapped: bool = False) -> DataFrame:
@@ -51,3 +51,130 @@ def frame_boxes(frames: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def in_group(rows: DataFrame, group: str | Column) -> DataFrame:
     return rows.where(F.col("category_group") == group)
+
+
+#: Box edges by corner number (fixed values): one face, the opposite face, and what joins them.
+EDGES = ((0, 1), (1, 2), (2, 3), (3, 0), (4, 5), (5, 6), (6, 7), (7, 4), (0, 4), (1, 5), (2, 6), (3, 7))
+
+
+def _point(x: Column, y: Column, z: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that later steps read as values: Catalyst doesn't copy a generator's expression into its users.
+
+    Without it, each use of an array (and each filter pushed below) would repeat the whole computation of that array.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def camera_corners(rows: DataFrame) -> DataFrame:
+    """Adds the box in camera coordinates: half axes a, b, c (ax, ay, az, ...) from the centre p, and the array of 8 corners."""
+    rows = rows if "pz" in rows.columns else to_camera(rows, Vec.of("b"))
+    turned = multiply(conjugate(Quat.of("sq")), Quat.of("bq"))
+    rows = computed(rows, **turned.named("_t"))
+    zero = F.lit(0.0)
+    halves = {"a": Vec(F.col("sl") / 2, zero, zero), "b": Vec(zero, F.col("sw") / 2, zero), "c": Vec(zero, zero, F.col("sh") / 2)}
+    axes: dict[str, Column] = {}
+    for name, half in halves.items():
+        axes |= rotate(Quat.of("_t"), half).named("h" + name)
+    rows = computed(rows, **axes).drop("_tw", "_tx", "_ty", "_tz")
+    at = lambda n, s: F.col("p" + n) + F.col("ha" + n) * s[0] + F.col("hb" + n) * s[1] + F.col("hc" + n) * s[2]
+    return computed(rows, corners=F.array(*(_point(*(at(n, s) for n in "xyz")) for s in CORNER_SIGNS)))
+
+
+def clip_near(a: Column, b: Column, near: float) -> tuple[Column, Column, Column]:
+    """Ends of the part of a segment with z >= near, and whether there is one."""
+    t = (near - a["z"]) / F.nullif(b["z"] - a["z"], F.lit(0.0))
+    cut = _point(a["x"] + t * (b["x"] - a["x"]), a["y"] + t * (b["y"] - a["y"]), F.lit(near))
+    front_a, front_b = a["z"] >= near, b["z"] >= near
+    return F.when(front_a, a).otherwise(cut), F.when(front_b, b).otherwise(cut), front_a | front_b
+
+
+def edge_segments(corners: Column, near: float) -> Column:
+    """The 12 edges clipped to the near plane, as an array of (p, q, cut): cut is the end on the plane, if there is one."""
+    pairs = F.array(*(F.struct(F.element_at(corners, i + 1).alias("a"), F.element_at(corners, j + 1).alias("b")) for i, j in EDGES))
+
+    def clipped(e: Column) -> Column:
+        p, q, there = clip_near(e["a"], e["b"], near)
+        crosses = (e["a"]["z"] >= near) != (e["b"]["z"] >= near)
+        cut = F.when(crosses & (e["a"]["z"] >= near), q).when(crosses, p)
+        return F.when(there, F.struct(p.alias("p"), q.alias("q"), cut.alias("cut")))
+
+    return F.filter(F.transform(pairs, clipped), lambda s: s.isNotNull())
+
+
+def _in_image(s: Column, k: tuple[float, float, float, float], width: Column, height: Column) -> Column:
+    """A segment projected and clipped to the image (Liang and Barsky): its two ends (u, v), or null."""
+    fx, fy, cx, cy = k
+    u0, v0 = s["p"]["x"] * fx / s["p"]["z"] + cx, s["p"]["y"] * fy / s["p"]["z"] + cy
+    u1, v1 = s["q"]["x"] * fx / s["q"]["z"] + cx, s["q"]["y"] * fy / s["q"]["z"] + cy
+
+    def span(a: Column, b: Column, top: Column) -> tuple[Column, Column]:
+        d = F.nullif(b - a, F.lit(0.0))
+        flat = F.when((a >= 0) & (a <= top), F.lit(0.0)).otherwise(F.lit(2.0))
+        low, high = F.least(-a / d, (top - a) / d), F.greatest(-a / d, (top - a) / d)
+        return F.when(d.isNull(), flat).otherwise(low), F.when(d.isNull(), F.lit(1.0)).otherwise(high)
+
+    (lu, hu), (lv, hv) = span(u0, u1, width), span(v0, v1, height)
+    first, last = F.greatest(lu, lv, F.lit(0.0)), F.least(hu, hv, F.lit(1.0))
+    end = lambda t: F.struct((u0 + t * (u1 - u0)).alias("u"), (v0 + t * (v1 - v0)).alias("v"))
+    return F.when(first <= last, F.array(end(first), end(last)))
+
+
+def boxes_2d(rows: DataFrame, k: tuple[float, float, float, float], near: float = 0.1, min_size: float = 1.0) -> DataFrame:
+    """3-D boxes (ego) -> x0, y0, x1, y1 in the image; boxes without an image, or with one under min_size, go.
+
+    The extent of (projected near-clipped box) and image is the extent of: its clipped edges, the edges of the face that the
+    near plane cuts (all pairs of cut points), and the image corners whose viewing ray meets the box. Points on the near
+    plane count as in front. Sizes must be positive.
+    """
+    fx, fy, cx, cy = k
+    rows = camera_corners(rows.where((F.col("sl") > 0) & (F.col("sw") > 0) & (F.col("sh") > 0)))
+    rows = computed(rows, _edges=edge_segments(F.col("corners"), near))
+    rows = computed(rows, _cuts=F.filter(F.transform("_edges", lambda s: s["cut"]), lambda p: p.isNotNull()))
+    faces = F.flatten(F.transform("_cuts", lambda a: F.transform("_cuts", lambda b: F.struct(a.alias("p"), b.alias("q")))))
+    plain = F.transform("_edges", lambda s: F.struct(s["p"].alias("p"), s["q"].alias("q")))
+    rows = computed(rows, _all=F.concat(plain, faces))
+    width, height = F.col("width").cast("double"), F.col("height").cast("double")
+    ends = F.flatten(F.filter(F.transform("_all", lambda s: _in_image(s, k, width, height)), lambda e: e.isNotNull()))
+
+    def seen(u: Column, v: Column) -> Column:
+        """Does the ray through (u, v) meet the box at a depth of near or more? Slabs of the three axes."""
+        d = ((u - cx) / fx, (v - cy) / fy, F.lit(1.0))
+        low, high = [F.lit(near)], [F.lit(float("inf"))]
+        for axis in "abc":
+            h = [F.col(f"h{axis}{n}") for n in "xyz"]
+            size2 = h[0] * h[0] + h[1] * h[1] + h[2] * h[2]
+            along = d[0] * h[0] + d[1] * h[1] + d[2] * h[2]
+            center = F.col("px") * h[0] + F.col("py") * h[1] + F.col("pz") * h[2]
+            slope = F.nullif(along, F.lit(0.0))
+            inside = F.abs(center) <= size2
+            low.append(F.coalesce(F.least((center - size2) / slope, (center + size2) / slope), F.when(inside, F.lit(near)).otherwise(float("inf"))))
+            high.append(F.coalesce(F.greatest((center - size2) / slope, (center + size2) / slope), F.lit(float("inf"))))
+        return F.when(F.greatest(*low) <= F.least(*high), F.struct(u.alias("u"), v.alias("v")))
+
+    zero = F.lit(0.0)
+    image = F.filter(F.array(seen(zero, zero), seen(width, zero), seen(width, height), seen(zero, height)), lambda c: c.isNotNull())
+    rows = computed(rows, _points=F.concat(ends, image))
+    us, vs = F.transform("_points", lambda p: p["u"]), F.transform("_points", lambda p: p["v"])
+    rows = computed(rows, x0=F.array_min(us), y0=F.array_min(vs), x1=F.array_max(us), y1=F.array_max(vs))
+    rows = rows.drop("_edges", "_cuts", "_all", "_points", "corners")
+    return rows.where((F.col("x1") - F.col("x0") >= min_size) & (F.col("y1") - F.col("y0") >= min_size))
+
+
+def wireframe(rows: DataFrame, k: tuple[float, float, float, float], near: float = 0.1) -> DataFrame:
+    """One row per box edge with both ends in front of the near plane: edge number and pixel ends u0, v0, u1, v1."""
+    fx, fy, cx, cy = k
+    corners = camera_corners(rows)
+    pairs = F.array(*(F.struct(F.element_at("corners", i + 1).alias("a"), F.element_at("corners", j + 1).alias("b")) for i, j in EDGES))
+    edges = corners.select(*rows.columns, F.posexplode(pairs).alias("edge", "e")).where((F.col("e.a.z") > near) & (F.col("e.b.z") > near))
+    pixel = lambda p: (F.col(f"e.{p}.x") * fx / F.col(f"e.{p}.z") + cx, F.col(f"e.{p}.y") * fy / F.col(f"e.{p}.z") + cy)
+    (u0, v0), (u1, v1) = pixel("a"), pixel("b")
+    return edges.withColumns({"u0": u0, "v0": v0, "u1": u1, "v1": v1}).drop("e")
+
+
+def to_original(x0: Column, y0: Column, x1: Column, y1: Column, sx: Column | float, sy: Column | float, crop_x: Column | float, crop_y: Column | float) -> tuple[Column, Column, Column, Column]:
+    """A rectangle of a resized crop in its original image: divided by the resize scale, moved by the crop's corner."""
+    return x0 / sx + crop_x, y0 / sy + crop_y, x1 / sx + crop_x, y1 / sy + crop_y

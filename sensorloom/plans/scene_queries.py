@@ -274,3 +274,50 @@ def _(fx):
 @query("u3_tokens_in_scene", "SELECT DISTINCT instance_token FROM fx_annotation WHERE sample_token IN (SELECT sample_token FROM fx_sample WHERE scene_token = 3)")
 def _(fx):
     return fx.annotation.join(fx.sample.where("scene_token = 3"), "sample_token", "left_semi").select("instance_token").distinct()
+
+
+# The twin of boxes_2d: all 28 corner pairs clipped (diagonals lie inside the hull and change nothing), all pairs of their
+# near-plane points, and image corners by the largest angular gap of the projected points around them.
+ROT = """, cr AS (SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, i, CASE WHEN i < 4 THEN 1 ELSE -1 END * sl / 2 AS la, CASE WHEN i % 4 IN (0, 3) THEN 1 ELSE -1 END * sw / 2 AS lb, CASE WHEN i % 4 IN (0, 1) THEN 1 ELSE -1 END * sh / 2 AS lc,
+  cx, cy, cz, qw / sqrt(qw*qw + qz*qz) AS bw, qz / sqrt(qw*qw + qz*qz) AS bz, etx, ety, etz, eqw, eqx, eqy, eqz, stx, sty, stz, sqw, sqx, sqy, sqz FROM seen, (SELECT unnest(generate_series(0, 7)) AS i) WHERE channel = 'CAM_FRONT'),
+gl AS (SELECT *, cx + (bw*bw - bz*bz) * la - 2*bw*bz * lb AS gx, cy + 2*bw*bz * la + (bw*bw - bz*bz) * lb AS gy, cz + lc AS gz FROM cr),
+ee AS (SELECT *, """ + unrotate("eq", ("gx - etx", "gy - ety", "gz - etz"), "m") + """ FROM gl),
+cc AS (SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, i, """ + unrotate("sq", ("mx - stx", "my - sty", "mz - stz"), "w") + """ FROM ee)"""
+F19 = BOXES + ROT + """, pr AS (SELECT a.token, a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, a.wx AS ax, a.wy AS ay, a.wz AS az, b.wx AS bx, b.wy AS by_, b.wz AS bz FROM cc a JOIN cc b USING (token, l_orderkey, l_linenumber, l_partkey, l_suppkey) WHERE a.i < b.i AND (a.wz >= 0.1 OR b.wz >= 0.1)),
+ct AS (SELECT *, (0.1 - az) / nullif(bz - az, 0) AS t FROM pr),
+cl AS (SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN az >= 0.1 THEN ax ELSE ax + t*(bx-ax) END AS ax, CASE WHEN az >= 0.1 THEN ay ELSE ay + t*(by_-ay) END AS ay, greatest(az, 0.1) AS az, CASE WHEN bz >= 0.1 THEN bx ELSE ax + t*(bx-ax) END AS bx, CASE WHEN bz >= 0.1 THEN by_ ELSE ay + t*(by_-ay) END AS by_, greatest(bz, 0.1) AS bz, (az < 0.1) <> (bz < 0.1) AS crosses, ax + t*(bx-ax) AS nx, ay + t*(by_-ay) AS ny FROM ct),
+nr AS (SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, nx, ny FROM cl WHERE crosses),
+sg AS (SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, ax*1266e0/az + 816 AS u0, ay*1266e0/az + 491 AS v0, bx*1266e0/bz + 816 AS u1, by_*1266e0/bz + 491 AS v1 FROM cl
+  UNION ALL SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, a.nx*12660e0 + 816, a.ny*12660e0 + 491, b.nx*12660e0 + 816, b.ny*12660e0 + 491 FROM nr a JOIN nr b USING (token, l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+tt AS (SELECT *, greatest(0, CASE WHEN u1 = u0 THEN CASE WHEN u0 BETWEEN 0 AND 1600 THEN 0 ELSE 2 END ELSE least(-u0/(u1-u0), (1600-u0)/(u1-u0)) END, CASE WHEN v1 = v0 THEN CASE WHEN v0 BETWEEN 0 AND 900 THEN 0 ELSE 2 END ELSE least(-v0/(v1-v0), (900-v0)/(v1-v0)) END) AS t0,
+  least(1, CASE WHEN u1 = u0 THEN 1 ELSE greatest(-u0/(u1-u0), (1600-u0)/(u1-u0)) END, CASE WHEN v1 = v0 THEN 1 ELSE greatest(-v0/(v1-v0), (900-v0)/(v1-v0)) END) AS t1 FROM sg),
+pt AS (SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, u0 + t0*(u1-u0) AS u, v0 + t0*(v1-v0) AS v FROM tt WHERE t0 <= t1 UNION ALL SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, u0 + t1*(u1-u0), v0 + t1*(v1-v0) FROM tt WHERE t0 <= t1),
+hp AS (SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, u0 AS u, v0 AS v FROM sg UNION ALL SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, u1, v1 FROM sg),
+an2 AS (SELECT h.token, h.l_orderkey, h.l_linenumber, h.l_partkey, h.l_suppkey, k.ku, k.kv, atan2(h.v - k.kv, h.u - k.ku) AS g FROM hp h, (VALUES (0e0, 0e0), (1600e0, 0e0), (1600e0, 900e0), (0e0, 900e0)) AS k(ku, kv)),
+ag AS (SELECT *, g - lag(g) OVER w AS d, max(g) OVER x - min(g) OVER x AS spread FROM an2 WINDOW w AS (PARTITION BY token, l_orderkey, l_linenumber, l_partkey, l_suppkey, ku, kv ORDER BY g), x AS (PARTITION BY token, l_orderkey, l_linenumber, l_partkey, l_suppkey, ku, kv)),
+kc AS (SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, ku AS u, kv AS v FROM ag GROUP BY ALL HAVING greatest(max(d), 2 * pi() - max(spread)) <= pi()),
+ex AS (SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, min(u) AS x0, min(v) AS y0, max(u) AS x1, max(v) AS y1 FROM (SELECT * FROM pt UNION ALL SELECT * FROM kc) GROUP BY ALL)
+SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(x0 + 2e-5, 4) AS x0, round(y0 + 2e-5, 4) AS y0, round(x1 + 2e-5, 4) AS x1, round(y1 + 2e-5, 4) AS y1 FROM ex WHERE x1 - x0 >= 1 AND y1 - y0 >= 1"""
+
+
+def front_boxes(fx):
+    return seen_boxes(fx).where("channel = 'CAM_FRONT'")
+
+
+@query("f19_boxes_2d", F19)
+def _(fx):
+    rows = B.boxes_2d(front_boxes(fx), K)
+    return rows.select("token", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *((F.round(F.col(c) + 2e-5, 4)).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query("f20_p16_boxes_2d_counts", F19.replace("SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(x0 + 2e-5, 4) AS x0, round(y0 + 2e-5, 4) AS y0, round(x1 + 2e-5, 4) AS x1, round(y1 + 2e-5, 4) AS y1 FROM ex", "SELECT token, count(*) AS n FROM ex") + " GROUP BY 1")
+def _(fx):
+    return B.boxes_2d(front_boxes(fx), K).groupBy("token").agg(F.count("*").alias("n"))
+
+
+EDGE_ROWS = "(VALUES (0,0,1),(1,1,2),(2,2,3),(3,3,0),(4,4,5),(5,5,6),(6,6,7),(7,7,4),(8,0,4),(9,1,5),(10,2,6),(11,3,7)) AS k(edge, i, j)"
+
+
+@query("f16_f22_wireframe", BOXES + ROT + f" SELECT edge, count(*) AS n, round(avg(a.wx*1266e0/a.wz + 816), 3) AS u0, round(avg(b.wy*1266e0/b.wz + 491), 3) AS v1 FROM {EDGE_ROWS} JOIN cc a ON a.i = k.i JOIN cc b ON b.i = k.j AND (a.token, a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey) = (b.token, b.l_orderkey, b.l_linenumber, b.l_partkey, b.l_suppkey) WHERE a.wz > 0.5 AND b.wz > 0.5 GROUP BY 1")
+def _(fx):
+    return B.wireframe(front_boxes(fx), K, near=0.5).groupBy("edge").agg(F.count("*").alias("n"), F.round(F.avg("u0"), 3).alias("u0"), F.round(F.avg("v1"), 3).alias("v1"))
