@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import on_workers
-from .tokens import encoder
+from .tokens import encoder, slices
 
 #: Documents per shard, about.
 SHARD_DOCS = 20_000
@@ -90,10 +90,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, white_space_counts: bool,
         enc = encoder(tokenizer_path, white_space_counts)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch, 1):
                 out: list[tuple] = []
-                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1)), strict=True):
                     ids += end
                     for k, b in enumerate(range(0, len(ids), 4 * size)):
                         own = ids[b : b + 4 * size]

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, on_workers, partitions, stored
-from .tokens import encoder
+from .tokens import encoder, slices
 
 MAGIC = b"PFR1"
-BLOCK, PERCENTILE = 256, 95
+BLOCK, PERCENTILE = 512, 95
 _HEAD = struct.Struct("<IBH")  # minimum, width, number of exceptions
 _FOOT = struct.Struct("<QQQQQ4s")  # ids, documents, place of document table, place of index, blocks, magic
 #: Ids that are encoded or decoded at a time.
-AT_ONCE = BLOCK * 2048
+AT_ONCE = BLOCK * 1024
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -46,8 +46,8 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     out: list[bytes] = [b""] * len(table)
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
-        bits = ((rest[own][:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(own), -1)
-        packed = np.packbits(bits, axis=1, bitorder="little")
+        bits = np.unpackbits(rest[own].astype("<u4").view(np.uint8).reshape(len(own), BLOCK, 4), axis=2, count=int(w), bitorder="little") if w else np.empty((len(own), BLOCK, 0), np.uint8)
+        packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
         for i, row in zip(own.tolist(), packed, strict=True):
             where = np.flatnonzero(over[i])
             out[i] = _HEAD.pack(int(low[i]), int(w), len(where)) + row.tobytes() + where.astype("<u2").tobytes() + over[i, where].astype("<u4").tobytes()
@@ -62,8 +62,9 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     for w in np.unique(width):
         own, size = np.flatnonzero(width == w), int(w) * BLOCK // 8
         raw = np.frombuffer(b"".join(data[starts[i] + _HEAD.size : starts[i] + _HEAD.size + size] for i in own.tolist()), np.uint8).reshape(len(own), size)
-        bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
-        out[own] = bits.astype(np.int64) @ (1 << np.arange(w, dtype=np.int64))
+        bits = np.zeros((len(own), BLOCK, 32), np.uint8)
+        bits[:, :, : int(w)] = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
+        out[own] = np.packbits(bits, axis=2, bitorder="little").reshape(len(own), -1).view("<u4")
     for i, (low, w, n) in enumerate(heads):
         if n:
             at = int(starts[i]) + _HEAD.size + w * BLOCK // 8
@@ -151,9 +152,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, white_space_
         own_fs, top = pafs.FileSystem.from_uri(folder)
         part, out, path = TaskContext.get().partitionId(), None, ""
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
+            for some in slices(batch, 1):
+                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1)), strict=True):
                     if out is None:
                         path = f"{top}/part-{part:06d}-{uuid.uuid4().hex}.pfor"
                         out = FileWriter(own_fs, path)

@@ -1,21 +1,25 @@
 """Token ids of whole texts with a public tokenizer file.
 
 Both vocabularies split at white space before they merge, so a text's ids are those of its white-space-bounded pieces in a
-row. Each Python worker keeps the ids of pieces it has met; only new pieces reach the tokenizer, in batches.
+row. Each Python worker keeps the ids of pieces it has met; only new pieces reach the tokenizer, many at a time.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 
 #: Unicode's White_Space characters (a fixed value).
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Ids kept per worker, and the longest piece that is kept.
-KEPT_PIECES, KEPT_CHARS = 400_000, 64
+#: Pieces kept per worker (the first met, so the frequent ones), and the longest that is kept or encoded in a row of others.
+KEPT_PIECES, KEPT_CHARS = 300_000, 64
+SLICE_BYTES = 12 << 20
 
 
 class Encoder:
@@ -28,23 +32,81 @@ class Encoder:
         self.tokenizer = Tokenizer.from_buffer(fs.open_input_file(place).read()) if fs else Tokenizer.from_file(place)
         self.tokenizer.encode_special_tokens = True
         w = WHITE_SPACE
-        self.pieces = re.compile(f"[{w}]*[^{w}]+|[{w}]+" if white_space_counts else f"[^{w}]+").findall
+        self.white = white_space_counts
+        self.pieces = re.compile(f"[{w}]*[^{w}]+|[{w}]+").findall
+        self.plain = re.compile(f" [^{w}]{{1,{KEPT_CHARS}}}" if white_space_counts else f"[^{w}]{{1,{KEPT_CHARS}}}").fullmatch
+        #: Texts in which a single space isn't always between two other characters, or that hold the mark used for cutting.
+        self.uneven = f"[{w}] | [{w}]|^ | $|\x00"
         self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        if not self.white:  # white space is dropped, so each space is a cut
+            return self._joined(pc.split_pattern(texts, " "))
+        uneven = pc.match_substring_regex(texts, self.uneven)
+        even = self._joined(pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(uneven)), " ", "\x00 "), "\x00"))
+        if len(even) == len(texts):
+            return even
+        odd = texts.filter(uneven).to_pylist()
+        others = self._joined(pa.array([self.pieces(t) for t in odd], pa.list_(pa.string())))
+        sides = (iter(even), iter(others))
+        return [next(sides[k]) for k in uneven.to_pylist()]
+
+    def _joined(self, pieces: pa.ListArray) -> list[bytes]:
+        """Pieces of each text -> the text's ids: each distinct piece is looked up once, the rest is taken by number."""
+        flat = pieces.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        ids = self._ids(distinct)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        codes = flat.indices
+        taken = table.take(codes).flatten().to_numpy().tobytes()
+        ends = 4 * np.concatenate([[0], np.cumsum(sizes[codes.to_numpy()])])
+        cuts = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()].tolist()
+        return [taken[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
         known = self.known
-        if len(known) > KEPT_PIECES:
-            known.clear()
-        new = list({p for pieces in split for p in pieces if p not in known})
-        once: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                (known if len(piece) <= KEPT_CHARS else once)[piece] = np.array(e.ids, "<u4").tobytes()
-        if once:
-            return [b"".join([known[p] if p in known else once[p] for p in pieces]) for pieces in split]
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+        new = [p for p in pieces if p not in known]
+        once = dict(self._encoded(new))
+        room = max(0, KEPT_PIECES - len(known))
+        known.update((p, once[p]) for p in new[:room] if len(p) <= KEPT_CHARS)
+        return [known[p] if p in known else once[p] for p in pieces]
+
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Short plain pieces are encoded many in a row, with a separator between that none of them holds; others alone."""
+        if self.white:
+            between, mark = "\n", "\n"
+        else:
+            mark = next((c for c in "|~^\\`" if not any(c in p for p in pieces)), None)
+            between = f" {mark} "
+        rows, alone = [], pieces
+        if mark is not None and len(marks := self.tokenizer.encode(mark, add_special_tokens=False).ids) == 1:
+            rows = [p for p in pieces if self.plain(p)]
+            alone = [p for p in pieces if not self.plain(p)]
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
+            ids = np.array(self.tokenizer.encode(between.join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == marks[0]).tolist()
+            if len(cuts) != len(some) - 1:  # a piece held the separator's id after all
+                alone += some
+                continue
+            for p, a, b in zip(some, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
+                yield p, ids[a:b].tobytes()
+        for at in range(0, len(alone), 4096):
+            some = alone[at : at + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                yield p, np.array(e.ids, "<u4").tobytes()
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE_BYTES of the given text column, so long texts make no large slice."""
+    sizes = pc.cumulative_sum(pc.binary_length(batch.column(column)).cast(pa.int64())).to_numpy()
+    begin = 0
+    while begin < batch.num_rows:
+        done = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, done + SLICE_BYTES)))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 @lru_cache(maxsize=4)
