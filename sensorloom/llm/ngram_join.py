@@ -3,7 +3,7 @@
 After Christiani, Pagh and Sivertsen, "Scalable and robust set similarity join" (2018). Each text is the set of its shingles'
 hashes. In a run, a set x picks each shingle with chance PICKED / (threshold * |x|), by a hash that all sets share, so
 similar sets meet on a shingle that both picked. Where more than BUCKET sets meet, they split again on the next picks, up to LEVELS
-deep; buckets that are small, or don't split, are compared by brute force, exactly. A pair at the threshold meets in one run
+deep; buckets that are small, or whose members are alike, are compared by brute force, exactly. A pair at the threshold meets in one run
 with a known chance (a branching process), which gives the number of runs for the target recall.
 
 * Texts with equal sets are one class from the start, so copies cost nothing.
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import on_workers, partitions, stored
 
-BUCKET, LEVELS, BLOCK = 64, 3, 512
+BUCKET, LEVELS, BLOCK = 64, 3, 768
+#: A bucket of this average similarity isn't split further. The estimate: how often two members share their next least hash.
+DENSE = 0.5
 #: Shingles that a set picks, about, times the threshold. Over 1, so that a pair's paths multiply rather than die out.
 PICKED = 2.0
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 _NO_ID = -(1 << 63)
 _SEED = np.random.default_rng(20180607)
 #: An odd multiplier for each run and level, from one seed.
@@ -83,11 +85,16 @@ def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _picks(tokens: np.ndarray, runs: int, threshold: float) -> list[list[int]]:
-    """For each run and level the shingles picked, as signed 64-bit numbers."""
+    """For each run and level the shingles picked, least hash first, as signed 64-bit numbers."""
     if not len(tokens):
         return [[] for _ in range(runs * LEVELS)]
     limit = np.uint64(min(2**64 - 1, int(PICKED * 2**64 / (threshold * len(tokens)))))
-    return [tokens[_mixed(tokens * odd) <= limit].view(np.int64).tolist() for odd in PICKS[: runs * LEVELS]]
+    out = []
+    for odd in PICKS[: runs * LEVELS]:
+        hashes = _mixed(tokens * odd)
+        own = np.flatnonzero(hashes <= limit)
+        out.append(tokens[own[np.argsort(hashes[own])]].view(np.int64).tolist())
+    return out
 
 
 def _compare(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], buckets: list[np.ndarray], blocks: np.ndarray, bucket: int, i: int, j: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +131,12 @@ def _compare(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], bucket
         return empty, empty, empty
     before = [b[b < bucket] for b in buckets]
     first = similar & (shared(before) == 0) if any(len(b) for b in before) else similar
-    links = first @ copies
+    # A pair's first bucket counts it and links it; all others pass it over.
+    similar = first
+    if not similar.any():
+        empty = np.empty(0, np.int64)
+        return empty, empty, empty
+    links = similar @ copies
     has = np.flatnonzero(similar.any(axis=1))
     root = np.arange(m)
     while True:  # the least index reachable, by repeated minimum over partners
@@ -196,12 +208,20 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     for k in range(LEVELS):
         sizes = level.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("m > 1")
         sizes = stored(sizes, "join-sizes")
-        last = k == LEVELS - 1
-        finals.append(sizes if last else sizes.where(F.col("m") <= BUCKET))
         members.append(level.select("key", "cls"))
-        if not last:
-            large = level.join(sizes.where(F.col("m") > BUCKET).select("key").hint("merge"), "key")
-            level = stored(large.select("cls", F.explode(F.element_at("rest", 1)).alias("t"), F.xxhash64("key", "t").alias("key"), F.slice("rest", 2, LEVELS).alias("rest")).drop("t"), "join-level")
+        if k == LEVELS - 1:
+            finals.append(sizes)
+            break
+        large = level.join(sizes.where(F.col("m") > BUCKET).select("key", "m").hint("merge"), "key")
+        large = stored(large, "join-large")
+        # Two sets have the same least hash with a chance of their similarity, so a row per member tells near copies from others.
+        alike = large.groupBy("key", "m", F.get(F.element_at("rest", 1), F.lit(0)).alias("t")).agg(F.count("*").cast("double").alias("c")).where("t IS NOT NULL")
+        alike = alike.groupBy("key", "m").agg(F.sum(F.col("c") * F.col("c")).alias("c"))
+        dense = stored(alike.where(F.col("c") >= DENSE * F.col("m") * F.col("m")).select("key"), "join-dense")
+        finals.append(sizes.join(dense.withColumn("dense", F.lit(True)).hint("merge"), "key", "left").where((F.col("m") <= BUCKET) | F.col("dense")).drop("dense"))
+        parted = large.join(dense.hint("merge"), "key", "left_anti")
+        parted = parted.select("cls", F.col("key").alias("parent"), F.explode(F.element_at("rest", 1)).alias("t"), F.slice("rest", 2, LEVELS).alias("rest"))
+        level = stored(parted.select("cls", F.xxhash64("parent", "t").alias("key"), "rest"), "join-level")
     every = finals[0]
     for more in finals[1:]:
         every = every.unionByName(more)

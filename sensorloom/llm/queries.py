@@ -95,6 +95,21 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), threshold=0.8, width=5, target_recall=0.9999).drop("text_hash")
 
 
+#: Brute force; Python's word characters are letters, numbers and the underscore.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+r AS (SELECT doc_id, doc_id AS g FROM s UNION SELECT c.b, r.g FROM r JOIN c ON r.doc_id = c.a),
+k AS (SELECT doc_id, min(g) AS group_id FROM r GROUP BY 1),
+m AS (SELECT a AS doc_id, count(*) AS n FROM c GROUP BY 1)
+SELECT doc_id, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id, group_id, coalesce(n, 0) AS n_links, len(s) AS n_shingles
+FROM s JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), target_entropy=0.97, max_repeats=4.0).drop("text_hash")
 
@@ -103,4 +118,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_toxicity, op2_line_dedup, op3_warc, op4_quality, op5_exact_dedup, op6_best_fit_packing, op7_token_binary, op8_top_k_search, op9_ngram_join, op10_mixing)
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_top_k_search": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_top_k_search": OP8_SQL, "op9_ngram_join": OP9_SQL}
