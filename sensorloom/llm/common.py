@@ -9,11 +9,13 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where the repository is on a path that they can read.
+    """Let Python workers import this package where the repository is on a path that they can read; bound their batches.
 
     Clusters that don't share the path ship the package with --py-files instead; then this changes nothing that matters.
     """
@@ -21,6 +23,8 @@ def on_workers(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    if spark.conf.get(BATCH) == "67108864b":  # Spark's default; a user's own setting stays
+        spark.conf.set(BATCH, "16m")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -18,8 +18,8 @@ import pyarrow.fs as pafs
 #: Unicode's White_Space characters (a fixed value).
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces kept per worker (the first met, so the frequent ones), and the longest that is kept or encoded in a row of others.
-KEPT_PIECES, KEPT_CHARS = 300_000, 64
-SLICE_BYTES = 12 << 20
+KEPT_PIECES, KEPT_CHARS = 700_000, 64
+SLICE_BYTES = 16 << 20
 
 
 class Encoder:
@@ -81,8 +81,9 @@ class Encoder:
             between = f" {mark} "
         rows, alone = [], pieces
         if mark is not None and len(marks := self.tokenizer.encode(mark, add_special_tokens=False).ids) == 1:
-            rows = [p for p in pieces if self.plain(p)]
-            alone = [p for p in pieces if not self.plain(p)]
+            rows, alone = [], []
+            for p in pieces:
+                (rows if self.plain(p) else alone).append(p)
         for at in range(0, len(rows), 256):
             some = rows[at : at + 256]
             ids = np.array(self.tokenizer.encode(between.join(some), add_special_tokens=False).ids, "<u4")

@@ -22,10 +22,10 @@ from .common import on_workers
 from .labelled import Logistic, training_rows
 
 #: At most so many labelled documents, and nodes (words and prefixes) of the model.
-MAX_ROWS, MAX_NODES = 20_000, 300_000
+MAX_ROWS, MAX_NODES = 20_000, 120_000
 #: Prefix lengths, documents a node must be in, pseudo-documents of a prior, what each token costs, and the least E-value that is reported.
 SHORTEST, LONGEST, MIN_DOCS, STRENGTH, COST, MAX_E = 2, 10, 4, 4.0, 1.5, 0.05
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 WORDS = re.compile(r"\w+").findall
 
@@ -113,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS
     lengths = F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST)))
     prefixes = F.when(F.length("word") >= SHORTEST, F.transform(lengths, lambda n: F.substr(F.col("word"), F.lit(1), n))).otherwise(F.array().cast("array<string>"))
     nodes = words.select(F.explode(F.concat(prefixes, F.array(F.concat("word", F.lit("$"))))).alias("node"), "t", "c").groupBy("node").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    kept = nodes.where(F.col("t") + F.col("c") >= MIN_DOCS).orderBy(F.desc(F.col("t") + F.col("c")), "node").limit(max_nodes).collect()
-    model = ToxicityModel(_node_odds([(r.node, r.t, r.c) for r in kept], sizes.get(1, 0), sizes.get(0, 0)))
+    kept = nodes.where(F.col("t") + F.col("c") >= MIN_DOCS).orderBy(F.desc(F.col("t") + F.col("c")), "node").limit(max_nodes).toArrow().to_pydict()
+    model = ToxicityModel(_node_odds(list(zip(kept["node"], kept["t"], kept["c"], strict=True)), sizes.get(1, 0), sizes.get(0, 0)))
 
     seen = _scan(rows.where("fold = 0").select(F.col("label").alias("doc_id"), "text"), model).collect()  # max_rows rows at most
     clean = [r for r in seen if r.doc_id == 0]
