@@ -1,10 +1,11 @@
 """Set-similarity self join on word shingles by chosen paths.
 
 After Christiani, Pagh and Sivertsen, "Scalable and robust set similarity join" (2018). Each text is the set of its shingles'
-hashes. In a run, a set x picks each shingle with chance PICKED / (threshold * |x|), by a hash that all sets share, so
+hashes. In a run, a set x picks each shingle with chance PICKED / (threshold * |x|) (deeper down DEEPER in place of PICKED), by a hash that all sets share, so
 similar sets meet on a shingle that both picked. Where more than BUCKET sets meet, they split again on the next picks, up to LEVELS
-deep; buckets that are small, or whose members are alike, are compared by brute force, exactly. A pair at the threshold meets in one run
-with a known chance (a branching process), which gives the number of runs for the target recall.
+deep; buckets that are small, or whose members are alike, are compared by brute force, exactly. A set picks the same shingles under
+every parent of a run's level, so a pair gets through a level if it shares any of them: the chance of meeting in one run is at least
+the product of the levels' chances, which gives the number of runs for the target recall.
 
 * Texts with equal sets are one class from the start, so copies cost nothing.
 * Buckets with the same members are compared once. A pair that meets in several buckets is counted in the first only.
@@ -30,8 +31,9 @@ from .common import on_workers, partitions, stored
 BUCKET, LEVELS, BLOCK = 64, 3, 768
 #: A bucket of this average similarity isn't split further. The estimate: how often two members share their next least hash.
 DENSE = 0.5
-#: Shingles that a set picks, about, times the threshold. Over 1, so that a pair's paths multiply rather than die out.
-PICKED = 2.0
+#: Shingles that a set picks at the first level and at deeper ones, about, times the threshold. Deeper picks cost only where a
+#: bucket splits, and save runs, which cost everywhere.
+PICKED, DEEPER = 2.0, 3.1
 KEPT_WORDS = 200_000
 _NO_ID = -(1 << 63)
 _SEED = np.random.default_rng(20180607)
@@ -40,12 +42,13 @@ PICKS = (_SEED.integers(0, 2**63, 64 * LEVELS, dtype=np.uint64) << np.uint64(1))
 WORDS = re.compile(r"\w+").findall
 
 
-def runs_for(threshold: Fraction, target_recall: float) -> int:
-    """Runs after which a pair at the threshold has met, in buckets LEVELS deep, with the target chance."""
-    mean = PICKED * float(2 / (1 + threshold))  # shared picks of a pair of equal size
-    meets = 1.0
-    for _ in range(LEVELS):
-        meets = 1 - math.exp(-mean * meets)
+def runs_for(target_recall: float) -> int:
+    """Runs after which a pair at the threshold or over has met, even in buckets split to the last level, with the target chance.
+
+    Such a pair shares at least threshold * (the larger size) elements, and shares a pick where the larger set picks one of them.
+    So it shares at least PICKED (DEEPER) picks on average, whatever its sizes are, and none with a chance of at most exp(-PICKED).
+    """
+    meets = (1 - math.exp(-PICKED)) * (1 - math.exp(-DEEPER)) ** (LEVELS - 1)
     return max(1, math.ceil(math.log(1 - target_recall) / math.log(1 - meets)))
 
 
@@ -88,11 +91,11 @@ def _picks(tokens: np.ndarray, runs: int, threshold: float) -> list[list[int]]:
     """For each run and level the shingles picked, least hash first, as signed 64-bit numbers."""
     if not len(tokens):
         return [[] for _ in range(runs * LEVELS)]
-    limit = np.uint64(min(2**64 - 1, int(PICKED * 2**64 / (threshold * len(tokens)))))
+    limits = [np.uint64(min(2**64 - 1, int(picked * 2**64 / (threshold * len(tokens))))) for picked in (PICKED, *[DEEPER] * (LEVELS - 1))]
     out = []
-    for odd in PICKS[: runs * LEVELS]:
+    for k, odd in enumerate(PICKS[: runs * LEVELS]):
         hashes = _mixed(tokens * odd)
-        own = np.flatnonzero(hashes <= limit)
+        own = np.flatnonzero(hashes <= limits[k % LEVELS])
         out.append(tokens[own[np.argsort(hashes[own])]].view(np.int64).tolist())
     return out
 
@@ -178,7 +181,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     spark = docs.sparkSession
     on_workers(spark)
     share = Fraction(threshold).limit_denominator(1000)
-    runs = runs_for(share, target_recall)
+    runs = runs_for(target_recall)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
 

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,49 @@ def test_ngram_join_recall(spark):
     assert 0.95 * want <= got <= want
 
 
+def split_rows(n_pairs=1500, words=200, size=40):
+    """Pairs at 0.8 exactly (32 of 40 words), all from so few words that each pick is in hundreds of texts, two picks in over 64."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(n_pairs):
+        own = rng.sample(range(words), size)
+        rows += [(2 * i, " ".join(f"w{k}" for k in own)), (2 * i + 1, " ".join(f"w{k}" for k in own[: size * 4 // 5]))]
+    return rows
+
+
+def test_ngram_join_split_twice(spark):
+    rows = split_rows()
+    held = np.zeros((len(rows), 200), np.int32)
+    for i, text in rows:
+        held[i, [int(w[1:]) for w in text.split()]] = 1
+    # Buckets of one word and of two hold over 64 texts, which aren't alike: they split twice.
+    together = held.T @ held
+    assert np.diag(together).min() > 64 and np.median(together) > 64
+    common, sizes = held @ held.T, held.sum(axis=1)
+    similar = 9 * common >= 4 * (sizes[:, None] + sizes[None, :])
+    want = similar.sum(axis=1) - 1
+    out = ngram_join.ngram_join(frame(spark, rows), 0.8, 1, 0.9999).select("doc_id", "n_links").collect()
+    got = np.array([n for _, n in sorted(map(tuple, out))])
+    assert (got <= want).all()
+    assert (want - got).sum() <= 2  # one pair: 0.15 are expected of 1,500
+
+
+@pytest.mark.parametrize("target", [0.9, 0.99, 0.999])
+@pytest.mark.parametrize("sizes", [(100, 80, 80), (90, 90, 80), (10, 8, 8)])
+def test_ngram_join_runs_reach_recall(sizes, target):
+    """A pair at the threshold shares a pick on each level of some run with the target chance."""
+    a, b, both = sizes
+    rng = np.random.default_rng(9)
+    runs = ngram_join.runs_for(target)
+    levels, n, met = ngram_join.LEVELS, 3000, 0
+    for _ in range(n):
+        tokens = rng.integers(0, 2**63, a + b - both, dtype=np.uint64)
+        x, y = (ngram_join._picks(np.sort(t), runs, 0.8) for t in (tokens[:a], tokens[a - both :]))
+        through = [not set(p).isdisjoint(q) for p, q in zip(x, y, strict=True)]
+        met += any(all(through[r * levels : (r + 1) * levels]) for r in range(runs))
+    assert met / n >= target - 3 * (target * (1 - target) / n) ** 0.5
+
+
 def test_ngram_join_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     rows = near_rows(5, copies=90)
