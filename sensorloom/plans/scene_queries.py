@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.pose import Quat, Vec, corners, normalized
+from ..functions.pose import Quat, Vec, corners, normalized, project
 from ..operators import boxes as B
 from ..operators import scene as S
 from .fixtures import K
@@ -321,3 +321,51 @@ EDGE_ROWS = "(VALUES (0,0,1),(1,1,2),(2,2,3),(3,3,0),(4,4,5),(5,5,6),(6,6,7),(7,
 @query("f16_f22_wireframe", BOXES + ROT + f" SELECT edge, count(*) AS n, round(avg(a.wx*1266e0/a.wz + 816), 3) AS u0, round(avg(b.wy*1266e0/b.wz + 491), 3) AS v1 FROM {EDGE_ROWS} JOIN cc a ON a.i = k.i JOIN cc b ON b.i = k.j AND (a.token, a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey) = (b.token, b.l_orderkey, b.l_linenumber, b.l_partkey, b.l_suppkey) WHERE a.wz > 0.5 AND b.wz > 0.5 GROUP BY 1")
 def _(fx):
     return B.wireframe(front_boxes(fx), K, near=0.5).groupBy("edge").agg(F.count("*").alias("n"), F.round(F.avg("u0"), 3).alias("u0"), F.round(F.avg("v1"), 3).alias("v1"))
+
+
+# The queries above that keep one camera, over every frame of all six, with the operators' own near plane.
+FRONT = " WHERE channel = 'CAM_FRONT'"
+ROT_ALL = ROT.replace(FRONT, "")
+F19_ALL = BOXES + ROT_ALL + F19.removeprefix(BOXES + ROT)
+BOX_KEYS = ("token", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("j16_all_camera_lidar_pairs", FRAMES + "SELECT c.channel, c.token AS camera_token, l.token AS lidar_token FROM fr c JOIN fr l USING (sample_token) WHERE c.channel LIKE 'CAM%' AND l.channel = 'LIDAR_TOP'")
+def _(fx):
+    one = frames(fx).select("token", "sample_token", "channel")
+    camera = S.in_channels(one, S.CAMERAS).select("sample_token", "channel", F.col("token").alias("camera_token"))
+    lidar = one.where("channel = 'LIDAR_TOP'").select("sample_token", F.col("token").alias("lidar_token"))
+    return camera.join(lidar, "sample_token").drop("sample_token")
+
+
+@query("f14_all_boxes_in_ego", BOXES + "SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(kx, 6) + 0e0 AS bx, round(ky, 6) + 0e0 AS by_, round(kz, 6) + 0e0 AS bz, round(vvx, 6) + 0e0 AS bvx, round(vvy, 6) + 0e0 AS bvy, round((eqw*qw + eqz*qz) / sqrt((eqw*eqw + eqz*eqz) * (qw*qw + qz*qz)), 6) + 0e0 AS bqw FROM (SELECT *, " + unrotate("eq", ("vx", "vy", "0e0"), "vv") + " FROM eg)")
+def _(fx):
+    return ego_boxes(fx).select(*BOX_KEYS, *rounded(bx="bx", by_="by", bz="bz", bvx="bvx", bvy="bvy", bqw="bqw"))
+
+
+@query("f11_all_ego_to_camera", BOXES + "SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(px, 6) + 0e0 AS x, round(py, 6) + 0e0 AS y, round(pz, 6) + 0e0 AS z FROM ca")
+def _(fx):
+    return B.to_camera(ego_boxes(fx), Vec.of("b")).select(*BOX_KEYS, *rounded(x="px", y="py", z="pz"))
+
+
+@query("f13_all_project", BOXES + "SELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(u + 2e-4, 3) AS u, round(v + 2e-4, 3) AS v FROM vw")
+def _(fx):
+    rows = B.to_camera(ego_boxes(fx), Vec.of("b")).where("pz > 0.1D")
+    u, v = project(Vec.of("p"), K)
+    return rows.select(*BOX_KEYS, F.round(u + 2e-4, 3).alias("u"), F.round(v + 2e-4, 3).alias("v"))
+
+
+@query("f19_all_boxes_2d", F19_ALL)
+def _(fx):
+    rows = B.boxes_2d(seen_boxes(fx), K)
+    return rows.select(*BOX_KEYS, *((F.round(F.col(c) + 2e-5, 4)).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query("f20_p16_all_boxes_2d_counts", "SELECT token, count(*) AS n FROM (" + F19_ALL + ") GROUP BY 1")
+def _(fx):
+    return B.boxes_2d(seen_boxes(fx), K).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("f16_f22_all_wireframe", BOXES + ROT_ALL + f" SELECT a.token, a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, edge, round(a.wx*1266e0/a.wz + 816 + 2e-4, 3) AS u0, round(a.wy*1266e0/a.wz + 491 + 2e-4, 3) AS v0, round(b.wx*1266e0/b.wz + 816 + 2e-4, 3) AS u1, round(b.wy*1266e0/b.wz + 491 + 2e-4, 3) AS v1 FROM {EDGE_ROWS} JOIN cc a ON a.i = k.i JOIN cc b ON b.i = k.j AND (a.token, a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey) = (b.token, b.l_orderkey, b.l_linenumber, b.l_partkey, b.l_suppkey) WHERE a.wz > 0.1 AND b.wz > 0.1")
+def _(fx):
+    return B.wireframe(seen_boxes(fx), K).select(*BOX_KEYS, "edge", *(F.round(F.col(c) + 2e-4, 3).alias(c) for c in ("u0", "v0", "u1", "v1")))

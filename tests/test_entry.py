@@ -25,3 +25,10 @@ def test_query_equals_sql(spark, duck, name):
     rows = sorted(map(str, (tuple(r[c] for c in sorted(names)) for r in got.collect())))
     order = [names.index(c) for c in sorted(names)]
     assert rows == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["j16_all_camera_lidar_pairs", "f14_all_boxes_in_ego", "f11_all_ego_to_camera", "f13_all_project", "f19_all_boxes_2d", "f20_p16_all_boxes_2d_counts", "f16_f22_all_wireframe"])
+def test_every_camera_has_rows(spark, name):
+    rows = QUERIES[name](spark, SF)
+    token = "camera_token" if "camera_token" in rows.columns else "token"
+    assert {r[0] for r in rows.selectExpr(f"{token} % 10").distinct().collect()} == set(range(6))  # the rig's six cameras
