@@ -225,6 +225,28 @@ def _(fx):
     return R.depth_points(R.kept_pixels(raster(fx).where("vec_id % 4 <> 0"), cut_off=12.0), K8).select("vec_id", *rounded(x="x", y="y", z="z"))
 
 
+# Each raster is the depth of one camera's frame: the sample by its number modulo the samples, the camera modulo six.
+C4 = DEPTH + ", " + FRAMES.removeprefix("WITH ") + ", " + WIN.format(w=7, s=3, l=2).removeprefix("WITH ") + """,
+us AS (SELECT fr.*, window_id, row_number() OVER (PARTITION BY token ORDER BY window_id) AS nth FROM fr JOIN wi USING (scene_token) WHERE sample_index >= used_start AND sample_index < used_end),
+cam AS (SELECT vec_id, u, v, (u - 4.08e0) * z / 6.33e0 AS x, (v - 2.455e0) * z / 6.33e0 AS y, z, (vec_id % (SELECT count(*) FROM fx_sample)) * 10 + vec_id % 6 AS token FROM dp WHERE z <= 30 AND NOT sky),
+c4 AS (SELECT * FROM cam JOIN us USING (token) WHERE nth = 1),
+e AS (SELECT *, """ + rotate_sql("sq", ("x", "y", "z"), "r") + """ FROM c4),
+g AS (SELECT *, """ + rotate_sql("eq", ("rx + stx", "ry + sty", "rz + stz"), "g") + """ FROM e)
+SELECT scene_token, window_id, token, vec_id, u, v, round(gx + etx, 6) + 0e0 AS x, round(gy + ety, 6) + 0e0 AS y, round(gz + etz, 6) + 0e0 AS z FROM g"""
+
+
+@query("c4_all_window_cloud", C4)
+def _(fx):
+    used = S.used_once(S.window_frames(frames(fx), scene_windows(fx, 7, 3)), ["token"])
+    samples = F.broadcast(fx.sample.agg(F.count("*").alias("n_samples")))  # one row
+    cloud = R.depth_points(R.kept_pixels(raster(fx), cut_off=30.0, sky=F.col("sky")), K8).crossJoin(samples)
+    cloud = cloud.withColumn("token", (F.col("vec_id") % F.col("n_samples")) * 10 + F.col("vec_id") % 6)
+    rows = cloud.select("vec_id", "u", "v", "x", "y", "z", "token").join(used, "token")
+    rows = rows.withColumns(Q.apply(Pose(Quat.of("sq"), Vec.of("st")), Vec.of("")).named("r"))
+    p = Q.apply(Pose(Quat.of("eq"), Vec.of("et")), Vec.of("r"))
+    return rows.select("scene_token", "window_id", "token", "vec_id", "u", "v", *rounded(x=p.x, y=p.y, z=p.z))
+
+
 @query("c6_cloud_comparison", DEPTH + "SELECT vec_id, source, count(*) AS n, round(avg(z), 6) AS z FROM (SELECT vec_id, 'pseudo' AS source, z FROM dp WHERE NOT sky UNION ALL SELECT vec_id, 'measured', z FROM dp WHERE mask) GROUP BY 1, 2")
 def _(fx):
     a = R.kept_pixels(raster(fx), sky=F.col("sky")).select("vec_id", F.lit("pseudo").alias("source"), "z")

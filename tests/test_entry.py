@@ -32,3 +32,12 @@ def test_every_camera_has_rows(spark, name):
     rows = QUERIES[name](spark, SF)
     token = "camera_token" if "camera_token" in rows.columns else "token"
     assert {r[0] for r in rows.selectExpr(f"{token} % 10").distinct().collect()} == set(range(6))  # the rig's six cameras
+
+
+def test_window_cloud_holds_every_raster_in_one_window(spark):
+    rows = QUERIES["c4_all_window_cloud"](spark, SF)
+    kept = QUERIES["c1_depth_points"](spark, SF).select("vec_id").distinct()  # rasters with a pixel in reach
+    assert kept.join(rows, "vec_id", "left_anti").count() == 0
+    places = rows.select("vec_id", "token", "window_id").distinct().collect()
+    assert len(places) == len({r.vec_id for r in places})
+    assert {r.token % 10 for r in places} == set(range(6)) and max(r.window_id for r in places) > 0
