@@ -170,7 +170,7 @@ def _labels(edges: DataFrame) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, group_id, n_links, n_shingles.
+    """One row per input row: doc_id, class_id, group_id, n_links, n_shingles, and hashes of its text and of its group's least row.
 
     Words are maximal runs of word characters in lower case. class_id: the least id among rows with the same shingle set.
     n_links: other rows whose sets have Jaccard similarity of at least threshold (copies count). group_id: the least id that
@@ -197,11 +197,12 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
 
     described = stored(hashed.mapInArrow(describe, "doc long, text_hash long, n long, mark long, cls long, picks array<array<long>>"), "join-described")
     with_words = described.where("n > 0")
-    classes = with_words.groupBy("mark", "cls").agg(F.min("doc").alias("low"), F.count("*").alias("copies"))
-    classes = stored(classes, "join-classes")
+    # The least row of a class by id, then by text, as ids (null ones too) may repeat.
+    classes = with_words.groupBy("mark", "cls").agg(F.min(F.struct("doc", "text_hash")).alias("least"), F.count("*").alias("copies"))
+    classes = stored(classes.select("mark", "cls", F.col("least.doc").alias("low"), F.col("least.text_hash").alias("low_hash"), "copies"), "join-classes")
     keys = ["mark", "cls"]
-    # A class's picks come from its row with the least id (one row, where an id repeats).
-    chosen = with_words.select("doc", *keys, "picks").join(classes.select(*keys, F.col("low").alias("doc")).hint("merge"), ["doc", *keys]).dropDuplicates(keys)
+    # A class's picks come from its least row (one, where a row repeats).
+    chosen = with_words.select("doc", "text_hash", *keys, "picks").join(classes.select(*keys, F.col("low").alias("doc"), F.col("low_hash").alias("text_hash")).hint("merge"), ["doc", "text_hash", *keys]).dropDuplicates(keys)
 
     # Level by level: keys that several classes share are buckets; too large ones split on the next picks.
     at_level = lambda r, k: F.element_at("picks", r * LEVELS + k + 1)
@@ -237,7 +238,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     asked = stored(lists.join(classes.hint("merge"), "cls"), "join-asked")
 
     # The sets of classes in some bucket, from their texts, then to the tasks that compare them.
-    texts = rows.join(asked.withColumnRenamed("low", "doc").hint("merge"), "doc")
+    texts = hashed.join(asked.withColumnsRenamed({"low": "doc", "low_hash": "text_hash"}).hint("merge"), ["doc", "text_hash"])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
@@ -269,10 +270,10 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     links = linked.groupBy("a").agg(F.sum("links").alias("links"))
     labels = _labels(linked.select("a", "b"))
     # Components are labelled with class numbers; their least document id comes from the classes in them.
-    named = labels.join(classes.select(F.col("cls").alias("a"), "low").hint("merge"), "a")
-    lows = named.groupBy("label").agg(F.min("low").alias("group_low"))
+    named = labels.join(classes.select(F.col("cls").alias("a"), "low", "low_hash").hint("merge"), "a")
+    lows = named.groupBy("label").agg(F.min(F.struct("low", "low_hash")).alias("group_least"))
     grouped = named.select("a", "label").join(lows.hint("merge"), "label").join(links.hint("merge"), "a", "left")
-    about = stored(classes.join(grouped.withColumnRenamed("a", "cls").hint("merge"), "cls", "left").select(*keys, "low", "copies", F.coalesce("group_low", "low").alias("group_low"), F.coalesce("links", F.lit(0)).alias("links")), "join-classes")
+    about = stored(classes.join(grouped.withColumnRenamed("a", "cls").hint("merge"), "cls", "left").select(*keys, "low", "copies", F.coalesce("group_least.low", "low").alias("group_low"), F.coalesce("group_least.low_hash", "low_hash").alias("group_hash"), F.coalesce("links", F.lit(0)).alias("links")), "join-classes")
     full = described.select("doc", "text_hash", "n", *keys).join(about.hint("merge"), keys, "left")
     real = lambda c: F.when(c != _NO_ID, c)
     has = F.col("n") > 0
@@ -283,14 +284,18 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
         F.when(has, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
         F.col("n").alias("n_shingles"),
         "text_hash",
+        F.when(has, F.col("group_hash")).otherwise(F.col("text_hash")).alias("group_hash"),
     )
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of their group, with all their columns. Texts without words all stay."""
+    """The least row of each group, by id and then by its text's hash, with all its columns: one, unless id and text both repeat.
+
+    Texts without words all stay.
+    """
     key = lambda doc, text: F.concat_ws("/", F.coalesce(doc.cast("string"), F.lit("null")), text.cast("string"))
     found = ngram_join(docs, threshold, width, target_recall, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(key(F.col("doc_id"), F.col("text_hash")).alias("_near_key")).distinct()
+    gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("group_hash")))).select(key(F.col("doc_id"), F.col("text_hash")).alias("_near_key")).distinct()
     keyed = docs.withColumn("_near_key", key(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
     return keyed.join(stored(gone, "join-gone").hint("merge"), "_near_key", "left_anti").select(*docs.columns)
 

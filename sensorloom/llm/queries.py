@@ -92,7 +92,7 @@ FROM s QUALIFY rank <= 5
 """
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), threshold=0.8, width=5, target_recall=0.9999).drop("text_hash")
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), threshold=0.8, width=5, target_recall=0.9999).drop("text_hash", "group_hash")
 
 
 #: Brute force; Python's word characters are letters, numbers and the underscore.

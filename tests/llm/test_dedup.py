@@ -200,6 +200,22 @@ def test_ngram_join_blocks(spark, monkeypatch):
     assert sorted(map(tuple, out), key=str) == sorted(brute_links(rows), key=str)
 
 
+def test_near_copies_without_own_ids(spark):
+    """Near copies whose ids are all null, or all the same, leave one row of each group."""
+    rng = random.Random(12)
+    rows, group = [], {}
+    for g in range(12):
+        base = [f"g{g}w{rng.randint(0, 4000)}" for _ in range(80)]
+        for k in range(6):
+            text = " ".join([*base, f"end{k}"])
+            rows.append((None if g < 6 else 50 + g, text))
+            group[text] = g
+    out = ngram_join.drop_near_copies(frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(group[t] for _, t in out) == list(range(12))
+    found = ngram_join.ngram_join(frame(spark, rows)).select("doc_id", "class_id", "group_id", "n_links").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(brute_links(rows), key=str)
+
+
 def test_ngram_join_empty(spark):
     docs = frame(spark, [(1, "x")])
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
