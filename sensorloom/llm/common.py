@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -28,9 +29,11 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file:///tmp/sensorloom-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,6 +44,11 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def as_uri(path: str) -> str:
+    """The path with its scheme, as pyarrow's file systems want it."""
+    return path if "://" in path else f"file://{path}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: cuts lineage and gives Spark true sizes."""
     path = fresh_path(df.sparkSession, what)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, on_workers, partitions, stored
+from .common import as_uri, fresh_path, on_workers, partitions, stored
 from .tokens import encoder, slices
 
-MAGIC = b"PFR1"
+MAGIC = b"PFR2"
 BLOCK, PERCENTILE = 512, 95
 _HEAD = struct.Struct("<IBH")  # minimum, width, number of exceptions
-_FOOT = struct.Struct("<QQQQQ4s")  # ids, documents, place of document table, place of index, blocks, magic
+_FOOT = struct.Struct("<QQQQQQ4s")  # ids, documents, null ids among them, place of document table, place of index, blocks, magic
 #: Ids that are encoded or decoded at a time.
 AT_ONCE = BLOCK * 1024
 
@@ -74,15 +75,18 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
 
 
 class FileWriter:
-    """Appends documents' ids; holds AT_ONCE ids and a small table of documents."""
+    """Appends documents' ids; holds AT_ONCE ids and a number or two for each document."""
 
     def __init__(self, fs: pafs.FileSystem, path: str) -> None:
         self.out, self.at, self.held, self.n_held, self.n_ids = fs.open_output_stream(path), 0, [], 0, 0
         self.starts: list[int] = []
-        self.docs: list[tuple[int, int]] = []
+        self.docs, self.sizes, self.n_null = array("q"), array("q"), 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((doc_id is None, 0 if doc_id is None else doc_id, len(ids) // 4))
+        """Null ids come first in a file."""
+        self.n_null += doc_id is None
+        self.docs.append(0 if doc_id is None else doc_id)
+        self.sizes.append(len(ids) // 4)
         self.held.append(ids)
         self.n_held += len(ids) // 4
         self.n_ids += len(ids) // 4
@@ -102,25 +106,33 @@ class FileWriter:
     def close(self) -> None:
         if self.n_held:
             self._put(self.n_held)
-        table = np.array(self.docs, dtype=[("null", "?"), ("id", "<i8"), ("n", "<i8")]).tobytes()
+        table = np.array(self.docs, "<i8").tobytes() + np.array(self.sizes, "<i8").tobytes()
         index = np.array(self.starts, "<u8").tobytes()
-        self.out.write(table + index + _FOOT.pack(self.n_ids, len(self.docs), self.at, self.at + len(table), len(self.starts), MAGIC))
+        self.out.write(table + index + _FOOT.pack(self.n_ids, len(self.docs), self.n_null, self.at, self.at + len(table), len(self.starts), MAGIC))
         self.out.close()
 
 
-def read_file(fs: pafs.FileSystem, path: str) -> Iterator[tuple[int | None, int, int]]:
-    """(doc_id, number of ids, crc32 of the ids) of each document, from the file alone, a stretch of blocks at a time."""
+def read_footer(fs: pafs.FileSystem, path: str) -> tuple[int, int, int, int, int, int]:
+    """Numbers of ids, documents and null ids of a file, places of its document table and index, number of blocks."""
     with fs.open_input_file(path) as f:
         f.seek(f.size() - _FOOT.size)
-        n_ids, n_docs, table_at, index_at, n_blocks, magic = _FOOT.unpack(f.read(_FOOT.size))
+        *numbers, magic = _FOOT.unpack(f.read(_FOOT.size))
         if magic != MAGIC:
             raise ValueError(f"{path} isn't a token file")
+        return tuple(numbers)
+
+
+def read_file(fs: pafs.FileSystem, path: str) -> Iterator[tuple[int | None, int, int]]:
+    """(doc_id, number of ids, crc32 of the ids) of each document, from the file alone, a stretch of blocks at a time."""
+    n_ids, n_docs, n_null, table_at, index_at, n_blocks = read_footer(fs, path)
+    with fs.open_input_file(path) as f:
         f.seek(table_at)
-        docs = np.frombuffer(f.read(index_at - table_at), dtype=[("null", "?"), ("id", "<i8"), ("n", "<i8")])
+        docs = np.frombuffer(f.read(index_at - table_at), "<i8").reshape(2, n_docs)
         starts = np.frombuffer(f.read(8 * n_blocks), "<u8").astype(np.int64)
         ends = np.append(starts[1:], table_at)
         per, left, block, seen = AT_ONCE // BLOCK, np.empty(0, "<u4"), 0, 0
-        for null, doc, n in docs.tolist():
+        for k in range(n_docs):
+            n = int(docs[1, k])
             crc, missing = 0, n
             while missing:
                 if not len(left):
@@ -134,14 +146,15 @@ def read_file(fs: pafs.FileSystem, path: str) -> Iterator[tuple[int | None, int,
                         left = left[: len(left) - (seen - n_ids)]
                 crc = zlib.crc32(left[:missing].tobytes(), crc)
                 missing, left = missing - min(missing, len(left)), left[missing:]
-            yield None if null else doc, n, crc
+            yield None if k < n_null else int(docs[0, k]), n, crc
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, white_space_counts: bool = True, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write token files below folder (a URI that all executors reach); returns part, path, n_docs, n_ids, start per file.
+    """Write token files below folder (a URI that all executors reach); returns part, path, n_docs, n_ids per file.
 
-    start counts the ids of all files before. Null ids come first; null and empty texts are the end id alone; rows that
-    repeat an id stand together. An empty table gives no files.
+    Files in the order of part hold the documents by ascending id. Null ids come first; null and empty texts are the end id
+    alone; rows that repeat an id stand together, in the order of a hash of their text (so they may go to several files).
+    Other columns are ignored. An empty table gives no files.
     """
     on_workers(docs.sparkSession)
     fs, place = pafs.FileSystem.from_uri(folder)
@@ -163,15 +176,23 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, white_space_
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(out.docs)], pa.int64()), pa.array([out.n_ids], pa.int64())], names=["part", "path", "n_docs", "n_ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = stored(ordered.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "token-files")
-    # A row per file, so one small window gives the running start.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    mixed = rows.withColumn("mix", F.xxhash64("text"))
+    ordered = mixed.repartitionByRange(partitions(docs.sparkSession), "doc_id", "mix").sortWithinPartitions("doc_id", "mix", "text")
+    return stored(ordered.select("doc_id", "text").mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "token-files")
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
-    """Read token files back: doc_id, start, n_tokens, ids_crc32 per document."""
+    """Read token files (part, path) back: doc_id, start, n_tokens, ids_crc32 per document; start counts all ids before it.
+
+    Everything but the files' order comes from the files: a first job reads their footers, for the ids before each file.
+    Files without documents give no rows; a file that isn't one of these is an error.
+    """
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_fs, _ = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            n_ids = [read_footer(own_fs, path)[0] for path in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_ids, pa.int64())], names=["part", "path", "n_ids"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_fs, _ = pafs.FileSystem.from_uri(folder)
@@ -187,8 +208,12 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                 if out:
                     yield _read_batch(out)
 
-    n = max(1, files.count())
-    return files.select("path", "start", "part").repartition(min(n, 4 * partitions(files.sparkSession)), "part").select("path", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = min(max(1, files.count()), 4 * partitions(files.sparkSession))
+    sized = stored(files.select("part", "path").repartition(n, "part").mapInArrow(footers, "part int, path string, n_ids long"), "token-footers")
+    # A row per file, so one small window gives the running start.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    return placed.select("path", "start", "part").repartition(n, "part").select("path", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -197,6 +222,5 @@ def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def round_trip(docs: DataFrame, tokenizer_path: str, white_space_counts: bool = True, end_id: int = 0) -> DataFrame:
     """Write the documents' tokens and read them back: doc_id, start, n_tokens, ids_crc32."""
-    folder = fresh_path(docs.sparkSession, "tokens")
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = as_uri(fresh_path(docs.sparkSession, "tokens"))
     return read_tokens(write_tokens(docs, folder, tokenizer_path, white_space_counts, end_id), folder)

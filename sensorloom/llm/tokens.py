@@ -1,7 +1,8 @@
 """Token ids of whole texts with a public tokenizer file.
 
-Both vocabularies split at white space before they merge, so a text's ids are those of its white-space-bounded pieces in a
-row. Each Python worker keeps the ids of pieces it has met; only new pieces reach the tokenizer, many at a time.
+Both vocabularies split a text into words before they merge, so a text's ids are those of its pieces in a row, wherever the
+pieces are cut between words. Cuts are set with Arrow's string functions; each distinct piece of a slice is looked up once.
+Python workers keep the ids of pieces they have met lately; only new pieces reach the tokenizer, many at a time.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 
-#: Unicode's White_Space characters (a fixed value).
-WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces kept per worker (the first met, so the frequent ones), and the longest that is kept or encoded in a row of others.
+#: Unicode's White_Space characters but space and newline, then all (fixed values).
+OTHER_SPACE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_SPACE = OTHER_SPACE + " \n"
+#: Letters and digits that stay one letter or digit in lower case, and ASCII's punctuation: words end between the two.
+WORD_END = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{410}-\x{44F}])([!-/:-@\[-`{-~])"
+#: Pieces kept per worker, about, and the longest that is kept or encoded in a row of others.
 KEPT_PIECES, KEPT_CHARS = 700_000, 64
 SLICE_BYTES = 16 << 20
 
@@ -34,16 +38,21 @@ class Encoder:
         w = WHITE_SPACE
         self.white = white_space_counts
         self.pieces = re.compile(f"[{w}]*[^{w}]+|[{w}]+").findall
-        self.plain = re.compile(f" [^{w}]{{1,{KEPT_CHARS}}}" if white_space_counts else f"[^{w}]{{1,{KEPT_CHARS}}}").fullmatch
-        #: Texts in which a single space isn't always between two other characters, or that hold the mark used for cutting.
-        self.uneven = f"[{w}] | [{w}]|^ | $|\x00"
-        self.known: dict[str, bytes] = {}
+        #: Texts with white space other than single spaces and up to two newlines between words, or with the mark used for cutting.
+        self.uneven = f"\x00|[{w}] | [{w}]|^ | $|\n\n\n|\n\n$|[{OTHER_SPACE}]\n|\n[{OTHER_SPACE}]"
+        #: Pieces that can't stand in a row of others.
+        self.alone = f"(?s)^.+[{w}]|^[\n{OTHER_SPACE}]|^.{{{KEPT_CHARS}}}." + ("" if self.white else "|~")
+        self.between = "\n" if self.white else " ~ "
+        self.marks = self.tokenizer.encode(self.between.strip(" "), add_special_tokens=False).ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        if not self.white:  # white space is dropped, so each space is a cut
-            return self._joined(pc.split_pattern(texts, " "))
+        if not self.white:  # white space is dropped, so a space may stand at every cut
+            return self._joined(pc.split_pattern(pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), WORD_END, r"\1 \2"), " "))
         uneven = pc.match_substring_regex(texts, self.uneven)
-        even = self._joined(pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(uneven)), " ", "\x00 "), "\x00"))
+        marked = pc.replace_substring(pc.replace_substring(texts.filter(pc.invert(uneven)), " ", "\x00 "), "\n", "\x00\n\x00")
+        even = self._joined(pc.split_pattern(pc.replace_substring_regex(marked, WORD_END, "\\1\x00\\2"), "\x00"))
         if len(even) == len(texts):
             return even
         odd = texts.filter(uneven).to_pylist()
@@ -54,8 +63,7 @@ class Encoder:
     def _joined(self, pieces: pa.ListArray) -> list[bytes]:
         """Pieces of each text -> the text's ids: each distinct piece is looked up once, the rest is taken by number."""
         flat = pieces.flatten().dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        ids = self._ids(distinct)
+        ids = self._ids(flat.dictionary.to_pylist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         table = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
         codes = flat.indices
@@ -65,38 +73,46 @@ class Encoder:
         return [taken[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        once = dict(self._encoded(new))
-        room = max(0, KEPT_PIECES - len(known))
-        known.update((p, once[p]) for p in new[:room] if len(p) <= KEPT_CHARS)
-        return [known[p] if p in known else once[p] for p in pieces]
-
-    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces met since the last change of generation are young; those only met in the one before it are old, and go at the next."""
+        young, old = self.young, self.old
+        out: list[bytes | None] = list(map(young.get, pieces))
+        new: list[int] = []
+        for i, known in enumerate(out):
+            if known is None:
+                p = pieces[i]
+                out[i] = again = old.get(p)
+                if again is None:
+                    new.append(i)
+                else:
+                    young[p] = again
+        for i, ids in zip(new, self._encoded([pieces[i] for i in new]), strict=True):
+            out[i] = ids
+            if len(pieces[i]) <= KEPT_CHARS:
+                young[pieces[i]] = ids
+        if len(young) > KEPT_PIECES // 2:
+            self.young, self.old = {}, young
+        return out
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
         """Short plain pieces are encoded many in a row, with a separator between that none of them holds; others alone."""
-        if self.white:
-            between, mark = "\n", "\n"
-        else:
-            mark = next((c for c in "|~^\\`" if not any(c in p for p in pieces)), None)
-            between = f" {mark} "
-        rows, alone = [], pieces
-        if mark is not None and len(marks := self.tokenizer.encode(mark, add_special_tokens=False).ids) == 1:
-            rows, alone = [], []
-            for p in pieces:
-                (rows if self.plain(p) else alone).append(p)
+        out: list[bytes] = [b""] * len(pieces)
+        apart = np.array(pc.match_substring_regex(pa.array(pieces, pa.string()), self.alone), bool)
+        alone, rows = np.flatnonzero(apart).tolist(), np.flatnonzero(~apart).tolist()
         for at in range(0, len(rows), 256):
-            some = rows[at : at + 256]
-            ids = np.array(self.tokenizer.encode(between.join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == marks[0]).tolist()
-            if len(cuts) != len(some) - 1:  # a piece held the separator's id after all
-                alone += some
+            own = rows[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join([pieces[i] for i in own])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.marks[0])).tolist()
+            if len(self.marks) > 1 or len(cuts) != len(own) - 1:
+                alone += own
                 continue
-            for p, a, b in zip(some, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
-                yield p, ids[a:b].tobytes()
+            raw = ids.tobytes()
+            for i, a, b in zip(own, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
+                out[i] = raw[a:b]
         for at in range(0, len(alone), 4096):
             some = alone[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                yield p, np.array(e.ids, "<u4").tobytes()
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

@@ -2,17 +2,19 @@
 
 import random
 import zlib
+from unittest import mock
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sensorloom.llm import packing, token_binary
+from sensorloom.llm import packing, token_binary, tokens
 from sensorloom.llm.tokens import Encoder
 
-PARTS = ["the", "The", "  ", " ", "\n", "\t", "\n\n ", "a", "é", "ß", "日本", "'s", "'ll", "123", "4", "%%%", "!!", "<|endoftext|>", "\x1c", "\x85", " ", "　", "é", "́", "Σ", "İ", "👍🏽", "-", "_", "\x00", "​", "don't", "x" * 70, "﻿", "\xa0"]
+PARTS = ["\n\n", "\n\n\n", ".", ",", "İ", "İ.", "word.", "Word,", "A1)", "\r\n", "\x0b", "~", "a~b", "и.", "ñ;", "'", "\"", "..", "=\u0338", "the", "The", "  ", " ", "\n", "\t", "\n\n ", "a", "é", "ß", "日本", "'s", "'ll", "123", "4", "%%%", "!!", "<|endoftext|>", "\x1c", "\x85", " ", "　", "é", "́", "Σ", "İ", "👍🏽", "-", "_", "\x00", "​", "don't", "x" * 70, "﻿", "\xa0"]
 
 
 @pytest.mark.parametrize(("name", "white"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
@@ -27,6 +29,19 @@ def test_pieces_equal_whole(name, white):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize(("name", "white"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_pieces_equal_whole_on_documents(name, white):
+    """Real texts, some of them twice, with a table so small that pieces leave it."""
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    plain.encode_special_tokens = True
+    own = Encoder(public_tokenizers.path(name), white)
+    with mock.patch.object(tokens, "KEPT_PIECES", 20_000):
+        got = [ids for at in (*range(0, len(texts), 100), 0) for ids in own.encode(pa.array(texts[at : at + 100]))]
+    for text, ids in zip([*texts, *texts[:100]], got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
@@ -38,12 +53,13 @@ def test_blocks_round_trip(n):
 
 
 def test_files_round_trip(spark, tmp_path):
-    rows = [(3, "c d"), (1, None), (2, ""), (2, "twice"), (None, "no id"), (9, "word " * 300_000)]
+    rows = [(3, "c d"), (1, None), (2, ""), (2, "twice"), (2, "twice"), (2, "three times"), (None, "no id"), (None, None), (9, "word " * 300_000)]
     docs = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, start string")
     out = token_binary.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mix = {r.t: r.h for r in docs.selectExpr("coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS h").collect()}
     start, want = 0, []
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, mix[r[1] or ""])):
         ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
         want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
