@@ -22,10 +22,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, on_workers, partitions, stored
+from .common import as_uri, fresh_path, on_workers, partitions, stored
 
 #: Ranges with at most GAP bytes between them are read together, up to AT_ONCE bytes.
 GAP, AT_ONCE = 65_536, 8 << 20
+#: A payload is hot if more than 1 / (HOT_SHARE * partitions) of all pages with shared payloads hold it.
+HOT_SHARE = 8
 DATE = "2000-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _NO_ID = -(1 << 63)
@@ -34,13 +36,22 @@ _INDEX = "file string, offset long, length long, page_id long, url string, paylo
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 
 
-def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id, payload_digest, refers_to of the pages that revisit another; from ids and digests alone."""
-    thin = pages.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= min_bytes)
+def revisits(thin: DataFrame, min_bytes: int) -> DataFrame:
+    """page_id, payload_digest, refers_to of the pages that revisit another; from stored ids, digests and sizes alone.
+
+    Payloads that many pages share are decided by counts, without a shuffle of their pages; the others meet on the digest.
+    """
+    thin = thin.where(F.col("payload_bytes") >= min_bytes)
+    key = ["payload_digest", "payload_bytes"]
     # Partial sums in each task: a payload that many pages share reaches the shuffle once per task.
-    groups = thin.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
-    shared = groups.where("n > 1 AND refers_to IS NOT NULL").drop("n")
-    both = thin.join(shared.hint("merge"), ["payload_digest", "payload_bytes"])
+    groups = thin.groupBy(*key).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    shared = stored(groups.where("n > 1 AND refers_to IS NOT NULL"), "warc-shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") > total / (HOT_SHARE * partitions(thin.sparkSession))
+    # Broadcast is safe: under HOT_SHARE rows for each shuffle partition pass that filter.
+    marked = thin.join(F.broadcast(shared.where(is_hot).drop("n")), key, "left")
+    others = marked.where("refers_to IS NULL").drop("refers_to").join(shared.where(~is_hot).drop("n").hint("merge"), key)
+    both = marked.where("refers_to IS NOT NULL").unionByName(others)
     return both.where("page_id IS NULL OR page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
@@ -73,7 +84,8 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 1000, id_
     payload: Column = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha1(F.encode("payload", "UTF-8")), "payload_bytes": F.octet_length("payload").cast("long")})
-    again = stored(revisits(rows, min_revisit_bytes), "warc-revisits")
+    thin = stored(rows.select("page_id", "payload_digest", "payload_bytes"), "warc-digests")
+    again = stored(revisits(thin, min_revisit_bytes), "warc-revisits")
     keyed = lambda df: df.withColumn("_key", F.coalesce("page_id", F.lit(_NO_ID)))
     # Joined on the page's id, which is even; a shared payload would not be.
     both = keyed(rows).join(keyed(again).drop("page_id").hint("merge"), ["_key", "payload_digest"], "left")
@@ -129,7 +141,11 @@ def parse_record(record: bytes) -> tuple[int | None, int, str, str, int | None,
 
 
 def read_warc(index: DataFrame, folder: str) -> DataFrame:
-    """The records that rows of an index (file, offset, length) select, read by coalesced byte ranges."""
+    """The records that rows of an index (file, offset, length) select, read by coalesced byte ranges.
+
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for a revisit). An index row that
+    repeats reads its record again; no index rows give no rows. A damaged record is an error.
+    """
     on_workers(index.sparkSession)
     places = index.select("file", "offset", "length")
     ordered = places.repartitionByRange(partitions(index.sparkSession), "file", "offset").sortWithinPartitions("file", "offset")
@@ -169,6 +185,5 @@ def _coalesced(rows: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, list
 
 def round_trip(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
     """Write all pages and read all records back: page_id, payload_bytes, payload_digest, record_type, refers_to, payload."""
-    folder = fresh_path(pages.sparkSession, "warc")
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = as_uri(fresh_path(pages.sparkSession, "warc"))
     return read_warc(write_warc(pages, folder, min_revisit_bytes), folder)

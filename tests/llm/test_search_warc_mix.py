@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -13,14 +14,12 @@ from sensorloom.llm import mixing, topk, warc
 
 
 def brute_top(rows, k, every):
-    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    dims = max((len(v) for _, v in good), default=0)
-    good = [(i, v) for i, v in good if len(v) == dims]
+    good = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, v in good:
         if q % every == 0:
-            ranked = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q))[:k]
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(ranked, 1)]
+            ranked = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in good if i != q))[:k]
+            out += [(q, r, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(ranked, 1)]
     return out
 
 
@@ -35,6 +34,20 @@ def test_top_k(spark, spread):
     assert sorted(map(tuple, got)) == sorted(brute_top(rows, 5, 50))
 
 
+def test_top_k_mixed_lengths_and_huge_values(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 300)
+    rng = random.Random(11)
+    rows = [(i, [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-3, 3) for _ in range(rng.randint(0, 6))]) for i in range(500)]
+    rows += [(1000 + i, [rng.choice([-1, 1]) * 10.0 ** rng.uniform(8, 307) for _ in range(rng.randint(1, 4))]) for i in range(120)]
+    rows += [(2000, [1.7e308, 1.7e308]), (2001, [1.7e308, 1.7e308]), (2050, [-1.7e308] * 2), (2100, [2.0**31, 2.0**31]), (2101, [2.0**24]), (2102, [0.0, 1.0])]
+    rows += [(3, rows[0][1]), (50, rows[1][1]), (50, rows[50][1])]  # repeated ids, one a query's
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    first = min(rows[50][1], rows[1][1])
+    asked = [(i, v) for i, v in rows if i != 50 or v == first]
+    want = [r for r in brute_top(rows, 5, 50) if r[0] != 50] + [r for r in brute_top(asked, 5, 50) if r[0] == 50]
+    assert sorted(map(tuple, topk.top_k(docs, 5, 50).collect())) == sorted(set(want))
+
+
 def test_top_k_small(spark):
     docs = spark.createDataFrame([(0, [1.0, -2.0]), (3, [0.5, 0.5]), (4, [0.5, 0.5])], "vec_id long, embedding array<float>")
     score = 256 * 128 - 512 * 128
@@ -60,6 +73,17 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_hot_payload(spark):
+    """A payload of most pages is decided by counts, others by their digests."""
+    rows = [(i, "same " * 300 if i % 3 else f"pair {i // 6} " * 200) for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))
+    top = {}
+    for i, html in rows:
+        top[html] = max(i, top.get(html, 0))
+    want = [(i, None if top[html] == i else top[html]) for i, html in rows]
+    assert sorted((r.page_id, r.refers_to) for r in warc.round_trip(pages).select("page_id", "refers_to").collect()) == want
+
+
 def test_warc_selected_ranges(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"page {i} " * (i % 50 + 1)) for i in range(500)], "page_id long, url string, html string")
     folder = f"file://{tmp_path}"
