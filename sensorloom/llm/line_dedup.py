@@ -33,17 +33,19 @@ def lines_of(text: Column) -> Column:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document that loses lines: doc_id, runs array<int> (kept, dropped, kept, ... from the first line), n_dropped.
+    """Per row that loses lines: doc_id, text_hash, runs array<int> (kept, dropped, kept, ... from the first line), n_dropped.
 
-    A line goes if its key has at least min_chars code points and a document with a smaller id holds the key. Documents
-    that lose none have no row. Null ids: such rows count as one document, smaller than all others. Rows that repeat an id
-    count as one document (each keeps its own lines, with the same runs applied by position when texts are equal); null and
-    empty texts are one empty line.
+    A line goes if its key has at least min_chars code points and a document with a smaller id holds the key. Rows that lose
+    none have no bitmap. Null ids: such rows count as one document, smaller than all others. Rows that repeat an id count as
+    one document too, but each has its own bitmap, by its text; rows that repeat both share one. Null and empty texts are
+    one empty line. An empty table gives no rows.
     """
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
-    keyed = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash.alias("text_hash"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    keyed = lines.select("doc_id", "text_hash", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     none = F.lit(NO_ID)
-    hashed = keyed.select(F.coalesce("doc_id", none).alias("doc"), "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.reverse("key")).alias("h2"))
+    # Two hashes of different seeds: together 128 bits.
+    hashed = keyed.select(F.coalesce("doc_id", none).alias("doc"), "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
     hashed = stored(hashed, "line-hashes")  # texts are split and hashed once; what follows reads narrow rows
 
     # Counts are partly summed in each task before the shuffle; keys of one line or one document are of no further use.
@@ -53,21 +55,22 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", t
     hot = shared.where(F.col("n") > total / (HOT_SHARE * partitions(docs.sparkSession)))
     # Broadcast is safe: under HOT_SHARE rows for each shuffle partition pass that filter.
     marked = hashed.join(F.broadcast(hot.drop("n")), ["h1", "h2"], "left")
-    by_count = marked.where("first_doc < doc").select("doc", "pos")
+    by_count = marked.where("first_doc < doc").select("doc", "text_hash", "pos")
 
     # Lines go by range of hash, then stand by document and position; the running first document streams along.
     cold = marked.where("first_doc IS NULL").repartitionByRange(partitions(docs.sparkSession), "h1")
     stream = Window.partitionBy("h1", "h2").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_order = cold.select("doc", "pos", F.first("doc").over(stream).alias("first_doc")).where("first_doc < doc").select("doc", "pos")
-
-    gone = by_order.unionByName(by_count).select(F.when(F.col("doc") != none, F.col("doc")).alias("doc_id"), "pos")
-    near = Window.partitionBy("doc_id").orderBy("pos")
-    islands = gone.distinct().withColumn("island", F.col("pos") - F.row_number().over(near))
-    runs = islands.groupBy("doc_id", "island").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("len"))
-    before = F.lag(F.col("start") + F.col("len"), 1, 0).over(Window.partitionBy("doc_id").orderBy("start"))
+    by_order = cold.select("doc", "text_hash", "pos", F.first("doc").over(stream).alias("first_doc")).where("first_doc < doc").select("doc", "text_hash", "pos")
+
+    row = ["doc", "text_hash"]
+    gone = by_order.unionByName(by_count).distinct()
+    near = Window.partitionBy(*row).orderBy("pos")
+    islands = gone.withColumn("island", F.col("pos") - F.row_number().over(near))
+    runs = islands.groupBy(*row, "island").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("len"))
+    before = F.lag(F.col("start") + F.col("len"), 1, 0).over(Window.partitionBy(*row).orderBy("start"))
     pairs = runs.withColumn("kept", (F.col("start") - before).cast("int"))
-    packed = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "kept", "len"))).alias("r"), F.sum("len").alias("n_dropped"))
-    return packed.select("doc_id", F.flatten(F.transform("r", lambda x: F.array(x["kept"], x["len"]))).alias("runs"), "n_dropped")
+    packed = pairs.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("start", "kept", "len"))).alias("r"), F.sum("len").alias("n_dropped"))
+    return packed.select(F.when(F.col("doc") != none, F.col("doc")).alias("doc_id"), "text_hash", F.flatten(F.transform("r", lambda x: F.array(x["kept"], x["len"]))).alias("runs"), "n_dropped")
 
 
 def apply_bitmap(text: Column, runs: Column) -> Column:
@@ -79,10 +82,11 @@ def apply_bitmap(text: Column, runs: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped, runs, kept_text. See keep_bitmaps for the rules."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """One row per input row: doc_id, n_lines, n_dropped, runs, kept_text. See keep_bitmaps for the rules. Other columns are ignored."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     maps = stored(keep_bitmaps(rows, min_chars, "doc_id", "text"), "line-bitmaps")
-    both = rows.join(maps.hint("merge"), rows["doc_id"].eqNullSafe(maps["doc_id"]), "left").drop(maps["doc_id"])
+    same = rows["doc_id"].eqNullSafe(maps["doc_id"]) & (rows["text_hash"] == maps["text_hash"])
+    both = rows.join(maps.hint("merge"), same, "left").drop(maps["doc_id"], maps["text_hash"])
     return both.select(
         "doc_id",
         F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
