@@ -49,6 +49,14 @@ def as_uri(path: str) -> str:
     return path if "://" in path else f"file://{path}"
 
 
+def fresh_name(df: DataFrame, what: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken, name = {c.lower() for c in df.columns}, what
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: cuts lineage and gives Spark true sizes."""
     path = fresh_path(df.sparkSession, what)

@@ -98,7 +98,52 @@ def test_coalesced_ranges():
 
 
 def corpus(spark, rows):
-    return spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, block int, size int")
+    return spark.createDataFrame([(*r, 1, 2, "k", 3, 4) for r in rows], "doc_id long, text string, source string, block int, size int, take_key string, _take_key int, TIMES int")
+
+
+def weights(tokens, exponent):
+    total = sum(tokens.values())
+    raised = {s: (n / total) ** exponent if n else 0.0 for s, n in tokens.items()}
+    return {s: x / math.fsum(raised.values()) for s, x in raised.items()}
+
+
+def entropy(shares):
+    some = [x for x in shares.values() if x > 0]
+    return -math.fsum(x * math.log(x) for x in some) / math.log(len(some)) if len(some) > 1 else 1.0
+
+
+def cover(tokens, shares):
+    return max(n / shares[s] for s, n in tokens.items() if n)
+
+
+def least_exponent(good):
+    low, high = 0.0, 1.0
+    if good(low):
+        return low
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (low, mid) if good(mid) else (mid, high)
+    return high
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_solve_against_plain_bisection(spark, seed):
+    """Exponents, entropy and budgets from sums over the table of sources, against dictionaries."""
+    rng = random.Random(seed)
+    tokens = {f"s{i}": int(10 ** rng.uniform(0, 7)) for i in range(rng.choice([1, 2, 40]))} | {"none": 0}
+    table = spark.createDataFrame(list(tokens.items()), "src string, tokens long")
+    for e in (0.0, 0.3, 1.0):
+        t, shares = mixing.temperatures(table, [e])[0], weights(tokens, e)
+        assert math.isclose(t.entropy, entropy(shares), abs_tol=1e-9) and math.isclose(t.cover, cover(tokens, shares), rel_tol=1e-9)
+        assert math.isclose(t.repeats(12345), max(shares[s] * 12345 / n for s, n in tokens.items() if n), rel_tol=1e-9)
+    for budget, target, most in ((None, None, 3.0), (None, 0.8, None), (10**6, 0.9, 5.0), (10**12, None, 2.0), (None, None, None)):
+
+        def good(e):
+            shares = weights(tokens, e)
+            whole = cover(tokens, shares) if budget is None else budget
+            return (target is None or entropy(shares) <= target) and (most is None or max(shares[s] * whole / n for s, n in tokens.items() if n) <= most)
+
+        assert abs(mixing.solve(table, budget, target, most).exponent - least_exponent(good)) < 1e-8
 
 
 def mix_rows():
@@ -108,17 +153,24 @@ def mix_rows():
     return rows + [(9000, None, "big"), (9001, "", None), (9002, "three words here", None), (None, "no id", "s1"), (9003, None, "silent"), (9004, "twice", "s2"), (9004, "twice", "s2")]
 
 
-def test_mix_weights_and_blocks(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_mix_weights_and_blocks(spark, monkeypatch, small):
+    """Also with so few blocks to a chunk, documents to a block and sources to a broadcast that all steps have several."""
+    if small:
+        monkeypatch.setattr(mixing, "BLOCK_DOCS", 20)
+        monkeypatch.setattr(mixing, "CHUNK_BLOCKS", 7)
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     rows = mix_rows()
     tokens = Counter()
     for _, text, source in rows:
         tokens[source] += len((text or "").split())
     out = mixing.mix(corpus(spark, rows), target_entropy=None, max_repeats=3.0).collect()
     named = {str(s): n for s, n in tokens.items()}
-    exponent = mixing.solve_exponent(named, None, None, 3.0)
-    shares = mixing.weights(named, exponent)
-    budget = mixing.covering_budget(named, shares)
-    assert abs(mixing.repeats(named, shares, budget) - 3.0) < 1e-6
+    most = lambda e: (w := weights(named, e)) and max(w[s] * cover(named, w) / n for s, n in named.items() if n)
+    exponent = least_exponent(lambda e: most(e) <= 3.0)
+    shares = weights(named, exponent)
+    budget = cover(named, shares)
+    assert abs(most(exponent) - 3.0) < 1e-6
     got, by_doc = Counter(), defaultdict(list)
     for r in out:
         got[str(r.source)] += r.n_tokens
@@ -144,8 +196,8 @@ def test_mix_budget(spark):
     for _, text, source in rows:
         named[str(source)] += len((text or "").split())
     out = mixing.mix(corpus(spark, rows), budget=5000, target_entropy=0.9, max_repeats=None).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
-    shares = mixing.weights(named, mixing.solve_exponent(named, 5000, 0.9, None))
-    assert abs(mixing.entropy(shares) - 0.9) < 1e-6
+    shares = weights(named, least_exponent(lambda e: entropy(weights(named, e)) <= 0.9))
+    assert abs(entropy(shares) - 0.9) < 1e-6
     assert all(abs(r.n - 5000 * shares[str(r.source)]) <= 31 for r in out)
 
 
