@@ -15,17 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import on_workers
 from .labelled import Logistic, training_rows
 
-#: At most so many labelled documents, and nodes (words and prefixes) of the model.
-MAX_ROWS, MAX_NODES = 20_000, 120_000
+#: At most so many labelled documents: the bound on what fitting gathers. All their words and prefixes make the model.
+MAX_ROWS = 20_000
 #: Prefix lengths, documents a node must be in, pseudo-documents of a prior, what each token costs, and the least E-value that is reported.
 SHORTEST, LONGEST, MIN_DOCS, STRENGTH, COST, MAX_E = 2, 10, 4, 4.0, 1.5, 0.05
-KEPT_WORDS = 200_000
+#: Words whose scores a worker keeps, and characters of text that it takes apart at a time.
+KEPT_WORDS, AT_ONCE = 200_000, 1 << 20
 
 WORDS = re.compile(r"\w+").findall
 
@@ -55,21 +57,32 @@ def segments(scores: list[float] | np.ndarray) -> list[tuple[int, int, float]]:
 
 
 class ToxicityModel:
-    """Log-odds of words and prefixes, and the two calibrations."""
+    """Log-odds of words and prefixes by their hash (12 bytes each), and the two calibrations."""
 
-    def __init__(self, odds: dict[str, float]) -> None:
-        self.odds = odds
+    def __init__(self, nodes: np.ndarray, odds: np.ndarray) -> None:
+        """nodes: ascending 64-bit hashes, as node_hash gives them."""
+        self.nodes, self.odds = nodes, odds
         self.rate, self.size = 1.0, 0.1  # lambda and K of the extreme-value law
         self.calibration: Logistic | None = None
 
-    def word(self, w: str) -> float:
-        odds = self.odds
-        found = odds.get(w + "$")
-        n = min(len(w), LONGEST)
-        while found is None and n >= SHORTEST:
-            found = odds.get(w[:n])
-            n -= 1
-        return (found or 0.0) - COST
+    def words(self, words: list[str]) -> list[float]:
+        """Each word's score: the odds of its own node, or of its longest prefix that has one, less the cost of a token."""
+        out = np.full(len(words), -COST)
+        left = list(range(len(words)))
+        for shorter in range(-1, LONGEST):
+            hashes, own = [], []
+            for i in left:
+                w = words[i]
+                n = min(len(w), LONGEST) - shorter
+                if shorter < 0 or n >= SHORTEST:
+                    hashes.append(node_hash(w + "$" if shorter < 0 else w[:n]))
+                    own.append(i)
+            if not own:
+                break
+            at, found = _lookup(self.nodes, np.array(hashes, np.int64))
+            out[np.array(own)[found]] += self.odds[at[found]]
+            left = np.array(own)[~found].tolist()
+        return out.tolist()
 
     def evidence(self, n_tokens: int, scores: list[float]) -> float:
         """-log p of a text's best segments: sums of the r largest normalised scores, the best r (Karlin and Altschul, 1993)."""
@@ -83,28 +96,47 @@ class ToxicityModel:
         return best
 
 
-def _node_odds(nodes: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """(node, toxic documents, clean documents) -> log-odds, parents first. Nodes that tell nothing beyond their parent are left out."""
-    counts = {node: (t, c) for node, t, c in nodes}
-    full: dict[str, float] = {}
-    out: dict[str, float] = {}
-    for node in sorted(counts, key=len):
-        t, c = counts[node]
-        stem = node[:-1] if node.endswith("$") else node
-        up = next((stem[:k] for k in range(min(len(stem), LONGEST) if node.endswith("$") else len(stem) - 1, SHORTEST - 1, -1) if stem[:k] in counts), None)
-        up_t, up_c = counts[up] if up is not None else (n_toxic, n_clean)
-        share = STRENGTH * (t + c) / max(up_t + up_c, t + c, 1)
-        prior = full[up] if up is not None else 0.0
-        own = prior + math.log((t + share) / (up_t + STRENGTH)) - math.log((c + share) / (up_c + STRENGTH))
-        full[node] = max(-6.0, min(6.0, own))
-        near = next((out[stem[:k]] for k in range(min(len(stem), LONGEST) if node.endswith("$") else len(stem) - 1, SHORTEST - 1, -1) if stem[:k] in out), 0.0)
-        if abs(full[node] - near) > 0.05:
-            out[node] = full[node]
-    return out
-
-
-def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS, max_nodes: int = MAX_NODES) -> ToxicityModel:
-    """Learn from at most max_rows labelled documents: counts from three folds of four, calibrations from the other."""
+def node_hash(node: str) -> int:
+    """The hash that Spark's xxhash64 gives, as a signed number."""
+    x = xxhash.xxh64_intdigest(node.encode("utf-8", "replace"), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _lookup(nodes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes among ascending nodes, and which of them are there."""
+    at = np.minimum(np.searchsorted(nodes, hashes), max(len(nodes) - 1, 0))
+    return at, nodes[at] == hashes if len(nodes) else np.zeros(len(hashes), bool)
+
+
+def _node_odds(node: np.ndarray, parent: np.ndarray, depth: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of nodes -> hashes and log-odds, parents first. Nodes that tell nothing beyond their parent are left out.
+
+    Each node's parent is here too, as it is in all documents that its nodes are in; a parent of 0 is the root.
+    """
+    order = np.argsort(node)
+    node, parent, depth, toxic, clean = (x[order] for x in (node, parent, depth, toxic.astype(float), clean.astype(float)))
+    up, has = _lookup(node, parent)
+    full, own = np.zeros(len(node)), np.zeros(len(node), bool)
+    told = np.zeros(len(node))  # what the model says of a node: its odds, or those of the nearest kept node above
+    for level in np.unique(depth):
+        at = np.flatnonzero(depth == level)
+        inner, above = has[at], up[at]
+        t, c = toxic[at], clean[at]
+        up_t, up_c = np.where(inner, toxic[above], n_toxic), np.where(inner, clean[above], n_clean)
+        share = STRENGTH * (t + c) / np.maximum(np.maximum(up_t + up_c, t + c), 1)
+        full[at] = np.clip(np.where(inner, full[above], 0.0) + np.log((t + share) / (up_t + STRENGTH)) - np.log((c + share) / (up_c + STRENGTH)), -6.0, 6.0)
+        near = np.where(inner, told[above], 0.0)
+        own[at] = np.abs(full[at] - near) > 0.05
+        told[at] = np.where(own[at], full[at], near)
+    return node[own], full[own].astype(np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS) -> ToxicityModel:
+    """Learn from at most max_rows labelled documents: counts from three folds of four, calibrations from the other.
+
+    Null labels and ids are left out, null texts count as empty, rows that repeat a labelled id all count. Without labelled
+    documents, or with one class only, each text's score is that class's share. Other columns are ignored.
+    """
     on_workers(docs.sparkSession)
     rows = training_rows(docs, labels, "toxic", learn_from, max_rows)
     counted = rows.where("fold > 0")
@@ -113,8 +145,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS
     lengths = F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST)))
     prefixes = F.when(F.length("word") >= SHORTEST, F.transform(lengths, lambda n: F.substr(F.col("word"), F.lit(1), n))).otherwise(F.array().cast("array<string>"))
     nodes = words.select(F.explode(F.concat(prefixes, F.array(F.concat("word", F.lit("$"))))).alias("node"), "t", "c").groupBy("node").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    kept = nodes.where(F.col("t") + F.col("c") >= MIN_DOCS).orderBy(F.desc(F.col("t") + F.col("c")), "node").limit(max_nodes).toArrow().to_pydict()
-    model = ToxicityModel(_node_odds(list(zip(kept["node"], kept["t"], kept["c"], strict=True)), sizes.get(1, 0), sizes.get(0, 0)))
+    is_word, size = F.endswith("node", F.lit("$")), F.length("node")
+    above = F.when(is_word, F.substr("node", F.lit(1), F.least(size - 1, F.lit(LONGEST)))).otherwise(F.substr("node", F.lit(1), size - 1))
+    known = nodes.where(F.col("t") + F.col("c") >= MIN_DOCS).select(
+        F.xxhash64("node").alias("node"), F.when(F.length(above) >= SHORTEST, F.xxhash64(above)).otherwise(0).alias("parent"), F.when(is_word, LONGEST + 1).otherwise(size).alias("depth"), "t", "c"
+    )
+    # Five numbers for each node of max_rows documents.
+    columns = known.toArrow()
+    counts = [columns.column(n).to_numpy() for n in ("node", "parent", "depth", "t", "c")]
+    model = ToxicityModel(*_node_odds(*counts, sizes.get(1, 0), sizes.get(0, 0)))
 
     seen = _scan(rows.where("fold = 0").select(F.col("label").alias("doc_id"), "text"), model).collect()  # max_rows rows at most
     clean = [r for r in seen if r.doc_id == 0]
@@ -164,27 +203,41 @@ class Scorer:
     def __init__(self, model: ToxicityModel) -> None:
         self.model, self.known = model, {}
 
-    def tokens(self, text: str) -> tuple[list[str], list[float]]:
-        """Words and their scores. A word that repeats the one before it tells nothing new and only costs."""
-        words = WORDS(text.lower())
-        known, word = self.known, self.model.word
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = word(w)
-        return words, [-COST if w == before else known[w] for w, before in zip(words, ["", *words], strict=False)]
+    def scores(self, texts: Iterator[str]) -> Iterator[list[float]]:
+        """Each text's word scores, some texts at a time. A word that repeats the one before it tells nothing new and only costs."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(WORDS(text.lower()))
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from self._scored(held)
+                held, size = [], 0
+        yield from self._scored(held)
+
+    def _scored(self, held: list[list[str]]) -> Iterator[list[float]]:
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+        known = self.known
+        new = list(set().union(*held).difference(known))
+        known.update(zip(new, self.model.words(new), strict=True))
+        for words in held:
+            yield [-COST if w == before else known[w] for w, before in zip(words, ["", *words], strict=False)]
+
+
+def _texts(column: pa.Array) -> Iterator[str]:
+    return (t.as_py() or "" for t in column)
 
 
 def _scan(rows: DataFrame, model: ToxicityModel) -> DataFrame:
     """Segment scores of each text, with a tally of its token scores."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # MAX_NODES entries at most
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # 12 bytes a node of at most max_rows documents
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(shared.value)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, scores = own.tokens(text)
+            for doc, scores in zip(batch.column(0).to_pylist(), own.scores(_texts(batch.column(1))), strict=True):
                 values, counts = np.unique(np.round(scores, 1), return_counts=True)
                 out.append((doc, len(scores), [s for _, _, s in segments(scores)], values.tolist(), counts.tolist()))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
@@ -208,8 +261,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("e_value", pa.float64())]))
         for batch in batches:
             sizes, evidence, passages = [], [], []
-            for text in batch.column(1):
-                _, values = own.tokens(text.as_py())
+            for values in own.scores(_texts(batch.column(1))):
                 found = segments(values)
                 n = len(values)
                 sizes.append(n)
@@ -224,7 +276,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores under the threshold, with all their columns; no row moves."""
+    """The rows of docs whose text scores under the threshold, with all their columns; no row moves.
+
+    Null texts are scored as empty and come back null; rows that repeat go or stay together. An empty table stays empty.
+    """
     on_workers(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -234,8 +289,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, te
         m = own.model
         for batch in batches:
             if batch.num_rows:
-                values = (own.tokens(t.as_py() or "")[1] for t in batch.column(at))
-                evidence = [(m.evidence(len(v), [s for _, _, s in segments(v)]), math.log1p(len(v))) for v in values]
+                evidence = [(m.evidence(len(v), [s for _, _, s in segments(v)]), math.log1p(len(v))) for v in own.scores(_texts(batch.column(at)))]
                 yield batch.filter(pa.array(m.calibration(_features(np.array(evidence, float).reshape(-1, 2))) < threshold))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -1,7 +1,10 @@
 """Held-out accuracy of the two classifiers, and the parts that can be checked exactly."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -12,6 +15,7 @@ from sensorloom.llm.common import crc32_mod
 from sensorloom.llm.labelled import Logistic, training_rows
 
 SF = "/root/testdata/sf0.01"
+TOXIC_AUC = 0.75
 
 
 def held_out(spark, module, label, modulus, rest):
@@ -36,7 +40,7 @@ def test_quality_held_out(spark):
 
 def test_toxicity_held_out(spark):
     score, label = held_out(spark, toxicity, "toxic", 3, 1)
-    assert auc(score, label) > 0.75
+    assert auc(score, label) > TOXIC_AUC
     assert (score[label == 0] >= 0.7).mean() < 0.03
 
 
@@ -60,10 +64,60 @@ def test_segments_are_maximal(seed):
     assert toxicity.segments([]) == [] and toxicity.segments([-1.0, 0.0]) == []
 
 
+def plain_odds(rows):
+    """word or prefix -> log-odds, by the definition, on strings: [(label, text)] -> what a model says of a word."""
+    t, total = toxicity, Counter(label for label, _ in rows)
+    counts = defaultdict(lambda: [0, 0])
+    for label, text in rows:
+        for w in set(re.findall(r"\w+", text.lower())):
+            for node in [w + "$", *(w[:k] for k in range(t.SHORTEST, min(len(w), t.LONGEST) + 1))]:
+                counts[node][label] += 1
+    counts = {n: c for n, c in counts.items() if sum(c) >= t.MIN_DOCS}
+
+    def chain(word):
+        """The nodes above a word and the word itself, from short to long."""
+        return [n for n in [*(word[:k] for k in range(t.SHORTEST, min(len(word), t.LONGEST) + 1)), word + "$"] if n in counts]
+
+    def score(word):
+        above, odds, told = (total[0], total[1]), 0.0, 0.0
+        for node in chain(word):
+            own = counts[node]
+            share = t.STRENGTH * sum(own) / max(sum(above), sum(own), 1)
+            odds = max(-6.0, min(6.0, odds + math.log((own[1] + share) / (above[1] + t.STRENGTH)) - math.log((own[0] + share) / (above[0] + t.STRENGTH))))
+            if abs(odds - told) > 0.05:
+                told = odds
+            above = own
+        return told - t.COST
+
+    return score
+
+
+def test_toxicity_against_plain_version(spark):
+    """Word scores, segments' evidence and scores of all documents, held against the definition on strings."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, lambda d: crc32_mod(d, 3) != 1)
+    rows = training_rows(docs, labels, "toxic", lambda d: crc32_mod(d, 3) != 1, toxicity.MAX_ROWS).collect()
+    assert rows and all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in rows)
+    word = plain_odds([(r.label, r.text) for r in rows if r.fold > 0])
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.score(docs, model).collect():
+        words = re.findall(r"\w+", texts[r.doc_id].lower())
+        scores = [-toxicity.COST if i and w == words[i - 1] else word(w) for i, w in enumerate(words)]
+        assert np.allclose([s for s, w in zip(model.words(words), words, strict=True)], [word(w) for w in words], atol=1e-5)
+        found = toxicity.segments(np.float32(scores).astype(float))
+        evidence = model.evidence(len(words), [x for *_, x in found])
+        want = model.calibration(toxicity._features(np.array([[evidence, math.log1p(len(words))]])))[0]
+        assert abs(r.score - want) < 1e-3 and r.n_tokens == len(words)
+    assert model.rate > 0 and model.size > 0
+
+
 def test_unseen_words_take_their_stem():
-    odds = toxicity._node_odds([("bad", 50, 0), ("badword$", 20, 0), ("go", 1, 80), ("good$", 0, 40)], 60, 500)
-    model = toxicity.ToxicityModel(odds)
-    assert model.word("badness") > 0 > model.word("gone") and model.word("neutral") == -toxicity.COST
+    names = ["ba", "bad", "go", "goo", "badword$", "good$"]
+    parents = [None, "ba", None, "go", "bad", "goo"]
+    table = [np.array([toxicity.node_hash(n) for n in names]), np.array([toxicity.node_hash(n) if n else 0 for n in parents]), np.array([2, 3, 2, 3, 11, 11]), np.array([50, 50, 1, 0, 20, 0]), np.array([0, 0, 80, 40, 0, 40])]
+    model = toxicity.ToxicityModel(*toxicity._node_odds(*table, 60, 500))
+    badness, gone, neutral = model.words(["badness", "gone", "neutral"])
+    assert badness > 0 > gone and neutral == -toxicity.COST
 
 
 def test_edge_rows(spark):
