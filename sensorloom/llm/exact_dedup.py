@@ -15,10 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_workers, partitions, stored
+from .common import fresh_name, on_workers, partitions, stored
 
 SPLIT_BYTES = 32
 
@@ -117,10 +117,14 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Of rows that repeat both id and text, one stays."""
+    """The rows of docs that stay, with all their columns. Of rows that repeat both id and text, one stays.
+
+    Null texts are equal to empty ones (and come back as they are); a null id stays only where a text has no other. Columns
+    may have any names. An empty table stays empty.
+    """
+    name = fresh_name(docs, "content_key")
     key = lambda doc, sha: F.concat_ws(":", F.coalesce(doc.cast("string"), F.lit("null")), sha)
-    stays = exact_dedup(docs, keep, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_content_key"))
-    keyed = docs.withColumn("_content_key", key(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
-    left = keyed.join(stays.hint("merge"), "_content_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_content_key").orderBy(F.lit(0)))
-    return left.withColumn("_nth", first).where("_nth = 1").drop("_nth", "_content_key")
+    stays = exact_dedup(docs, keep, id_col, text_col).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias(name)).distinct()
+    keyed = docs.withColumn(name, key(F.col(id_col).cast("long"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
+    # Repeated rows are thinned out in each task before any shuffle, so however many there are, few meet.
+    return keyed.dropDuplicates([name]).join(stays.hint("merge"), name, "left_semi").select(*[docs[c] for c in docs.columns])

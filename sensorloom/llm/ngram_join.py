@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_workers, partitions, stored
+from .common import fresh_name, on_workers, partitions, stored
 
 BUCKET, LEVELS, BLOCK = 64, 3, 768
 #: A bucket of this average similarity isn't split further. The estimate: how often two members share their next least hash.
@@ -122,7 +122,7 @@ def _compare(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], bucket
             common += matrix @ matrix.T
         return common
 
-    # Whole numbers under 2^24 are exact in float32; sets that large are compared in float64 steps of 4096 all the same.
+    # Sums of products are exact in float32 up to 2^24 common elements, more than a text of 100 MB has.
     common = np.rint(shared(sets)).astype(np.int64)
     num, den = threshold.numerator, threshold.denominator
     similar = common * (num + den) >= num * (sizes[:, None] + sizes[None, :])
@@ -291,13 +291,15 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
 def drop_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The least row of each group, by id and then by its text's hash, with all its columns: one, unless id and text both repeat.
 
-    Texts without words all stay.
+    Texts without words (null, empty) all stay. A null id counts as less than all others. Columns may have any names. An
+    empty table stays empty.
     """
+    name = fresh_name(docs, "near_key")
     key = lambda doc, text: F.concat_ws("/", F.coalesce(doc.cast("string"), F.lit("null")), text.cast("string"))
     found = ngram_join(docs, threshold, width, target_recall, id_col, text_col)
-    gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("group_hash")))).select(key(F.col("doc_id"), F.col("text_hash")).alias("_near_key")).distinct()
-    keyed = docs.withColumn("_near_key", key(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    return keyed.join(stored(gone, "join-gone").hint("merge"), "_near_key", "left_anti").select(*docs.columns)
+    gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("group_hash")))).select(key(F.col("doc_id"), F.col("text_hash")).alias(name)).distinct()
+    keyed = docs.withColumn(name, key(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    return keyed.join(stored(gone, "join-gone").hint("merge"), name, "left_anti").select(*[docs[c] for c in docs.columns])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[list]]]:

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from sensorloom.llm import exact_dedup, line_dedup, ngram_join
 
 #: Extra columns whose names the operators use inside.
-EXTRA = "sha string, part int, run int, key string, cls long, doc long, h1 long, _key string"
+EXTRA = "sha string, part int, run int, content_key string, cls long, near_key long, text_hash long, CONTENT_KEY_ string, _near_key int, _content_key string"
 SCHEMA = f"doc_id long, text string, {EXTRA}"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(a, b, "x", 1, 2, "k", 3, 4, 5, "y") for a, b in rows], SCHEMA)
+    return spark.createDataFrame([(a, b, "x", 1, 2, "k", 3, 4, 5, "y", 6, "z") for a, b in rows], SCHEMA)
 
 
 def texts():
@@ -52,7 +52,9 @@ def test_exact_dedup_keeps_rows(spark):
     for doc, text in rows:
         best.setdefault(text or "", []).append(doc)
     want = Counter((min((i for i in ids if i is not None), default=None), t) for t, ids in best.items())
-    assert Counter((r.doc_id, r.text or "") for r in stays.collect()) == want
+    out = stays.collect()
+    assert Counter((r.doc_id, r.text or "") for r in out) == want
+    assert all(r.content_key == "k" and r.CONTENT_KEY_ == "y" and r._content_key == "z" for r in out)
 
 
 def line_rule(rows):
@@ -78,6 +80,18 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_rows_that_share_an_id(spark):
+    """Each row of an id has its own bitmap; equal rows share one; null ids are one document."""
+    shared = "a line that is shared"
+    rows = [(1, shared), (2, f"{shared}\nsecond text of two"), (2, f"a unique line only here\n{shared}"), (2, f"{shared}\nsecond text of two"), (3, f"second text of two\nnew in three\n{shared}\n{shared}")]
+    rows += [(None, f"null one here\n{shared}"), (None, f"{shared}\nnull one here"), (None, None), (4, "null one here\nfour has this")] * 2
+    rng = random.Random(6)
+    pool = [f"line number {i}" for i in range(25)]
+    rows += [(rng.randint(10, 30), "\n".join(rng.choices(pool, k=rng.randint(1, 9)))) for _ in range(200)]
+    out = line_dedup.line_dedup(frame(spark, rows)).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    assert sorted(map(tuple, out), key=str) == sorted(line_rule(rows), key=str)
+
+
 def test_hot_line_is_decided_by_counts(spark):
     rows = [(i, f"one very common line\nown line {i} of text") for i in range(2000)]
     out = line_dedup.line_dedup(frame(spark, rows)).agg(F.sum("n_dropped"), F.count("*")).first()
@@ -210,7 +224,9 @@ def test_near_copies_without_own_ids(spark):
             text = " ".join([*base, f"end{k}"])
             rows.append((None if g < 6 else 50 + g, text))
             group[text] = g
-    out = ngram_join.drop_near_copies(frame(spark, rows)).select("doc_id", "text").collect()
+    out = ngram_join.drop_near_copies(frame(spark, rows))
+    assert out.select("near_key", "_near_key").distinct().collect() == [(4, 6)]
+    out = out.select("doc_id", "text").collect()
     assert sorted(group[t] for _, t in out) == list(range(12))
     found = ngram_join.ngram_join(frame(spark, rows)).select("doc_id", "class_id", "group_id", "n_links").collect()
     assert sorted(map(tuple, found), key=str) == sorted(brute_links(rows), key=str)
