@@ -137,3 +137,18 @@ def visible(p: Vec, u: Column, v: Column, width: Column, height: Column, near: f
     """In front of the near plane (strictly), and inside the image if asked."""
     front = p.z > near
     return front & (u >= 0) & (u < width) & (v >= 0) & (v < height) if inside else front
+
+
+def project_matrix(p: Vec, k: Column) -> tuple[Column, Column]:
+    """Pixel (u, v) of a point by a row's own intrinsic matrix, a 3 x 3 array of arrays with skew; null where nothing is in front to divide by."""
+    row = lambda i: p.x * k[i][0] + p.y * k[i][1] + p.z * k[i][2]
+    depth = row(2)
+    return F.try_divide(row(0), depth), F.try_divide(row(1), depth)
+
+
+def finite(*values: Column) -> Column:
+    """All values are numbers: neither null nor NaN nor infinite."""
+    out = F.lit(True)
+    for v in values:
+        out = out & F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    return out

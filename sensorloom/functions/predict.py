@@ -1,15 +1,13 @@
 """The surface for model inference: batches of rows to a user's predictor, loaded once per Python worker.
 
 A predictor is made by a function without arguments and called with a pandas frame; models, decoders and devices are its own
-business. The stand-ins below are deterministic, for tests.
+business.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -29,35 +27,12 @@ def predict_rows(rows: DataFrame, make: Callable[[], Predictor], schema: str) ->
 
 
 def predict_windows(rows: DataFrame, keys: list[str], make: Callable[[], Predictor], schema: str) -> DataFrame:
-    """Per window of frames: a group is one window, bounded by its size."""
+    """Per window of frames: a group is one window, bounded by its size. The predictor is made once per task."""
+    made: list[Predictor] = []
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return make()(frame)
+        if not made:
+            made.append(make())
+        return made[0](frame)
 
     return rows.groupBy(*keys).applyInPandas(run, schema)
-
-
-def stand_in_detector() -> Predictor:
-    """(image_id, content, caption) -> image_id, query_idx, logits, cx, cy, w, h: three boxes from a checksum."""
-
-    def predict(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for image, content, caption in zip(frame["image_id"], frame["content"], frame["caption"], strict=True):
-            seed = np.random.default_rng(zlib.crc32(bytes(content) + caption.encode()))
-            for k in range(3):
-                x, y, w, h = seed.uniform(0.2, 0.4, 4)
-                out.append((image, k, seed.normal(size=8).tolist(), x, y, w, h))
-        return pd.DataFrame(out, columns=["image_id", "query_idx", "logits", "cx", "cy", "w", "h"])
-
-    return predict
-
-
-def stand_in_depth() -> Predictor:
-    """Frames of one window -> the same frames with a 2x2 depth map each."""
-
-    def predict(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sample_index")
-        depth = [[float(i), 1.0, 2.0, float(len(frame))] for i in frame["sample_index"]]
-        return pd.DataFrame({"scene_token": frame["scene_token"], "window_id": frame["window_id"], "sample_index": frame["sample_index"], "depth": depth})
-
-    return predict

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pose import CORNER_SIGNS, Pose, Quat, Vec, apply_inverse, conjugate, multiply, normalized, project, rotate, visible
+from ..functions.pose import CORNER_SIGNS, Quat, Vec, conjugate, matrix, multiply, normalized, project, visible
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that later steps read as values: Catalyst doesn't copy a generator's expression into its users.
+
+    Without it, each use of an array (and each filter pushed below) would repeat the whole computation of that array.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def labelled(annotations: DataFrame, categories: DataFrame, keep_unmapped: bool = False) -> DataFrame:
@@ -21,18 +31,29 @@ def with_box_size(annotations: DataFrame) -> DataFrame:
     return annotations.withColumns({"length": F.col("sl"), "width_m": F.col("sw"), "height_m": F.col("sh")})
 
 
+def _turned_back(rows: DataFrame, pose: str, point: Vec) -> Vec:
+    """A vector turned by the inverse of a row's rotation: its matrix's columns (er00, ...), or its quaternion where there are none."""
+    names = [[f"{pose}r{i}{j}" for j in range(3)] for i in range(3)]
+    m = [[F.col(n) for n in row] for row in names] if names[0][0] in rows.columns else matrix(Quat.of(pose + "q"))
+    return Vec(*(m[0][j] * point.x + m[1][j] * point.y + m[2][j] * point.z for j in range(3)))
+
+
 def to_ego(boxes: DataFrame) -> DataFrame:
-    """Global boxes (c., q., v.) in the ego frame of their row's pose (e., normalized): bx.. centre, bqw.. rotation, bvx, bvy velocity."""
-    unit = Quat.of("eq")
-    center = apply_inverse(Pose(unit, Vec.of("et")), Vec.of("c"))
-    turned = normalized(multiply(conjugate(unit), Quat.of("q")))
-    speed = rotate(conjugate(unit), Vec(F.col("vx"), F.col("vy"), F.lit(0.0)))
-    return boxes.withColumns(center.named("b") | turned.named("bq") | {"bvx": speed.x, "bvy": speed.y})
+    """Global boxes (c., q., v.) in the ego frame of their row's pose (e., normalized): bx.. centre, bqw.. rotation, bvx, bvy velocity.
+
+    Boxes without a centre or rotation have no place and go; a missing velocity stays missing.
+    """
+    placed = boxes.dropna(subset=[*("c" + n for n in "xyz"), *("q" + n for n in "wxyz"), *("eq" + n for n in "wxyz"), *("et" + n for n in "xyz")])
+    center = _turned_back(placed, "e", Vec.of("c").minus(Vec.of("et")))
+    speed = _turned_back(placed, "e", Vec(F.col("vx"), F.col("vy"), F.lit(0.0)))
+    turned = multiply(conjugate(Quat.of("eq")), Quat.of("q"))
+    rows = computed(placed, **center.named("b"), **turned.named("_r"), bvx=speed.x, bvy=speed.y)
+    return computed(rows, **normalized(Quat.of("_r")).named("bq")).drop(*("_r" + n for n in "wxyz"))
 
 
 def to_camera(rows: DataFrame, point: Vec, prefix: str = "p") -> DataFrame:
     """An ego point in the coordinates of the row's sensor (s.)."""
-    return rows.withColumns(apply_inverse(Pose(Quat.of("sq"), Vec.of("st")), point).named(prefix))
+    return computed(rows, **_turned_back(rows, "s", point.minus(Vec.of("st"))).named(prefix))
 
 
 def in_view(rows: DataFrame, k: tuple[float, float, float, float], near: float = 0.1) -> DataFrame:
@@ -61,27 +82,20 @@ def _point(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
 
 
-def computed(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns that later steps read as values: Catalyst doesn't copy a generator's expression into its users.
-
-    Without it, each use of an array (and each filter pushed below) would repeat the whole computation of that array.
-    """
-    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+def camera_axes(rows: DataFrame) -> DataFrame:
+    """Adds the box in camera coordinates: half axes a, b, c (hax, hay, haz, ...) from the centre p."""
+    rows = rows if "pz" in rows.columns else to_camera(rows, Vec.of("b"))
+    rows = computed(rows, **multiply(conjugate(Quat.of("sq")), Quat.of("bq")).named("_t"))
+    m = matrix(Quat.of("_t"))
+    half = {"a": F.col("sl") / 2, "b": F.col("sw") / 2, "c": F.col("sh") / 2}
+    axes = {f"h{axis}{n}": row[k] * half[axis] for k, axis in enumerate("abc") for n, row in zip("xyz", m, strict=True)}
+    return computed(rows, **axes).drop("_tw", "_tx", "_ty", "_tz")
 
 
 def camera_corners(rows: DataFrame) -> DataFrame:
-    """Adds the box in camera coordinates: half axes a, b, c (ax, ay, az, ...) from the centre p, and the array of 8 corners."""
-    rows = rows if "pz" in rows.columns else to_camera(rows, Vec.of("b"))
-    turned = multiply(conjugate(Quat.of("sq")), Quat.of("bq"))
-    rows = computed(rows, **turned.named("_t"))
-    zero = F.lit(0.0)
-    halves = {"a": Vec(F.col("sl") / 2, zero, zero), "b": Vec(zero, F.col("sw") / 2, zero), "c": Vec(zero, zero, F.col("sh") / 2)}
-    axes: dict[str, Column] = {}
-    for name, half in halves.items():
-        axes |= rotate(Quat.of("_t"), half).named("h" + name)
-    rows = computed(rows, **axes).drop("_tw", "_tx", "_ty", "_tz")
+    """Adds camera_axes and the array of the box's 8 corners."""
     at = lambda n, s: F.col("p" + n) + F.col("ha" + n) * s[0] + F.col("hb" + n) * s[1] + F.col("hc" + n) * s[2]
-    return computed(rows, corners=F.array(*(_point(*(at(n, s) for n in "xyz")) for s in CORNER_SIGNS)))
+    return computed(camera_axes(rows), corners=F.array(*(_point(*(at(n, s) for n in "xyz")) for s in CORNER_SIGNS)))
 
 
 def clip_near(a: Column, b: Column, near: float) -> tuple[Column, Column, Column]:
@@ -105,22 +119,48 @@ def edge_segments(corners: Column, near: float) -> Column:
     return F.filter(F.transform(pairs, clipped), lambda s: s.isNotNull())
 
 
-def _in_image(s: Column, k: tuple[float, float, float, float], width: Column, height: Column) -> Column:
-    """A segment projected and clipped to the image (Liang and Barsky): its two ends (u, v), or null."""
-    fx, fy, cx, cy = k
-    u0, v0 = s["p"]["x"] * fx / s["p"]["z"] + cx, s["p"]["y"] * fy / s["p"]["z"] + cy
-    u1, v1 = s["q"]["x"] * fx / s["q"]["z"] + cx, s["q"]["y"] * fy / s["q"]["z"] + cy
-
-    def span(a: Column, b: Column, top: Column) -> tuple[Column, Column]:
-        d = F.nullif(b - a, F.lit(0.0))
-        flat = F.when((a >= 0) & (a <= top), F.lit(0.0)).otherwise(F.lit(2.0))
-        low, high = F.least(-a / d, (top - a) / d), F.greatest(-a / d, (top - a) / d)
-        return F.when(d.isNull(), flat).otherwise(low), F.when(d.isNull(), F.lit(1.0)).otherwise(high)
-
-    (lu, hu), (lv, hv) = span(u0, u1, width), span(v0, v1, height)
-    first, last = F.greatest(lu, lv, F.lit(0.0)), F.least(hu, hv, F.lit(1.0))
-    end = lambda t: F.struct((u0 + t * (u1 - u0)).alias("u"), (v0 + t * (v1 - v0)).alias("v"))
-    return F.when(first <= last, F.array(end(first), end(last)))
+def _seen_extents(center: np.ndarray, axes: np.ndarray, size: np.ndarray, k: tuple[float, float, float, float], near: float) -> np.ndarray:
+    """Boxes (n, 3), (n, 3 axes, 3) and image sizes (n, 2) -> x0, y0, x1, y1 (n, 4) of what is seen of each; NaN where nothing is."""
+    focal, middle = np.array(k[:2]), np.array(k[2:])
+    corners = center[:, None] + np.einsum("cs,nsk->nck", np.array(CORNER_SIGNS, float), axes)
+    a, b = (corners[:, [e[i] for e in EDGES]] for i in (0, 1))
+    front_a, front_b = a[..., 2] >= near, b[..., 2] >= near
+    crosses = front_a != front_b
+    t = np.where(crosses, (near - a[..., 2]) / np.where(crosses, b[..., 2] - a[..., 2], 1), 0)
+    cut = a + t[..., None] * (b - a)
+    cut[..., 2] = np.where(crosses, near, cut[..., 2])
+    p, q = np.where(front_a[..., None], a, cut), np.where(front_b[..., None], b, cut)
+    # A plane cuts at most six edges; all pairs of their points lie on the cut face.
+    first = np.argsort(~crosses, axis=1, kind="stable")[:, :6]
+    points, there = np.take_along_axis(cut, first[..., None], 1), np.take_along_axis(crosses, first, 1)
+    i, j = np.triu_indices(6, 1)
+    p, q = np.concatenate([p, points[:, i]], 1), np.concatenate([q, points[:, j]], 1)
+    valid = np.concatenate([front_a | front_b, there[:, i] & there[:, j]], 1)
+    depth = lambda x: np.where(valid, x[..., 2], 1)[..., None]
+    start, end = p[..., :2] * focal / depth(p) + middle, q[..., :2] * focal / depth(q) + middle
+    # Segments clipped to the image: the stretch of each that is inside both of its spans.
+    step, top = end - start, size[:, None, :]
+    flat = step == 0
+    safe = np.where(flat, 1, step)
+    one, two = -start / safe, (top - start) / safe
+    inside = (start >= 0) & (start <= top)
+    low = np.where(flat, np.where(inside, 0, 2), np.minimum(one, two)).max(axis=2).clip(min=0)
+    high = np.where(flat, 1, np.maximum(one, two)).min(axis=2).clip(max=1)
+    valid &= low <= high
+    ends = np.concatenate([start + low[..., None] * step, start + high[..., None] * step], 1)
+    # Image corners whose viewing ray meets the box at a depth of near or more: slabs of the three axes.
+    image = size[:, None, :] * np.array([[0, 0], [1, 0], [1, 1], [0, 1]])
+    ray = np.concatenate([(image - middle) / focal, np.ones((*image.shape[:2], 1))], 2)
+    length2, along, middle_at = (axes**2).sum(2)[:, None], np.einsum("nik,nsk->nis", ray, axes), np.einsum("nk,nsk->ns", center, axes)[:, None]
+    level = along == 0
+    safe = np.where(level, 1, along)
+    one, two = (middle_at - length2) / safe, (middle_at + length2) / safe
+    enter = np.where(level, np.where(np.abs(middle_at) <= length2, near, np.inf), np.minimum(one, two)).max(axis=2).clip(min=near)
+    leave = np.where(level, np.inf, np.maximum(one, two)).min(axis=2)
+    every = np.concatenate([ends, image], 1)
+    known = np.concatenate([valid, valid, enter <= leave], 1)[..., None]
+    out = np.concatenate([np.where(known, every, np.inf).min(1), np.where(known, every, -np.inf).max(1)], 1)
+    return np.where(known.any(axis=(1, 2))[:, None], out, np.nan)
 
 
 def boxes_2d(rows: DataFrame, k: tuple[float, float, float, float], near: float = 0.1, min_size: float = 1.0) -> DataFrame:
@@ -128,40 +168,22 @@ def boxes_2d(rows: DataFrame, k: tuple[float, float, float, float], near: float
 
     The extent of (projected near-clipped box) and image is the extent of: its clipped edges, the edges of the face that the
     near plane cuts (all pairs of cut points), and the image corners whose viewing ray meets the box. Points on the near
-    plane count as in front. Sizes must be positive.
+    plane count as in front. Sizes must be positive. Arrow batches of boxes go through numpy: as columns, the 27 segments of
+    a box are arrays of structs that Spark interprets one by one.
     """
-    fx, fy, cx, cy = k
-    rows = camera_corners(rows.where((F.col("sl") > 0) & (F.col("sw") > 0) & (F.col("sh") > 0)))
-    rows = computed(rows, _edges=edge_segments(F.col("corners"), near))
-    rows = computed(rows, _cuts=F.filter(F.transform("_edges", lambda s: s["cut"]), lambda p: p.isNotNull()))
-    faces = F.flatten(F.transform("_cuts", lambda a: F.transform("_cuts", lambda b: F.struct(a.alias("p"), b.alias("q")))))
-    plain = F.transform("_edges", lambda s: F.struct(s["p"].alias("p"), s["q"].alias("q")))
-    rows = computed(rows, _all=F.concat(plain, faces))
-    width, height = F.col("width").cast("double"), F.col("height").cast("double")
-    ends = F.flatten(F.filter(F.transform("_all", lambda s: _in_image(s, k, width, height)), lambda e: e.isNotNull()))
-
-    def seen(u: Column, v: Column) -> Column:
-        """Does the ray through (u, v) meet the box at a depth of near or more? Slabs of the three axes."""
-        d = ((u - cx) / fx, (v - cy) / fy, F.lit(1.0))
-        low, high = [F.lit(near)], [F.lit(float("inf"))]
-        for axis in "abc":
-            h = [F.col(f"h{axis}{n}") for n in "xyz"]
-            size2 = h[0] * h[0] + h[1] * h[1] + h[2] * h[2]
-            along = d[0] * h[0] + d[1] * h[1] + d[2] * h[2]
-            center = F.col("px") * h[0] + F.col("py") * h[1] + F.col("pz") * h[2]
-            slope = F.nullif(along, F.lit(0.0))
-            inside = F.abs(center) <= size2
-            low.append(F.coalesce(F.least((center - size2) / slope, (center + size2) / slope), F.when(inside, F.lit(near)).otherwise(float("inf"))))
-            high.append(F.coalesce(F.greatest((center - size2) / slope, (center + size2) / slope), F.lit(float("inf"))))
-        return F.when(F.greatest(*low) <= F.least(*high), F.struct(u.alias("u"), v.alias("v")))
-
-    zero = F.lit(0.0)
-    image = F.filter(F.array(seen(zero, zero), seen(width, zero), seen(width, height), seen(zero, height)), lambda c: c.isNotNull())
-    rows = computed(rows, _points=F.concat(ends, image))
-    us, vs = F.transform("_points", lambda p: p["u"]), F.transform("_points", lambda p: p["v"])
-    rows = computed(rows, x0=F.array_min(us), y0=F.array_min(vs), x1=F.array_max(us), y1=F.array_max(vs))
-    rows = rows.drop("_edges", "_cuts", "_all", "_points", "corners")
-    return rows.where((F.col("x1") - F.col("x0") >= min_size) & (F.col("y1") - F.col("y0") >= min_size))
+    inputs = [*("p" + n for n in "xyz"), *(f"h{axis}{n}" for axis in "abc" for n in "xyz"), "width", "height"]
+
+    @F.pandas_udf("x0 double, y0 double, x1 double, y1 double")
+    def extents(*columns: pd.Series) -> pd.DataFrame:
+        v = np.column_stack([c.to_numpy(float) for c in columns])
+        with np.errstate(all="ignore"):
+            found = _seen_extents(v[:, :3], v[:, 3:12].reshape(-1, 3, 3), v[:, 12:14], k, near)
+        return pd.DataFrame(found, columns=["x0", "y0", "x1", "y1"])
+
+    rows = camera_axes(rows.where((F.col("sl") > 0) & (F.col("sw") > 0) & (F.col("sh") > 0)))
+    found = rows.withColumn("_box", extents.asNondeterministic()(*inputs))  # so that a filter doesn't run it again
+    large = (F.col("_box.x1") - F.col("_box.x0") >= min_size) & (F.col("_box.y1") - F.col("_box.y0") >= min_size) & ~F.isnan("_box.x0")
+    return found.where(large).select(*rows.columns, "_box.*")
 
 
 def wireframe(rows: DataFrame, k: tuple[float, float, float, float], near: float = 0.1) -> DataFrame:
@@ -178,3 +200,41 @@ def wireframe(rows: DataFrame, k: tuple[float, float, float, float], near: float
 def to_original(x0: Column, y0: Column, x1: Column, y1: Column, sx: Column | float, sy: Column | float, crop_x: Column | float, crop_y: Column | float) -> tuple[Column, Column, Column, Column]:
     """A rectangle of a resized crop in its original image: divided by the resize scale, moved by the crop's corner."""
     return x0 / sx + crop_x, y0 / sy + crop_y, x1 / sx + crop_x, y1 / sy + crop_y
+
+
+def box_to_original(box: tuple[Column, Column, Column, Column], original: tuple[Column | int, Column | int], crop: tuple | None = None, input_size: tuple | None = None, normalized: bool = True) -> tuple[Column, ...]:
+    """A box of the model's input (x0, y0, x1, y1) in the original image's pixels.
+
+    original: width and height of the image. crop: the part that was cut out (x0, y0, x1, y1), by default all of it.
+    input_size: what the crop was resized to, by default its own size. normalized: the box is in parts of the input's size.
+    """
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    left, top, right, bottom = (lit(c) for c in (crop or (0, 0, *original)))
+    width, height = right - left, bottom - top
+    in_width, in_height = (lit(c) for c in input_size) if input_size else (width, height)
+    scale = (in_width, in_height) if normalized else (F.lit(1), F.lit(1))
+    x0, y0, x1, y1 = box
+    return to_original(x0 * scale[0], y0 * scale[1], x1 * scale[0], y1 * scale[1], in_width / width, in_height / height, left, top)
+
+
+def polygon_extent(points: Column) -> dict[str, Column]:
+    """x0, y0, x1, y1 of an array of points (x, y); null where there is none."""
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return {"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)}
+
+
+def distinct_points(points: Column, names: tuple[str, ...] = ("x", "y", "z"), decimals: int = 10) -> Column:
+    """An array of points without those that equal an earlier one to so many decimals, in its order."""
+    keys = F.transform(points, lambda p: F.struct(*(F.round(p[n], decimals) for n in names)))
+    return F.filter(points, lambda p, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)
+
+
+def clipped_points(rows: DataFrame, near: float = 0.1) -> DataFrame:
+    """Adds `points`: the ends of each box's edges, cut at the near plane; an edge in front has both its corners."""
+    rows = computed(camera_corners(rows), _edges=edge_segments(F.col("corners"), near))
+    return rows.withColumn("points", F.flatten(F.transform("_edges", lambda s: F.array(s["p"], s["q"])))).drop("_edges", "corners")
+
+
+def global_boxes(frame_rows: DataFrame, boxes: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Boxes of each frame's sample in the global frame, with sizes, label and tracking id (one table of ids per scene and instance)."""
+    return with_box_size(frame_boxes(frame_rows, boxes)).join(tracks, ["scene_token", "instance_token"])

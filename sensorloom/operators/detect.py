@@ -38,11 +38,17 @@ def conflicts(prompts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def label_scores(detections: DataFrame, spans: DataFrame, keys: list[str], logits: str = "logits") -> DataFrame:
-    """Mean token probability of each label's span (label_idx, first, end) for each query: tokens meet spans by range."""
-    tokens = detections.select(*keys, F.posexplode(logits).alias("token", "logit"))
-    probability = 1 / (1 + F.exp(-F.col("logit").cast("double")))
-    inside = (F.col("token") >= F.col("first")) & (F.col("token") < F.col("end"))
-    return tokens.withColumn("p", probability).join(F.broadcast(spans), inside).groupBy(*keys, "label_idx").agg(F.avg("p").alias("score"))
+    """Mean token probability of each label's span (label_idx, first, end) for each query, by slices of its tokens.
+
+    spans: one prompt's labels. They meet the queries as one row that holds them all; empty spans give no score.
+    """
+    prompt = spans.agg(F.collect_list(F.struct("label_idx", F.col("first").cast("int").alias("first"), F.col("end").cast("int").alias("end"))).alias("_spans"))
+    probability = F.transform(logits, lambda x: 1 / (1 + F.exp(-x.cast("double"))))
+    rows = detections.select(*keys, probability.alias("_p")).crossJoin(F.broadcast(prompt))  # one row
+    rows = rows.select(*keys, "_p", F.explode("_spans").alias("_s"))
+    tokens = F.slice("_p", F.col("_s.first") + 1, F.greatest(F.col("_s.end") - F.col("_s.first"), F.lit(0)))
+    rows = rows.select(*keys, F.col("_s.label_idx").alias("label_idx"), tokens.alias("_t")).where(F.size("_t") > 0)
+    return rows.select(*keys, "label_idx", (F.aggregate("_t", F.lit(0.0), lambda a, x: a + x) / F.size("_t")).alias("score"))
 
 
 def best_label(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,5 +84,34 @@ def suppress(boxes: DataFrame, keys: list[str], threshold: float, score: str = "
 
 
 def swept(boxes: DataFrame, thresholds: DataFrame, key: str) -> DataFrame:
-    """Boxes at each of their group's thresholds, strictly above it."""
-    return boxes.join(F.broadcast(thresholds), key).where("score > threshold")
+    """Boxes at each of their group's thresholds, strictly above it. Thresholds meet boxes on the group, in one row for each group."""
+    lists = thresholds.groupBy(key).agg(F.collect_list(F.struct("threshold_idx", "threshold")).alias("_t"))
+    return boxes.join(lists, key).withColumn("_t", F.explode("_t")).select("*", "_t.threshold_idx", "_t.threshold").drop("_t").where("score > threshold")
+
+
+def group_index(rows: DataFrame, keys: list[str], group: str, order: list[str]) -> DataFrame:
+    """Adds nms_index: the number of a row's suppression group among its key's groups, by first appearance from 0."""
+    item = F.min(F.struct(*order)).over(Window.partitionBy(*keys, group))
+    return rows.withColumn("_first", item).withColumn("nms_index", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_first", group)) - 1).drop("_first")
+
+
+def exclusive_group(label: Column, groups: dict[str, str]) -> Column:
+    """A label's suppression group; labels that none lists stand alone."""
+    out = F.concat(F.lit("__label__:"), label.cast("string"))
+    for name, group in groups.items():
+        out = F.when(label.cast("string") == name, group).otherwise(out)
+    return out
+
+
+def crop_window(x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, ...]:
+    """A crop box in whole pixels, cut towards zero."""
+    return tuple(c.cast("int") for c in (x0, y0, x1, y1))
+
+
+def prompt_points(points: Column, labels: Column, crop: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """Prompt points (x, y) moved into a crop, and their labels; those outside it go. As many labels as points, or an error."""
+    left, top, right, bottom = crop
+    same = F.when(F.size(points) == F.size(labels), F.arrays_zip(points.alias("point"), labels.alias("label"))).otherwise(F.raise_error(F.lit("a prompt has as many labels as points")).cast("array<struct<point:struct<x:double,y:double>,label:int>>"))
+    moved = F.transform(same, lambda z: F.struct((z["point"]["x"] - left).alias("x"), (z["point"]["y"] - top).alias("y"), z["label"].alias("label")))
+    kept = F.filter(moved, lambda p: (p["x"] >= 0) & (p["x"] < right - left) & (p["y"] >= 0) & (p["y"] < bottom - top))
+    return F.transform(kept, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.transform(kept, lambda p: p["label"])

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .boxes import box_to_original
+
 
 def pixels(rows: DataFrame, values: str, width: int, keys: list[str], name: str = "value") -> DataFrame:
     """One row per pixel: v (row), u (column) and the value."""
@@ -46,7 +52,7 @@ def mask_regions(mask_pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 def rebased(mask_pixels: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:
     """Pixels in their region's coordinates."""
-    both = mask_pixels.join(regions, keys)
+    both = mask_pixels.join(regions.hint("merge"), keys)  # both sides are exploded pixels, whose size Spark can't tell
     return both.withColumns({"ru": F.col("u") - F.col("x0"), "rv": F.col("v") - F.col("y0")})
 
 
@@ -56,13 +62,15 @@ def pasted(mask_pixels: DataFrame, x0: int, y0: int, width: int, height: int) ->
     return moved.where((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
 
 
-def resized_nearest(bits: Column, height: int, width: int, new_height: int, new_width: int) -> Column:
-    """A row-major mask array resampled: source index int((i + 0.5) * old / new), clipped, per axis."""
-    def source(i: Column, old: int, new: int) -> Column:
-        return F.least(F.greatest(F.floor((i + 0.5) * old / new), F.lit(0)), F.lit(old - 1)).cast("int")
+def resized_nearest(bits: Column, height: Column | int, width: Column | int, new_height: Column | int, new_width: Column | int) -> Column:
+    """A row-major mask array resampled: source index int((i + 0.5) * old / new), clipped, per axis. Sizes are the row's or constant."""
+    height, width, new_height, new_width = (n if isinstance(n, Column) else F.lit(n) for n in (height, width, new_height, new_width))
+
+    def source(i: Column, old: Column, new: Column) -> Column:
+        return F.least(F.greatest(F.floor((i + 0.5) * old / new), F.lit(0)), old - 1).cast("int")
 
     place = lambda p: source(F.floor(p / new_width), height, new_height) * width + source(p % new_width, width, new_width)
-    return F.transform(F.sequence(F.lit(0), F.lit(new_height * new_width - 1)), lambda p: F.get(bits, place(p)))
+    return F.transform(F.sequence(F.lit(0), (new_height * new_width - 1).cast("int")), lambda p: F.get(bits, place(p)))
 
 
 def ellipse(size: int) -> list[tuple[int, int]]:
@@ -98,4 +106,99 @@ def voxels(points: DataFrame, size: float, keys: list[str]) -> DataFrame:
     """Mean point per cell of the given side; cells start half a side below each cloud's least coordinates."""
     low = points.groupBy(*keys).agg(*(F.min(c).alias("_" + c) for c in "xyz"))
     cell = {f"i{c}": F.floor((F.col(c) - F.col("_" + c) + size / 2) / size).cast("long") for c in "xyz"}
-    return points.join(low, keys).withColumns(cell).groupBy(*keys, "ix", "iy", "iz").agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("n_points"))
+    return points.join(low.hint("merge"), keys).withColumns(cell).groupBy(*keys, "ix", "iy", "iz").agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("n_points"))
+
+
+def _morphed(mask: np.ndarray, size: int) -> np.ndarray:
+    """One step on one mask, a kernel row at a time: how many true pixels a run of the kernel covers comes from running sums."""
+    height, width = mask.shape
+    rows: dict[int, list[int]] = {}
+    for du, dv in ellipse(abs(size)):
+        rows.setdefault(dv, []).append(du)
+    total = np.concatenate([np.zeros((height, 1), np.int64), np.cumsum(mask, axis=1)], axis=1)
+    hit, reach = np.zeros((height, width), np.int64), np.zeros((height, width), np.int64)
+    across, down = np.arange(width), np.arange(height)
+    for dv, own in rows.items():
+        lo, hi = np.clip(across + min(own), 0, width), np.clip(across + max(own) + 1, 0, width)
+        inside = (down + dv >= 0) & (down + dv < height)
+        hit[inside] += (total[:, hi] - total[:, lo])[down[inside] + dv]
+        reach[inside] += hi - lo
+    return hit > 0 if size > 0 else hit == reach
+
+
+def morphology(bits: Column, width: Column, height: Column, sizes: list[float], ratio: bool = False) -> Column:
+    """Row-major masks dilated (size over 0) and eroded (under 0) in the order of sizes, by elliptical kernels; 0 does nothing.
+
+    ratio: sizes are parts of the mean side of the mask's bounding rectangle, rounded up. Pixels outside the image count for
+    neither; an empty mask stays empty and null stays null. Each mask is one row's array, so nothing is shuffled.
+    """
+
+    @F.pandas_udf("array<boolean>")
+    def run(masks: pd.Series, widths: pd.Series, heights: pd.Series) -> pd.Series:
+        out = []
+        for flat, w, h in zip(masks, widths, heights, strict=True):
+            if flat is None or not len(flat) or not np.any(flat):
+                out.append(flat)
+                continue
+            mask = np.asarray(flat, bool).reshape(int(h), int(w))
+            own = sizes
+            if ratio:
+                v, u = np.nonzero(mask)
+                side = (int(np.ptp(v)) + int(np.ptp(u)) + 2) / 2
+                own = [int(math.copysign(math.ceil(abs(k * side)), k)) if k else 0 for k in sizes]
+            for k in own:
+                mask = _morphed(mask, int(k)) if k else mask
+            out.append(mask.reshape(-1))
+        return pd.Series(out, dtype=object)
+
+    return run(bits, width, height)
+
+
+def mask_instances(rows: DataFrame, values: str, width: Column, height: Column, threshold: float = 0.5, box: tuple[Column, ...] | None = None) -> DataFrame:
+    """Masks (row-major scores) -> instances: the region of pixels strictly over threshold (rx0, ry0, rx1, ry1, ends exclusive), the
+    mask cut to it, and a box (x0, y0, x1, y1): the prompt's own, or the region. Empty masks go; other columns stay.
+    """
+    rows = rows.withColumns({"_w": width.cast("int"), "_p": F.filter(F.transform(values, lambda e, i: F.when(e > threshold, i)), lambda i: i.isNotNull())}).where(F.size("_p") > 0)
+    us, vs = F.transform("_p", lambda i: i % F.col("_w")), F.transform("_p", lambda i: F.floor(i / F.col("_w")).cast("int"))
+    rows = rows.withColumns({"rx0": F.array_min(us), "ry0": F.array_min(vs), "rx1": F.array_max(us) + 1, "ry1": F.array_max(vs) + 1})
+    wide = F.col("rx1") - F.col("rx0")
+    place = lambda q: (F.floor(q / wide) + F.col("ry0")) * F.col("_w") + q % wide + F.col("rx0")
+    mask = F.transform(F.sequence(F.lit(0), wide * (F.col("ry1") - F.col("ry0")) - 1), lambda q: F.get(F.col(values), place(q).cast("int")) > threshold)
+    own = box or tuple(F.col(c).cast("double") for c in ("rx0", "ry0", "rx1", "ry1"))
+    return rows.withColumns({"mask": mask, **dict(zip(("x0", "y0", "x1", "y1"), own, strict=True))}).drop("_w", "_p")
+
+
+def instances_to_original(rows: DataFrame, original: tuple, crop: tuple | None = None, input_size: tuple | None = None, normalized: bool = False) -> DataFrame:
+    """Instances (box x0.., region rx0.., mask) of a resized crop in its original image.
+
+    The region becomes whole pixels outward and at least one wide and high; the mask is resampled to it. See box_to_original.
+    """
+    box = box_to_original(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), original, crop, input_size, normalized)
+    left, top, right, bottom = box_to_original(tuple(F.col(c) for c in ("rx0", "ry0", "rx1", "ry1")), original, crop, input_size, False)
+    old = {"_ow": F.col("rx1") - F.col("rx0"), "_oh": F.col("ry1") - F.col("ry0")}
+    low = {"rx0": F.floor(left).cast("int"), "ry0": F.floor(top).cast("int")}
+    high = {"rx1": F.greatest(F.ceil(right), F.floor(left) + 1).cast("int"), "ry1": F.greatest(F.ceil(bottom), F.floor(top) + 1).cast("int")}
+    rows = rows.withColumns(old | low | high | dict(zip(("x0", "y0", "x1", "y1"), box, strict=True)))
+    return rows.withColumn("mask", resized_nearest(F.col("mask"), F.col("_oh"), F.col("_ow"), F.col("ry1") - F.col("ry0"), F.col("rx1") - F.col("rx0"))).drop("_ow", "_oh")
+
+
+def in_masks(depth_pixels: DataFrame, mask_pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Depth pixels in each mask of their frame (mask_id): a pixel in two masks comes twice."""
+    return depth_pixels.join(mask_pixels.select(*keys, "mask_id", "u", "v").hint("merge"), [*keys, "u", "v"])
+
+
+def coloured_points(rows: DataFrame, depth: str, colours: str, width: int, height: int, focal: tuple[float, float], keys: list[str]) -> DataFrame:
+    """Depth and colour rasters (array of structs r, g, b up to 255) of one row -> points with colours from 0 to 1, by pixel number.
+
+    The principal point is the image's centre.
+    """
+    both = rows.select(*keys, F.posexplode(F.arrays_zip(F.col(depth).alias("z"), F.col(colours).alias("c"))).alias("p", "d"))
+    pixel = both.select(*keys, (F.col("p") % width).alias("u"), F.floor(F.col("p") / width).cast("int").alias("v"), F.col("d.z").cast("double").alias("z"), *((F.col(f"d.c.{c}") / 255).alias(n) for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))))
+    return depth_points(pixel, (*focal, width / 2, height / 2))
+
+
+def compared_clouds(pseudo: DataFrame, measured: DataFrame, keys: list[str], voxel: float | None = None) -> DataFrame:
+    """Both clouds (x, y, z) tagged with their source; with a voxel size, the mean points of each source's cells."""
+    parts = [cloud.select(*keys, F.lit(name).alias("source"), "x", "y", "z") for cloud, name in ((pseudo, "pseudo"), (measured, "measured"))]
+    both = parts[0].unionByName(parts[1])
+    return both if voxel is None else voxels(both, voxel, [*keys, "source"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pose import Quat, normalized
+from ..functions.pose import Quat, matrix, normalized
 
 CAMERAS = ["CAM_FRONT", "CAM_FRONT_RIGHT", "CAM_BACK_RIGHT", "CAM_BACK", "CAM_BACK_LEFT", "CAM_FRONT_LEFT"]
 
@@ -20,11 +20,13 @@ def frames(sample_data: DataFrame, samples: DataFrame, ego_poses: DataFrame, sen
     """One row per sensor record: sample index, ego pose (e...) and sensor pose and channel (s...).
 
     The two large sides meet on their pose token by a shuffle; sensors are a fixed rig, a few rows. Rotations are normalized
-    here, below the joins, so that what uses them stays small enough for code generation.
+    here and turned into matrices (er00, ..., sr22), below the joins: what uses them must stay small, as the JVM doesn't
+    compile a method of over 8,000 bytes, and all steps between two shuffles are one method.
     """
     unit = normalized(Quat.of("q"))
     ego = ego_poses.select(F.col("token").alias("ego_pose_token"), *(c.alias(n) for n, c in unit.named("eq").items()), *(F.col(c).alias("e" + c) for c in ("tx", "ty", "tz")))
     rig = sensors.select(F.col("sensor_id").alias("calibrated_sensor_token"), "channel", *(c.alias(n) for n, c in unit.named("sq").items()), *(F.col(c).alias("s" + c) for c in ("tx", "ty", "tz")))
+    ego, rig = (rows.withColumns({f"{p}r{i}{j}": c for i, row in enumerate(matrix(Quat.of(p + "q"))) for j, c in enumerate(row)}) for rows, p in ((ego, "e"), (rig, "s")))
     return sample_data.join(with_sample_index(samples), "sample_token").join(ego, "ego_pose_token").join(F.broadcast(rig), "calibrated_sensor_token")
 
 
@@ -58,9 +60,12 @@ def windows(scenes: DataFrame, size: int, stride: int, n: str = "n") -> DataFram
 
 
 def window_frames(frame_rows: DataFrame, window_rows: DataFrame, scene: str = "scene_token") -> DataFrame:
-    """Each window's frames, with `used`; the scene is the join's key, the range its residual condition."""
+    """Each window's frames, with `used`; the scene is the join's key, the range its residual condition.
+
+    Windows are generated rows, whose size Spark can't tell, so the strategy is set: a scene's windows are fewer than its frames.
+    """
     inside = (F.col("sample_index") >= F.col("window_start")) & (F.col("sample_index") < F.col("window_end"))
-    both = frame_rows.join(window_rows, scene).where(inside)
+    both = frame_rows.join(window_rows.hint("shuffle_hash"), scene).where(inside)
     return both.withColumn("used", (F.col("sample_index") >= F.col("used_start")) & (F.col("sample_index") < F.col("used_end")))
 
 
@@ -80,3 +85,10 @@ def tracking_ids(annotations: DataFrame, scene: str, instance: str, order: list[
     first = annotations.groupBy(scene, instance).agg(F.min(F.struct(*order)).alias("_first"))
     rank = F.row_number().over(Window.partitionBy(scene).orderBy("_first", instance)) - 1
     return first.select(scene, instance, rank.alias("tracking_id"))
+
+
+def first_seen(rows: DataFrame, keys: list[str], token: str, order: list[str]) -> DataFrame:
+    """The distinct tokens of each key, numbered from 0 by first appearance."""
+    first = rows.groupBy(*keys, token).agg(F.min(F.struct(*order)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_first", token)) - 1
+    return first.select(*keys, token, rank.alias("nth"))

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Up to so many paths are broadcast to their files.
+BROADCAST_PATHS = 100_000
 _POSE = "translation array<double>, rotation array<double>"
 #: Schemas of the record tables, declared so that no pass over the files infers them.
 SCHEMAS = {
@@ -69,5 +71,10 @@ def read_sweeps(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, folder: str, glob: str = "*.png") -> DataFrame:
-    """Image files in name order; bytes stay as they are for a predictor to decode."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content").orderBy("path")
+    """Image files with their number in name order (nth, from 0); bytes stay as they are for a predictor to decode, and where they are.
+
+    Only paths are sorted.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
+    numbered = files.select("path").withColumn("nth", F.row_number().over(Window.orderBy("path")) - 1)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content").join(F.broadcast(numbered) if numbered.count() <= BROADCAST_PATHS else numbered.hint("shuffle_hash"), "path")

@@ -3,8 +3,11 @@
 import json
 import math
 import struct
+import zlib
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -119,22 +122,112 @@ def test_readers_and_sinks(spark, tmp_path):
     assert [tuple(r)[1:] for r in readers.read_sweeps(spark, f"{tmp_path}/*.bin").orderBy("point_idx").collect()] == [(0, 0, 1, 2, 3, 4), (1, 5, 6, 7, 8, 9)]
     for name in ("b.png", "a.png", "c.txt"):
         (tmp_path / "in" / name).write_bytes(b"x")
-    assert [r.filename for r in readers.read_images(spark, f"{tmp_path}/in").collect()] == ["a.png", "b.png"]
+    assert sorted((r.nth, r.filename, bytes(r.content)) for r in readers.read_images(spark, f"{tmp_path}/in").collect()) == [(0, "a.png", b"x"), (1, "b.png", b"x")]
     assert readers.categories(spark).count() == 14
-    cloud = spark.createDataFrame([(0, 1.0, 2.0, 3.0, 0.0, 0.5, 1.0), (0, 4.0, 5.0, 6.0, 1.0, 1.0, 1.0), (12, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "frame_idx int, x double, y double, z double, red double, green double, blue double")
-    sinks.write_ply(cloud, f"{tmp_path}/ply")
+    cloud = spark.createDataFrame([(0, 1.0, 2.0, 3.0, 0.0, 0.5, 1.0), (0, 4.0, 5.0, 6.0, 1.0, 1.0, 1.0), (12, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (1234, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (12345, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], "frame_idx int, x double, y double, z double, red double, green double, blue double")
+    sinks.write_ply(cloud.withColumn("i", -F.col("x")), f"{tmp_path}/ply", order="i")
+    assert {f.name for f in Path(f"{tmp_path}/ply").glob("frame=*")} == {f"frame=point{n}" for n in ("0000", "0012", "1234", "12345")}
     (file,) = Path(f"{tmp_path}/ply/frame=point0000").glob("part-*")
     lines = file.read_text().splitlines()
     assert lines[:3] == ["ply", "format ascii 1.0", "element vertex 2"] and lines[9] == "end_header" and len(lines) == 12
-    results = spark.createDataFrame([("s", "CAM", 1)], "scene_token string, channel string, n int")
-    sinks.write_results(results, f"{tmp_path}/res")
-    assert spark.read.parquet(f"{tmp_path}/res").where("channel = 'CAM'").count() == 1
+    assert lines[10].startswith("4.0 ") and lines[11].startswith("1.0 ")
+    results = spark.createDataFrame([("s", "CAM", "vehicle", 1), ("s", "CAM", "pedestrian", 2)], "scene_token string, channel string, category_group string, n int")
+    for rows in (results, results, results.where("n = 2")):  # a job that is run again, and one with other rows
+        sinks.write_results(rows, f"{tmp_path}/res")
+    assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/res").where("channel = 'CAM'").collect()) == [1, 2]
+
+
+def stand_ins():
+    """A detector and a depth model, made inside so that they go to workers by value."""
+
+    def stand_in_detector():
+        """(image_id, content, caption) -> image_id, query_idx, logits, cx, cy, w, h: three boxes from a checksum."""
+
+        def predict(frame):
+            out = []
+            for image, content, caption in zip(frame["image_id"], frame["content"], frame["caption"], strict=True):
+                seed = np.random.default_rng(zlib.crc32(bytes(content) + caption.encode()))
+                for k in range(3):
+                    out.append((image, k, seed.normal(size=8).tolist(), *seed.uniform(0.2, 0.4, 4)))
+            return pd.DataFrame(out, columns=["image_id", "query_idx", "logits", "cx", "cy", "w", "h"])
+
+        return predict
+
+    def stand_in_depth():
+        """Frames of one window -> the same frames with a 2 x 2 depth map each, and how often this predictor was called before."""
+        calls = []
+
+        def predict(frame):
+            frame = frame.sort_values("sample_index")
+            calls.append(1)
+            depth = [[float(i), float(len(calls) - 1), 2.0, float(len(frame))] for i in frame["sample_index"]]
+            return pd.DataFrame({"scene_token": frame["scene_token"], "window_id": frame["window_id"], "sample_index": frame["sample_index"], "depth": depth})
+
+        return predict
+
+    return stand_in_detector, stand_in_depth
 
 
 def test_predictors(spark):
+    stand_in_detector, stand_in_depth = stand_ins()
     images = spark.createDataFrame([(i, bytes([i]), "cat.") for i in range(5)], "image_id long, content binary, caption string")
-    out = predict.predict_rows(images, predict.stand_in_detector, "image_id long, query_idx int, logits array<double>, cx double, cy double, w double, h double")
+    out = predict.predict_rows(images, stand_in_detector, "image_id long, query_idx int, logits array<double>, cx double, cy double, w double, h double")
     assert out.count() == 15
     frames = spark.createDataFrame([(1, 0, i) for i in range(4)] + [(1, 1, i) for i in range(3, 6)], "scene_token long, window_id int, sample_index int")
-    depth = predict.predict_windows(frames, ["scene_token", "window_id"], predict.stand_in_depth, "scene_token long, window_id int, sample_index int, depth array<double>")
+    depth = predict.predict_windows(frames, ["scene_token", "window_id"], stand_in_depth, "scene_token long, window_id int, sample_index int, depth array<double>")
     assert {(r.window_id, r.depth[3]) for r in depth.collect()} == {(0, 4.0), (1, 3.0)}
+    one_task = predict.predict_windows(frames.repartition(1), ["scene_token", "window_id"], stand_in_depth, "scene_token long, window_id int, sample_index int, depth array<double>")
+    with_one = one_task.coalesce(1).select(F.col("depth")[1].alias("calls")).distinct()
+    assert {r.calls for r in with_one.collect()} <= {0.0, 1.0}
+
+
+def test_morphology_of_rows(spark):
+    """Against one pixel at a time, on masks of several sizes; empty and null masks stay, also in parts of the mask's side."""
+    rng = np.random.default_rng(3)
+    rows = [(i, w, h, (rng.random(w * h) < 0.3).tolist()) for i, (w, h) in enumerate([(7, 5), (1, 9), (12, 12), (3, 1)])] + [(8, 4, 4, [False] * 16), (9, 2, 2, None)]
+    frame = spark.createDataFrame(rows, "i int, w int, h int, bits array<boolean>")
+
+    def step(mask, k):
+        h, w = mask.shape
+        out = np.zeros_like(mask)
+        for v in range(h):
+            for u in range(w):
+                near = [mask[v + b, u + a] for a, b in R.ellipse(abs(k)) if 0 <= v + b < h and 0 <= u + a < w]
+                out[v, u] = any(near) if k > 0 else all(near)
+        return out
+
+    for sizes, ratio in (([3, -5, 0, 4], False), ([-3], False), ([0.5, -0.3], True)):
+        got = {r.i: r.m for r in frame.select("i", R.morphology(F.col("bits"), F.col("w"), F.col("h"), sizes, ratio).alias("m")).collect()}
+        for i, w, h, bits in rows:
+            if bits is None:
+                assert got[i] is None
+                continue
+            mask = np.array(bits, bool).reshape(h, w)
+            v, u = np.nonzero(mask)
+            for k in sizes if len(v) else []:
+                k = int(math.copysign(math.ceil(abs(k) * (np.ptp(v) + np.ptp(u) + 2) / 2), k)) if ratio and k else k
+                mask = step(mask, k) if k else mask
+            assert got[i] == mask.reshape(-1).tolist(), (i, sizes)
+
+
+def test_instances_come_back_whole(spark):
+    """Without crop and resizing nothing changes; an extreme shrinking leaves one pixel; normalized boxes are the default of boxes alone."""
+    rows = spark.createDataFrame([(1, [0.0, 0.9, 0.2, 0.7, 0.0, 0.0]), (2, [0.0] * 6)], "i int, scores array<double>")
+    found = R.mask_instances(rows, "scores", F.lit(3), F.lit(2))
+    whole = R.instances_to_original(found, (3, 2)).collect()
+    assert [(r.i, r.rx0, r.ry0, r.rx1, r.ry1, r.mask, r.x0, r.y1) for r in whole] == [(1, 0, 0, 2, 2, [False, True, True, False], 0.0, 2.0)]
+    small = R.instances_to_original(found, (3, 2), (1, 0, 2, 1), (300, 200)).first()
+    assert (small.rx0, small.ry0, small.rx1, small.ry1, len(small.mask)) == (1, 0, 2, 1, 1)
+    box = B.box_to_original(tuple(F.lit(c) for c in (0.0, 0.5, 1.0, 1.0)), (1600, 900), (100, 100, 300, 200), (50, 50))
+    assert one(spark, *box) == pytest.approx((100, 150, 300, 200))
+
+
+def test_prompt_points_need_as_many_labels(spark):
+    rows = spark.createDataFrame([([(1.0, 2.0)], [1, 0])], "points array<struct<x:double,y:double>>, labels array<int>")
+    with pytest.raises(PySparkException):
+        rows.select(*D.prompt_points(F.col("points"), F.col("labels"), tuple(F.lit(c) for c in (0, 0, 9, 9)))).collect()
+
+
+def test_distinct_points_keep_the_first(spark):
+    rows = spark.createDataFrame([([(1.0, 0.0), (1.0 + 1e-12, 0.0), (1.0 + 1e-9, 0.0), (1.0, 0.0)],)], "p array<struct<x:double,y:double>>")
+    assert [p.x for p in rows.select(B.distinct_points(F.col("p"), ("x", "y")).alias("p")).first().p] == [1.0, 1.0 + 1e-9]
