@@ -64,6 +64,22 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """left.join(right, key, how), inner or left, where a few keys may hold most rows of left; right has a key once at most.
+
+    left is read twice, so it is stored or cheap. Keys with more than 1 / (8 * partitions) of its rows meet their rows of right
+    where they are: those rows are broadcast, fewer than 8 for each partition.
+    """
+    spark = left.sparkSession
+    hot_name = fresh_name(left, "hot")
+    limit = left.count() / (8 * partitions(spark))
+    hot_keys = left.groupBy(key).agg(F.count("*").alias(hot_name)).where(F.col(hot_name) > limit)
+    hot = stored(right.join(F.broadcast(hot_keys), key), "hot-rows")
+    marked = left.join(F.broadcast(hot), key, "left")
+    others = marked.where(F.col(hot_name).isNull()).select(*[left[c] for c in left.columns]).join(right.hint("merge"), key, how)
+    return marked.where(F.col(hot_name).isNotNull()).drop(hot_name).unionByName(others)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

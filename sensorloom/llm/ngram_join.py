@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, on_workers, partitions, stored
+from .common import fresh_name, on_workers, partitions, spread_join, stored
 
 BUCKET, LEVELS, BLOCK = 64, 3, 512
 #: A bucket of this average similarity isn't split further. The estimate: how often two members share their next least hash.
@@ -157,12 +157,13 @@ def _compare(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], bucket
 
 def _labels(edges: DataFrame) -> DataFrame:
     """(a, b) -> (a, label): the least id of each connected component, by minimum over neighbours and pointer jumping."""
+    # All of a large component have one label, so joins on labels are spread.
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "join-edges")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "join-labels")
     while True:
         near = both.join(labels.withColumnRenamed("a", "b").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
         up = labels.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        one = labels.join(near.hint("merge"), "a").join(up.hint("merge"), "label", "left")
+        one = spread_join(labels, up, "label", "left").join(near.hint("merge"), "a")
         new = stored(one.select("a", F.least("label", "near", "up").alias("label"), (F.least("label", "near", "up") < F.col("label")).alias("moved")), "join-labels")
         if not new.where("moved").limit(1).count():
             return new.select("a", "label")
@@ -270,9 +271,9 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     links = linked.groupBy("a").agg(F.sum("links").alias("links"))
     labels = _labels(linked.select("a", "b"))
     # Components are labelled with class numbers; their least document id comes from the classes in them.
-    named = labels.join(classes.select(F.col("cls").alias("a"), "low", "low_hash").hint("merge"), "a")
+    named = stored(labels.join(classes.select(F.col("cls").alias("a"), "low", "low_hash").hint("merge"), "a"), "join-named")
     lows = named.groupBy("label").agg(F.min(F.struct("low", "low_hash")).alias("group_least"))
-    grouped = named.select("a", "label").join(lows.hint("merge"), "label").join(links.hint("merge"), "a", "left")
+    grouped = spread_join(named.select("a", "label"), stored(lows, "join-lows"), "label", "inner").join(links.hint("merge"), "a", "left")
     about = stored(classes.join(grouped.withColumnRenamed("a", "cls").hint("merge"), "cls", "left").select(*keys, "low", "copies", F.coalesce("group_least.low", "low").alias("group_low"), F.coalesce("group_least.low_hash", "low_hash").alias("group_hash"), F.coalesce("links", F.lit(0)).alias("links")), "join-classes")
     full = described.select("doc", "text_hash", "n", *keys).join(about.hint("merge"), keys, "left")
     real = lambda c: F.when(c != _NO_ID, c)

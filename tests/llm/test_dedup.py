@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.llm import exact_dedup, line_dedup, ngram_join
+from sensorloom.llm import common, exact_dedup, line_dedup, ngram_join
 
 #: Extra columns whose names the operators use inside.
 EXTRA = "sha string, part int, run int, content_key string, cls long, near_key long, text_hash long, CONTENT_KEY_ string, _near_key int, _content_key string"
@@ -214,6 +214,16 @@ def test_ngram_join_blocks(spark, monkeypatch):
     assert sorted(map(tuple, out), key=str) == sorted(brute_links(rows), key=str)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join(spark, how):
+    rows = [(1, i, "hot") for i in range(4000)] + [(k, k, "x") for k in range(2, 200)] + [(None, 0, "null")]
+    left = spark.createDataFrame(rows, "k long, i long, HOT string")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(1, 150)], "k long, r string")
+    want = left.join(right, "k", how).collect()
+    assert sorted(map(str, common.spread_join(left, right, "k", how).collect())) == sorted(map(str, want))
+    assert common.spread_join(left.limit(0), right, "k", how).count() == 0
+
+
 def test_near_copies_without_own_ids(spark):
     """Near copies whose ids are all null, or all the same, leave one row of each group."""
     rng = random.Random(12)
