@@ -1,7 +1,8 @@
 """Best-two-fit packing of tokenised documents into sequences.
 
-Documents are cut only where longer than a sequence. Pieces are dealt evenly to shards by hash (narrow rows, a bounded
-number per shard); each shard is packed on its own, so its last sequences are all that sharding can waste.
+Documents are cut only where longer than a sequence. Pieces (narrow rows) are stored, then dealt evenly to shards of about
+SHARD_PIECES by a hash of their place in the stored order, so equal rows spread too; each shard is packed on its own, so its
+last sequences are all that sharding can waste.
 """
 
 from __future__ import annotations
@@ -12,14 +13,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import on_workers
+from .common import on_workers, stored
 from .tokens import encoder, slices
 
-#: Documents per shard, about.
-SHARD_DOCS = 20_000
+#: Pieces per shard, about.
+SHARD_PIECES = 25_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECES + ", sequence_id long, offset long"
@@ -84,11 +86,15 @@ def best_two_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, white_space_counts: bool, size: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece of each tokenised document: doc_id, piece, start, length, ids_crc32."""
+    """Per piece of each tokenised document: doc_id, piece, start, length, ids_crc32, turn (a number of its own).
+
+    Null and empty texts are the end id alone. Other columns are ignored.
+    """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, white_space_counts)
         end = np.array([end_id], "<u4").tobytes()
+        turn = TaskContext.get().partitionId() << 33
         for batch in batches:
             for some in slices(batch, 1):
                 out: list[tuple] = []
@@ -98,10 +104,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, white_space_counts: bool,
                         own = ids[b : b + 4 * size]
                         out.append((doc, k, b // 4, len(own) // 4, zlib.crc32(own)))
                 cols = list(zip(*out, strict=True))
-                yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:]), pa.array(np.arange(turn, turn + len(out)))], names=["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
+                turn += len(out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(pieces, _PIECES)
+    return rows.mapInArrow(pieces, _PIECES + ", turn long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, white_space_counts: bool = False, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,12 +119,12 @@ def pack(docs: DataFrame, tokenizer_path: str, white_space_counts: bool = False,
     empty table gives no rows.
     """
     on_workers(docs.sparkSession)
-    shards = max(1, -(-docs.count() // SHARD_DOCS))
-    pieces = token_pieces(docs, tokenizer_path, white_space_counts, size, end_id, id_col, text_col)
+    pieces = stored(token_pieces(docs, tokenizer_path, white_space_counts, size, end_id, id_col, text_col), "pieces")
+    shards = max(1, -(-pieces.count() // SHARD_PIECES))
 
     def packed(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         bins, offsets, _ = best_two_fit(own["length"].to_numpy(), size)
-        return own.drop(columns="shard").assign(sequence_id=key[0] * (1 << 32) + bins, offset=offsets)
+        return own.drop(columns=["shard", "turn"]).assign(sequence_id=key[0] * (1 << 32) + bins, offset=offsets)
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("turn"), F.lit(shards))
     return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(packed, _PACKED)

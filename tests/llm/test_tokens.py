@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 from unittest import mock
 
 import numpy as np
@@ -104,3 +105,11 @@ def test_pack_rows(spark):
         own = sorted((r.offset, r.length) for r in out if r.sequence_id == s)
         assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist()
     assert packing.pack(docs.limit(0), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_equal_rows_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 100)
+    docs = spark.range(1000).selectExpr("cast(NULL AS long) AS doc_id", "cast(NULL AS string) AS text")
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    shards = Counter(r.sequence_id >> 32 for r in out)
+    assert len(out) == 1000 and len(shards) == 10 and max(shards.values()) < 200
