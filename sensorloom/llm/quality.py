@@ -53,7 +53,10 @@ class Compressors:
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
-    """(raw, bad, good) sizes -> difference, compressed share, length, and their products."""
+    """(raw, bad, good) sizes -> the difference, and what its meaning depends on: how much the text shrinks at all, and its length.
+
+    By the difference alone the ranking is as good, but repetitive junk near a difference of zero passes for good.
+    """
     raw = np.maximum(sizes[:, 0], 1)
     z, r = (sizes[:, 2] - sizes[:, 1]) / raw, (sizes[:, 1] + sizes[:, 2]) / (2 * raw)
     return np.column_stack([z, r, raw**-0.5, z * z, r * r, z * r, z * raw**-0.25, r * raw**-0.25])
@@ -65,7 +68,12 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from, max_rows: int = MAX_ROWS, max_windows: int = MAX_WINDOWS) -> QualityModel:
-    """Learn from at most max_rows labelled documents: dictionaries from three folds of four, calibration from the other."""
+    """Learn from at most max_rows labelled documents: dictionaries from three folds of four, calibration from the other.
+
+    Of the labelled texts' windows, max_windows of each label (those with the least hashes) make its dictionary. Null labels
+    and ids are left out, null texts count as empty, rows that repeat a labelled id all count. Without labelled documents, or
+    with one class only, each text's score is that class's share. Other columns are ignored.
+    """
     on_workers(docs.sparkSession)
     rows = training_rows(docs, labels, "quality", learn_from, max_rows)
     span = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / SAMPLE_CHARS).cast("int"))

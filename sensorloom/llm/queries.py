@@ -12,6 +12,7 @@ from .common import crc32_mod, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents. Null and empty texts share one score, a null id isn't held out, repeated rows are scored alike; no documents give no rows."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda doc_id: crc32_mod(doc_id, 3) != 1)
     held_out = F.coalesce(crc32_mod(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -19,6 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents without later repeats. Null texts are one empty line, rows of one id one document; no documents give no rows."""
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -36,6 +38,7 @@ FROM k LEFT JOIN m USING (key) GROUP BY doc_id
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back. Null payloads are empty, null urls left out; no pages give no rows."""
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("payload")
 
 
@@ -47,6 +50,7 @@ FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, ''))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents. Null and empty texts share one score, a null id isn't held out, repeated rows are scored alike; no documents give no rows."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), lambda doc_id: crc32_mod(doc_id, 5) != 0)
     held_out = F.coalesce(crc32_mod(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -54,6 +58,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, null as empty; the largest id stays, a null id only alone; no documents give no rows."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
@@ -71,14 +76,17 @@ def vocabulary(name: str) -> str:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens. Null and empty texts are the end id alone, repeated rows are packed each; no documents give no rows."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), white_space_counts=False, size=2048)
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens written to files and read back. Null ids come first, null and empty texts are the end id alone; no documents give no rows."""
     return token_binary.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op8_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector among all. See topk.top_k for nulls, lengths, ties and repeated ids."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
@@ -92,6 +100,7 @@ FROM s QUALIFY rank <= 5
 """
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, groups and numbers of near copies of all documents. Texts without words link to nothing; null and repeated ids are rows like others; no documents give no rows."""
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), threshold=0.8, width=5, target_recall=0.9999).drop("text_hash", "group_hash")
 
 
@@ -111,6 +120,7 @@ FROM s JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents in a mixture of their sources. Null sources are one source, null texts have no tokens; no documents give no rows."""
     return mixing.mix(table(spark, sf_dir, "documents"), target_entropy=0.97, max_repeats=4.0).drop("text_hash")
 
 
