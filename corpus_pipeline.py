@@ -18,28 +18,34 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.7 or more go. Learnt from at most toxicity.MAX_ROWS labelled rows."""
+    """Documents with a toxicity score of 0.7 or more go. Learnt from at most toxicity.MAX_ROWS labelled rows.
+
+    Null texts are scored as empty; rows of equal texts go or stay together.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda doc_id: F.lit(True))
     return toxicity.drop_toxic(docs, model, 0.7)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the smallest doc_id stays."""
+    """Of equal texts (null is empty), the smallest doc_id stays, and one of the rows that repeat it; a null id only alone."""
     return exact_dedup.drop_copies(docs, keep="smallest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingle similarity of 0.8 or more, the smallest doc_id stays."""
+    """Of each group linked by five-word shingle similarity of 0.8 or more, the smallest doc_id stays. Texts without words all stay."""
     return ngram_join.drop_near_copies(docs, threshold=0.8, width=5, target_recall=0.9999)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed by temperature: all documents stay, those of small sources come up to twice."""
+    """Sources mixed by temperature: all documents stay, those of small sources come up to twice.
+
+    Null sources are one source; null and empty texts have no tokens and come once.
+    """
     return mixing.mixed(docs, target_entropy=None, max_repeats=2.0)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces packed into sequences of 2048."""
+    """Token pieces packed into sequences of 2048. Null and empty texts are the end id alone; repeated rows are packed each."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), white_space_counts=False, size=2048)
 
 
