@@ -22,8 +22,8 @@ WHITE_SPACE = OTHER_SPACE + " \n"
 #: Letters and digits that stay one letter or digit in lower case, and ASCII's punctuation: words end between the two.
 WORD_END = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{410}-\x{44F}])([!-/:-@\[-`{-~])"
 #: Pieces kept per worker, about, and the longest that is kept or encoded in a row of others.
-KEPT_PIECES, KEPT_CHARS = 700_000, 64
-SLICE_BYTES = 16 << 20
+KEPT_PIECES, KEPT_CHARS = 400_000, 64
+SLICE_BYTES = 8 << 20
 
 
 class Encoder:
