@@ -66,7 +66,7 @@ SELECT l_orderkey % (SELECT count(*) FROM {events}) AS sample_token, l_orderkey,
 FROM {lineitem}
 """,
     "fx_detection": """
-SELECT label AS frame_id, vec_id AS query_idx, embedding AS logits,
+SELECT vec_id - vec_id % 900 AS frame_id, vec_id AS query_idx, embedding AS logits,
        0.3e0 + (vec_id % 7) * 0.06e0 AS cx, 0.3e0 + (vec_id % 5) * 0.08e0 AS cy,
        0.10e0 + (vec_id % 4) * 0.05e0 AS w, 0.10e0 + (vec_id % 3) * 0.05e0 AS h
 FROM {embeddings}

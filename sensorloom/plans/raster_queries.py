@@ -106,7 +106,7 @@ def _(fx):
     return R.eroded(mask(fx), 3, 8, 8, ["vec_id"])
 
 
-SCORES = """WITH tk AS (SELECT label AS frame_id, vec_id AS query_idx, CAST(t AS INTEGER) AS t, 1 / (1 + exp(-CAST(embedding[t + 1] AS DOUBLE))) AS p FROM embeddings, LATERAL (SELECT unnest(generate_series(0, 63)) AS t)),
+SCORES = """WITH tk AS (SELECT vec_id - vec_id % 900 AS frame_id, vec_id AS query_idx, CAST(t AS INTEGER) AS t, 1 / (1 + exp(-CAST(embedding[t + 1] AS DOUBLE))) AS p FROM embeddings, LATERAL (SELECT unnest(generate_series(0, 63)) AS t)),
 sc AS (SELECT frame_id, query_idx, t // 16 AS label_idx, avg(p) AS score FROM tk GROUP BY 1, 2, 3),
 bl AS (SELECT frame_id, query_idx, label_idx, score FROM sc QUALIFY row_number() OVER (PARTITION BY frame_id, query_idx ORDER BY round(score, 12) DESC, label_idx) = 1)"""
 BOX = SCORES + """, bx AS (SELECT bl.*, greatest(d.cx - d.w / 2, 0) AS x0, greatest(d.cy - d.h / 2, 0) AS y0, least(d.cx + d.w / 2, 1) AS x1, least(d.cy + d.h / 2, 1) AS y1
