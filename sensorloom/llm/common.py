@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +42,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collects the paths that fresh_path gives inside. At the end, those still in the list are deleted (what isn't in it stays).
+
+    For jobs whose result is stored by then: nothing may read the deleted paths any more.
+    """
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        yield paths
+    finally:
+        _made.remove(paths)
+    for path in paths:
+        fs, place = pafs.FileSystem.from_uri(as_uri(path))
+        if fs.get_file_info(place).type == pafs.FileType.Directory:
+            fs.delete_dir(place)
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for paths in _made:
+        paths.append(path)
+    return path
 
 
 def as_uri(path: str) -> str:

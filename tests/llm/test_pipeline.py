@@ -1,5 +1,6 @@
 """The pipeline's stages, one after the other, against brute force on a small table with planted rows."""
 
+import os
 import re
 from collections import Counter
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from sensorloom.llm import queries
+from sensorloom.llm import common, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,8 +101,11 @@ def test_stages(spark, planted, tmp_path):
 
 
 def test_run_and_empty(spark, planted, tmp_path):
+    top = common.as_uri(common.shared_dir(spark)).removeprefix("file://")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
     out = P.run(spark, planted)
     assert out.count() > 0
+    assert sorted(name.rsplit("-", 1)[0] for name in set(os.listdir(top)) - before) == ["pieces", "pipeline-mixing"]
     spark.read.parquet(f"{planted}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{planted}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
