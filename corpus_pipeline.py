@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from sensorloom.llm.common import stored, table
+from sensorloom.llm.common import fresh_path, scratch, table
 from sensorloom.llm.queries import vocabulary
 
 #: No SQL: scoring, tokens and packing can't be expressed; tests/llm/test_pipeline.py holds the stages against brute force.
@@ -59,7 +59,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage stored on its way goes once its result is stored. Mixed documents and their pieces stay."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as paths:
+            path = fresh_path(spark, f"pipeline-{name}")
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+            paths.remove(path)
+            paths += [before] if before else []
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
