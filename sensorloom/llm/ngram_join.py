@@ -22,6 +22,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ DENSE = 0.5
 #: Shingles that a set picks at the first level and at deeper ones, about, times the threshold. Deeper picks cost only where a
 #: bucket splits, and save runs, which cost everywhere.
 PICKED, DEEPER = 2.0, 3.1
-KEPT_WORDS = 200_000
+KEPT_WORDS, TEXT_BYTES = 200_000, 1 << 20
 _NO_ID = -(1 << 63)
 _SEED = np.random.default_rng(20180607)
 #: An odd multiplier for each run and level, from one seed.
@@ -59,27 +60,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Text -> sorted distinct 64-bit hashes of its runs of `width` words; a shorter text's words are one shingle; none for no words."""
+    """Texts -> each one's sorted distinct 64-bit hashes of its runs of `width` words; a shorter text's words are one shingle; none for no words."""
 
     def __init__(self, width: int) -> None:
         self.width, self.known = width, {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        words, known = WORDS(text.lower()), self.known
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        words, known = [WORDS(t.lower()) for t in texts], self.known
         if len(known) > KEPT_WORDS:
             known.clear()
-        for w in set(words).difference(known):
+        for w in set().union(*words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
-        ids = np.array([known[w] for w in words], np.uint64)
-        n = len(ids) - self.width + 1
-        if n < 1:
-            width, n = len(ids), min(1, len(ids))
-        else:
-            width = self.width
+        ids = np.fromiter((known[w] for own in words for w in own), np.uint64, sum(map(len, words)))
+        runs = self._runs(ids, self.width)  # those over the end of a text are left out below
+        out, begin = [], 0
+        for own in words:
+            n = len(own)
+            some = runs[begin : begin + n - self.width + 1] if n >= self.width else self._runs(ids[begin : begin + n], n)[: min(n, 1)]
+            out.append(np.unique(some))
+            begin += n
+        return out
+
+    @staticmethod
+    def _runs(ids: np.ndarray, width: int) -> np.ndarray:
+        n = max(0, len(ids) - width + 1)
         out = np.full(n, np.uint64(width))
         for k in range(width):
             out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n])
-        return np.unique(out)
+        return out
 
 
 def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
@@ -87,17 +95,35 @@ def _fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
 
-def _picks(tokens: np.ndarray, runs: int, threshold: float) -> list[list[int]]:
-    """For each run and level the shingles picked, least hash first, as signed 64-bit numbers."""
-    if not len(tokens):
-        return [[] for _ in range(runs * LEVELS)]
-    limits = [np.uint64(min(2**64 - 1, int(picked * 2**64 / (threshold * len(tokens))))) for picked in (PICKED, *[DEEPER] * (LEVELS - 1))]
-    out = []
-    for k, odd in enumerate(PICKS[: runs * LEVELS]):
-        hashes = _mixed(tokens * odd)
-        own = np.flatnonzero(hashes <= limits[k % LEVELS])
-        out.append(tokens[own[np.argsort(hashes[own])]].view(np.int64).tolist())
-    return out
+def _picks(sets: list[np.ndarray], runs: int, threshold: float) -> pa.ListArray:
+    """For each set, run and level the shingles picked, least hash first, as signed 64-bit numbers; many sets at a time."""
+    n_lists, sizes = runs * LEVELS, np.array([len(s) for s in sets], np.int64)
+    tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    limits = [np.array([min(2**64 - 1, int(picked * 2**64 / (threshold * n))) if n else 0 for n in sizes.tolist()], np.uint64)[owner] for picked in (PICKED, DEEPER)]
+    places, lists, hashes = [], [], []
+    for k, odd in enumerate(PICKS[:n_lists]):
+        h = _mixed(tokens * odd)
+        own = np.flatnonzero(h <= limits[k % LEVELS > 0])
+        places.append(own)
+        lists.append(owner[own] * n_lists + k)
+        hashes.append(h[own])
+    of = np.concatenate(lists) if lists else np.empty(0, np.int64)
+    order = np.lexsort((np.concatenate(hashes), of)) if len(of) else np.empty(0, np.int64)
+    inner = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sets) * n_lists))]).astype(np.int32)
+    values = tokens[np.concatenate(places)[order]].view(np.int64) if len(of) else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n_lists), pa.ListArray.from_arrays(pa.array(inner), pa.array(values)))
+
+
+def _stretches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of up to 512 rows and about TEXT_BYTES of a text column."""
+    sizes = pc.cumulative_sum(pc.binary_length(batch.column(column)).cast(pa.int64())).to_numpy()
+    begin = 0
+    while begin < batch.num_rows:
+        done = sizes[begin - 1] if begin else 0
+        end = min(begin + 512, max(begin + 1, int(np.searchsorted(sizes, done + TEXT_BYTES))))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def _compare(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], buckets: list[np.ndarray], blocks: np.ndarray, bucket: int, i: int, j: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,11 +215,10 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                sets = [shingles(t.as_py()) for t in some.column(1)]
+            for some in _stretches(batch, 1):
+                sets = shingles(some.column(1).to_pylist())
                 marks = [_fingerprint(s) for s in sets]
-                picks = pa.array([_picks(s, runs, threshold) for s in sets], pa.list_(pa.list_(pa.int64())))
+                picks = _picks(sets, runs, threshold)
                 yield pa.record_batch([some.column(0), some.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([h for h, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.int64()), picks], names=["doc", "text_hash", "n", "mark", "cls", "picks"])
 
     described = stored(hashed.mapInArrow(describe, "doc long, text_hash long, n long, mark long, cls long, picks array<array<long>>"), "join-described")
@@ -244,9 +269,8 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                sets = [shingles(t.as_py()) for t in some.column(0)]
+            for some in _stretches(batch, 0):
+                sets = shingles(some.column(0).to_pylist())
                 own = pa.array([_fingerprint(s) == (mark, cls) for s, mark, cls in zip(sets, some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)], pa.bool_())
                 yield pa.record_batch([*some.columns[2:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "copies", "buckets", "tokens"]).filter(own)
 

@@ -201,12 +201,26 @@ def test_ngram_join_runs_reach_recall(sizes, target):
     levels, n, met = ngram_join.LEVELS, 3000, 0
     for _ in range(n):
         tokens = rng.integers(0, 2**63, a + b - both, dtype=np.uint64)
-        x, y = (ngram_join._picks(np.sort(t), runs, 0.8) for t in (tokens[:a], tokens[a - both :]))
+        x, y = ngram_join._picks([np.sort(t) for t in (tokens[:a], tokens[a - both :])], runs, 0.8).to_pylist()
         through = [not set(p).isdisjoint(q) for p, q in zip(x, y, strict=True)]
         met += any(all(through[r * levels : (r + 1) * levels]) for r in range(runs))
     assert met / n >= target - 3 * (target * (1 - target) / n) ** 0.5
 
 
+def test_picks_of_many_sets_are_those_of_each():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 3, 50, 0, 4000)]
+    got = ngram_join._picks(sets, 5, 0.8).to_pylist()
+    for s, lists in zip(sets, got, strict=True):
+        assert len(lists) == 5 * ngram_join.LEVELS
+        for k, own in enumerate(lists):
+            h = ngram_join._mixed(s * ngram_join.PICKS[k])
+            limit = min(2**64 - 1, int((ngram_join.DEEPER if k % ngram_join.LEVELS else ngram_join.PICKED) * 2**64 / (0.8 * max(len(s), 1))))
+            want = sorted((int(x), int(t)) for x, t in zip(h, s.view(np.int64), strict=True) if int(x) <= limit)
+            assert own == [t for _, t in want]
+    assert ngram_join._picks([], 5, 0.8).to_pylist() == []
+
+
 def test_ngram_join_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     rows = near_rows(5, copies=90)
