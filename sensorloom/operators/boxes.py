@@ -19,8 +19,11 @@ def computed(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def labelled(annotations: DataFrame, categories: DataFrame, keep_unmapped: bool = False) -> DataFrame:
-    """Annotations with label, category id and group. Unmapped categories go, or keep their raw name as label."""
-    dim = F.broadcast(categories.select("category_token", "name", "category_name", F.col("id").alias("category_id"), "category_group"))
+    """Annotations with label, category id and group. Unmapped categories go, or keep their raw name as label.
+
+    Categories are a stored or literal table, whose size Spark knows: it broadcasts them where they are small.
+    """
+    dim = categories.select("category_token", "name", "category_name", F.col("id").alias("category_id"), "category_group")
     joined = annotations.join(dim, "category_token")
     joined = joined if keep_unmapped else joined.where("category_name IS NOT NULL")
     return joined.withColumn("label", F.coalesce("category_name", "name")).drop("category_name")

@@ -19,7 +19,8 @@ def with_sample_index(samples: DataFrame, scene: str = "scene_token", time: str
 def frames(sample_data: DataFrame, samples: DataFrame, ego_poses: DataFrame, sensors: DataFrame) -> DataFrame:
     """One row per sensor record: sample index, ego pose (e...) and sensor pose and channel (s...).
 
-    The two large sides meet on their pose token by a shuffle; sensors are a fixed rig, a few rows. Rotations are normalized
+    The two large sides meet on their pose token by a shuffle; sensors are a fixed rig, a few rows that Spark broadcasts as
+    long as they are small. Rotations are normalized
     here and turned into matrices (er00, ..., sr22), below the joins: what uses them must stay small, as the JVM doesn't
     compile a method of over 8,000 bytes, and all steps between two shuffles are one method.
     """
@@ -27,7 +28,7 @@ def frames(sample_data: DataFrame, samples: DataFrame, ego_poses: DataFrame, sen
     ego = ego_poses.select(F.col("token").alias("ego_pose_token"), *(c.alias(n) for n, c in unit.named("eq").items()), *(F.col(c).alias("e" + c) for c in ("tx", "ty", "tz")))
     rig = sensors.select(F.col("sensor_id").alias("calibrated_sensor_token"), "channel", *(c.alias(n) for n, c in unit.named("sq").items()), *(F.col(c).alias("s" + c) for c in ("tx", "ty", "tz")))
     ego, rig = (rows.withColumns({f"{p}r{i}{j}": c for i, row in enumerate(matrix(Quat.of(p + "q"))) for j, c in enumerate(row)}) for rows, p in ((ego, "e"), (rig, "s")))
-    return sample_data.join(with_sample_index(samples), "sample_token").join(ego, "ego_pose_token").join(F.broadcast(rig), "calibrated_sensor_token")
+    return sample_data.join(with_sample_index(samples), "sample_token").join(ego, "ego_pose_token").join(rig, "calibrated_sensor_token")
 
 
 def strided(rows: DataFrame, every: int, scene: str = "scene_token") -> DataFrame:

@@ -171,14 +171,14 @@ def _(fx):
 def _(fx):
     best = S.first_per(scored(fx).where("score > 0.51D"), ["frame_id", "label_idx"], ["query_idx"]).select("frame_id", "label_idx", F.col("query_idx").alias("first_query"))
     asked = fx.detection.select("frame_id", "query_idx", (F.col("query_idx") % 4).cast("int").alias("label_idx"))
-    return asked.join(best, ["frame_id", "label_idx"], "left").select("frame_id", "query_idx", F.coalesce("first_query", F.lit(-1)).alias("first_query"))
+    return asked.join(best.hint("merge"), ["frame_id", "label_idx"], "left").select("frame_id", "query_idx", F.coalesce("first_query", F.lit(-1)).alias("first_query"))
 
 
 @query("j20_truth_against_detections", BOX + ", gt AS (SELECT sample_token % 10 * 900 AS frame_id, category_token % 4 AS label_idx, count(*) AS n_truth FROM fx_annotation GROUP BY 1, 2), dt AS (SELECT frame_id, label_idx, count(*) AS n_found FROM bx GROUP BY 1, 2) SELECT frame_id, label_idx, coalesce(n_truth, 0) AS n_truth, coalesce(n_found, 0) AS n_found FROM gt FULL JOIN dt USING (frame_id, label_idx)")
 def _(fx):
     truth = fx.annotation.groupBy((F.col("sample_token") % 10 * 900).alias("frame_id"), (F.col("category_token") % 4).alias("label_idx")).agg(F.count("*").alias("n_truth"))
     found = scored(fx).groupBy(F.col("frame_id").cast("long"), F.col("label_idx").cast("long").alias("label_idx")).agg(F.count("*").alias("n_found"))
-    return truth.join(found, ["frame_id", "label_idx"], "full").select("frame_id", "label_idx", F.coalesce("n_truth", F.lit(0)).alias("n_truth"), F.coalesce("n_found", F.lit(0)).alias("n_found"))
+    return truth.join(found.hint("merge"), ["frame_id", "label_idx"], "full").select("frame_id", "label_idx", F.coalesce("n_truth", F.lit(0)).alias("n_truth"), F.coalesce("n_found", F.lit(0)).alias("n_found"))
 
 
 @query("a10_distinct_points", "SELECT vec_id, len(list_distinct(list_transform(embedding, lambda e: round(CAST(e AS DOUBLE), 1) + 0e0))) AS n FROM embeddings")

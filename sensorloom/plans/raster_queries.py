@@ -120,7 +120,7 @@ def spans(fx):
 def scored(fx):
     found = fx.detection
     best = D.best_label(D.label_scores(found, spans(fx), ["frame_id", "query_idx"]), ["frame_id", "query_idx"])
-    return D.corners_clamped(best.join(found.drop("logits"), ["frame_id", "query_idx"]))
+    return D.corners_clamped(best.join(found.drop("logits").hint("merge"), ["frame_id", "query_idx"]))  # best comes from exploded rows
 
 
 @query("j17_a7_d4_label_scores", SCORES + "SELECT frame_id, query_idx, label_idx, round(score, 6) AS score FROM sc")
