@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,31 +42,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_made: list[list[str]] = []
+#: The lists that scratch() fills, for this thread's context.
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 @contextmanager
-def scratch() -> Iterator[list[str]]:
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Collects the paths that fresh_path gives inside. At the end, those still in the list are deleted (what isn't in it stays).
 
-    For jobs whose result is stored by then: nothing may read the deleted paths any more.
+    For jobs whose result is stored by then: nothing may read the deleted paths any more. After an error nothing is deleted.
     """
     paths: list[str] = []
-    _made.append(paths)
+    token = _made.set((*_made.get(), paths))
     try:
         yield paths
     finally:
-        _made.remove(paths)
-    for path in paths:
-        fs, place = pafs.FileSystem.from_uri(as_uri(path))
-        if fs.get_file_info(place).type == pafs.FileType.Directory:
-            fs.delete_dir(place)
+        _made.reset(token)
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)  # any store that Spark reaches
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    for paths in _made:
+    for paths in _made.get():
         paths.append(path)
     return path
 
@@ -91,6 +91,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """stored(make(), what); what make() stored on its way is deleted then, so nothing else may read it."""
+    with scratch(spark) as paths:
+        df = make()
+        path = fresh_path(spark, what)
+        df.write.parquet(path)
+        paths.remove(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     """left.join(right, key, how), inner or left, where a few keys may hold most rows of left; right has a key once at most.
 

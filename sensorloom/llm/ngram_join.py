@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, on_workers, partitions, spread_join, stored
+from .common import fresh_name, on_workers, partitions, spread_join, stored, stored_alone
 
 BUCKET, LEVELS, BLOCK = 64, 3, 512
 #: A bucket of this average similarity isn't split further. The estimate: how often two members share their next least hash.
@@ -181,6 +181,42 @@ def _compare(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], bucket
     return ids[has], links[has], low[root[has]]
 
 
+def _asked(chosen: DataFrame, classes: DataFrame, runs: int) -> DataFrame:
+    """Classes that meet others in some bucket to compare, with those buckets (key, number of members)."""
+    # Level by level: keys that several classes share are buckets; too large ones split on the next picks.
+    at_level = lambda r, k: F.element_at("picks", r * LEVELS + k + 1)
+    per_run = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.transform(at_level(r, 0), lambda t: F.struct(F.xxhash64(r, t).alias("key"), F.slice("picks", r * LEVELS + 2, LEVELS - 1).alias("rest"))))
+    level = stored(chosen.select("cls", F.explode(F.flatten(per_run)).alias("p")).select("cls", "p.key", "p.rest"), "join-level")
+    finals, members = [], []
+    for k in range(LEVELS):
+        sizes = level.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("m > 1")
+        sizes = stored(sizes, "join-sizes")
+        members.append(level.select("key", "cls"))
+        if k == LEVELS - 1:
+            finals.append(sizes)
+            break
+        large = level.join(sizes.where(F.col("m") > BUCKET).select("key", "m").hint("merge"), "key")
+        large = stored(large, "join-large")
+        # Two sets have the same least hash with a chance of their similarity, so a row per member tells near copies from others.
+        alike = large.groupBy("key", "m", F.get(F.element_at("rest", 1), F.lit(0)).alias("t")).agg(F.count("*").cast("double").alias("c")).where("t IS NOT NULL")
+        alike = alike.groupBy("key", "m").agg(F.sum(F.col("c") * F.col("c")).alias("c"))
+        dense = stored(alike.where(F.col("c") >= DENSE * F.col("m") * F.col("m")).select("key"), "join-dense")
+        finals.append(sizes.join(dense.withColumn("dense", F.lit(True)).hint("merge"), "key", "left").where((F.col("m") <= BUCKET) | F.col("dense")).drop("dense"))
+        parted = large.join(dense.hint("merge"), "key", "left_anti")
+        parted = parted.select("cls", F.col("key").alias("parent"), F.explode(F.element_at("rest", 1)).alias("t"), F.slice("rest", 2, LEVELS).alias("rest"))
+        level = stored(parted.select("cls", F.xxhash64("parent", "t").alias("key"), "rest"), "join-level")
+    every = finals[0]
+    for more in finals[1:]:
+        every = every.unionByName(more)
+    kept = stored(every.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "join-buckets")
+    met = members[0]
+    for more in members[1:]:
+        met = met.unionByName(more)
+    met = met.distinct().join(kept.hint("merge"), "key")
+    lists = met.groupBy("cls").agg(F.collect_list(F.struct("key", "m")).alias("buckets"))  # some picks per run: a bounded number
+    return lists.join(classes.hint("merge"), "cls")
+
+
 def _labels(edges: DataFrame) -> DataFrame:
     """(a, b) -> (a, label): the least id of each connected component, by minimum over neighbours and pointer jumping."""
     # All of a large component have one label, so joins on labels are spread.
@@ -230,38 +266,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     # A class's picks come from its least row (one, where a row repeats).
     chosen = with_words.select("doc", "text_hash", *keys, "picks").join(classes.select(*keys, F.col("low").alias("doc"), F.col("low_hash").alias("text_hash")).hint("merge"), ["doc", "text_hash", *keys]).dropDuplicates(keys)
 
-    # Level by level: keys that several classes share are buckets; too large ones split on the next picks.
-    at_level = lambda r, k: F.element_at("picks", r * LEVELS + k + 1)
-    per_run = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.transform(at_level(r, 0), lambda t: F.struct(F.xxhash64(r, t).alias("key"), F.slice("picks", r * LEVELS + 2, LEVELS - 1).alias("rest"))))
-    level = stored(chosen.select("cls", F.explode(F.flatten(per_run)).alias("p")).select("cls", "p.key", "p.rest"), "join-level")
-    finals, members = [], []
-    for k in range(LEVELS):
-        sizes = level.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).where("m > 1")
-        sizes = stored(sizes, "join-sizes")
-        members.append(level.select("key", "cls"))
-        if k == LEVELS - 1:
-            finals.append(sizes)
-            break
-        large = level.join(sizes.where(F.col("m") > BUCKET).select("key", "m").hint("merge"), "key")
-        large = stored(large, "join-large")
-        # Two sets have the same least hash with a chance of their similarity, so a row per member tells near copies from others.
-        alike = large.groupBy("key", "m", F.get(F.element_at("rest", 1), F.lit(0)).alias("t")).agg(F.count("*").cast("double").alias("c")).where("t IS NOT NULL")
-        alike = alike.groupBy("key", "m").agg(F.sum(F.col("c") * F.col("c")).alias("c"))
-        dense = stored(alike.where(F.col("c") >= DENSE * F.col("m") * F.col("m")).select("key"), "join-dense")
-        finals.append(sizes.join(dense.withColumn("dense", F.lit(True)).hint("merge"), "key", "left").where((F.col("m") <= BUCKET) | F.col("dense")).drop("dense"))
-        parted = large.join(dense.hint("merge"), "key", "left_anti")
-        parted = parted.select("cls", F.col("key").alias("parent"), F.explode(F.element_at("rest", 1)).alias("t"), F.slice("rest", 2, LEVELS).alias("rest"))
-        level = stored(parted.select("cls", F.xxhash64("parent", "t").alias("key"), "rest"), "join-level")
-    every = finals[0]
-    for more in finals[1:]:
-        every = every.unionByName(more)
-    kept = stored(every.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "join-buckets")
-    met = members[0]
-    for more in members[1:]:
-        met = met.unionByName(more)
-    met = met.distinct().join(kept.hint("merge"), "key")
-    lists = met.groupBy("cls").agg(F.collect_list(F.struct("key", "m")).alias("buckets"))  # some picks per run: a bounded number
-    asked = stored(lists.join(classes.hint("merge"), "cls"), "join-asked")
+    asked = stored_alone(spark, lambda: _asked(chosen, classes, runs), "join-asked")
 
     # The sets of classes in some bucket, from their texts, then to the tasks that compare them.
     texts = hashed.join(asked.withColumnsRenamed({"low": "doc", "low_hash": "text_hash"}).hint("merge"), ["doc", "text_hash"])
@@ -293,7 +298,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
 
     linked = stored(dealt.mapInArrow(compare, "a long, links long, b long"), "join-links")
     links = linked.groupBy("a").agg(F.sum("links").alias("links"))
-    labels = _labels(linked.select("a", "b"))
+    labels = stored_alone(spark, lambda: _labels(linked.select("a", "b")), "join-labels")
     # Components are labelled with class numbers; their least document id comes from the classes in them.
     named = stored(labels.join(classes.select(F.col("cls").alias("a"), "low", "low_hash").hint("merge"), "a"), "join-named")
     lows = named.groupBy("label").agg(F.min(F.struct("low", "low_hash")).alias("group_least"))
