@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, token_binary, topk, toxicity, warc
+from . import exact_dedup, line_dedup, merkle, mixing, neighbours, ngram_join, packing, quality, token_binary, topk, toxicity, vector_codes, warc
 from .common import crc32_mod, table
 
 
@@ -123,9 +123,70 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of all documents in a mixture of their sources. Null sources are one source, null texts have no tokens; no documents give no rows."""
     return mixing.mix(table(spark, sf_dir, "documents"), target_entropy=0.97, max_repeats=4.0).drop("text_hash")
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves of a Merkle tree, with proofs; every second one is held against a text without newlines. See merkle.manifest for nulls, ties and repeats; a null id isn't tampered with; no documents give no rows."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    text = F.col("text").cast("string")
+    tampered = F.when(crc32_mod(F.col("doc_id"), 2) == 0, F.translate(text, "\n", "")).otherwise(text)
+    held = {"tampered_leaf": merkle.digest([*(merkle.field(F.col(c)) for c in fields[:-1]), merkle.field(tampered)])}
+    rows = merkle.manifest(docs, fields, carry=held)
+    rows = rows.withColumn("folded_root", merkle.folded(F.col("tampered_leaf"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: Levels as lists: those of each source, then those over the sources. crc32 by shifting bits (-1 in the list of steps).
+OP11_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, n_chars, text, CASE WHEN (list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END) & 1) = 1 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+f AS (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM d),
+l AS (SELECT doc_id, coalesce('s:' || source, 'none') AS src, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS other FROM f),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+t AS (SELECT src, 0 AS lev, list(leaf ORDER BY pos) AS hs FROM r GROUP BY src UNION ALL
+  SELECT src, lev + 1, list_transform(range((len(hs) + 2) // 3), lambda i: sha256(array_to_string(hs[3 * i + 1 : 3 * i + 3], ''))) FROM t WHERE len(hs) > 1),
+s AS (SELECT src, lev AS height, hs[1] AS subroot, row_number() OVER (ORDER BY src) - 1 AS spos FROM t WHERE len(hs) = 1),
+g AS (SELECT 0 AS lev, list(subroot ORDER BY spos) AS hs FROM s UNION ALL
+  SELECT lev + 1, list_transform(range((len(hs) + 2) // 3), lambda i: sha256(array_to_string(hs[3 * i + 1 : 3 * i + 3], ''))) FROM g WHERE len(hs) > 1),
+a AS MATERIALIZED (SELECT src, lev, hs FROM t WHERE len(hs) > 1 UNION ALL SELECT src, height + lev, g.hs FROM s, g WHERE len(g.hs) > 1),
+w AS (SELECT r.doc_id, r.leaf, s.src, 0 AS lev, r.pos, s.spos, s.height, r.other AS node, '' AS proof FROM r JOIN s USING (src) UNION ALL
+  SELECT w.doc_id, w.leaf, w.src, w.lev + 1, p // 3, w.spos, w.height, sha256(array_to_string(hs[p - p % 3 + 1 : p], '') || node || array_to_string(hs[p + 2 : p - p % 3 + 3], '')),
+    proof || array_to_string(hs[p - p % 3 + 1 : p], '') || array_to_string(hs[p + 2 : p - p % 3 + 3], '')
+  FROM (SELECT w.*, a.hs, CASE WHEN w.lev = w.height THEN w.spos ELSE w.pos END AS p FROM w JOIN a ON w.src = a.src AND w.lev = a.lev) w)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM w JOIN s USING (src), (SELECT hs[1] AS root, lev AS over FROM g WHERE len(hs) = 1) WHERE w.lev = w.height + over
+"""
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as codes of 16 parts by codebooks of 64 entries. See vector_codes.compress for nulls, lengths, ties and repeats; no vectors give no rows."""
+    out, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return out.select("vec_id", vector_codes.code_text(F.col("code")).alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    """Every part against every entry, three times."""
+    near = """a{k} AS MATERIALIZED (SELECT vec_id, label, part, x, entry, d FROM (SELECT p.*, c.entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM p JOIN c{k} c ON p.part = c.part) QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1)"""
+    move = """c{n} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (
+  SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS x FROM (SELECT part, entry, j, sum(x[j]) AS s, count(*) AS n FROM a{k}, range(1, len(x) + 1) r(j) GROUP BY ALL) GROUP BY ALL) m ON c.part = m.part AND c.entry = m.entry)"""
+    steps = [near.format(k=0), move.format(k=0, n=1), near.format(k=1), move.format(k=1, n=2), near.format(k=2)]
+    return """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS x FROM v, range(16) r(part)),
+c0 AS MATERIALIZED (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+""" + ",\n".join(steps) + """,
+h AS (SELECT sha256(string_agg(CAST(x[j] AS VARCHAR), ',' ORDER BY part, entry, j)) AS h FROM c2, range(1, len(x) + 1) r(j)),
+e AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM e, h
+"""
+
+def op13_near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth embedding among all. See neighbours.neighbours for nulls, lengths, ties and repeats; no vectors give no rows. Approximate by its method: no SQL, tests hold it against brute force."""
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20, recall=0.95)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_line_dedup, op3_warc, op4_quality, op5_exact_dedup, op6_best_fit_packing, op7_token_binary, op8_top_k_search, op9_ngram_join, op10_mixing)
+    for f in (op1_toxicity, op2_line_dedup, op3_warc, op4_quality, op5_exact_dedup, op6_best_fit_packing, op7_token_binary, op8_top_k_search, op9_ngram_join, op10_mixing, op11_merkle_manifest, op12_vector_codes, op13_near_neighbours)
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_top_k_search": OP8_SQL, "op9_ngram_join": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_top_k_search": OP8_SQL, "op9_ngram_join": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_vector_codes": _op12_sql()}
