@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pose import CORNER_SIGNS, Quat, Vec, conjugate, matrix, multiply, normalized, project, visible
+from ..session import on_workers
+from .checks import required
 
 
 def computed(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -19,12 +21,12 @@ def computed(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def labelled(annotations: DataFrame, categories: DataFrame, keep_unmapped: bool = False) -> DataFrame:
-    """Annotations with label, category id and group. Unmapped categories go, or keep their raw name as label.
+    """Annotations with label, category id and group. Unmapped categories go, or keep their raw name as label; unknown ones are an error.
 
     Categories are a stored or literal table, whose size Spark knows: it broadcasts them where they are small.
     """
-    dim = categories.select("category_token", "name", "category_name", F.col("id").alias("category_id"), "category_group")
-    joined = annotations.join(dim, "category_token")
+    dim = categories.select("category_token", "name", "category_name", F.col("id").alias("category_id"), "category_group", F.lit(True).alias("_known"))
+    joined = required(annotations.join(dim, "category_token", "left"), {"_known": ("category", "category_token")}, "instance_token")
     joined = joined if keep_unmapped else joined.where("category_name IS NOT NULL")
     return joined.withColumn("label", F.coalesce("category_name", "name")).drop("category_name")
 
@@ -44,13 +46,15 @@ def _turned_back(rows: DataFrame, pose: str, point: Vec) -> Vec:
 def to_ego(boxes: DataFrame) -> DataFrame:
     """Global boxes (c., q., v.) in the ego frame of their row's pose (e., normalized): bx.. centre, bqw.. rotation, bvx, bvy velocity.
 
+    Velocities may be three-dimensional (a column vz): then bvz comes too; else they are taken as level, and cut back.
     Boxes without a centre or rotation have no place and go; a missing velocity stays missing.
     """
     placed = boxes.dropna(subset=[*("c" + n for n in "xyz"), *("q" + n for n in "wxyz"), *("eq" + n for n in "wxyz"), *("et" + n for n in "xyz")])
     center = _turned_back(placed, "e", Vec.of("c").minus(Vec.of("et")))
-    speed = _turned_back(placed, "e", Vec(F.col("vx"), F.col("vy"), F.lit(0.0)))
+    level = "vz" not in boxes.columns
+    speed = _turned_back(placed, "e", Vec(F.col("vx"), F.col("vy"), F.lit(0.0) if level else F.col("vz")))
     turned = multiply(conjugate(Quat.of("eq")), Quat.of("q"))
-    rows = computed(placed, **center.named("b"), **turned.named("_r"), bvx=speed.x, bvy=speed.y)
+    rows = computed(placed, **center.named("b"), **turned.named("_r"), bvx=speed.x, bvy=speed.y, **({} if level else {"bvz": speed.z}))
     return computed(rows, **normalized(Quat.of("_r")).named("bq")).drop(*("_r" + n for n in "wxyz"))
 
 
@@ -174,6 +178,7 @@ def boxes_2d(rows: DataFrame, k: tuple[float, float, float, float], near: float
     plane count as in front. Sizes must be positive. Arrow batches of boxes go through numpy: as columns, the 27 segments of
     a box are arrays of structs that Spark interprets one by one.
     """
+    on_workers(rows.sparkSession)
     inputs = [*("p" + n for n in "xyz"), *(f"h{axis}{n}" for axis in "abc" for n in "xyz"), "width", "height"]
 
     @F.pandas_udf("x0 double, y0 double, x1 double, y1 double")

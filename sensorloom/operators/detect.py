@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import on_workers
+from .grouped import starts, whole_groups
+
 
 def canonical_label(label: Column) -> Column:
     """Lower case, white space stripped, trailing full stops stripped."""
@@ -71,22 +78,119 @@ def iou(a: Column, b: Column) -> Column:
     return w * h / (area(a) + area(b) - w * h)
 
 
+def survivors(boxes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of some boxes (n, 4), best first, stay: one goes if a better one that stays overlaps it by more than threshold.
+
+    An alive flag for each box; every box that stays clears the flags of those behind it at once.
+    """
+    x0, y0, x1, y1 = np.ascontiguousarray(boxes.T)
+    area = (x1 - x0) * (y1 - y0)
+    alive = np.ones(len(boxes), bool)
+    behind = np.arange(len(boxes))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        while len(behind):
+            k, behind = behind[0], behind[1:]
+            w = np.maximum(np.minimum(x1[k], x1[behind]) - np.maximum(x0[k], x0[behind]), 0)
+            lap = w * np.maximum(np.minimum(y1[k], y1[behind]) - np.maximum(y0[k], y0[behind]), 0)
+            gone = lap / (area[k] + area[behind] - lap) > threshold
+            alive[behind[gone]] = False
+            behind = behind[~gone]
+    return alive
+
+
+def _suppressed(rows: DataFrame, keys: list[str], levels: Sequence[tuple[str | None, float]]) -> DataFrame:
+    """Rows sorted by keys and rank inside partitions -> those that stay. levels: (column whose values stand apart, threshold), in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, keys):
+            boxes = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1")])
+            edges = [*starts(batch, keys).tolist(), batch.num_rows]
+            parts = {c: batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c, _ in levels if c is not None}
+            stay = np.ones(batch.num_rows, bool)
+            for a, b in zip(edges, edges[1:], strict=False):
+                for column, threshold in levels:
+                    own = a + np.flatnonzero(stay[a:b])
+                    for label in np.unique(parts[column][own]) if column is not None else (None,):
+                        some = own if column is None else own[parts[column][own] == label]
+                        if len(some) > 1:
+                            stay[some] = survivors(boxes[some], threshold)
+            yield batch.filter(pa.array(stay))
+
+    on_workers(rows.sparkSession)
+    return rows.mapInArrow(run, rows.schema)
+
+
 def suppress(boxes: DataFrame, keys: list[str], threshold: float, score: str = "score", tie: str = "query_idx") -> DataFrame:
     """Greedy non-maximum suppression within keys: best score first, a box goes if a kept one overlaps it by more than threshold.
 
-    Each group is one array folded in its task; a group is one frame's detections, bounded by the detector's queries.
+    Groups are sorted runs of packed coordinates in Arrow batches; a group is one frame's detections, bounded by the
+    detector's queries.
+    """
+    ranked = boxes.repartition(*keys).sortWithinPartitions(*keys, F.desc(score), tie)
+    return _suppressed(ranked, keys, [(None, threshold)])
+
+
+#: A prompt's labels by group: (number, first token, end token).
+Prompt = dict[str, list[tuple[int, int, int]]]
+
+
+def best_in_groups(detections: DataFrame, prompt: Prompt, logits: str = "logits", group: str = "category_group") -> DataFrame:
+    """Each query once for each group of the prompt: its best label there (the first of equals) and that label's score.
+
+    A prompt is a parameter of some hundred tokens at most, so spans are constants of the plan: nothing is joined or moved.
     """
-    rest = [c for c in boxes.columns if c not in keys]
-    item = F.struct((-F.col(score)).alias("_rank"), F.col(tie).alias("_tie"), *rest)
-    grouped = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    fold = F.aggregate("_all", F.filter("_all", lambda x: F.lit(False)), lambda kept, b: F.when(F.exists(kept, lambda k: iou(k, b) > threshold), kept).otherwise(F.concat(kept, F.array(b))))
-    return grouped.select(*keys, F.explode(fold).alias("_b")).select(*keys, *(F.col("_b")[c].alias(c) for c in rest))
+    probability = F.transform(logits, lambda x: 1 / (1 + F.exp(-x.cast("double"))))
+
+    def best(spans: list[tuple[int, int, int]]) -> Column:
+        found = []
+        for number, first, end in spans:
+            if end > first:
+                tokens = F.slice("_p", first + 1, end - first)
+                score = F.aggregate(tokens, F.lit(0.0), lambda a, x: a + x) / F.size(tokens)
+                found.append(F.struct(F.round(score, 12).alias("rank"), F.lit(-number).alias("last"), score.alias("score")))
+        return F.array_max(F.array(*found))
+
+    rows = detections.withColumn("_p", probability)
+    groups = [F.struct(F.lit(name).alias(group), best(spans).alias("_best")) for name, spans in prompt.items() if any(end > first for _, first, end in spans)]
+    rows = rows.select(*detections.columns, F.inline(F.array(*groups)))
+    return rows.select(*detections.columns, group, (-F.col("_best.last")).alias("label_idx"), F.col("_best.rank").alias("score"))
+
+
+def detect(detections: DataFrame, prompt: Prompt, thresholds: dict[str, list[float]], keys: list[str], size: tuple[int, int], same: float = 0.6, cross: float = 0.85, query: str = "query_idx") -> DataFrame:
+    """Raw detector output (keys, query, logits, cx, cy, w, h) -> boxes in pixels for each group and each of its score thresholds.
+
+    Scores are the labels' mean token probabilities to twelve places; boxes strictly over a threshold are clamped, suppressed
+    among their label, then among their group, and scaled to the image. Rows: keys, category_group, threshold_idx, query,
+    label_idx, score, x0, y0, x1, y1.
+
+    A box that a higher threshold drops has a lower score than all that stay, so it suppressed none of them: what stays at a
+    threshold is what stays at the lowest one, above it. So boxes move and are suppressed once, for all thresholds together.
+    """
+    group = "category_group"
+    cuts = {g: sorted(enumerate(t), key=lambda p: p[1]) for g, t in thresholds.items() if t and g in prompt}
+    least = F.lit(None).cast("double")
+    for g, own in cuts.items():
+        least = F.when(F.col(group) == g, own[0][1]).otherwise(least)
+    rows = best_in_groups(detections.select(*keys, query, "logits", "cx", "cy", "w", "h"), {g: prompt[g] for g in cuts})
+    rows = corners_clamped(rows.where(F.col("score") > least)).select(*keys, group, query, "label_idx", "score", "x0", "y0", "x1", "y1")
+    frame = [*keys, group]
+    ranked = rows.repartition(*frame).sortWithinPartitions(*frame, F.desc("score"), query)
+    kept = _suppressed(ranked, frame, [("label_idx", same), (None, cross)])
+    every = F.array().cast("array<struct<threshold_idx:int,threshold:double>>")
+    for g, own in cuts.items():
+        every = F.when(F.col(group) == g, F.array(*(F.struct(F.lit(i).alias("threshold_idx"), F.lit(float(t)).alias("threshold")) for i, t in own))).otherwise(every)
+    passed = kept.withColumn("_t", F.explode(F.filter(every, lambda t: F.col("score") > t["threshold"])))
+    width, height = size
+    return passed.select(*frame, "_t.threshold_idx", query, "label_idx", "score", *((F.col(c) * n).alias(c) for c, n in (("x0", width), ("y0", height), ("x1", width), ("y1", height))))
 
 
 def swept(boxes: DataFrame, thresholds: DataFrame, key: str) -> DataFrame:
-    """Boxes at each of their group's thresholds, strictly above it. Thresholds meet boxes on the group, in one row for each group."""
+    """Boxes at each of their group's thresholds, strictly above it. Thresholds meet boxes on the group, in one row for each group.
+
+    Boxes come from exploded scores, so the join is set: groups and their thresholds are a parameter, a few rows.
+    """
     lists = thresholds.groupBy(key).agg(F.collect_list(F.struct("threshold_idx", "threshold")).alias("_t"))
-    return boxes.join(lists, key).withColumn("_t", F.explode("_t")).select("*", "_t.threshold_idx", "_t.threshold").drop("_t").where("score > threshold")
+    return boxes.join(lists.hint("shuffle_hash"), key).withColumn("_t", F.explode("_t")).select("*", "_t.threshold_idx", "_t.threshold").drop("_t").where("score > threshold")
 
 
 def group_index(rows: DataFrame, keys: list[str], group: str, order: list[str]) -> DataFrame:

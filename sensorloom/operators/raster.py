@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import on_workers, stored_table
 from .boxes import box_to_original
 
 
@@ -132,6 +133,7 @@ def morphology(bits: Column, width: Column, height: Column, sizes: list[float],
     ratio: sizes are parts of the mean side of the mask's bounding rectangle, rounded up. Pixels outside the image count for
     neither; an empty mask stays empty and null stays null. Each mask is one row's array, so nothing is shuffled.
     """
+    on_workers(SparkSession.active())
 
     @F.pandas_udf("array<boolean>")
     def run(masks: pd.Series, widths: pd.Series, heights: pd.Series) -> pd.Series:

@@ -6,29 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pose import Quat, matrix, normalized
+from .checks import required
 
 CAMERAS = ["CAM_FRONT", "CAM_FRONT_RIGHT", "CAM_BACK_RIGHT", "CAM_BACK", "CAM_BACK_LEFT", "CAM_FRONT_LEFT"]
 
 
 def with_sample_index(samples: DataFrame, scene: str = "scene_token", time: str = "sample_ts", token: str = "sample_token") -> DataFrame:
-    """Position of each sample in its scene by time, from 0; equal times by token."""
-    order = Window.partitionBy(scene).orderBy(time, token)
-    return samples.withColumn("sample_index", F.row_number().over(order) - 1)
+    """Position of each sample in its scene by time, from 0, equal times by token; and scene_samples, how many the scene has."""
+    own = Window.partitionBy(scene)
+    return samples.withColumns({"sample_index": F.row_number().over(own.orderBy(time, token)) - 1, "scene_samples": F.count("*").over(own).cast("int")})
+
+
+def scene_named(scenes: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
+    """The first scene of that name, as one row; no such scene is an error when the row is read."""
+    first = scenes.where(F.col("name") == name).agg(F.min(F.struct(*(order or ["token"]), *scenes.columns)).alias("_scene"))
+    found = F.coalesce("_scene", F.raise_error(F.lit(f"no scene is named {name}")).cast(first.schema["_scene"].dataType))
+    return first.select(found.alias("_scene")).select(*(F.col("_scene")[c].alias(c) for c in scenes.columns))
 
 
 def frames(sample_data: DataFrame, samples: DataFrame, ego_poses: DataFrame, sensors: DataFrame) -> DataFrame:
-    """One row per sensor record: sample index, ego pose (e...) and sensor pose and channel (s...).
+    """One row per sensor record of the samples: sample index, ego pose (e...) and sensor pose and channel (s...).
 
     The two large sides meet on their pose token by a shuffle; sensors are a fixed rig, a few rows that Spark broadcasts as
-    long as they are small. Rotations are normalized
-    here and turned into matrices (er00, ..., sr22), below the joins: what uses them must stay small, as the JVM doesn't
-    compile a method of over 8,000 bytes, and all steps between two shuffles are one method.
+    long as they are small. A record whose pose or sensor is missing is an error that names it (orphans() lists them).
+    Rotations are normalized here and turned into matrices (er00, ..., sr22), below the joins: what uses them must stay
+    small, as the JVM doesn't compile a method of over 8,000 bytes, and all steps between two shuffles are one method.
     """
     unit = normalized(Quat.of("q"))
     ego = ego_poses.select(F.col("token").alias("ego_pose_token"), *(c.alias(n) for n, c in unit.named("eq").items()), *(F.col(c).alias("e" + c) for c in ("tx", "ty", "tz")))
     rig = sensors.select(F.col("sensor_id").alias("calibrated_sensor_token"), "channel", *(c.alias(n) for n, c in unit.named("sq").items()), *(F.col(c).alias("s" + c) for c in ("tx", "ty", "tz")))
     ego, rig = (rows.withColumns({f"{p}r{i}{j}": c for i, row in enumerate(matrix(Quat.of(p + "q"))) for j, c in enumerate(row)}) for rows, p in ((ego, "e"), (rig, "s")))
-    return sample_data.join(with_sample_index(samples), "sample_token").join(ego, "ego_pose_token").join(rig, "calibrated_sensor_token")
+    found = sample_data.join(with_sample_index(samples), "sample_token").join(ego.withColumn("_pose", F.lit(True)), "ego_pose_token", "left").join(rig.withColumn("_rig", F.lit(True)), "calibrated_sensor_token", "left")
+    return required(found, {"_pose": ("ego pose", "ego_pose_token"), "_rig": ("calibrated sensor", "calibrated_sensor_token")}, "token")
+
+
+def orphans(sample_data: DataFrame, samples: DataFrame, ego_poses: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Records that point nowhere: token, missing (sample, ego_pose or calibrated_sensor), key; a row for each missing part."""
+    parts = (("sample", "sample_token", samples.select("sample_token")), ("ego_pose", "ego_pose_token", ego_poses.select(F.col("token").alias("ego_pose_token"))), ("calibrated_sensor", "calibrated_sensor_token", sensors.select(F.col("sensor_id").alias("calibrated_sensor_token"))))
+    found = sample_data
+    for name, key, known in parts:
+        found = found.join(known.distinct().withColumn("_" + name, F.lit(True)), key, "left")
+    lost = F.filter(F.array(*(F.when(F.col("_" + name).isNull(), F.struct(F.lit(name).alias("missing"), F.col(key).cast("string").alias("key"))) for name, key, _ in parts)), lambda m: m.isNotNull())
+    return found.select("token", F.explode(lost).alias("m")).select("token", "m.missing", "m.key")
 
 
 def strided(rows: DataFrame, every: int, scene: str = "scene_token") -> DataFrame:
@@ -60,20 +79,60 @@ def windows(scenes: DataFrame, size: int, stride: int, n: str = "n") -> DataFram
     return rows.withColumns({"window_end": end, "used_start": used_start, "used_end": used_end}).drop("_k")
 
 
-def window_frames(frame_rows: DataFrame, window_rows: DataFrame, scene: str = "scene_token") -> DataFrame:
-    """Each window's frames, with `used`; the scene is the join's key, the range its residual condition.
+def window_count(n: Column, size: int, stride: int) -> tuple[Column, Column]:
+    """How many windows a scene of n samples has whose start is a multiple of the stride, and how many in all."""
+    over = n - size
+    regular = F.when(over <= 0, 1).otherwise(F.floor(over / stride) + 1).cast("int")
+    return regular, regular + ((over > 0) & (over % stride != 0)).cast("int")
 
-    Windows are generated rows, whose size Spark can't tell, so the strategy is set: a scene's windows are fewer than its frames.
-    """
-    inside = (F.col("sample_index") >= F.col("window_start")) & (F.col("sample_index") < F.col("window_end"))
-    both = frame_rows.join(window_rows.hint("shuffle_hash"), scene).where(inside)
-    return both.withColumn("used", (F.col("sample_index") >= F.col("used_start")) & (F.col("sample_index") < F.col("used_end")))
+
+def window_bounds(window_id: Column, n: Column, size: int, stride: int) -> dict[str, Column]:
+    """Of a scene's window by its number: window_start, window_end, used_start, used_end (ends exclusive), as windows() gives them."""
+    _, count = window_count(n, size, stride)
+    left = (size - stride) // 2
+    start = F.least(window_id * stride, F.greatest(n - size, F.lit(0)))
+    end = F.least(start + size, n)
+    used_start = F.when(window_id == 0, start).otherwise(start + left)
+    used_end = F.when(window_id == count - 1, end).otherwise(F.least(start + left + stride, end))
+    return {"window_start": start, "window_end": end, "used_start": used_start, "used_end": used_end}
+
+
+def window_ids(index: Column, n: Column, size: int, stride: int) -> Column:
+    """The windows that hold a sample, by its position in a scene of n: ceil(size / stride) + 1 at most, ascending."""
+    if not 1 <= stride <= size:
+        raise ValueError("a stride is between 1 and the window's size")
+    regular, count = window_count(n, size, stride)
+    low = F.greatest(F.ceil((index - size + 1) / stride), F.lit(0)).cast("int")
+    high = F.least(F.floor(index / stride), regular - 1).cast("int")
+    none = F.array().cast("array<int>")
+    last = (count > regular) & (index >= n - size)
+    return F.concat(F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(none), F.when(last, F.array(regular)).otherwise(none))
+
+
+def in_windows(rows: DataFrame, size: int, stride: int, index: str = "sample_index", n: str = "scene_samples") -> DataFrame:
+    """Each row once for each window that holds its sample: window_id and `used`. Ids come from the position, so nothing is joined or moved."""
+    out = rows.withColumn("window_id", F.explode(window_ids(F.col(index), F.col(n), size, stride)))
+    own = window_bounds(F.col("window_id"), F.col(n), size, stride)
+    return out.withColumn("used", (F.col(index) >= own["used_start"]) & (F.col(index) < own["used_end"]))
+
+
+def used_window(rows: DataFrame, size: int, stride: int, index: str = "sample_index", n: str = "scene_samples") -> DataFrame:
+    """Each row once, with window_id, the first window that uses its sample; rows that none uses go."""
+
+    def uses(k: Column) -> Column:
+        own = window_bounds(k, F.col(n), size, stride)
+        return (F.col(index) >= own["used_start"]) & (F.col(index) < own["used_end"])
+
+    ids = window_ids(F.col(index), F.col(n), size, stride)
+    return rows.withColumn("window_id", F.array_min(F.filter(ids, uses))).where("window_id is not null")
 
 
-def used_once(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Each frame from the first window that uses it."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("window_id"))
-    return rows.where("used").withColumn("_r", rank).where("_r = 1").drop("_r")
+def window_stacks(rows: DataFrame, keys: list[str], order: list[str], parts: dict[str, Column], most: int) -> DataFrame:
+    """One row per key (a window of one camera): an array for each part, all in the same order, of at most `most` rows (more is an error)."""
+    item = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), *(c.alias(n) for n, c in parts.items()))
+    stacks = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    bounded = F.when(F.size("_all") <= most, F.col("_all")).otherwise(F.raise_error(F.lit(f"a window has over {most} rows")).cast(stacks.schema["_all"].dataType))
+    return stacks.select(*keys, bounded.alias("_all")).select(*keys, *(F.transform("_all", lambda x, n=n: x[n]).alias(n) for n in parts))
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

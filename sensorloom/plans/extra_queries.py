@@ -188,7 +188,7 @@ def _(fx):
 
 @query("a13_window_stacks", WIN.format(w=7, s=3, l=2) + SI + " SELECT scene_token, window_id, string_agg(CAST(sample_token AS VARCHAR), ',' ORDER BY sample_index) AS stack FROM si JOIN wi USING (scene_token) WHERE sample_index >= window_start AND sample_index < window_end GROUP BY 1, 2")
 def _(fx):
-    rows = S.window_frames(S.with_sample_index(fx.sample), scene_windows(fx, 7, 3))
+    rows = S.in_windows(S.with_sample_index(fx.sample), 7, 3)
     stack = F.array_sort(F.collect_list(F.struct("sample_index", "sample_token")))
     return rows.groupBy("scene_token", "window_id").agg(F.array_join(F.transform(stack, lambda s: s["sample_token"].cast("string")), ",").alias("stack"))
 
@@ -220,9 +220,9 @@ def _(fx):
     return same_label(fx).select("frame_id", "query_idx", F.row_number().over(order).alias("nth"))
 
 
-@query("c4_window_cloud", DEPTH + f", ord AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings) SELECT vec_id, {POINTS} FROM dp WHERE z <= 12 AND vec_id % 4 <> 0")
+@query("c4_window_cloud", DEPTH + f", ord AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings) SELECT vec_id, {POINTS} FROM dp WHERE z <= 12")
 def _(fx):
-    return R.depth_points(R.kept_pixels(raster(fx).where("vec_id % 4 <> 0"), cut_off=12.0), K8).select("vec_id", *rounded(x="x", y="y", z="z"))
+    return R.depth_points(R.kept_pixels(raster(fx), cut_off=12.0), K8).select("vec_id", *rounded(x="x", y="y", z="z"))
 
 
 # Each raster is the depth of one camera's frame: the sample by its number modulo the samples, the camera modulo six.
@@ -237,11 +237,11 @@ SELECT scene_token, window_id, token, vec_id, u, v, round(gx + etx, 6) + 0e0 AS
 
 @query("c4_all_window_cloud", C4)
 def _(fx):
-    used = S.used_once(S.window_frames(frames(fx), scene_windows(fx, 7, 3)), ["token"])
+    used = S.used_window(frames(fx), 7, 3)
     samples = F.broadcast(fx.sample.agg(F.count("*").alias("n_samples")))  # one row
     cloud = R.depth_points(R.kept_pixels(raster(fx), cut_off=30.0, sky=F.col("sky")), K8).crossJoin(samples)
     cloud = cloud.withColumn("token", (F.col("vec_id") % F.col("n_samples")) * 10 + F.col("vec_id") % 6)
-    rows = cloud.select("vec_id", "u", "v", "x", "y", "z", "token").join(used, "token")
+    rows = cloud.select("vec_id", "u", "v", "x", "y", "z", "token").join(used.hint("merge"), "token")  # pixels are exploded rows
     rows = rows.withColumns(Q.apply(Pose(Quat.of("sq"), Vec.of("st")), Vec.of("")).named("r"))
     p = Q.apply(Pose(Quat.of("eq"), Vec.of("et")), Vec.of("r"))
     return rows.select("scene_token", "window_id", "token", "vec_id", "u", "v", *rounded(x=p.x, y=p.y, z=p.z))

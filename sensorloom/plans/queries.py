@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detail_queries, extra_queries, raster_queries, scene_queries  # noqa: F401
+from . import chain_queries, detail_queries, extra_queries, raster_queries, scene_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

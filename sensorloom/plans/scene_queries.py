@@ -236,18 +236,17 @@ SI = ", si AS (SELECT *, row_number() OVER (PARTITION BY scene_token ORDER BY sa
 
 @query("j11_window_frames", WIN.format(w=7, s=3, l=2) + SI + " SELECT scene_token, window_id, sample_token, sample_index >= used_start AND sample_index < used_end AS used FROM si JOIN wi USING (scene_token) WHERE sample_index >= window_start AND sample_index < window_end")
 def _(fx):
-    return S.window_frames(S.with_sample_index(fx.sample), scene_windows(fx, 7, 3)).select("scene_token", "window_id", "sample_token", "used")
+    return S.in_windows(S.with_sample_index(fx.sample), 7, 3).select("scene_token", "window_id", "sample_token", "used")
 
 
 @query("w5_each_frame_once", WIN.format(w=13, s=9, l=2) + SI + " SELECT scene_token, sample_token, min(window_id) AS window_id FROM si JOIN wi USING (scene_token) WHERE sample_index >= used_start AND sample_index < used_end GROUP BY 1, 2")
 def _(fx):
-    rows = S.window_frames(S.with_sample_index(fx.sample), scene_windows(fx, 13, 9))
-    return S.used_once(rows, ["scene_token", "sample_token"]).select("scene_token", "sample_token", "window_id")
+    return S.used_window(S.with_sample_index(fx.sample), 13, 9).select("scene_token", "sample_token", "window_id")
 
 
 @query("a12_frame_rate", WIN.format(w=7, s=3, l=2) + SI + " SELECT scene_token, window_id, CASE WHEN count(*) > 1 AND max(sample_ts) > min(sample_ts) THEN round((count(*) - 1) * 1e6 / (epoch_us(max(sample_ts)) - epoch_us(min(sample_ts))), 9) END AS fps FROM si JOIN wi USING (scene_token) WHERE sample_index >= window_start AND sample_index < window_end GROUP BY 1, 2")
 def _(fx):
-    rows = S.window_frames(S.with_sample_index(fx.sample), scene_windows(fx, 7, 3))
+    rows = S.in_windows(S.with_sample_index(fx.sample), 7, 3)
     micros = F.expr("unix_micros(cast(sample_ts AS timestamp))")
     span = F.max(micros) - F.min(micros)
     rate = F.when((F.count("*") > 1) & (span > 0), F.round((F.count("*") - 1) * 1e6 / F.nullif(span, F.lit(0)), 9))
