@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import on_workers, stored_table
-from .boxes import box_to_original
+from . import masks
+from .boxes import box_to_original, computed
 
 
 def pixels(rows: DataFrame, values: str, width: int, keys: list[str], name: str = "value") -> DataFrame:
@@ -103,11 +104,27 @@ def eroded(mask_pixels: DataFrame, size: int, width: int, height: int, keys: lis
     return hits.where(F.col("n") == inside).drop("n")
 
 
-def voxels(points: DataFrame, size: float, keys: list[str]) -> DataFrame:
-    """Mean point per cell of the given side; cells start half a side below each cloud's least coordinates."""
-    low = points.groupBy(*keys).agg(*(F.min(c).alias("_" + c) for c in "xyz"))
-    cell = {f"i{c}": F.floor((F.col(c) - F.col("_" + c) + size / 2) / size).cast("long") for c in "xyz"}
-    return points.join(low.hint("merge"), keys).withColumns(cell).groupBy(*keys, "ix", "iy", "iz").agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("n_points"))
+#: Bits of a cell number on each axis of a packed key: clouds reach some two million cells each way.
+CELL_BITS = 21
+
+
+def voxels(points: DataFrame, size: float, keys: list[str], colours: tuple[str, ...] = ()) -> DataFrame:
+    """Mean point, and mean colours, per cell of the given side; cells start half a side below each cloud's least coordinates.
+
+    The cloud is stored, so it is computed once for its least coordinates and its cells; a cell is one packed 64-bit key, and
+    its sums merge in each task before anything moves. A cloud of over 2 ** 21 cells on an axis is an error.
+    """
+    cloud = stored_table(points.select(*keys, "x", "y", "z", *colours), "cloud")
+    low = stored_table(cloud.groupBy(*keys).agg(*(F.min(c).alias("_" + c) for c in "xyz")), "cloud-ends")
+    number = {c: F.floor((F.col(c) - F.col("_" + c) + size / 2) / size).cast("long") for c in "xyz"}
+    fits = number["x"] < 1 << CELL_BITS
+    for c in "yz":
+        fits = fits & (number[c] < 1 << CELL_BITS)
+    packed = F.when(fits, number["x"] * (1 << 2 * CELL_BITS) + number["y"] * (1 << CELL_BITS) + number["z"]).otherwise(F.raise_error(F.lit("a cloud has too many cells of this size")).cast("long"))
+    means = [F.avg(c).alias(c) for c in ("x", "y", "z", *colours)]
+    cells = cloud.join(low, keys).withColumn("_cell", packed).groupBy(*keys, "_cell").agg(*means, F.count("*").alias("n_points"))
+    part = lambda k: F.shiftright("_cell", k * CELL_BITS).bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+    return cells.select(*keys, part(2).alias("ix"), part(1).alias("iy"), part(0).alias("iz"), "x", "y", "z", *colours, "n_points")
 
 
 def _morphed(mask: np.ndarray, size: int) -> np.ndarray:
@@ -184,6 +201,26 @@ def instances_to_original(rows: DataFrame, original: tuple, crop: tuple | None =
     return rows.withColumn("mask", resized_nearest(F.col("mask"), F.col("_oh"), F.col("_ow"), F.col("ry1") - F.col("ry0"), F.col("rx1") - F.col("rx0"))).drop("_ow", "_oh")
 
 
+def run_instances_to_original(rows: DataFrame, crop: tuple[Column, ...], input_size: tuple[int, int], mask: str = "mask") -> DataFrame:
+    """Masks as runs in a resized crop (input_size) -> runs in the original image, with their region rx0, ry0, rx1, ry1 there.
+
+    The region becomes whole pixels outward, at least one wide and high; the mask is cut to its own region, resampled to the
+    new one, and moved to its place. No mask is written out in pixels. Masks are not empty.
+    """
+    rows = computed(rows, _r=masks.region(F.col(mask)))
+    own = tuple(F.col(f"_r.{c}") for c in ("x0", "y0", "x1", "y1"))
+    left, top, right, bottom = box_to_original(own, (1, 1), crop, input_size, False)
+    low = {"rx0": F.floor(left).cast("int"), "ry0": F.floor(top).cast("int")}
+    high = {"rx1": F.greatest(F.ceil(right), F.floor(left) + 1).cast("int"), "ry1": F.greatest(F.ceil(bottom), F.floor(top) + 1).cast("int")}
+    rows = computed(rows, **low, **high)
+    wide, tall = own[2] - own[0], own[3] - own[1]
+    new_wide, new_tall = F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0")
+    rows = computed(rows, _cut=masks.moved(F.col(mask), -own[0], -own[1], wide, tall), _w=wide, _h=tall, _nw=new_wide, _nh=new_tall)
+    rows = computed(rows, _new=masks.resized(F.col("_cut"), *(F.col(c) for c in ("_w", "_h", "_nw", "_nh"))))
+    placed = F.transform("_new", lambda r: F.struct((r["v"] + F.col("ry0")).alias("v"), (r["u0"] + F.col("rx0")).alias("u0"), (r["u1"] + F.col("rx0")).alias("u1")))
+    return rows.withColumn(mask, placed).drop("_r", "_cut", "_new", "_w", "_h", "_nw", "_nh")
+
+
 def in_masks(depth_pixels: DataFrame, mask_pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Depth pixels in each mask of their frame (mask_id): a pixel in two masks comes twice."""
     return depth_pixels.join(mask_pixels.select(*keys, "mask_id", "u", "v").hint("merge"), [*keys, "u", "v"])
@@ -199,8 +236,22 @@ def coloured_points(rows: DataFrame, depth: str, colours: str, width: int, heigh
     return depth_points(pixel, (*focal, width / 2, height / 2))
 
 
-def compared_clouds(pseudo: DataFrame, measured: DataFrame, keys: list[str], voxel: float | None = None) -> DataFrame:
-    """Both clouds (x, y, z) tagged with their source; with a voxel size, the mean points of each source's cells."""
-    parts = [cloud.select(*keys, F.lit(name).alias("source"), "x", "y", "z") for cloud, name in ((pseudo, "pseudo"), (measured, "measured"))]
+#: Colours of compared clouds, from 0 to 1 (fixed values).
+CLOUD_COLOURS = {"pseudo": (1.0, 0.0, 0.0), "measured": (0.117647, 0.564706, 1.0)}
+
+
+def compared_clouds(pseudo: DataFrame, measured: DataFrame, keys: list[str], voxel: float | None = None, coloured: bool = False) -> DataFrame:
+    """Both clouds (x, y, z) tagged with their source; with a voxel size, the mean points of each source's cells.
+
+    coloured: with their sources' colours; then a voxel's points of both clouds are one cell of mean colour, with the number of each.
+    """
+    colour = lambda name: [F.lit(v).alias(c) for c, v in zip(("red", "green", "blue"), CLOUD_COLOURS[name], strict=True)]
+    parts = [cloud.select(*keys, F.lit(name).alias("source"), "x", "y", "z", *(colour(name) if coloured else [])) for name, cloud in (("pseudo", pseudo), ("measured", measured))]
     both = parts[0].unionByName(parts[1])
-    return both if voxel is None else voxels(both, voxel, [*keys, "source"])
+    if voxel is None:
+        return both
+    if not coloured:
+        return voxels(both, voxel, [*keys, "source"])
+    cells = voxels(both.withColumn("_pseudo", (F.col("source") == "pseudo").cast("double")), voxel, keys, ("red", "green", "blue", "_pseudo"))
+    n_pseudo = F.round(F.col("_pseudo") * F.col("n_points")).cast("long")
+    return cells.withColumns({"n_pseudo": n_pseudo, "n_measured": F.col("n_points") - n_pseudo}).drop("_pseudo")
