@@ -178,20 +178,47 @@ def boxes_2d(rows: DataFrame, k: tuple[float, float, float, float], near: float
     plane count as in front. Sizes must be positive. Arrow batches of boxes go through numpy: as columns, the 27 segments of
     a box are arrays of structs that Spark interprets one by one.
     """
+    found = _with_extents(rows.where((F.col("sl") > 0) & (F.col("sw") > 0) & (F.col("sh") > 0)), k, near, F.lit(True))
+    return found.where(_large(min_size)).select(*(c for c in found.columns if c != "_box"), "_box.*")
+
+
+def _large(min_size: float) -> Column:
+    box = {c: F.col(f"_box.{c}") for c in ("x0", "y0", "x1", "y1")}
+    return (box["x1"] - box["x0"] >= min_size) & (box["y1"] - box["y0"] >= min_size) & ~F.isnan(box["x0"])
+
+
+def _with_extents(rows: DataFrame, k: tuple[float, float, float, float], near: float, only: Column) -> DataFrame:
+    """Adds camera_axes and _box (x0, y0, x1, y1; NaN where nothing is seen, or `only` is false)."""
     on_workers(rows.sparkSession)
     inputs = [*("p" + n for n in "xyz"), *(f"h{axis}{n}" for axis in "abc" for n in "xyz"), "width", "height"]
 
     @F.pandas_udf("x0 double, y0 double, x1 double, y1 double")
-    def extents(*columns: pd.Series) -> pd.DataFrame:
-        v = np.column_stack([c.to_numpy(float) for c in columns])
+    def extents(wanted: pd.Series, *columns: pd.Series) -> pd.DataFrame:
+        some = wanted.fillna(False).to_numpy(bool)
+        v = np.column_stack([c.to_numpy(float) for c in columns])[some]
+        out = np.full((len(some), 4), np.nan)
         with np.errstate(all="ignore"):
-            found = _seen_extents(v[:, :3], v[:, 3:12].reshape(-1, 3, 3), v[:, 12:14], k, near)
-        return pd.DataFrame(found, columns=["x0", "y0", "x1", "y1"])
+            out[some] = _seen_extents(v[:, :3], v[:, 3:12].reshape(-1, 3, 3), v[:, 12:14], k, near)
+        return pd.DataFrame(out, columns=["x0", "y0", "x1", "y1"])
+
+    rows = camera_axes(rows)
+    return rows.withColumn("_box", extents.asNondeterministic()(only, *inputs))  # so that a filter doesn't run it again
 
-    rows = camera_axes(rows.where((F.col("sl") > 0) & (F.col("sw") > 0) & (F.col("sh") > 0)))
-    found = rows.withColumn("_box", extents.asNondeterministic()(*inputs))  # so that a filter doesn't run it again
-    large = (F.col("_box.x1") - F.col("_box.x0") >= min_size) & (F.col("_box.y1") - F.col("_box.y0") >= min_size) & ~F.isnan("_box.x0")
-    return found.where(large).select(*rows.columns, "_box.*")
+
+def box_stages(frame_rows: DataFrame, annotations: DataFrame, categories: DataFrame, k: tuple[float, float, float, float], near: float = 0.1, min_size: float = 1.0) -> DataFrame:
+    """Every annotation in every frame of its sample, with how far it comes: mapped, in_view (and mapped), projected (and in view).
+
+    The stages are flags of rows that are made once, not filters of passes of their own.
+    """
+    rows = to_camera(to_ego(frame_boxes(frame_rows, labelled(annotations, categories, keep_unmapped=True))), Vec.of("b"))
+    p = Vec.of("p")
+    u, v = project(p, k)
+    # Behind the camera there is no pixel; the division waits for the test.
+    ahead = F.when(p.z > near, visible(p, u, v, F.col("width"), F.col("height"), near)).otherwise(False)
+    rows = computed(rows, mapped=F.col("category_id").isNotNull(), in_view=F.coalesce(F.col("category_id").isNotNull() & ahead, F.lit(False)))
+    sized = (F.col("sl") > 0) & (F.col("sw") > 0) & (F.col("sh") > 0)
+    found = _with_extents(rows, k, near, F.col("in_view") & sized)
+    return found.withColumn("projected", F.coalesce(_large(min_size), F.lit(False))).drop("_box")
 
 
 def wireframe(rows: DataFrame, k: tuple[float, float, float, float], near: float = 0.1) -> DataFrame:

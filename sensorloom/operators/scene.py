@@ -19,7 +19,8 @@ def with_sample_index(samples: DataFrame, scene: str = "scene_token", time: str
 
 def scene_named(scenes: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
     """The first scene of that name, as one row; no such scene is an error when the row is read."""
-    first = scenes.where(F.col("name") == name).agg(F.min(F.struct(*(order or ["token"]), *scenes.columns)).alias("_scene"))
+    key = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order or ["token"])), F.struct(*scenes.columns).alias("row"))
+    first = scenes.where(F.col("name") == name).agg(F.min(key)["row"].alias("_scene"))
     found = F.coalesce("_scene", F.raise_error(F.lit(f"no scene is named {name}")).cast(first.schema["_scene"].dataType))
     return first.select(found.alias("_scene")).select(*(F.col("_scene")[c].alias(c) for c in scenes.columns))
 
@@ -132,7 +133,7 @@ def window_stacks(rows: DataFrame, keys: list[str], order: list[str], parts: dic
     item = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), *(c.alias(n) for n, c in parts.items()))
     stacks = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
     bounded = F.when(F.size("_all") <= most, F.col("_all")).otherwise(F.raise_error(F.lit(f"a window has over {most} rows")).cast(stacks.schema["_all"].dataType))
-    return stacks.select(*keys, bounded.alias("_all")).select(*keys, *(F.transform("_all", lambda x, n=n: x[n]).alias(n) for n in parts))
+    return stacks.select(*keys, bounded.alias("_all")).select(*keys, *(F.col(f"_all.{n}").alias(n) for n in parts))
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
