@@ -5,8 +5,9 @@ are) is bisected until the weights meet a target entropy or no source repeats mo
 times the token budget is then realised as a permutation of its blocks: whole passes over all blocks, and of one more pass
 as many blocks as the budget holds, the last block in part.
 
-Blocks are dealt by hash within a source and hold about BLOCK_DOCS documents however large the source, and a source's blocks
-stand in chunks of about CHUNK_BLOCKS, so no step gathers a source. Sources are a table too: the driver sees sums over it.
+Blocks are dealt by a hash of the stored row's number within a source, so equal rows spread too; they hold about BLOCK_DOCS
+documents however large the source, and a source's blocks stand in chunks of about CHUNK_BLOCKS, so no step gathers a source.
+Passes are made by ranges of RANGE. Sources are a table too: the driver sees sums over it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import fresh_name, stored
 
 BLOCK_DOCS, CHUNK_BLOCKS = 1_000, 1_000
+#: Passes over a block that are made in one row.
+RANGE = 4_096
 #: Up to so many sources (some 100 bytes each) are broadcast to the documents; more are joined by SALTS parts of each.
 BROADCAST_SOURCES, SALTS = 200_000, 64
 #: Exponents tried in one pass over the sources, and passes: the interval shrinks by STEPS + 1 in each.
@@ -90,6 +93,8 @@ def token_count(text: Column) -> Column:
 def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None = 0.97, max_repeats: float | None = 4.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per taken copy of a document: doc_id, source, n_tokens, copy (0 for the first pass), block, place, text_hash.
 
+    Blocks depend on where rows are stored, so two runs may mix in another order; what each source gets is the same.
+
     budget: tokens of the mixture, by default the least that takes every source whole at least once. place, in (0, 1], is
     where a copy stands in the mixture: sorted by it, any stretch holds the sources in their weights. A source's budget is
     met to within the document that reaches it. A first pass that the budget covers takes all documents, also those without
@@ -97,7 +102,7 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _source(source_col).alias("src"), token_count(F.col(text_col).cast("string")).alias("n_tokens"), _text_hash(text_col).alias("text_hash"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _source(source_col).alias("src"), token_count(F.col(text_col).cast("string")).alias("n_tokens"), _text_hash(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("turn"))
     rows = stored(rows, "mix-rows")
     sources = stored(rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "mix-sources")
     at = solve(sources, budget, target_entropy, max_repeats)
@@ -106,8 +111,8 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     whole = F.lit(float(at.cover if budget is None else budget))
     plan = stored(sources.select("src", F.ceil(F.col("docs") / BLOCK_DOCS).alias("n_blocks"), F.round(share * whole).cast("long").alias("want"), F.col("tokens").alias("have")), "mix-plan")
 
-    # A document's block and its order there come from hashes of its own; blocks are permuted anew in each pass.
-    mixed_rows = rows.withColumn("mix", F.xxhash64("doc_id", "src", "text_hash", F.lit(seed)))
+    # A document's block and its order there come from hashes of its stored row; blocks are permuted anew in each pass.
+    mixed_rows = rows.withColumn("mix", F.xxhash64("doc_id", "src", "text_hash", "turn", F.lit(seed))).drop("turn")
     if plan.count() <= BROADCAST_SOURCES:
         keyed = mixed_rows.join(F.broadcast(plan), "src")
     else:  # a source that many documents have is spread over SALTS tasks
@@ -115,8 +120,11 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
         keyed = mixed_rows.withColumn("salt", F.pmod("mix", F.lit(SALTS))).join(parts.hint("merge"), ["src", "salt"]).drop("salt")
     keyed = keyed.withColumn("block", F.pmod("mix", "n_blocks")).withColumn("shuffled", F.xxhash64("mix", F.lit(seed + 1)))
     blocks = keyed.groupBy("src", "block").agg(F.sum("n_tokens").alias("size"), *(F.first(c).alias(c) for c in ("want", "have", "n_blocks")))
-    passes = F.when(F.col("have") > 0, F.ceil(F.col("want") / F.greatest("have", F.lit(1)))).otherwise(1).cast("int")
-    passed = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1)))
+    # A small source may take very many passes: first a row for each range of them, spread over tasks, then a row for each.
+    passes = F.greatest(F.when(F.col("have") > 0, F.ceil(F.col("want") / F.greatest("have", F.lit(1)))).otherwise(1), F.lit(1)).cast("long")
+    ranges = blocks.withColumn("passes", passes).withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("passes") - 1) / RANGE))))
+    ranges = ranges.repartition("src", "block", "range")
+    passed = ranges.withColumn("copy", F.explode(F.sequence(F.col("range") * RANGE, F.least((F.col("range") + 1) * RANGE, F.col("passes")) - 1))).drop("passes", "range")
     # Narrow rows, one per BLOCK_DOCS documents and pass, in the order of a hash. Leading bits of it make chunks.
     chunks = F.ceil(F.col("n_blocks") / CHUNK_BLOCKS)
     turn = F.xxhash64("block", "copy", F.lit(seed + 2))
@@ -155,7 +163,7 @@ def _text_hash(text_col: str) -> Column:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs, as often as mix() takes them, with all their columns.
 
-    Rows equal in id, source and text are taken together. Null ids, sources and texts, empty texts and empty tables are as in
+    Rows equal in id, source and text are taken together, as often as any of them is. Null ids, sources and texts, empty texts and empty tables are as in
     mix(); columns may have any names.
     """
     takes = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)

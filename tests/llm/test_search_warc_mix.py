@@ -208,3 +208,55 @@ def test_mixed_rows(spark):
     assert {(r.doc_id, r.text) for r in out.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
     assert mixing.mixed(docs.limit(0), target_entropy=None, max_repeats=2.0).count() == 0
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_equal_rows_spread_over_blocks(spark):
+    """6,000 rows alike, ids null, are six blocks of about a thousand, not one; each is taken once."""
+    docs = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same words here").alias("text"), F.lit("s").alias("source"))
+    sizes = [r["count"] for r in mixing.mix(docs).groupBy("block").count().collect()]
+    assert len(sizes) == 6 and sum(sizes) == 6000 and max(sizes) < 1300
+
+
+def test_very_many_passes(spark):
+    """A one-word source beside large ones, without a limit on repeats: passes are ranges, and each pass takes the word once."""
+    rows = [(i, "word " * 400, f"s{i % 3}") for i in range(300)] + [(1000, "word", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, target_entropy=1.0, max_repeats=None)
+    tiny = out.where("source = 'tiny'").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("copies"), F.min("copy").alias("low"), F.max("copy").alias("high"), F.sum("n_tokens").alias("tokens")).first()
+    other = out.where("source = 's1'").agg(F.sum("n_tokens")).first()[0]
+    assert tiny.n == tiny.copies == tiny.high + 1 == tiny.tokens and tiny.low == 0 and tiny.n > mixing.RANGE
+    assert abs(tiny.tokens - other) <= 400
+
+
+def plain_mix(rows, exponent, cover_budget):
+    """Of each source: its tokens and the wanted ones, from plain sums."""
+    tokens = Counter()
+    for _, text, source in rows:
+        tokens[source] += len((text or "").split())
+    shares = weights({str(s): n for s, n in tokens.items()}, exponent)
+    return {s: (n, round(shares[str(s)] * cover_budget)) for s, n in tokens.items()}
+
+
+def test_mix_rows_are_whole_passes_and_one_part(spark):
+    """Every document comes once a whole pass, and the last pass ends with the document that reaches the source's budget."""
+    rows = mix_rows()
+    out = mixing.mix(corpus(spark, rows), target_entropy=None, max_repeats=3.0)
+    named = Counter()
+    for _, text, source in rows:
+        named[str(source)] += len((text or "").split())
+    most = lambda e: (w := weights(named, e)) and max(w[s] * cover(named, w) / n for s, n in named.items() if n)
+    exponent = least_exponent(lambda e: most(e) <= 3.0)
+    plan = plain_mix(rows, exponent, cover(named, weights(named, exponent)))
+    words = {(d, s): len((t or "").split()) for d, t, s in rows}
+    per = defaultdict(lambda: defaultdict(list))
+    for r in out.collect():
+        per[r.source][r.copy].append(r)
+    for source, (have, want) in plan.items():
+        copies = per[source]
+        ids = sorted(((d, s) for d, _, s in rows if s == source), key=str)
+        whole = want // have if have else 1
+        for copy in range(min(whole, max(copies) + 1)):
+            if copy < whole:
+                assert sorted(((r.doc_id, r.source) for r in copies[copy]), key=str) == ids, (source, copy)
+        taken = sum(r.n_tokens for own in copies.values() for r in own)
+        assert abs(taken - want) <= max(words[k] for k in ids) + 1, source
