@@ -43,9 +43,12 @@ CATEGORIES = [
 ]
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A record table; one JSON array per file can't be split, so convert to Parquet once with convert_tables."""
-    return spark.read.schema(SCHEMAS[name]).option("multiLine", True).json(f"{folder}/{name}.json")
+def read_table(spark: SparkSession, folder: str, name: str, parts: bool = False) -> DataFrame:
+    """A record table; one JSON array per file can't be split, so convert to Parquet once with convert_tables.
+
+    parts: the table is a folder of such files.
+    """
+    return spark.read.schema(SCHEMAS[name]).option("multiLine", True).json(f"{folder}/{name}" + ("" if parts else ".json"))
 
 
 def convert_tables(spark: SparkSession, folder: str, out: str) -> None:
