@@ -11,6 +11,9 @@ the product of the levels' chances, which gives the number of runs for the targe
 * Buckets with the same members are compared once. A pair that meets in several buckets is counted in the first only.
 * Comparing gives each set its number of links and a local group, never the pairs. Large buckets are compared in block pairs.
 * Groups are the connected components of all links, found by label propagation over narrow rows.
+* Where only groups are asked for, a large bucket isn't compared in all block pairs: each set is compared within two blocks,
+  dealt by different hashes, which joins near copies to one component in linear work. Then only sets outside their bucket's
+  largest component are compared with the rest of it, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name, on_workers, partitions, spread_join, stored, stored_alone
@@ -217,6 +220,16 @@ def _asked(chosen: DataFrame, classes: DataFrame, runs: int) -> DataFrame:
     return lists.join(classes.hint("merge"), "cls")
 
 
+def _outside(asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, cls) of the members of large buckets that aren't in the bucket's largest component so far."""
+    members = asked.select("cls", F.explode("buckets").alias("b")).where(F.col("b.m") > BLOCK).select("cls", F.col("b.key").alias("key"))
+    named = members.join(labels.withColumnsRenamed({"a": "cls"}).hint("merge"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = stored(named, "join-members")
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = stored(sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "join-largest")
+    return stored(spread_join(named, largest, "key", "inner").where("label <> main").select("key", "cls"), "join-outside")
+
+
 def _labels(edges: DataFrame) -> DataFrame:
     """(a, b) -> (a, label): the least id of each connected component, by minimum over neighbours and pointer jumping."""
     # All of a large component have one label, so joins on labels are spread.
@@ -232,11 +245,12 @@ def _labels(edges: DataFrame) -> DataFrame:
         labels = new.select("a", "label")
 
 
-def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """One row per input row: doc_id, class_id, group_id, n_links, n_shingles, and hashes of its text and of its group's least row.
 
     Words are maximal runs of word characters in lower case. class_id: the least id among rows with the same shingle set.
-    n_links: other rows whose sets have Jaccard similarity of at least threshold (copies count). group_id: the least id that
+    n_links: other rows whose sets have Jaccard similarity of at least threshold (copies count); without `counts` it is null,
+    and the same groups are found in work that grows with a dense bucket's size, not its square. group_id: the least id that
     links lead to. Texts without words (null, empty) link to nothing and are their own class and group. Rows that repeat an
     id are rows like any others; null ids count as less than all others in the work and come back as null. Other columns are
     ignored. An empty table gives no rows.
@@ -268,9 +282,6 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
 
     asked = stored_alone(spark, lambda: _asked(chosen, classes, runs), "join-asked")
 
-    # The sets of classes in some bucket, from their texts, then to the tasks that compare them.
-    texts = hashed.join(asked.withColumnsRenamed({"low": "doc", "low_hash": "text_hash"}).hint("merge"), ["doc", "text_hash"])
-
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in batches:
@@ -279,13 +290,15 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
                 own = pa.array([_fingerprint(s) == (mark, cls) for s, mark, cls in zip(sets, some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)], pa.bool_())
                 yield pa.record_batch([*some.columns[2:], pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "copies", "buckets", "tokens"]).filter(own)
 
-    sets = texts.select("text", "mark", "cls", "copies", "buckets").mapInArrow(load, "cls long, copies long, buckets array<struct<key:long,m:long>>, tokens binary")
-    blocks = F.ceil(F.col("b.m") / BLOCK).cast("int")
-    spread = sets.select("cls", "copies", "tokens", F.transform("buckets", lambda b: b["key"]).alias("all_keys"), F.explode("buckets").alias("b"))
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("cls", "b.key"), blocks).cast("int"))
-    pairs = spread.select("cls", "copies", "tokens", "all_keys", "block", F.col("b.key").alias("key"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    tasks = pairs.select(F.col("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "copies", "tokens", "all_keys", "block")
-    dealt = tasks.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets of classes in some bucket, from their texts; a row for each bucket of theirs."""
+        texts = hashed.join(wanted.withColumnsRenamed({"low": "doc", "low_hash": "text_hash"}).hint("merge"), ["doc", "text_hash"])
+        sets = texts.select("text", "mark", "cls", "copies", "buckets").mapInArrow(load, "cls long, copies long, buckets array<struct<key:long,m:long>>, tokens binary")
+        keys = F.transform("buckets", lambda b: b["key"]) if counts else F.array().cast("array<long>")
+        return sets.select("cls", "copies", "tokens", keys.alias("all_keys"), F.explode("buckets").alias("b")).withColumns({"key": F.col("b.key"), "blocks": F.ceil(F.col("b.m") / BLOCK).cast("int")})
+
+    def block(salt: int) -> Column:
+        return F.pmod(F.xxhash64("cls", "key", *([F.lit(salt)] if salt else [])), F.col("blocks")).cast("int")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, i, j), own in _grouped(batches):
@@ -296,22 +309,50 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
                 if len(found[0]):
                     yield pa.record_batch([pa.array(c) for c in found], names=["a", "links", "b"])
 
-    linked = stored(dealt.mapInArrow(compare, "a long, links long, b long"), "join-links")
+    def compared(tasks: DataFrame) -> DataFrame:
+        """Rows (key, i, j, block, ...) to the tasks that compare them: all pairs where i = j, else those of different blocks."""
+        dealt = tasks.select("key", "i", "j", "cls", "copies", "tokens", "all_keys", "block").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return stored(dealt.mapInArrow(compare, "a long, links long, b long"), "join-links")
+
+    spread = sets_of(asked)
+    if counts:
+        pairs = spread.withColumn("block", block(0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        linked = compared(pairs.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}))
+    else:
+        # Two deals to blocks for large buckets, numbered one behind the other; a small bucket is one block.
+        deals = F.when(F.col("blocks") > 1, F.array(block(0), F.col("blocks") + block(1))).otherwise(F.array(block(0)))
+        linked = compared(spread.withColumn("block", F.explode(deals)).withColumns({"i": F.col("block"), "j": F.col("block")}))
     links = linked.groupBy("a").agg(F.sum("links").alias("links"))
     labels = stored_alone(spark, lambda: _labels(linked.select("a", "b")), "join-labels")
+    if not counts:
+        outside = _outside(asked, labels)
+        if not outside.isEmpty():
+            # Sets outside their bucket's largest component visit all its blocks, in visitors' blocks of their own.
+            parted = outside.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("visits"))
+            open_buckets = stored(asked.select("cls", F.explode("buckets").alias("b")).join(parted.hint("merge"), F.col("b.key") == F.col("key")).groupBy("cls").agg(F.collect_list("b").alias("open")), "join-open")
+            again = sets_of(asked.join(open_buckets.hint("merge"), "cls").withColumn("buckets", F.col("open")).drop("open"))
+            again = again.join(parted.hint("merge"), "key").join(outside.select("key", "cls", F.lit(True).alias("visits_all")).hint("merge"), ["key", "cls"], "left").withColumn("home", block(0))
+            stay = again.withColumn("j", F.explode(F.sequence(F.lit(1), "visits"))).withColumns({"i": F.col("home"), "block": F.lit(0)})
+            visitor = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("visits")).cast("int") + 1
+            visit = again.where("visits_all").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> home").withColumns({"j": visitor, "block": F.lit(1)})
+            tasks = stay.unionByName(visit).withColumn("j", F.col("j") + F.col("blocks"))  # never equal to i
+            more = compared(tasks)
+            labels = stored_alone(spark, lambda: _labels(labels.select("a", F.col("label").alias("b")).union(more.select("a", "b"))), "join-labels")
     # Components are labelled with class numbers; their least document id comes from the classes in them.
     named = stored(labels.join(classes.select(F.col("cls").alias("a"), "low", "low_hash").hint("merge"), "a"), "join-named")
     lows = named.groupBy("label").agg(F.min(F.struct("low", "low_hash")).alias("group_least"))
     grouped = spread_join(named.select("a", "label"), stored(lows, "join-lows"), "label", "inner").join(links.hint("merge"), "a", "left")
     about = stored(classes.join(grouped.withColumnRenamed("a", "cls").hint("merge"), "cls", "left").select(*keys, "low", "copies", F.coalesce("group_least.low", "low").alias("group_low"), F.coalesce("group_least.low_hash", "low_hash").alias("group_hash"), F.coalesce("links", F.lit(0)).alias("links")), "join-classes")
-    full = described.select("doc", "text_hash", "n", *keys).join(about.hint("merge"), keys, "left")
+    # One class may hold most rows, so this join is spread too.
+    one = F.struct(*keys)
+    full = spread_join(described.select("doc", "text_hash", "n", one.alias("both")), about.select(one.alias("both"), *(c for c in about.columns if c not in keys)), "both", "left")
     real = lambda c: F.when(c != _NO_ID, c)
     has = F.col("n") > 0
     return full.select(
         real(F.col("doc")).alias("doc_id"),
         real(F.when(has, F.col("low")).otherwise(F.col("doc"))).alias("class_id"),
         real(F.when(has, F.col("group_low")).otherwise(F.col("doc"))).alias("group_id"),
-        F.when(has, F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
+        (F.when(has, F.col("links") + F.col("copies") - 1).otherwise(0) if counts else F.lit(None)).cast("long").alias("n_links"),
         F.col("n").alias("n_shingles"),
         "text_hash",
         F.when(has, F.col("group_hash")).otherwise(F.col("text_hash")).alias("group_hash"),
@@ -326,7 +367,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.8, width: int = 5, ta
     """
     name = fresh_name(docs, "near_key")
     key = lambda doc, text: F.concat_ws("/", F.coalesce(doc.cast("string"), F.lit("null")), text.cast("string"))
-    found = ngram_join(docs, threshold, width, target_recall, id_col, text_col)
+    found = ngram_join(docs, threshold, width, target_recall, id_col, text_col, counts=False)
     gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("group_hash")))).select(key(F.col("doc_id"), F.col("text_hash")).alias(name)).distinct()
     keyed = docs.withColumn(name, key(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
     return keyed.join(stored(gone, "join-gone").hint("merge"), name, "left_anti").select(*[docs[c] for c in docs.columns])

@@ -261,3 +261,34 @@ def test_ngram_join_empty(spark):
     assert ngram_join.ngram_join(docs.limit(0)).count() == 0
     assert ngram_join.drop_near_copies(docs.limit(0)).count() == 0
     assert ngram_join.drop_near_copies(docs).columns == docs.columns
+
+
+def _near_group(n, words, edits, seed, base=0):
+    """Texts that differ from one base by a few words each."""
+    rng = random.Random(seed)
+    text = [f"w{base}x{i}" for i in range(words)]
+    out = []
+    for k in range(n):
+        own = list(text)
+        for _ in range(edits):
+            own[rng.randrange(words)] = f"e{base}y{k}z{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_groups_of_dense_buckets_without_all_pairs(spark, monkeypatch):
+    """Blocks of 40 sets: a large group of near copies, one whose members link through chains only, and strangers among them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    texts = _near_group(500, 120, 1, 1) + _near_group(300, 60, 2, 2, base=1)
+    chain = [f"c{i}" for i in range(100)]
+    for k in range(150):  # each link of the chain differs from the last by two words at its end and start
+        texts.append(" ".join([f"c{i}" for i in range(2 * k, 100 + 2 * k)]))
+    texts += [f"alone {i} " + " ".join(f"s{i}t{j}" for j in range(30)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    exact = {r.doc_id: r.group_id for r in ngram_join.ngram_join(docs).collect()}
+    fast = ngram_join.ngram_join(docs, counts=False).collect()
+    assert {r.doc_id: r.group_id for r in fast} == exact
+    assert {r.n_links for r in fast} == {None}
+    assert len(set(exact.values())) < 400 and len(chain) == 100
+    kept = {r.doc_id for r in ngram_join.drop_near_copies(docs).collect()}
+    assert kept == set(exact.values())
