@@ -44,12 +44,18 @@ def conflicts(prompts: DataFrame, keys: list[str]) -> DataFrame:
     return prompts.groupBy(*keys, "phrase").agg(F.count_distinct("label").alias("n_labels")).where("n_labels > 1")
 
 
+#: Labels of one prompt: its text has some hundred tokens.
+MAX_SPANS = 4_096
+
+
 def label_scores(detections: DataFrame, spans: DataFrame, keys: list[str], logits: str = "logits") -> DataFrame:
     """Mean token probability of each label's span (label_idx, first, end) for each query, by slices of its tokens.
 
-    spans: one prompt's labels. They meet the queries as one row that holds them all; empty spans give no score.
+    spans: one prompt's labels, MAX_SPANS at most (more is an error). They meet the queries as one row that holds them all;
+    empty spans give no score.
     """
     prompt = spans.agg(F.collect_list(F.struct("label_idx", F.col("first").cast("int").alias("first"), F.col("end").cast("int").alias("end"))).alias("_spans"))
+    prompt = prompt.select(F.when(F.size("_spans") <= MAX_SPANS, F.col("_spans")).otherwise(F.raise_error(F.lit(f"a prompt has over {MAX_SPANS} labels")).cast(prompt.schema["_spans"].dataType)).alias("_spans"))
     probability = F.transform(logits, lambda x: 1 / (1 + F.exp(-x.cast("double"))))
     rows = detections.select(*keys, probability.alias("_p")).crossJoin(F.broadcast(prompt))  # one row
     rows = rows.select(*keys, "_p", F.explode("_spans").alias("_s"))

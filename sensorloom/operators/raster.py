@@ -87,23 +87,6 @@ def ellipse(size: int) -> list[tuple[int, int]]:
     return out
 
 
-def dilated(mask_pixels: DataFrame, size: int, width: int, height: int, keys: list[str]) -> DataFrame:
-    """Pixels that the kernel reaches from a true pixel."""
-    offsets = F.array(*(F.struct(F.lit(-a).alias("du"), F.lit(-b).alias("dv")) for a, b in ellipse(size)))
-    moved = mask_pixels.select(*keys, "u", "v", F.explode(offsets).alias("o")).select(*keys, (F.col("u") + F.col("o.du")).alias("u"), (F.col("v") + F.col("o.dv")).alias("v"))
-    return moved.where((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height)).distinct()
-
-
-def eroded(mask_pixels: DataFrame, size: int, width: int, height: int, keys: list[str]) -> DataFrame:
-    """Pixels all of whose kernel neighbours inside the image are true."""
-    kernel = ellipse(size)
-    offsets = F.array(*(F.struct(F.lit(-a).alias("du"), F.lit(-b).alias("dv")) for a, b in kernel))
-    moved = mask_pixels.select(*keys, "u", "v", F.explode(offsets).alias("o")).select(*keys, (F.col("u") + F.col("o.du")).alias("u"), (F.col("v") + F.col("o.dv")).alias("v"))
-    hits = moved.where((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height)).groupBy(*keys, "u", "v").agg(F.count("*").alias("n"))
-    inside = sum((((F.col("u") + a >= 0) & (F.col("u") + a < width) & (F.col("v") + b >= 0) & (F.col("v") + b < height)).cast("int") for a, b in kernel), F.lit(0))
-    return hits.where(F.col("n") == inside).drop("n")
-
-
 #: Bits of a cell number on each axis of a packed key: clouds reach some two million cells each way.
 CELL_BITS = 21
 

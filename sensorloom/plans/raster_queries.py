@@ -93,17 +93,23 @@ def _(fx):
     return fx.raw("embeddings").select("vec_id", F.posexplode(R.resized_nearest(bits, 8, 8, 3, 5)).alias("p", "bit"))
 
 
+def morphed(fx, sizes):
+    """True pixels of the masks after morphology, which works on each row's array; pixels are what the result is."""
+    bits = R.morphology(F.transform("embedding", lambda e: e.cast("double") > 0.1), F.lit(8), F.lit(8), sizes)
+    return R.pixels(fx.raw("embeddings").select("vec_id", bits.alias("bits")), "bits", 8, ["vec_id"], "bit").where("bit").select("vec_id", "u", "v")
+
+
 KERNEL3 = "(VALUES (0, -1), (-1, 0), (0, 0), (1, 0), (0, 1)) AS k(du, dv)"
 
 
 @query("m3_dilate", MASK + f"SELECT DISTINCT vec_id, u - du AS u, v - dv AS v FROM mk, {KERNEL3} WHERE u - du BETWEEN 0 AND 7 AND v - dv BETWEEN 0 AND 7")
 def _(fx):
-    return R.dilated(mask(fx), 3, 8, 8, ["vec_id"])
+    return morphed(fx, [3])
 
 
 @query("m3_erode", MASK + f"SELECT m.vec_id, m.u, m.v FROM mk m WHERE NOT EXISTS (SELECT 1 FROM {KERNEL3} WHERE m.u + du BETWEEN 0 AND 7 AND m.v + dv BETWEEN 0 AND 7 AND NOT EXISTS (SELECT 1 FROM mk n WHERE n.vec_id = m.vec_id AND n.u = m.u + du AND n.v = m.v + dv))")
 def _(fx):
-    return R.eroded(mask(fx), 3, 8, 8, ["vec_id"])
+    return morphed(fx, [-3])
 
 
 SCORES = """WITH tk AS (SELECT vec_id - vec_id % 900 AS frame_id, vec_id AS query_idx, CAST(t AS INTEGER) AS t, 1 / (1 + exp(-CAST(embedding[t + 1] AS DOUBLE))) AS p FROM embeddings, LATERAL (SELECT unnest(generate_series(0, 63)) AS t)),

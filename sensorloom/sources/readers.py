@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from .formats import register
 
-#: Up to so many paths are broadcast to their files.
-BROADCAST_PATHS = 100_000
 _POSE = "translation array<double>, rotation array<double>"
 #: Schemas of the record tables, declared so that no pass over the files infers them.
 SCHEMAS = {
@@ -73,11 +72,10 @@ def read_sweeps(spark: SparkSession, pattern: str) -> DataFrame:
     return files.mapInPandas(points, "path string, point_idx int, x float, y float, z float, intensity float, ring float")
 
 
-def read_images(spark: SparkSession, folder: str, glob: str = "*.png") -> DataFrame:
-    """Image files with their number in name order (nth, from 0); bytes stay as they are for a predictor to decode, and where they are.
+def read_images(spark: SparkSession, folder: str, ending: str = ".png") -> DataFrame:
+    """Image files with their number in name order (nth, from 0); bytes stay as they are for a predictor to decode.
 
-    Only paths are sorted.
+    Numbers come from the listing of formats.Images, so nothing is sorted or joined.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
-    numbered = files.select("path").withColumn("nth", F.row_number().over(Window.orderBy("path")) - 1)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "content").join(F.broadcast(numbered) if numbered.count() <= BROADCAST_PATHS else numbered.hint("shuffle_hash"), "path")
+    register(spark)
+    return spark.read.format("image_files").option("ending", ending).load(folder).select("path", "filename", "content", "nth")

@@ -101,12 +101,13 @@ def test_boxes_2d(spark):
 
 
 def test_erosion_and_dilation(spark):
-    full = spark.createDataFrame([(0, u, v) for u in range(5) for v in range(5) if (u, v) != (2, 2)], "m int, u int, v int")
-    eroded = {(r.u, r.v) for r in R.eroded(full, 3, 5, 5, ["m"]).collect()}
-    assert eroded == {(u, v) for u in range(5) for v in range(5)} - {(2, 2), (1, 2), (3, 2), (2, 1), (2, 3)}
-    dot = spark.createDataFrame([(0, 0, 0)], "m int, u int, v int")
-    assert {(r.u, r.v) for r in R.dilated(dot, 3, 5, 5, ["m"]).collect()} == {(0, 0), (1, 0), (0, 1)}
-    assert R.dilated(dot.limit(0), 3, 5, 5, ["m"]).count() == 0
+    full = [(u, v) != (2, 2) for v in range(5) for u in range(5)]
+    dot = [(u, v) == (0, 0) for v in range(5) for u in range(5)]
+    rows = spark.createDataFrame([(full, dot)], "full array<boolean>, dot array<boolean>")
+    got = rows.select(*(R.morphology(F.col(c), F.lit(5), F.lit(5), [k]).alias(c) for c, k in (("full", -3), ("dot", 3)))).first()
+    places = lambda bits: {(p % 5, p // 5) for p, b in enumerate(bits) if b}
+    assert places(got.full) == {(u, v) for u in range(5) for v in range(5)} - {(2, 2), (1, 2), (3, 2), (2, 1), (2, 3)}
+    assert places(got.dot) == {(0, 0), (1, 0), (0, 1)}
 
 
 def test_unknown_depth_model(spark):
