@@ -11,9 +11,9 @@ the product of the levels' chances, which gives the number of runs for the targe
 * Buckets with the same members are compared once. A pair that meets in several buckets is counted in the first only.
 * Comparing gives each set its number of links and a local group, never the pairs. Large buckets are compared in block pairs.
 * Groups are the connected components of all links, found by label propagation over narrow rows.
-* Where only groups are asked for, a large bucket isn't compared in all block pairs: each set is compared within two blocks,
-  dealt by different hashes, which joins near copies to one component in linear work. Then only sets outside their bucket's
-  largest component are compared with the rest of it, so no link between components is lost.
+* Where only groups are asked for, a large bucket of alike sets isn't compared in all block pairs: each set is compared within
+  two blocks, dealt by different hashes, which joins near copies to one component in linear work. Then only sets outside their
+  bucket's largest component are compared with the rest of it, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -185,7 +185,7 @@ def _compare(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], bucket
 
 
 def _asked(chosen: DataFrame, classes: DataFrame, runs: int) -> DataFrame:
-    """Classes that meet others in some bucket to compare, with those buckets (key, number of members)."""
+    """Classes that meet others in some bucket to compare, with those buckets (key, number of members, whether large and alike)."""
     # Level by level: keys that several classes share are buckets; too large ones split on the next picks.
     at_level = lambda r, k: F.element_at("picks", r * LEVELS + k + 1)
     per_run = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.transform(at_level(r, 0), lambda t: F.struct(F.xxhash64(r, t).alias("key"), F.slice("picks", r * LEVELS + 2, LEVELS - 1).alias("rest"))))
@@ -196,7 +196,7 @@ def _asked(chosen: DataFrame, classes: DataFrame, runs: int) -> DataFrame:
         sizes = stored(sizes, "join-sizes")
         members.append(level.select("key", "cls"))
         if k == LEVELS - 1:
-            finals.append(sizes)
+            finals.append(sizes.withColumn("dense", F.lit(False)))
             break
         large = level.join(sizes.where(F.col("m") > BUCKET).select("key", "m").hint("merge"), "key")
         large = stored(large, "join-large")
@@ -204,30 +204,32 @@ def _asked(chosen: DataFrame, classes: DataFrame, runs: int) -> DataFrame:
         alike = large.groupBy("key", "m", F.get(F.element_at("rest", 1), F.lit(0)).alias("t")).agg(F.count("*").cast("double").alias("c")).where("t IS NOT NULL")
         alike = alike.groupBy("key", "m").agg(F.sum(F.col("c") * F.col("c")).alias("c"))
         dense = stored(alike.where(F.col("c") >= DENSE * F.col("m") * F.col("m")).select("key"), "join-dense")
-        finals.append(sizes.join(dense.withColumn("dense", F.lit(True)).hint("merge"), "key", "left").where((F.col("m") <= BUCKET) | F.col("dense")).drop("dense"))
+        finals.append(sizes.join(dense.withColumn("dense", F.lit(True)).hint("merge"), "key", "left").withColumn("dense", F.coalesce("dense", F.lit(False))).where((F.col("m") <= BUCKET) | F.col("dense")))
         parted = large.join(dense.hint("merge"), "key", "left_anti")
         parted = parted.select("cls", F.col("key").alias("parent"), F.explode(F.element_at("rest", 1)).alias("t"), F.slice("rest", 2, LEVELS).alias("rest"))
         level = stored(parted.select("cls", F.xxhash64("parent", "t").alias("key"), "rest"), "join-level")
     every = finals[0]
     for more in finals[1:]:
         every = every.unionByName(more)
-    kept = stored(every.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "join-buckets")
+    kept = stored(every.groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.bool_or("dense").alias("dense")).select("key", "m", "dense"), "join-buckets")
     met = members[0]
     for more in members[1:]:
         met = met.unionByName(more)
     met = met.distinct().join(kept.hint("merge"), "key")
-    lists = met.groupBy("cls").agg(F.collect_list(F.struct("key", "m")).alias("buckets"))  # some picks per run: a bounded number
+    lists = met.groupBy("cls").agg(F.collect_list(F.struct("key", "m", "dense")).alias("buckets"))  # some picks per run: a bounded number
     return lists.join(classes.hint("merge"), "cls")
 
 
-def _outside(asked: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, cls) of the members of large buckets that aren't in the bucket's largest component so far."""
-    members = asked.select("cls", F.explode("buckets").alias("b")).where(F.col("b.m") > BLOCK).select("cls", F.col("b.key").alias("key"))
-    named = members.join(labels.withColumnsRenamed({"a": "cls"}).hint("merge"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+def _open(asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """Large buckets of alike sets that hold more than one component so far: cls, key, m, out (not in the bucket's largest), visits (blocks of those)."""
+    members = asked.select("cls", F.explode("buckets").alias("b")).where((F.col("b.m") > BLOCK) & F.col("b.dense")).select("cls", "b.key", "b.m")
+    named = members.join(labels.withColumnRenamed("a", "cls").hint("merge"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = stored(named, "join-members")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     largest = stored(sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "join-largest")
-    return stored(spread_join(named, largest, "key", "inner").where("label <> main").select("key", "cls"), "join-outside")
+    marked = stored(spread_join(named, largest, "key", "inner").select("cls", "key", "m", (F.col("label") != F.col("main")).alias("out")), "join-marked")
+    visits = stored(marked.where("out").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("visits")), "join-visits")
+    return stored(spread_join(marked, visits, "key", "inner"), "join-open")
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -293,7 +295,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The sets of classes in some bucket, from their texts; a row for each bucket of theirs."""
         texts = hashed.join(wanted.withColumnsRenamed({"low": "doc", "low_hash": "text_hash"}).hint("merge"), ["doc", "text_hash"])
-        sets = texts.select("text", "mark", "cls", "copies", "buckets").mapInArrow(load, "cls long, copies long, buckets array<struct<key:long,m:long>>, tokens binary")
+        sets = texts.select("text", "mark", "cls", "copies", "buckets").mapInArrow(load, f"cls long, copies long, buckets {wanted.schema['buckets'].dataType.simpleString()}, tokens binary")
         keys = F.transform("buckets", lambda b: b["key"]) if counts else F.array().cast("array<long>")
         return sets.select("cls", "copies", "tokens", keys.alias("all_keys"), F.explode("buckets").alias("b")).withColumns({"key": F.col("b.key"), "blocks": F.ceil(F.col("b.m") / BLOCK).cast("int")})
 
@@ -315,27 +317,28 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, target_r
         return stored(dealt.mapInArrow(compare, "a long, links long, b long"), "join-links")
 
     spread = sets_of(asked)
-    if counts:
-        pairs = spread.withColumn("block", block(0)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        linked = compared(pairs.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}))
-    else:
-        # Two deals to blocks for large buckets, numbered one behind the other; a small bucket is one block.
-        deals = F.when(F.col("blocks") > 1, F.array(block(0), F.col("blocks") + block(1))).otherwise(F.array(block(0)))
-        linked = compared(spread.withColumn("block", F.explode(deals)).withColumns({"i": F.col("block"), "j": F.col("block")}))
+    own = block(0)
+    task = lambda i, j, b: F.struct(i.alias("i"), j.alias("j"), b.alias("block"))
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: task(F.least(own, o), F.greatest(own, o), own))
+    if not counts:
+        # Large buckets of alike sets: two deals to blocks, numbered one behind the other.
+        deals = F.array(*(task(b, b, b) for b in (own, F.col("blocks") + block(1))))
+        tasks = F.when(F.col("b.dense") & (F.col("blocks") > 1), deals).otherwise(tasks)
+    linked = compared(spread.select("key", "cls", "copies", "tokens", "all_keys", F.inline(tasks)))
     links = linked.groupBy("a").agg(F.sum("links").alias("links"))
     labels = stored_alone(spark, lambda: _labels(linked.select("a", "b")), "join-labels")
     if not counts:
-        outside = _outside(asked, labels)
-        if not outside.isEmpty():
+        parted = _open(asked, labels)
+        if not parted.isEmpty():
             # Sets outside their bucket's largest component visit all its blocks, in visitors' blocks of their own.
-            parted = outside.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("visits"))
-            open_buckets = stored(asked.select("cls", F.explode("buckets").alias("b")).join(parted.hint("merge"), F.col("b.key") == F.col("key")).groupBy("cls").agg(F.collect_list("b").alias("open")), "join-open")
-            again = sets_of(asked.join(open_buckets.hint("merge"), "cls").withColumn("buckets", F.col("open")).drop("open"))
-            again = again.join(parted.hint("merge"), "key").join(outside.select("key", "cls", F.lit(True).alias("visits_all")).hint("merge"), ["key", "cls"], "left").withColumn("home", block(0))
-            stay = again.withColumn("j", F.explode(F.sequence(F.lit(1), "visits"))).withColumns({"i": F.col("home"), "block": F.lit(0)})
-            visitor = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("visits")).cast("int") + 1
-            visit = again.where("visits_all").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> home").withColumns({"j": visitor, "block": F.lit(1)})
-            tasks = stay.unionByName(visit).withColumn("j", F.col("j") + F.col("blocks"))  # never equal to i
+            buckets = parted.groupBy("cls").agg(F.collect_list(F.struct("key", "m", "visits", "out")).alias("open"))
+            again = sets_of(asked.drop("buckets").join(buckets.withColumnRenamed("open", "buckets").hint("merge"), "cls"))
+            home, visits = block(0), F.col("b.visits")
+            stay = F.transform(F.sequence(F.lit(1), visits), lambda v: task(home, F.col("blocks") + v, F.lit(0)))
+            visitor = F.col("blocks") + F.pmod(F.xxhash64("cls", F.lit(2)), visits).cast("int") + 1  # never equal to a block's number
+            others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != home)
+            visit = F.when(F.col("b.out"), F.transform(others, lambda i: task(i, visitor, F.lit(1)))).otherwise(F.array().cast("array<struct<i:int,j:int,block:int>>"))
+            tasks = again.select("key", "cls", "copies", "tokens", "all_keys", F.inline(F.concat(stay, visit)))
             more = compared(tasks)
             labels = stored_alone(spark, lambda: _labels(labels.select("a", F.col("label").alias("b")).union(more.select("a", "b"))), "join-labels")
     # Components are labelled with class numbers; their least document id comes from the classes in them.
