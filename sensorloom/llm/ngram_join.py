@@ -226,10 +226,9 @@ def _open(asked: DataFrame, labels: DataFrame) -> DataFrame:
     named = members.join(labels.withColumnRenamed("a", "cls").hint("merge"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = stored(named, "join-members")
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = stored(sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "join-largest")
-    marked = stored(spread_join(named, largest, "key", "inner").select("cls", "key", "m", (F.col("label") != F.col("main")).alias("out")), "join-marked")
-    visits = stored(marked.where("out").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("visits")), "join-visits")
-    return stored(spread_join(marked, visits, "key", "inner"), "join-open")
+    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("visits"))
+    mixed = stored(mixed.where("visits > 0"), "join-mixed")  # most buckets are one component, and go no further
+    return stored(spread_join(named, mixed, "key", "inner").select("cls", "key", "m", (F.col("label") != F.col("main")).alias("out"), "visits"), "join-open")
 
 
 def _labels(edges: DataFrame) -> DataFrame:
