@@ -113,7 +113,7 @@ def test_run_and_empty(spark, planted, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op3_warc", "op8_top_k_search"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op3_warc", "op8_top_k_search", "op12_vector_codes", "op13_near_neighbours"}))
 def test_queries_on_empty_documents(spark, planted, tmp_path, name):
     spark.read.parquet(f"{planted}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{planted}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
