@@ -2,9 +2,9 @@
 
 Rows are range-partitioned by sampled splitters and sorted externally (Spark's spilling sorter), so equal texts stand next
 to each other; neighbours are compared in full and each run of equal texts keeps one row. The splitter key is the text's
-leading bytes, then a 64-bit digest, then the row's id: it is small however long the texts are, equal texts stay
-contiguous, and a run of any size is spread over several partitions because the id takes part in the split. Runs cut by a
-partition's edge are joined again by comparing the edge texts in full, at most two per partition.
+leading bytes, then a 64-bit digest, then the row's id and its number: it is small however long the texts are, equal texts
+stay contiguous, and a run of any size is spread over several partitions because id and number take part in the split, also
+where ids are null or repeat. Runs cut by a partition's edge are joined again by comparing the edge texts in full, at most two per partition.
 """
 
 from __future__ import annotations
@@ -100,9 +100,9 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     on_workers(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumns({"lead": F.substring(F.encode("text", "UTF-8"), 1, SPLIT_BYTES), "mix": F.xxhash64("text"), "sha": F.sha2("text", 256)})
+    rows = rows.withColumns({"lead": F.substring(F.encode("text", "UTF-8"), 1, SPLIT_BYTES), "mix": F.xxhash64("text"), "sha": F.sha2("text", 256), "turn": F.monotonically_increasing_id()})
     order = ["lead", "mix", "text", "doc_id"]
-    split = rows.repartitionByRange(partitions(spark), "lead", "mix", "doc_id").sortWithinPartitions(*order)
+    split = rows.repartitionByRange(partitions(spark), "lead", "mix", "doc_id", "turn").sortWithinPartitions(*order)
     runs = stored(split.select("doc_id", "text", "sha").mapInArrow(_runs, _RUNS), "exact-runs")
 
     # Runs at a partition's edges, equal in full text, are one group: two rows per partition at most.

@@ -44,6 +44,16 @@ def test_exact_dedup(spark, keep):
     assert exact_dedup.exact_dedup(frame(spark, rows).limit(0), keep).count() == 0
 
 
+def test_exact_dedup_spreads_equal_rows(spark, monkeypatch):
+    """Thousands of rows that are equal in id (null) and text are one group over several tasks."""
+    kept, stored = [], exact_dedup.stored
+    monkeypatch.setattr(exact_dedup, "stored", lambda df, what: kept.append(stored(df, what)) or kept[-1])
+    out = exact_dedup.exact_dedup(frame(spark, [(None, "the same")] * 6000 + [(5, "other")]).repartition(4))
+    assert out.select("keep_id", "group_size", "kept").distinct().orderBy("group_size").collect() == [(5, 1, True), (None, 6000, True)]
+    sizes = [r["count"] for r in kept[0].groupBy("part").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 3000
+
+
 def test_exact_dedup_keeps_rows(spark):
     rows = texts()
     stays = exact_dedup.drop_copies(frame(spark, rows), "smallest")
