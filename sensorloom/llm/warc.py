@@ -5,7 +5,7 @@ length, url and payload digest. Reads start from index rows: sorted by file and
 together and each member is unpacked on its own.
 
 Of records with equal payloads the page with the largest id is stored as a response and the others as revisits of it; the
-decision is made on digests before any payload moves. File names are new for each task attempt, so a lost or repeated task
+decision is made on two digests and the size before any payload moves. File names are new for each task attempt, so a lost or repeated task
 leaves at most a file that no index row names.
 """
 
@@ -37,12 +37,14 @@ _READ = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 
 def revisits(thin: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id, payload_digest, refers_to of the pages that revisit another; from stored ids, digests and sizes alone.
+    """page_id, payload_digest, payload_mix, refers_to of the pages that revisit another; from stored ids, digests and sizes alone.
+
+    Different texts that share a SHA-1 can be made, so a second digest (payload_mix) is held too.
 
     Payloads that many pages share are decided by counts, without a shuffle of their pages; the others meet on the digest.
     """
     thin = thin.where(F.col("payload_bytes") >= min_bytes)
-    key = ["payload_digest", "payload_bytes"]
+    key = ["payload_digest", "payload_mix", "payload_bytes"]
     # Partial sums in each task: a payload that many pages share reaches the shuffle once per task.
     groups = thin.groupBy(*key).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
     shared = stored(groups.where("n > 1 AND refers_to IS NOT NULL"), "warc-shared")
@@ -52,7 +54,7 @@ def revisits(thin: DataFrame, min_bytes: int) -> DataFrame:
     marked = thin.join(F.broadcast(shared.where(is_hot).drop("n")), key, "left")
     others = marked.where("refers_to IS NULL").drop("refers_to").join(shared.where(~is_hot).drop("n").hint("merge"), key)
     both = marked.where("refers_to IS NOT NULL").unionByName(others)
-    return both.where("page_id IS NULL OR page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    return both.where("page_id IS NULL OR page_id < refers_to").select("page_id", "payload_digest", "payload_mix", "refers_to").distinct()
 
 
 def _header(kind: str, page: int | None, url: str | None, digest: str, n: int, refers: int | None, block: bytes) -> bytes:
@@ -83,12 +85,12 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 1000, id_
     fs.create_dir(place)
     payload: Column = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_digest": F.sha1(F.encode("payload", "UTF-8")), "payload_bytes": F.octet_length("payload").cast("long")})
-    thin = stored(rows.select("page_id", "payload_digest", "payload_bytes"), "warc-digests")
+    rows = rows.withColumns({"payload_digest": F.sha1(F.encode("payload", "UTF-8")), "payload_mix": F.xxhash64("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
+    thin = stored(rows.select("page_id", "payload_digest", "payload_mix", "payload_bytes"), "warc-digests")
     again = stored(revisits(thin, min_revisit_bytes), "warc-revisits")
     keyed = lambda df: df.withColumn("_key", F.coalesce("page_id", F.lit(_NO_ID)))
     # Joined on the page's id, which is even; a shared payload would not be.
-    both = keyed(rows).join(keyed(again).drop("page_id").hint("merge"), ["_key", "payload_digest"], "left")
+    both = keyed(rows).join(keyed(again).drop("page_id").hint("merge"), ["_key", "payload_digest", "payload_mix"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_fs, top = pafs.FileSystem.from_uri(folder)

@@ -84,6 +84,13 @@ def test_warc_hot_payload(spark):
     assert sorted((r.page_id, r.refers_to) for r in warc.round_trip(pages).select("page_id", "refers_to").collect()) == want
 
 
+def test_warc_equal_digests_of_different_payloads(spark):
+    """Payloads that share SHA-1 and size, but not the second digest, don't revisit each other."""
+    thin = [(1, "d", 7, 2000), (2, "d", 8, 2000), (3, "d", 7, 2000), (4, "d", 8, 2000), (5, "d", 9, 2000), (6, "e", 1, 10), (7, "e", 1, 10)]
+    rows = spark.createDataFrame(thin, "page_id long, payload_digest string, payload_mix long, payload_bytes long")
+    assert sorted(map(tuple, warc.revisits(rows, 1000).collect())) == [(1, "d", 7, 3), (2, "d", 8, 4)]
+
+
 def test_warc_selected_ranges(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"page {i} " * (i % 50 + 1)) for i in range(500)], "page_id long, url string, html string")
     folder = f"file://{tmp_path}"
