@@ -127,7 +127,18 @@ def corners(center: Vec, size: Vec, q: Quat) -> list[Vec]:
     return [center.plus(rotate(q, Vec(half.x * a, half.y * b, half.z * c))) for a, b, c in CORNER_SIGNS]
 
 
-def project(p: Vec, k: tuple[float, float, float, float]) -> tuple[Column, Column]:
+#: fx, fy, cx, cy: the same for all rows, or columns.
+Intrinsics = tuple[Column | float, Column | float, Column | float, Column | float]
+#: Columns of a frame's own intrinsics.
+OWN_INTRINSICS = ("kfx", "kfy", "kcx", "kcy")
+
+
+def own_intrinsics() -> Intrinsics:
+    """Each row's own camera, as sources.dataset reads it."""
+    return tuple(F.col(c) for c in OWN_INTRINSICS)
+
+
+def project(p: Vec, k: Intrinsics) -> tuple[Column, Column]:
     """Pinhole pixel (u, v) of a point in camera coordinates; k is (fx, fy, cx, cy)."""
     fx, fy, cx, cy = k
     return (p.x * fx + p.z * cx) / p.z, (p.y * fy + p.z * cy) / p.z

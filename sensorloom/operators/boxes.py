@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pose import CORNER_SIGNS, Quat, Vec, conjugate, matrix, multiply, normalized, project, visible
+from ..functions.pose import CORNER_SIGNS, Intrinsics, Quat, Vec, conjugate, matrix, multiply, normalized, project, visible
 from ..session import on_workers
 from .checks import required
 
@@ -63,7 +63,7 @@ def to_camera(rows: DataFrame, point: Vec, prefix: str = "p") -> DataFrame:
     return computed(rows, **_turned_back(rows, "s", point.minus(Vec.of("st"))).named(prefix))
 
 
-def in_view(rows: DataFrame, k: tuple[float, float, float, float], near: float = 0.1) -> DataFrame:
+def in_view(rows: DataFrame, k: Intrinsics, near: float = 0.1) -> DataFrame:
     """Rows whose box centre (bx, by, bz) is in front of the camera and projects into the image; adds pixel u, v."""
     rows = to_camera(rows, Vec.of("b"))
     p = Vec.of("p")
@@ -126,9 +126,9 @@ def edge_segments(corners: Column, near: float) -> Column:
     return F.filter(F.transform(pairs, clipped), lambda s: s.isNotNull())
 
 
-def _seen_extents(center: np.ndarray, axes: np.ndarray, size: np.ndarray, k: tuple[float, float, float, float], near: float) -> np.ndarray:
-    """Boxes (n, 3), (n, 3 axes, 3) and image sizes (n, 2) -> x0, y0, x1, y1 (n, 4) of what is seen of each; NaN where nothing is."""
-    focal, middle = np.array(k[:2]), np.array(k[2:])
+def _seen_extents(center: np.ndarray, axes: np.ndarray, size: np.ndarray, focal: np.ndarray, middle: np.ndarray, near: float) -> np.ndarray:
+    """Boxes (n, 3), (n, 3 axes, 3), image sizes, focal lengths and principal points (n, 2 each) -> x0, y0, x1, y1 (n, 4) of what is seen of each; NaN where nothing is."""
+    focal, middle = focal[:, None], middle[:, None]
     corners = center[:, None] + np.einsum("cs,nsk->nck", np.array(CORNER_SIGNS, float), axes)
     a, b = (corners[:, [e[i] for e in EDGES]] for i in (0, 1))
     front_a, front_b = a[..., 2] >= near, b[..., 2] >= near
@@ -170,7 +170,7 @@ def _seen_extents(center: np.ndarray, axes: np.ndarray, size: np.ndarray, k: tup
     return np.where(known.any(axis=(1, 2))[:, None], out, np.nan)
 
 
-def boxes_2d(rows: DataFrame, k: tuple[float, float, float, float], near: float = 0.1, min_size: float = 1.0) -> DataFrame:
+def boxes_2d(rows: DataFrame, k: Intrinsics, near: float = 0.1, min_size: float = 1.0) -> DataFrame:
     """3-D boxes (ego) -> x0, y0, x1, y1 in the image; boxes without an image, or with one under min_size, go.
 
     The extent of (projected near-clipped box) and image is the extent of: its clipped edges, the edges of the face that the
@@ -187,10 +187,10 @@ def _large(min_size: float) -> Column:
     return (box["x1"] - box["x0"] >= min_size) & (box["y1"] - box["y0"] >= min_size) & ~F.isnan(box["x0"])
 
 
-def _with_extents(rows: DataFrame, k: tuple[float, float, float, float], near: float, only: Column) -> DataFrame:
+def _with_extents(rows: DataFrame, k: Intrinsics, near: float, only: Column) -> DataFrame:
     """Adds camera_axes and _box (x0, y0, x1, y1; NaN where nothing is seen, or `only` is false)."""
     on_workers(rows.sparkSession)
-    inputs = [*("p" + n for n in "xyz"), *(f"h{axis}{n}" for axis in "abc" for n in "xyz"), "width", "height"]
+    inputs = [*("p" + n for n in "xyz"), *(f"h{axis}{n}" for axis in "abc" for n in "xyz"), "width", "height", *(c if isinstance(c, Column) else F.lit(float(c)) for c in k)]
 
     @F.pandas_udf("x0 double, y0 double, x1 double, y1 double")
     def extents(wanted: pd.Series, *columns: pd.Series) -> pd.DataFrame:
@@ -198,14 +198,14 @@ def _with_extents(rows: DataFrame, k: tuple[float, float, float, float], near: f
         v = np.column_stack([c.to_numpy(float) for c in columns])[some]
         out = np.full((len(some), 4), np.nan)
         with np.errstate(all="ignore"):
-            out[some] = _seen_extents(v[:, :3], v[:, 3:12].reshape(-1, 3, 3), v[:, 12:14], k, near)
+            out[some] = _seen_extents(v[:, :3], v[:, 3:12].reshape(-1, 3, 3), *(v[:, i : i + 2] for i in (12, 14, 16)), near)
         return pd.DataFrame(out, columns=["x0", "y0", "x1", "y1"])
 
     rows = camera_axes(rows)
     return rows.withColumn("_box", extents.asNondeterministic()(only, *inputs))  # so that a filter doesn't run it again
 
 
-def box_stages(frame_rows: DataFrame, annotations: DataFrame, categories: DataFrame, k: tuple[float, float, float, float], near: float = 0.1, min_size: float = 1.0) -> DataFrame:
+def box_stages(frame_rows: DataFrame, annotations: DataFrame, categories: DataFrame, k: Intrinsics, near: float = 0.1, min_size: float = 1.0) -> DataFrame:
     """Every annotation in every frame of its sample, with how far it comes: mapped, in_view (and mapped), projected (and in view).
 
     The stages are flags of rows that are made once, not filters of passes of their own.
@@ -221,7 +221,7 @@ def box_stages(frame_rows: DataFrame, annotations: DataFrame, categories: DataFr
     return found.withColumn("projected", F.coalesce(_large(min_size), F.lit(False))).drop("_box")
 
 
-def wireframe(rows: DataFrame, k: tuple[float, float, float, float], near: float = 0.1) -> DataFrame:
+def wireframe(rows: DataFrame, k: Intrinsics, near: float = 0.1) -> DataFrame:
     """One row per box edge with both ends in front of the near plane: edge number and pixel ends u0, v0, u1, v1."""
     fx, fy, cx, cy = k
     corners = camera_corners(rows)

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def required(rows: DataFrame, flags: dict[str, tuple[str, str]], named: str) -> DataFrame:
+def required(rows: DataFrame, flags: dict[str, tuple[str, str]], named: str, keep: bool = False) -> DataFrame:
     """Rows of left joins, whose flags must be true: a null one is an error with what is missing, its key and the row's name.
 
+    Flags go, but if they are kept: then they are columns of the joined table that are never null there.
+
     The condition counts as one that depends on the partition, so Catalyst moves no other filter below it: a later one on a joined column would turn
     the left join into an inner one, and rows without a partner would go unseen.
     """
     problem = F.concat_ws("; ", *(F.when(F.col(flag).isNull(), F.concat(F.lit(f"no {what} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))) for flag, (what, key) in flags.items()))
     text = F.concat(F.lit("record "), F.coalesce(F.col(named).cast("string"), F.lit("null")), F.lit(" has "), problem)
     held = F.when(problem == "", F.spark_partition_id() >= 0).otherwise(F.raise_error(text).cast("boolean"))
-    return rows.where(held).drop(*flags)
+    return rows.where(held) if keep else rows.where(held).drop(*flags)
 
 
 def box_problems(x0: Column, y0: Column, x1: Column, y1: Column) -> list[tuple[str, Column]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pose import Quat, matrix, normalized
+from ..functions.pose import OWN_INTRINSICS, Quat, matrix, normalized
 from .checks import required
 
 CAMERAS = ["CAM_FRONT", "CAM_FRONT_RIGHT", "CAM_BACK_RIGHT", "CAM_BACK", "CAM_BACK_LEFT", "CAM_FRONT_LEFT"]
@@ -30,12 +30,13 @@ def frames(sample_data: DataFrame, samples: DataFrame, ego_poses: DataFrame, sen
 
     The two large sides meet on their pose token by a shuffle; sensors are a fixed rig, a few rows that Spark broadcasts as
     long as they are small. A record whose pose or sensor is missing is an error that names it (orphans() lists them).
+    Sensors that have their intrinsics (pose.OWN_INTRINSICS) give them to their frames.
     Rotations are normalized here and turned into matrices (er00, ..., sr22), below the joins: what uses them must stay
     small, as the JVM doesn't compile a method of over 8,000 bytes, and all steps between two shuffles are one method.
     """
     unit = normalized(Quat.of("q"))
     ego = ego_poses.select(F.col("token").alias("ego_pose_token"), *(c.alias(n) for n, c in unit.named("eq").items()), *(F.col(c).alias("e" + c) for c in ("tx", "ty", "tz")))
-    rig = sensors.select(F.col("sensor_id").alias("calibrated_sensor_token"), "channel", *(c.alias(n) for n, c in unit.named("sq").items()), *(F.col(c).alias("s" + c) for c in ("tx", "ty", "tz")))
+    rig = sensors.select(F.col("sensor_id").alias("calibrated_sensor_token"), "channel", *(c for c in OWN_INTRINSICS if c in sensors.columns), *(c.alias(n) for n, c in unit.named("sq").items()), *(F.col(c).alias("s" + c) for c in ("tx", "ty", "tz")))
     ego, rig = (rows.withColumns({f"{p}r{i}{j}": c for i, row in enumerate(matrix(Quat.of(p + "q"))) for j, c in enumerate(row)}) for rows, p in ((ego, "e"), (rig, "s")))
     found = sample_data.join(with_sample_index(samples), "sample_token").join(ego.withColumn("_pose", F.lit(True)), "ego_pose_token", "left").join(rig.withColumn("_rig", F.lit(True)), "calibrated_sensor_token", "left")
     return required(found, {"_pose": ("ego pose", "ego_pose_token"), "_rig": ("calibrated sensor", "calibrated_sensor_token")}, "token")

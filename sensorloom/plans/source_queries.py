@@ -6,14 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.pose import Quat, Vec, rotate
 from ..operators import boxes as B
 from ..operators import scene as S
 from ..session import new_path, on_workers
-from ..sources import formats, readers, sinks
+from ..sources import dataset, formats, readers, sinks
 from .chain_queries import CHAIN, chain
+from .extra_queries import rotate_sql
 from .raster_queries import DEPTH, K8, raster
 from .registry import query
-from .scene_queries import BOXES, frames
+from .scene_queries import BOXES, F19_ALL, FRAMES, frames
 
 
 @query("s1_record_files", "SELECT token, sample_token, ego_pose_token, calibrated_sensor_token, is_key_frame, width, height FROM (SELECT CAST(token AS VARCHAR) AS token, CAST(sample_token AS VARCHAR) AS sample_token, CAST(ego_pose_token AS VARCHAR) AS ego_pose_token, CAST(calibrated_sensor_token AS VARCHAR) AS calibrated_sensor_token, is_key_frame, width, height FROM fx_sample_data)")
@@ -105,3 +107,68 @@ def _(fx):
     left = formats.bucketed(own, f"frames_{run}", "sample_token", n, f"{path}/frames")
     right = formats.bucketed(B.labelled(fx.annotation, fx.category).select("sample_token", "label"), f"boxes_{run}", "sample_token", n, f"{path}/boxes")
     return B.frame_boxes(left.hint("merge"), right).groupBy("token", "label").agg(F.count("*").alias("n"))
+
+
+def stored_dataset(fx, sample_data=None):
+    """The derived tables as the nine record tables of a dataset, as JSON files; converted and opened again."""
+    path = new_path(fx.spark, "dataset")
+    text = lambda c, name=None: F.col(c).cast("string").alias(name or c)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("timestamp")
+    pose = [F.array("tx", "ty", "tz").alias("translation"), F.array("qw", "qx", "qy", "qz").alias("rotation")]
+    number, zero, one = F.col("sensor_id").cast("double"), F.lit(0.0), F.lit(1.0)
+    k = F.array(F.array(1266.0 + number, zero, 816.0 - number), F.array(zero, 1266.0 + number, F.lit(491.0)), F.array(zero, zero, one))
+    camera = F.when(F.col("channel").startswith("CAM"), k).otherwise(F.array().cast("array<array<double>>"))  # lidars have none
+    data = fx.sample_data if sample_data is None else sample_data
+    tables = {
+        "scene": fx.sample.select("scene_token").distinct().select(text("scene_token", "token"), F.concat(F.lit("scene-"), "scene_token").alias("name")),
+        "sample": fx.sample.select(text("sample_token", "token"), text("scene_token"), micros("sample_ts")),
+        "sample_data": data.select(text("token"), text("sample_token"), text("ego_pose_token"), text("calibrated_sensor_token"), "is_key_frame", F.concat("sample_token", F.lit(".bin")).alias("filename"), "width", "height", micros("sd_ts")),
+        "ego_pose": fx.ego_pose.select(text("token"), *pose),
+        "calibrated_sensor": fx.sensor.select(text("sensor_id", "token"), F.concat(F.lit("s"), "sensor_id").alias("sensor_token"), *pose, camera.alias("camera_intrinsic")),
+        "sensor": fx.sensor.select(F.concat(F.lit("s"), "sensor_id").alias("token"), "channel"),
+        "sample_annotation": fx.annotation.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("token"), text("sample_token"), text("instance_token"), F.array("sw", "sl", "sh").alias("size"), F.array("cx", "cy", "cz").alias("translation"), pose[1]),
+        "instance": fx.annotation.select("instance_token", "category_token").distinct().select(text("instance_token", "token"), text("category_token")),
+        "category": fx.category.select(text("category_token", "token"), "name"),
+    }
+    for name, rows in tables.items():
+        formats.record_files(rows, f"{path}/files/{name}")
+    readers.convert_tables(fx.spark, f"{path}/files", f"{path}/tables", parts=True)
+    return dataset.open_tables(fx.spark, f"{path}/tables")
+
+
+KEYED = "(SELECT * FROM fx_sample_data WHERE is_key_frame) d JOIN"
+#: F19 over key frames, with each camera's own focal length and principal point.
+OWN_CAMERAS = F19_ALL.replace("fx_sample_data d JOIN", KEYED).replace("12660e0", "(10 * focal)").replace("1266e0", "focal").replace("816e0", "middle").replace("+ 816", "+ middle")
+OWN_CAMERAS = OWN_CAMERAS.replace("focal", "(1266e0 + token % 10)").replace("middle", "(816e0 - token % 10)")
+NOTE = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS annotation_token"
+
+
+@query("s1_dataset_boxes_2d", OWN_CAMERAS.replace("\nSELECT token, l_orderkey, l_linenumber, l_partkey, l_suppkey, round", f"\nSELECT CAST(token AS VARCHAR) AS token, {NOTE}, round"))
+def _(fx):
+    """All nine record tables written as files and opened as a dataset: boxes in the images of its key frames, by each camera's own intrinsics."""
+    rows = stored_dataset(fx).boxes_2d()
+    return rows.select("token", "annotation_token", *((F.round(F.col(c) + 2e-5, 4)).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@query("s5_categories_of_dataset", "SELECT name, category_name, id, category_group, count(*) AS n_boxes, count(DISTINCT instance_token) AS n_instances FROM fx_annotation JOIN fx_category USING (category_token) GROUP BY ALL")
+def _(fx):
+    """The static table of classes against the raw categories of all annotations, by their instances; raw names without a class stay."""
+    rows = stored_dataset(fx).boxes(keep_unmapped=True)
+    rows = rows.groupBy("name", F.col("category_id").alias("id"), "category_group", F.when(F.col("category_id").isNotNull(), F.col("label")).alias("category_name"))
+    return rows.agg(F.count("*").alias("n_boxes"), F.count_distinct("instance_token").alias("n_instances"))
+
+
+FRAME_POINTS = FRAMES.replace("fx_sample_data d JOIN", KEYED) + """, pt AS (SELECT fr.*, l.x, l.y, l.z FROM fr JOIN fx_lidar l USING (sample_token) WHERE channel = 'LIDAR_TOP'),
+eg AS (SELECT *, """ + rotate_sql("sq", ("x", "y", "z"), "r") + """ FROM pt)
+SELECT CAST(token AS VARCHAR) AS token, count(*) AS n_points, round(sum(rx + stx), 3) + 0e0 AS x, round(sum(ry + sty), 3) + 0e0 AS y FROM eg GROUP BY token"""
+
+
+@query("s2_points_of_frames", FRAME_POINTS)
+def _(fx):
+    """Sweep files that the lidar's key frames name, opened by the tasks that hold those records; points in the ego frame."""
+    kept = fx.lidar.select("sample_token").distinct()  # others have no file
+    data = stored_dataset(fx, fx.sample_data.join(kept, "sample_token", "left_semi"))
+    rows = data.points(sweeps(fx), keys=("token", *("sq" + c for c in "wxyz"), *("st" + c for c in "xyz")))
+    point = rotate(Quat.of("sq"), Vec(*(F.col(c).cast("double") for c in "xyz")))
+    total = lambda c, t: (F.round(F.sum(c + F.col(t)), 3) + 0.0)
+    return rows.groupBy("token").agg(F.count("*").alias("n_points"), total(point.x, "stx").alias("x"), total(point.y, "sty").alias("y"))

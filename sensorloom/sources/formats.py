@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,6 +156,41 @@ class _Points(_Reader):
             yield self.columns(len(own), made)
 
 
+def _files_of(records: DataFrame, folder: str, column: str, keys: list[str], schema: str, make: Callable[[str, bytes], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """keys of each record, and what `make` gives of its file (folder/column). A missing file is an error; a null name has no rows.
+
+    Tasks open the files of their records, so only those asked for are read and nothing is joined; a file at a time is held.
+    """
+    on_workers(records.sparkSession)
+    wanted = records.where(F.col(column).isNotNull()).select(column, *keys)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _system(folder)
+        for batch in batches:
+            for k, name in enumerate(batch.column(0).to_pylist()):
+                with fs.open_input_stream(f"{top}/{name}") as f:
+                    raw = f.read()
+                for rows in make(name, raw):
+                    own = [pa.repeat(batch.column(c)[k], rows.num_rows) for c in keys]
+                    yield pa.RecordBatch.from_arrays([*own, *rows.columns], names=[*keys, *rows.schema.names])
+
+    types = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in keys)
+    # A record is some bytes and its file a thousand times as many, so records are dealt anew.
+    return wanted.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(read, f"{types}, {schema}")
+
+
+def points_of(records: DataFrame, folder: str, keys: list[str], column: str = "filename") -> DataFrame:
+    """Lidar points of the records' own sweep files: keys, point_idx, x, y, z, intensity, ring."""
+    schema = "point_idx int, x float, y float, z float, intensity float, ring float"
+    names = StructType.fromDDL(schema)
+    return _files_of(records, folder, column, keys, schema, lambda name, raw: _Points({"path": folder}, "", names).rows(name, 0, raw))
+
+
+def contents_of(records: DataFrame, folder: str, keys: list[str], column: str = "filename") -> DataFrame:
+    """The records' own files as bytes, for a predictor to decode: keys, content."""
+    return _files_of(records, folder, column, keys, "content binary", lambda name, raw: iter([pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["content"])]))
+
+
 class _PointsWriter(_FileWriter):
     def encoded(self, rows: pa.RecordBatch) -> bytes:
         return np.column_stack([rows.column(c).to_numpy(zero_copy_only=False).astype("<f4") for c in POINT]).tobytes()

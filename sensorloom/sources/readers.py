@@ -50,9 +50,10 @@ def read_table(spark: SparkSession, folder: str, name: str, parts: bool = False)
     return spark.read.schema(SCHEMAS[name]).option("multiLine", True).json(f"{folder}/{name}" + ("" if parts else ".json"))
 
 
-def convert_tables(spark: SparkSession, folder: str, out: str) -> None:
+def convert_tables(spark: SparkSession, folder: str, out: str, parts: bool = False) -> None:
+    """All record tables as Parquet, once; dataset.open_tables reads them."""
     for name in SCHEMAS:
-        read_table(spark, folder, name).write.mode("overwrite").parquet(f"{out}/{name}")
+        read_table(spark, folder, name, parts).write.mode("overwrite").parquet(f"{out}/{name}")
 
 
 def categories(spark: SparkSession) -> DataFrame:
