@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pose import OWN_INTRINSICS, Quat, matrix, normalized
+from ..functions.pose import OWN_INTRINSICS, Pose, Quat, Vec, compose, invert, matrix, normalized, own_intrinsics
+from .boxes import computed
 from .checks import required
 
 CAMERAS = ["CAM_FRONT", "CAM_FRONT_RIGHT", "CAM_BACK_RIGHT", "CAM_BACK", "CAM_BACK_LEFT", "CAM_FRONT_LEFT"]
@@ -137,6 +138,29 @@ def window_stacks(rows: DataFrame, keys: list[str], order: list[str], parts: dic
     return stacks.select(*keys, bounded.alias("_all")).select(*keys, *(F.col(f"_all.{n}").alias(n) for n in parts))
 
 
+def window_bundles(frame_rows: DataFrame, size: int, stride: int, image: str = "filename", time: str = "sd_ts") -> DataFrame:
+    """What a depth model takes of each camera's window, one row each: scene_token, channel, window_id, arrays in the order of
+    samples, and frame_rate (frames a second from the first to the last; null for one frame, or no time between).
+
+    Arrays: tokens, images, used (is this the window that the frame's result is taken from), micros, intrinsics (3 x 3, of the
+    frame's own sensor; null without), to_global (sensor to global: a pose of unit quaternion and translation) and from_global.
+    Frames are key frames, at most one of a sample and channel; a window holds those that there are.
+    """
+    both = compose(Pose(Quat.of("eq"), Vec.of("et")), Pose(Quat.of("sq"), Vec.of("st")))
+    rows = computed(frame_rows, **both.q.named("_pq"), **both.t.named("_pt"))
+    to_global = Pose(Quat.of("_pq"), Vec.of("_pt"))
+    pose = lambda p: F.struct(*(c.alias(n) for n, c in (p.q.named("q") | p.t.named("t")).items()))
+    rows = in_windows(computed(rows, _to=pose(to_global), _from=pose(invert(to_global))), size, stride)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    fx, fy, cx, cy = own_intrinsics() if set(OWN_INTRINSICS) <= set(frame_rows.columns) else (F.lit(None).cast("double"),) * 4
+    k = F.when(fx.isNotNull(), F.array(F.array(fx, zero, cx), F.array(zero, fy, cy), F.array(zero, zero, one)))
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    parts = {"tokens": F.col("token"), "images": F.col(image), "used": F.col("used"), "micros": micros, "intrinsics": k, "to_global": F.col("_to"), "from_global": F.col("_from")}
+    stacks = window_stacks(rows, ["scene_token", "channel", "window_id"], ["sample_index", "token"], parts, most=size)
+    span = F.array_max("micros") - F.array_min("micros")
+    return stacks.withColumn("frame_rate", F.when(span > 0, (F.size("micros") - 1) * 1e6 / span))
+
+
 def first_per(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in the given order."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")

@@ -14,7 +14,8 @@ from ..sources import dataset, formats, readers, sinks
 from .chain_queries import CHAIN, chain
 from .extra_queries import rotate_sql
 from .raster_queries import DEPTH, K8, raster
-from .registry import query
+from .frame_queries import STACKED
+from .registry import query, rounded
 from .scene_queries import BOXES, F19_ALL, FRAMES, frames
 
 
@@ -158,6 +159,23 @@ def _(fx):
     return rows.agg(F.count("*").alias("n_boxes"), F.count_distinct("instance_token").alias("n_instances"))
 
 
+BUNDLES = STACKED.replace("fx_sample_data d JOIN", KEYED).replace("fr.*, window_id,", "fr.*, window_id, used_start, used_end,").rsplit("SELECT", 1)[0] + """, us AS (SELECT *, epoch_us(CAST(sd_ts AS TIMESTAMP)) AS us, (sample_index >= used_start AND sample_index < used_end) AS used FROM al),
+sp AS (SELECT *, max(us) OVER w - min(us) OVER w AS span, count(*) OVER w AS m FROM us WINDOW w AS (PARTITION BY scene_token, channel, window_id))
+SELECT CAST(scene_token AS VARCHAR) AS scene_token, channel, window_id, nth, sample_token || '.bin' AS image, used, CASE WHEN span > 0 THEN round((m - 1) * 1e6 / span, 9) END AS frame_rate, 1266e0 + camera AS fx, 816e0 - camera AS cx,
+  round(pw / n, 6) + 0e0 AS qw, round(pz_ / n, 6) + 0e0 AS qz, round(gx, 6) + 0e0 AS tx, round(gz, 6) + 0e0 AS tz, round(ix, 6) + 0e0 AS inv_tx, round(iy, 6) + 0e0 AS inv_ty FROM sp"""
+
+
+@query("a13_dataset_windows", BUNDLES)
+def _(fx):
+    """Windows of a dataset opened from files, with their cameras' own intrinsics, poses and frame rates; shown a row for each place."""
+    stacks = stored_dataset(fx).windows(7, 3)
+    names = ("images", "used", "intrinsics", "to_global", "from_global")
+    shown = stacks.select("scene_token", "channel", "window_id", F.round("frame_rate", 9).alias("frame_rate"), F.posexplode(F.arrays_zip(*names)).alias("nth", "x"))
+    parts = {"qw": "x.to_global.qw", "qz": "x.to_global.qz", "tx": "x.to_global.tx", "tz": "x.to_global.tz", "inv_tx": "x.from_global.tx", "inv_ty": "x.from_global.ty"}
+    k = F.col("x.intrinsics")
+    return shown.select("scene_token", "channel", "window_id", "nth", F.col("x.images").alias("image"), F.col("x.used").alias("used"), "frame_rate", k[0][0].alias("fx"), k[0][2].alias("cx"), *rounded(**parts))
+
+
 FRAME_POINTS = FRAMES.replace("fx_sample_data d JOIN", KEYED) + """, pt AS (SELECT fr.*, l.x, l.y, l.z FROM fr JOIN fx_lidar l USING (sample_token) WHERE channel = 'LIDAR_TOP'),
 eg AS (SELECT *, """ + rotate_sql("sq", ("x", "y", "z"), "r") + """ FROM pt)
 SELECT CAST(token AS VARCHAR) AS token, count(*) AS n_points, round(sum(rx + stx), 3) + 0e0 AS x, round(sum(ry + sty), 3) + 0e0 AS y FROM eg GROUP BY token"""

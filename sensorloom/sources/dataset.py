@@ -58,6 +58,10 @@ class Dataset:
         """Their boxes in the image."""
         return B.boxes_2d(self.boxes_in_view(channels, near), own_intrinsics(), near, min_size)
 
+    def windows(self, size: int, stride: int, channels: list[str] | None = None) -> DataFrame:
+        """Sliding windows of each camera's key frames, as a depth model takes them: see scene.window_bundles."""
+        return S.window_bundles(self.frames(channels or S.CAMERAS), size, stride)
+
     def points(self, folder: str, channel: str = "LIDAR_TOP", key_frames: bool = True, keys: tuple[str, ...] = ("token", "sample_token")) -> DataFrame:
         """Points of one lidar's frames from their files below folder: columns of the frames (keys), point_idx, x, y, z, intensity, ring.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions.pose import own_intrinsics
 from sensorloom.operators import boxes as B
+from sensorloom.operators import scene as S
 from sensorloom.sources import dataset, readers
 
 LEVEL = {"translation": [0.0, 0.0, 0.0], "rotation": [1.0, 0.0, 0.0, 0.0]}
@@ -116,3 +117,20 @@ def test_broken_records_are_named(spark, tmp_path, table, change, message):
 def test_empty_tables(spark, tmp_path):
     data = opened(spark, tmp_path, {name: [] for name in records()})
     assert data.boxes_2d().count() == 0 and data.points(f"file://{tmp_path}").count() == 0
+
+
+def test_windows_hold_each_cameras_own_calibration(spark, tmp_path):
+    tables = records()
+    tables["sample"] = [{"token": f"t{i}", "scene_token": "s1", "timestamp": 500_000 * i} for i in range(5)]
+    tables["sample_data"] = [{**tables["sample_data"][0], "token": f"d{i}{c}", "sample_token": f"t{i}", "calibrated_sensor_token": c, "filename": f"{c}/{i}", "timestamp": 500_000 * i} for i in range(5) for c in ("c1", "c2", "l1")]
+    tables["sample_annotation"] = []
+    data = opened(spark, tmp_path, tables)
+    rows = {(r.channel, r.window_id): r for r in data.windows(3, 2).collect()}
+    assert set(rows) == {(c, w) for c in ("CAM_FRONT", "CAM_BACK") for w in (0, 1)}  # [0, 3) and [2, 5)
+    one = rows["CAM_BACK", 1]
+    assert one.images == ["c2/2", "c2/3", "c2/4"] and one.frame_rate == pytest.approx(2.0)
+    assert rows["CAM_FRONT", 0].used == [True, True, False] and one.used == [True, True, True]  # a frame's first window is used
+    assert one.intrinsics == [camera(500.0)] * 3 and rows["CAM_FRONT", 0].intrinsics == [camera(1000.0)] * 3
+    assert tuple(one.to_global[0]) == pytest.approx((0.5, -0.5, 0.5, -0.5, 0, 0, 0)) and tuple(one.from_global[0]) == pytest.approx((0.5, 0.5, -0.5, 0.5, 0, 0, 0))
+    top = S.window_bundles(data.frames(["LIDAR_TOP"]), 10, 5).first()
+    assert len(top.tokens) == 5 and top.intrinsics == [None] * 5
