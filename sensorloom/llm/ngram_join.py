@@ -198,11 +198,11 @@ def _asked(chosen: DataFrame, classes: DataFrame, runs: int) -> DataFrame:
         if k == LEVELS - 1:
             finals.append(sizes.withColumn("dense", F.lit(False)))
             break
-        large = level.join(sizes.where(F.col("m") > BUCKET).select("key", "m").hint("merge"), "key")
+        large = level.join(sizes.where(F.col("m") > BUCKET).select("key").hint("merge"), "key", "left_semi")
         large = stored(large, "join-large")
         # Two sets have the same least hash with a chance of their similarity, so a row per member tells near copies from others.
-        alike = large.groupBy("key", "m", F.get(F.element_at("rest", 1), F.lit(0)).alias("t")).agg(F.count("*").cast("double").alias("c")).where("t IS NOT NULL")
-        alike = alike.groupBy("key", "m").agg(F.sum(F.col("c") * F.col("c")).alias("c"))
+        alike = large.groupBy("key", F.get(F.element_at("rest", 1), F.lit(0)).alias("t")).agg(F.count("*").cast("double").alias("c"))
+        alike = alike.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.when(F.col("t").isNotNull(), F.col("c") * F.col("c"))).alias("c"))
         dense = stored(alike.where(F.col("c") >= DENSE * F.col("m") * F.col("m")).select("key"), "join-dense")
         finals.append(sizes.join(dense.withColumn("dense", F.lit(True)).hint("merge"), "key", "left").withColumn("dense", F.coalesce("dense", F.lit(False))).where((F.col("m") <= BUCKET) | F.col("dense")))
         parted = large.join(dense.hint("merge"), "key", "left_anti")
