@@ -113,6 +113,8 @@ class Fixtures:
                 text = SQL[f"fx_{name}"]
                 parts = {n: self.raw(n) for n in ("events", "lineitem", "embeddings") if "{" + n + "}" in text}
                 if "{fx_sensor}" in text:
+                    # Each event becomes a row for each sensor: few blocks of a file would be few, long tasks.
+                    parts["events"] = parts["events"].repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
                     parts["fx_sensor"] = self.sensor
                 self.made[name] = self.spark.sql(text, **parts)
             else:

@@ -1,5 +1,7 @@
 """Data sources of driving-dataset files, bucketed tables, and the package on workers."""
 
+import gzip
+import json
 import subprocess
 import sys
 from pathlib import Path
@@ -8,7 +10,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from sensorloom.sources import formats
+from sensorloom.sources import formats, readers
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -100,3 +102,25 @@ for name in ("m3_morphology_list", "f19_all_boxes_2d", "d9_detector_chain", "m2_
     assert out.returncode == 0, out.stderr[-3000:]
     counts = dict(line.split() for line in out.stdout.splitlines() if len(line.split()) == 2)
     assert len(counts) == 4 and all(int(n) > 0 for n in counts.values())
+
+
+def test_records_are_made_once_and_written_compressed_where_they_lie(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = spark.range(0, 250, 1, 2).select(F.concat(F.lit('é"'), "id").alias("token"), F.when(F.col("id") % 5 > 0, F.lit("one")).alias("name"))
+    formats.record_files(rows.mapInPandas(seen, "token string, name string"), f"file://{tmp_path}/scene", per_file=100)
+    assert made.value == 250
+    files = [json.loads(gzip.decompress(p.read_bytes())) for p in (tmp_path / "scene").iterdir()]  # no work folder is left
+    assert sorted(map(len, files)) == [25, 25, 100, 100]  # two tasks of 125 records
+    back = readers.read_table(spark, f"file://{tmp_path}", "scene", parts=True)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+
+
+def test_a_record_table_may_be_empty(spark, tmp_path):
+    formats.record_files(spark.createDataFrame([], "token string, name string"), f"file://{tmp_path}/scene")
+    assert readers.read_table(spark, f"file://{tmp_path}", "scene", parts=True).count() == 0
