@@ -62,12 +62,15 @@ class Dataset:
         """Sliding windows of each camera's key frames, as a depth model takes them: see scene.window_bundles."""
         return S.window_bundles(self.frames(channels or S.CAMERAS), size, stride)
 
-    def points(self, folder: str, channel: str = "LIDAR_TOP", key_frames: bool = True, keys: tuple[str, ...] = ("token", "sample_token")) -> DataFrame:
+    def points(self, folder: str, channel: str = "LIDAR_TOP", key_frames: bool = True, keys: tuple[str, ...] = ("token", "sample_token"), packed: bool = False) -> DataFrame:
         """Points of one lidar's frames from their files below folder: columns of the frames (keys), point_idx, x, y, z, intensity, ring.
 
-        Poses may be among the keys, so that points need no join to be moved.
+        Poses may be among the keys, so that points need no join to be moved. packed: the folder holds formats.packed_sweeps.
         """
-        return formats.points_of(self.frames([channel], key_frames), folder, list(keys))
+        rows = self.frames([channel], key_frames)
+        if packed:
+            return formats.points_in(rows, rows.sparkSession.read.schema(formats.PACK).parquet(folder), list(keys))
+        return formats.points_of(rows, folder, list(keys))
 
     def images(self, folder: str, channels: list[str] | None = None, key_frames: bool = True) -> DataFrame:
         """Bytes of the cameras' frames from their files below folder: token, sample_token, channel, content."""

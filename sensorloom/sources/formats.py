@@ -4,6 +4,8 @@
     spark.read.format("lidar_sweeps").load(folder)
     rows.write.format("lidar_sweeps").save(folder)
 
+Millions of small sweeps go into packs (packed_sweeps): Parquet files of rows that hold a sweep file's name and bytes.
+
 A folder's files are dealt to partitions in groups of about GROUP_BYTES (option group_bytes), so many small files are few tasks. What a reader's
 schema leaves out isn't built (read.schema("frame string, x float")). Writers write each frame's file under a name of the
 attempt and rename it when the job commits, so neither retries nor failed jobs leave half a folder. Paths are addresses that
@@ -19,12 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..operators.checks import required
 from ..operators.grouped import starts, whole_groups
 from ..session import on_workers
 
@@ -32,6 +36,8 @@ from ..session import on_workers
 GROUP_BYTES, BATCH_ROWS = 32 << 20, 1 << 16
 #: Numbers of a stored lidar point, little-endian 32-bit floats (fixed).
 POINT = ("x", "y", "z", "intensity", "ring")
+#: A packed sweep: its file's name and bytes.
+PACK = "filename string, content binary"
 
 
 @dataclass
@@ -192,6 +198,63 @@ def contents_of(records: DataFrame, folder: str, keys: list[str], column: str =
     return _files_of(records, folder, column, keys, "content binary", lambda name, raw: iter([pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["content"])]))
 
 
+def packed_sweeps(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """Sweeps as the bytes of their .bin files, a row each (filename, content), in Parquet files of many; returns them.
+
+    Rows arrive as by_frame deals them. A file of its own for each of millions of small sweeps takes a block of disk, a
+    rename and a place in the driver's list; here tasks write rows, and the driver knows a few files.
+    """
+    on_workers(rows.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, [key]):
+            first = starts(batch, [key])
+            frames = batch.column(key).take(pa.array(first))
+            if any(f is None or "/" in f for f in frames.to_pylist()):
+                raise ValueError("a frame's name is not null and has no slash")
+            raw = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype("<f4") for c in POINT])
+            edges = np.append(first, batch.num_rows).astype(np.int64) * (4 * len(POINT))
+            content = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(raw.tobytes())])
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(frames, ".bin", ""), content.cast(pa.binary())], names=["filename", "content"])
+
+    rows.mapInArrow(pack, PACK).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(PACK).parquet(path)
+
+
+def unpacked_points(packs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys of each row, and the points of its content: point_idx, x, y, z, intensity, ring. A sweep that ends inside a point is an error."""
+    on_workers(packs.sparkSession)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("content")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if (sizes % (4 * len(POINT))).any():
+                broken = batch.column("filename")[int(np.flatnonzero(sizes % (4 * len(POINT)))[0])]
+                raise ValueError(f"{broken} ends inside a point")
+            own = np.repeat(np.arange(len(sizes)), sizes // (4 * len(POINT)))
+            table = np.frombuffer(b"".join(c for c in batch.column("content").to_pylist() if c), "<f4").reshape(-1, len(POINT))
+            nth = np.arange(len(own)) - np.searchsorted(own, own)
+            for a in range(0, len(own), BATCH_ROWS):
+                part, at = slice(a, a + BATCH_ROWS), pa.array(own[a : a + BATCH_ROWS])
+                columns = [*(batch.column(k).take(at) for k in keys), pa.array(nth[part].astype(np.int32)), *(pa.array(np.ascontiguousarray(table[part, j])) for j in range(len(POINT)))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "point_idx", *POINT])
+
+    types = ", ".join(f"{k} {packs.schema[k].dataType.simpleString()}" for k in keys)
+    return packs.select(*dict.fromkeys([*keys, "filename", "content"])).mapInArrow(unpack, f"{types}, point_idx int, " + ", ".join(f"{c} float" for c in POINT))
+
+
+def packed_points(packs: DataFrame) -> DataFrame:
+    """The points of all packed sweeps, as the sweep format gives those of a folder: frame, point_idx, x, y, z, intensity, ring."""
+    return unpacked_points(packs.withColumn("frame", F.regexp_replace("filename", r"\.bin$", "")), ["frame"])
+
+
+def points_in(records: DataFrame, packs: DataFrame, keys: list[str], column: str = "filename") -> DataFrame:
+    """Lidar points of the records' own sweeps among packed ones: as points_of. A missing sweep is an error; a null name has no rows."""
+    wanted = records.where(F.col(column).isNotNull()).select(F.col(column).alias("filename"), *(k for k in keys if k != "filename"))
+    found = wanted.join(packs.withColumn("_there", F.lit(True)), "filename", "left")
+    return unpacked_points(required(found, {"_there": ("sweep", "filename")}, "filename"), keys)
+
+
 class _PointsWriter(_FileWriter):
     def encoded(self, rows: pa.RecordBatch) -> bytes:
         return np.column_stack([rows.column(c).to_numpy(zero_copy_only=False).astype("<f4") for c in POINT]).tobytes()
@@ -353,13 +416,11 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def compacted(spark: SparkSession, folder: str, out: str, rows_per_file: int = 5_000_000) -> DataFrame:
-    """Many small sweeps as even Parquet files, sorted by frame, so that a frame's points are read from one place; returns them."""
-    register(spark)
-    points = spark.read.format("lidar_sweeps").load(folder)
-    n = max(1, -(-points.select("frame").count() // rows_per_file))
+def compacted(points: DataFrame, out: str, rows_per_file: int = 5_000_000) -> DataFrame:
+    """The points of many small sweeps as even Parquet files, sorted by frame, so that a frame's points are read from one place; returns them."""
+    n = max(1, -(-points.count() // rows_per_file))
     points.repartitionByRange(n, "frame", "point_idx").sortWithinPartitions("frame", "point_idx").write.mode("overwrite").parquet(out)
-    return spark.read.schema(points.schema).parquet(out)
+    return points.sparkSession.read.schema(points.schema).parquet(out)
 
 
 def bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> DataFrame:

@@ -124,3 +124,22 @@ def test_records_are_made_once_and_written_compressed_where_they_lie(spark, tmp_
 def test_a_record_table_may_be_empty(spark, tmp_path):
     formats.record_files(spark.createDataFrame([], "token string, name string"), f"file://{tmp_path}/scene")
     assert readers.read_table(spark, f"file://{tmp_path}", "scene", parts=True).count() == 0
+
+
+def test_packed_sweeps_hold_the_bytes_of_their_files(spark, tmp_path):
+    formats.register(spark)
+    points(spark, 300, 7).write.format("lidar_sweeps").mode("append").save(f"file://{tmp_path}/s")
+    packs = formats.packed_sweeps(points(spark, 300, 7), "frame", f"file://{tmp_path}/p")
+    assert {r.filename: bytes(r.content) for r in packs.collect()} == {p.name: p.read_bytes() for p in (tmp_path / "s").glob("*.bin")}
+    assert len(list((tmp_path / "p").glob("*.parquet"))) <= 5  # files grow with the tasks, not with the sweeps
+    want = sorted(map(tuple, spark.read.format("lidar_sweeps").load(f"file://{tmp_path}/s").collect()))
+    assert sorted(map(tuple, formats.packed_points(packs).collect())) == want and len(want) == 2100
+    records = spark.createDataFrame([("a", "7.bin"), ("b", "7.bin"), ("c", None)], "token string, filename string")
+    got = [tuple(r) for r in formats.points_in(records, packs, ["token"]).collect()]
+    assert sorted(got) == sorted((t, *w[1:]) for t in "ab" for w in want if w[0] == "7")
+    with pytest.raises(PySparkException, match="no sweep 300.bin"):
+        formats.points_in(records.withColumn("filename", F.lit("300.bin")), packs, ["token"]).count()
+    with pytest.raises(PySparkException, match="7.bin ends inside a point"):
+        formats.packed_points(packs.withColumn("content", F.expr("substring(content, 1, 19)")).where("filename = '7.bin'")).count()
+    with pytest.raises(PySparkException, match="no slash"):
+        formats.packed_sweeps(points(spark, 2, 5).withColumn("frame", F.concat(F.lit("a/"), "frame")), "frame", f"file://{tmp_path}/q")
