@@ -12,7 +12,7 @@ from ..operators import scene as S
 from .extra_queries import KEYS, rotate_sql
 from .fixtures import K
 from .raster_queries import PX
-from .registry import query, rounded
+from .registry import nearest, query, rounded
 from .scene_queries import BOX_KEYS, BOXES, F19_ALL, FRAMES, WIN, frames, seen_boxes, unrotate
 
 GROUPS = ("vehicle", "road_object", "two_wheeler", "pedestrian")
@@ -98,7 +98,7 @@ def _(fx):
     boxes = tilt(fx.annotation, F.col("l_partkey") % 3, F.col("l_suppkey") % 2).withColumn("vz", (F.col("l_orderkey") % 5 - 2).cast("double"))
     rows = S.frames(fx.sample_data, fx.sample, tilt(fx.ego_pose, F.col("token") % 3, F.col("token") % 2), fx.sensor)
     out = B.to_ego(B.frame_boxes(S.in_channels(rows, S.CAMERAS), B.labelled(boxes, fx.category)))
-    return out.select(*BOX_KEYS, "label", *((F.round(c, 5) + 0.0).alias(n) for n, c in (("bx", "bx"), ("by_", "by"), ("bz", "bz"))), *rounded(bqw="bqw", bqx="bqx", bqy="bqy", bqz="bqz", bvx="bvx", bvy="bvy", bvz="bvz"))
+    return out.select(*BOX_KEYS, "label", *((nearest(c, 5) + 0.0).alias(n) for n, c in (("bx", "bx"), ("by_", "by"), ("bz", "bz"))), *rounded(bqw="bqw", bqx="bqx", bqy="bqy", bqz="bqz", bvx="bvx", bvy="bvy", bvz="bvz"))
 
 
 @query("s1_box_checks", "WITH b AS (SELECT frame_id, query_idx, CASE WHEN query_idx % 7 = 3 THEN NULL ELSE cx END AS x0, cy AS y0, CASE WHEN query_idx % 5 = 1 THEN CAST('inf' AS DOUBLE) ELSE cx + w END AS x1, CASE WHEN query_idx % 11 = 2 THEN CAST('nan' AS DOUBLE) ELSE cy + h END AS y1 FROM fx_detection) SELECT frame_id, query_idx, CASE WHEN x0 IS NULL OR NOT isfinite(x0) OR NOT isfinite(y0) OR NOT isfinite(x1) OR NOT isfinite(y1) THEN 'a box has four finite coordinates' ELSE 'good' END AS verdict FROM b")

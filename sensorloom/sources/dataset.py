@@ -52,7 +52,7 @@ class Dataset:
 
     def boxes_in_view(self, channels: list[str] | None = None, near: float = 0.1) -> DataFrame:
         """Boxes whose centre is in the image, of each camera's key frame."""
-        return B.in_view(B.to_ego(B.frame_boxes(self.frames(channels or S.CAMERAS), self.boxes())), own_intrinsics(), near)
+        return B.seen_in_ego(B.frame_boxes(self.frames(channels or S.CAMERAS), self.boxes()), own_intrinsics(), near)
 
     def boxes_2d(self, channels: list[str] | None = None, near: float = 0.1, min_size: float = 1.0) -> DataFrame:
         """Their boxes in the image."""

@@ -232,3 +232,38 @@ def test_prompt_points_need_as_many_labels(spark):
 def test_distinct_points_keep_the_first(spark):
     rows = spark.createDataFrame([([(1.0, 0.0), (1.0 + 1e-12, 0.0), (1.0 + 1e-9, 0.0), (1.0, 0.0)],)], "p array<struct<x:double,y:double>>")
     assert [p.x for p in rows.select(B.distinct_points(F.col("p"), ("x", "y")).alias("p")).first().p] == [1.0, 1.0 + 1e-9]
+
+
+def test_rounding_by_a_scale(spark):
+    from sensorloom.plans.registry import nearest
+
+    values = [1020.7776934999999, 16459.0480325, -2.5e-6, 2.5e-6, -1e-9, 0.0, 1e17, -1e300, float("inf"), float("-inf"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(nearest("x", 6)).collect()]
+    assert got == [1020.777694, 16459.048032, -3e-6, 3e-6, 0.0, 0.0, 1e17, -1e300, float("inf"), float("-inf"), None]  # as DuckDB's round
+    assert spark.range(1).select(F.isnan(nearest(F.lit(float("nan")), 6))).first()[0]
+
+
+def test_clipped_ends_are_those_of_clipped_points(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, *map(float, rng.uniform(-3, 3, 2)), float(rng.uniform(-3, 4)), *map(float, rng.uniform(0.5, 4, 3)), *map(float, rng.normal(size=4))) for i in range(200)]
+    frame = spark.createDataFrame(rows, "i int, bx double, by double, bz double, sl double, sw double, sh double, gw double, gx double, gy double, gz double")
+    frame = frame.withColumns(Q.normalized(Quat.of("g")).named("bq") | {f"sq{c}": F.lit(1.0 if c == "w" else 0.0) for c in "wxyz"} | {f"st{c}": F.lit(0.0) for c in "xyz"})
+    want = {r.i: np.array([(p.x, p.y, p.z) for p in r.points]) for r in B.clipped_points(frame).collect()}
+    got = {r.i: r for r in B.clipped_ends(frame).collect()}
+    assert {i: r.n_ends for i, r in got.items()} == {i: len(p) for i, p in want.items()} and {0, 24} < {len(p) for p in want.values()}
+    for i, points in want.items():
+        mean = [got[i].end_x, got[i].end_y, got[i].end_z]
+        assert mean == (pytest.approx(points.mean(0)) if len(points) else [None] * 3)
+
+
+def test_boxes_are_turned_when_those_out_of_view_are_gone(spark):
+    one = {"eqw": 1.0, "eqx": 0.0, "eqy": 0.0, "eqz": 0.0, "sqw": 1.0, "sqx": 0.0, "sqy": 0.0, "sqz": 0.0, **{p + c: 0.0 for p in ("et", "st", "q") for c in "xyz"}, "vx": 0.0, "vy": 0.0, "cx": 0.0, "cy": 0.0, "width": 1600, "height": 900}
+    rows = lambda z, w: spark.range(1).select(*(F.lit(v).alias(c) for c, v in (one | {"cz": z, "qw": w}).items()))
+    k = (1000.0, 1000.0, 800.0, 450.0)
+    seen = B.seen_in_ego(rows(5.0, 2.0), k)
+    assert seen.count() == 1 and B.seen_in_ego(rows(-5.0, 2.0), k).count() == 0
+    plan = seen._jdf.queryExecution().analyzed().toString()
+    assert plan.index("_rw") < plan.index("Filter")  # plans are written from the top
+    for z in (5.0, -5.0):  # a rotation of length zero is an error in view or not
+        with pytest.raises(PySparkException, match="length zero"):
+            B.seen_in_ego(rows(z, 0.0), k).collect()
