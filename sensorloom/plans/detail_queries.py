@@ -13,7 +13,7 @@ from ..operators import scene as S
 from .extra_queries import ANN, KEYS, rotate_sql
 from .fixtures import K
 from .raster_queries import BOX, DEPTH, K8, MASK, SCORES, mask, raster, scored
-from .registry import query, r6, rounded
+from .registry import nearest, query, r6, rounded
 from .scene_queries import BOX_KEYS, BOXES, EDGE_ROWS, FRAMES, ROT_ALL, W2, ego_boxes, frames, seen_boxes, tracked
 
 
@@ -79,15 +79,14 @@ SELECT token, {KEYS}, count(*) AS n, round(avg(x), 4) + 0e0 AS x, round(avg(y),
 @query("u2_f18_clipped_box_points", CLIPPED)
 def _(fx):
     """How many ends the clipped edges of each box have, and their mean."""
-    rows = B.clipped_points(seen_boxes(fx)).where(F.size("points") > 0)
-    mean = lambda n: F.aggregate(F.transform("points", lambda p: p[n]), F.lit(0.0), lambda a, x: a + x) / F.size("points")
-    return rows.select(*BOX_KEYS, F.size("points").cast("long").alias("n"), *((F.round(mean(n), 4) + 0.0).alias(n) for n in "xyz"))
+    rows = B.clipped_ends(seen_boxes(fx)).where("n_ends > 0")
+    return rows.select(*BOX_KEYS, F.col("n_ends").alias("n"), *((nearest("end_" + n, 4) + 0.0).alias(n) for n in "xyz"))
 
 
 @query("f21_global_boxes", FRAMES + ", " + W2.removeprefix("WITH ").split("),\n", 1)[1] + ", an AS (SELECT a.*, c.category_name AS label FROM fx_annotation a JOIN fx_category c USING (category_token) WHERE c.category_name IS NOT NULL) SELECT fr.token, l_orderkey, l_linenumber, l_partkey, l_suppkey, label, tracking_id, cx, cy, cz, round(sl, 6) AS length, round(sw, 6) AS width_m, round(sh, 6) AS height_m FROM fr JOIN an USING (sample_token) JOIN tr ON tr.scene_token = fr.scene_token AND tr.instance_token = an.instance_token WHERE fr.channel LIKE 'CAM%'")
 def _(fx):
     rows = B.global_boxes(S.in_channels(frames(fx), S.CAMERAS), B.labelled(fx.annotation, fx.category), tracked(fx)[1])
-    return rows.select(*BOX_KEYS, "label", "tracking_id", "cx", "cy", "cz", *(F.round(c, 6).alias(c) for c in ("length", "width_m", "height_m")))
+    return rows.select(*BOX_KEYS, "label", "tracking_id", "cx", "cy", "cz", *(nearest(c, 6).alias(c) for c in ("length", "width_m", "height_m")))
 
 
 @query("a4_first_seen_order", "WITH si AS (SELECT *, row_number() OVER (PARTITION BY scene_token ORDER BY sample_ts, sample_token) - 1 AS sample_index FROM fx_sample), f AS (SELECT scene_token, category_token, min(sample_index * 100000000 + l_orderkey) AS k FROM fx_annotation JOIN si USING (sample_token) GROUP BY 1, 2) SELECT scene_token, category_token, row_number() OVER (PARTITION BY scene_token ORDER BY k, category_token) - 1 AS nth FROM f")

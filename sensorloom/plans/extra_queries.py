@@ -268,6 +268,4 @@ def _(fx):
 
 @query("u2_f18_clipped_points", BOXES + "SELECT channel, category_group, count(*) AS n FROM seen GROUP BY 1, 2")
 def _(fx):
-    rows = B.camera_corners(seen_boxes(fx).select("channel", "category_group", "px", "py", "pz", "sl", "sw", "sh", "sqw", "sqx", "sqy", "sqz", "bqw", "bqx", "bqy", "bqz"))
-    ends = F.flatten(F.transform(B.edge_segments(F.col("corners"), 0.1), lambda s: F.array(s["p"], s["q"])))
-    return rows.where(F.size(ends) > 0).groupBy("channel", "category_group").agg(F.count("*").alias("n"))
+    return B.clipped_ends(seen_boxes(fx)).where("n_ends > 0").groupBy("channel", "category_group").agg(F.count("*").alias("n"))
