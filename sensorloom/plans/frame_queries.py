@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import pose as Q
-from ..functions.pose import Pose, Quat, Vec
 from ..operators import boxes as B
 from ..operators import checks as C
 from ..operators import scene as S
@@ -72,16 +70,14 @@ SELECT scene_token, channel, window_id, nth, token AS image, 1266e0 + camera AS
 @query("a13_window_bundles", STACKED)
 def _(fx):
     """Each camera's windows as stacks of images, intrinsics, poses to the global frame and their inverses; shown a row for each place."""
-    both = Q.compose(Pose(Quat.of("eq"), Vec.of("et")), Pose(Quat.of("sq"), Vec.of("st")))
-    rows = S.in_windows(S.in_channels(frames(fx), S.CAMERAS), 7, 3)
-    rows = B.computed(rows, **both.q.named("pq"), **both.t.named("pt"))
-    back = Q.invert(Pose(Quat.of("pq"), Vec.of("pt")))
-    pose = lambda p: F.struct(*(c.alias(n) for n, c in (p.q.named("q") | p.t.named("t")).items()))
-    camera = (F.col("token") % 10).cast("double")
+    rows, pose = S.moved_pose(S.in_channels(frames(fx), S.CAMERAS))
+    camera = (F.col("images") % 10).cast("double")
     k = F.array(F.array(1266.0 + camera, F.lit(0.0), 816.0 - camera), F.array(F.lit(0.0), 1266.0 + camera, F.lit(491.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-    parts = {"images": F.col("token"), "intrinsics": k, "to_global": pose(Pose(Quat.of("pq"), Vec.of("pt"))), "from_global": pose(back)}
-    stacks = S.window_stacks(rows, ["scene_token", "channel", "window_id"], ["sample_index", "token"], parts, most=7)
-    shown = stacks.select("scene_token", "channel", "window_id", F.posexplode(F.arrays_zip(*parts)).alias("nth", "x"))
+    made = {"images": F.col("images"), "intrinsics": k, **S.made_poses()}
+    stacks = S.stacked_windows(rows, ["scene_token", "channel"], ["token"], {"images": F.col("token"), **pose}, made, 7, 3)
+    parts = [F.col(f"rows.{name}").alias(name) for name in made]
+    stacks = stacks.select("scene_token", "channel", "window_id", *parts)
+    shown = stacks.select("scene_token", "channel", "window_id", F.posexplode(F.arrays_zip(*made)).alias("nth", "x"))
     return shown.select("scene_token", "channel", "window_id", "nth", F.col("x.images").alias("image"), F.col("x.intrinsics")[0][0].alias("fx"), F.col("x.intrinsics")[0][2].alias("cx"), *rounded(**{c: f"x.to_global.{c}" for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz")}, **{f"inv_{c}": f"x.from_global.{c}" for c in ("tx", "ty", "tz")}))
 
 

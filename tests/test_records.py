@@ -243,3 +243,27 @@ def test_whole_boxes_have_the_extent_of_clipped_ones():
         got, want = B._extents(center, axes, size, focal, middle, 0.1), B._seen_extents(center, axes, size, focal, middle, 0.1)
     assert np.allclose(got, want, rtol=0, atol=1e-9, equal_nan=True)
     assert 0 < np.isnan(want).any(1).sum() < n and ((want[:, :2] > 0).all(1) & (want[:, 2:] < size).all(1)).sum() > 500
+
+
+def test_windows_move_a_row_once(spark):
+    from sensorloom.plans.queries import QUERIES
+
+    plan = unbroadcast(spark, lambda: QUERIES["a13_window_bundles"](spark, "/root/testdata/sf0.001"))
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(scene_token" in line]
+    assert len(moved) == 2 and "window_id" not in "".join(moved)  # samples by scene, and frames by scene, camera and block
+
+
+@pytest.mark.parametrize("size, stride", [(7, 3), (5, 5), (4, 1)])
+def test_stacked_windows_equal_stacks_of_dealt_rows(spark, size, stride):
+    rng = np.random.default_rng(5)
+    lengths = {1: 1, 2: 6, 3: 7, 4: 250}
+    samples = spark.createDataFrame([(s, c, i, n, f"{s}{c}{i}") for s, n in lengths.items() for c in "ab" for i in range(n) if c == "a" or rng.random() < 0.6], "s int, c string, sample_index int, scene_samples int, name string")
+    got = S.stacked_windows(samples, ["s", "c"], ["name"], {"name": F.col("name")}, {"names": F.upper("name")}, size, stride)
+    assert "used_start" in got.columns
+    want = S.window_stacks(S.in_windows(samples, size, stride), ["s", "c", "window_id"], ["sample_index", "name"], {"names": F.upper("name"), "used": F.col("used")}, size)
+    used = F.transform("rows", lambda r: (r["at"] >= F.col("used_start")) & (r["at"] < F.col("used_end")))
+    got = got.select("s", "c", "window_id", F.col("rows.names").alias("names"), used.alias("used"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 80
+    double = spark.createDataFrame([(1, "a", i, 9, f"{i}{k}") for i in range(9) for k in range(1 + (i == 2))], samples.schema)
+    with pytest.raises(PySparkException, match=f"over {size} rows"):
+        S.stacked_windows(double, ["s", "c"], ["name"], {"name": F.col("name")}, {"name": F.col("name")}, size, stride).collect()
