@@ -85,7 +85,8 @@ def _(fx):
 
 @query("f21_global_boxes", FRAMES + ", " + W2.removeprefix("WITH ").split("),\n", 1)[1] + ", an AS (SELECT a.*, c.category_name AS label FROM fx_annotation a JOIN fx_category c USING (category_token) WHERE c.category_name IS NOT NULL) SELECT fr.token, l_orderkey, l_linenumber, l_partkey, l_suppkey, label, tracking_id, cx, cy, cz, round(sl, 6) AS length, round(sw, 6) AS width_m, round(sh, 6) AS height_m FROM fr JOIN an USING (sample_token) JOIN tr ON tr.scene_token = fr.scene_token AND tr.instance_token = an.instance_token WHERE fr.channel LIKE 'CAM%'")
 def _(fx):
-    rows = B.global_boxes(S.in_channels(frames(fx), S.CAMERAS), B.labelled(fx.annotation, fx.category), tracked(fx)[1])
+    ids = S.sample_tracking_ids(tracked(fx)[0], "scene_token", "instance_token", ["sample_index", "l_orderkey"])
+    rows = B.global_boxes(S.in_channels(frames(fx), S.CAMERAS), B.labelled(fx.annotation, fx.category), ids)
     return rows.select(*BOX_KEYS, "label", "tracking_id", "cx", "cy", "cz", *(nearest(c, 6).alias(c) for c in ("length", "width_m", "height_m")))
 
 

@@ -267,3 +267,15 @@ def test_stacked_windows_equal_stacks_of_dealt_rows(spark, size, stride):
     double = spark.createDataFrame([(1, "a", i, 9, f"{i}{k}") for i in range(9) for k in range(1 + (i == 2))], samples.schema)
     with pytest.raises(PySparkException, match=f"over {size} rows"):
         S.stacked_windows(double, ["s", "c"], ["name"], {"name": F.col("name")}, {"name": F.col("name")}, size, stride).collect()
+
+
+def test_boxes_get_their_track_where_they_lie(spark):
+    from sensorloom.plans.queries import QUERIES
+
+    plan = unbroadcast(spark, lambda: QUERIES["f21_global_boxes"](spark, "/root/testdata/sf0.001"))
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not [line for line in moved if "instance_token" in line]  # boxes of frames don't move to their instance
+    rows = spark.createDataFrame([(1, 10, "b", 0, 5), (1, 10, "a", 0, 4), (1, 10, "b", 0, 3), (1, 11, "a", 1, 0), (1, 11, "c", 1, 1), (2, 12, "c", 0, 1), (2, 12, None, 0, 0), (None, 13, "a", 0, 0)], "scene int, sample_token int, inst string, i int, k int")
+    of = {(r.scene, r.inst): r.tracking_id for r in S.tracking_ids(rows, "scene", "inst", ["i", "k"]).collect()}
+    got = {r.sample_token: r.ids for r in S.sample_tracking_ids(rows, "scene", "inst", ["i", "k"]).collect()}
+    assert got == {10: {"b": of[1, "b"], "a": of[1, "a"]}, 11: {"a": of[1, "a"], "c": of[1, "c"]}, 12: {"c": of[2, "c"]}}
