@@ -279,3 +279,10 @@ def test_boxes_get_their_track_where_they_lie(spark):
     of = {(r.scene, r.inst): r.tracking_id for r in S.tracking_ids(rows, "scene", "inst", ["i", "k"]).collect()}
     got = {r.sample_token: r.ids for r in S.sample_tracking_ids(rows, "scene", "inst", ["i", "k"]).collect()}
     assert got == {10: {"b": of[1, "b"], "a": of[1, "a"]}, 11: {"a": of[1, "a"], "c": of[1, "c"]}, 12: {"c": of[2, "c"]}}
+
+
+def test_a_box_goes_to_python_as_one_value(spark):
+    from sensorloom.plans.queries import QUERIES
+
+    plan = unbroadcast(spark, lambda: QUERIES["f20_p16_all_boxes_2d_counts"](spark, "/root/testdata/sf0.001"))
+    assert "extents(array(" in plan and "hax" not in plan  # its axes are made there
