@@ -15,7 +15,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +26,9 @@ ARITY, LEVELS = 3, 6
 WIDTH = ARITY**LEVELS
 #: One step of a path: what stands before and after the node in its run; `alone` where the node is the root of its tree already.
 STEP = "struct<before:string,after:string,alone:boolean>"
+#: Nodes to a task, and so to a file, of what is stored. On a local disk each file costs processes (chmod), and as one starts
+#: it counts with all of its executor's memory.
+ROWS = 8192
 
 
 def digest(parts: Sequence[Column]) -> Column:
@@ -50,15 +52,20 @@ def siblings(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda s: F.concat(s["before"], s["after"])), "")
 
 
-def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds rank: a row's position from 0 in its tree by `order` (nulls first); the last name tells equal rows apart.
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """df, made of n nodes, in tasks of about ROWS of them: each takes whole partitions of df in turn, and nothing moves."""
+    return df.coalesce(max(1, -(-n // ROWS)))
+
+
+def _ranked(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """Adds rank to n rows: a row's position from 0 in its tree by `order` (nulls first); the last name tells equal rows apart.
 
     Rows are range-partitioned on (tree, *order) and counted where they lie; a tree of any size spreads. Only a partition's
     first tree can have begun before it, so what is added to ranks is one number for each partition.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tree, n, run = TaskContext.get().partitionId(), None, 0, 0
+        tree, n, run = None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -71,17 +78,18 @@ def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
             carried[0] = n if same else 0
             runs = run + np.arange(len(starts)) + (0 if same or tree is None else 1)
             position = np.arange(len(own)) - np.repeat(starts - carried, sizes)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), part, np.int32)), pa.array(np.repeat(runs == 0, sizes)), pa.array(position)], names=[*batch.schema.names, "part", "first", "position"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.repeat(runs == 0, sizes)), pa.array(position)], names=[*batch.schema.names, "first", "position"])
             tree, run, n = own[-1].as_py(), int(runs[-1]), int(position[-1]) + 1
 
     split = rows.select("tree", *(c for c in rows.columns if c != "tree")).repartitionByRange(partitions(rows.sparkSession), "tree", *order).sortWithinPartitions("tree", *order)
-    schema = T.StructType([*split.schema.fields, *T._parse_datatype_string("part int, first boolean, position long").fields])
-    counted = stored(split.mapInArrow(count, schema), "merkle-ranks")
+    split = split.withColumn("part", F.spark_partition_id())  # of the ranges, also where a task takes some of them in turn
+    schema = T.StructType([*split.schema.fields, *T._parse_datatype_string("first boolean, position long").fields])
+    counted = stored(_few(split.mapInArrow(count, schema), n), "merkle-ranks")
     # Only trees that open a partition can go on from one before: fewer than partitions, and so are their rows here, but twice.
     opening = counted.where("first AND position = 0").select("tree").distinct()
     sizes = counted.join(F.broadcast(opening), "tree").groupBy("tree", "part").agg(F.count("*").alias("n"))
     ahead = F.sum("n").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    before = stored(sizes.select("part", ahead.alias("before")).where("before is not null"), "merkle-offsets")
+    before = sizes.select("part", ahead.alias("before")).where("before is not null")
     moved = counted.join(F.broadcast(before), "part", "left")
     return moved.withColumn("rank", F.col("position") + F.when(F.col("first"), F.coalesce("before", F.lit(0))).otherwise(0)).drop("part", "first", "position", "before")
 
@@ -126,14 +134,14 @@ def _emitted(blocks: DataFrame, above: DataFrame) -> DataFrame:
     return met.select("tree", "over", leaves.alias("leaf")).select("tree", F.col("leaf.item").alias("item"), F.col("leaf.node").alias("node"), "over", F.col("leaf.path").alias("path"))
 
 
-def _layers(ranked: DataFrame, what: str) -> list[DataFrame]:
-    """Layers of blocks over (tree, rank, node, item), up to one block a tree."""
+def _layers(ranked: DataFrame, what: str, n: int) -> tuple[list[DataFrame], int]:
+    """Layers of blocks over n rows (tree, rank, node, item), up to one block a tree; and the number of trees."""
     layers, nodes = [], ranked
     while True:
-        layers.append(stored(_rolled(nodes), f"merkle-{what}"))
-        last = layers[-1].agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+        layers.append(stored(_few(_rolled(nodes), n), f"merkle-{what}"))
+        last, n = layers[-1].agg(F.coalesce(F.max("block"), F.lit(0)), F.count("*")).first()
         if last == 0:
-            return layers
+            return layers, n
         nodes = layers[-1].select("tree", F.col("block").alias("rank"), "node", F.col("block").alias("item"))
 
 
@@ -154,9 +162,10 @@ def manifest(docs: DataFrame, fields: Sequence[str], id_col: str = "doc_id", sou
     leaves = docs.select(tree.alias("tree"), digest([field(F.col(c)) for c in fields]).alias("node"), item.alias("item"))
     # Texts are read once; equal rows get numbers of their own, so that they spread over partitions.
     leaves = stored(leaves.withColumn("nth", F.monotonically_increasing_id()), "merkle-leaves").withColumn("id", F.col("item.doc_id"))
-    layers = _layers(_ranked(leaves, ["id", "node", "nth"]).drop("id", "nth"), "blocks")
+    n = leaves.count()
+    layers, trees = _layers(_ranked(leaves, ["id", "node", "nth"], n).drop("id", "nth"), "blocks", n)
     tops = layers[-1].select(F.lit("all").alias("tree"), F.col("tree").alias("name"), "node", F.struct(F.col("tree").alias("tree"), F.col("node").alias("subroot")).alias("item"))
-    forest = _layers(_ranked(tops, ["name"]).drop("name"), "sources")
+    forest, _ = _layers(_ranked(tops, ["name"], trees).drop("name"), "sources", trees)
 
     # Down again: each layer's paths are what stands above the blocks of the layer below.
     over = forest[-1].select("tree", "block", F.struct(F.col("node").alias("root"), F.array().cast(f"array<{STEP}>").alias("path")).alias("over"))
@@ -169,4 +178,4 @@ def manifest(docs: DataFrame, fields: Sequence[str], id_col: str = "doc_id", sou
         out = _emitted(layer, over)
         if layer is not layers[0]:
             over = out.select("tree", F.col("item").alias("block"), F.struct("over.root", "over.subroot", "path").alias("over"))
-    return out.select("item.doc_id", "item.source", F.col("node").alias("leaf"), "over.subroot", "over.root", "path", *(F.col("item")[n].alias(n) for n in extra))
+    return _few(out, n).select("item.doc_id", "item.source", F.col("node").alias("leaf"), "over.subroot", "over.root", "path", *(F.col("item")[n].alias(n) for n in extra))
