@@ -5,12 +5,18 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch that goes to a Python worker.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Shuffle files of a job go when it ends; else they lie until the driver collects garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a task sorts or holds, about: some 100 MB of records or boxes.
+ROWS = 250_000
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
@@ -38,6 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs that store their result leave no shuffle files behind."""
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before)
+
+
+def parts_for(n: int) -> int:
+    """Parts of a table of n rows in which a task sorts them in memory."""
+    return -(-n // ROWS)
+
+
+def dealt(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Rows dealt by their keys to so many parts, if Spark would make fewer of them (and sort them on disk)."""
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -5,8 +5,9 @@
     boxes = data.boxes_2d()                                             # of every camera's key frame, by its own intrinsics
 
 Records nest poses and sizes in arrays; here each number is a column, so that expressions stay in generated code and scans
-read what they need. Joins are on tokens, between stored tables whose sizes Spark knows. What a record points to must exist:
-a missing sensor, instance or category is an error that names it.
+read what they need. Annotations met their instances and records their channels at the conversion (readers.RESOLVED). Joins
+are on tokens, between stored tables whose rows are counted, in as many parts as tasks can hold. What a record points to must
+exist: a missing sensor, instance or category is an error that names it, when the record is read.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from ..functions.pose import OWN_INTRINSICS, own_intrinsics
 from ..operators import boxes as B
 from ..operators import scene as S
 from ..operators.checks import required
+from ..session import dealt, parts_for
 from . import formats, readers
 
 
@@ -34,16 +36,23 @@ class Dataset:
     sensor: DataFrame
     annotation: DataFrame
     category: DataFrame
+    #: sample_data with `_channel`, the channel of its sensor.
+    records: DataFrame
+    #: In how many parts records and boxes are dealt, so that tasks sort them in memory.
+    parts: int
 
     def of_scene(self, name: str) -> Dataset:
         """The same with the samples of one scene only, the first of that name (no such scene is an error when rows are read)."""
         one = S.scene_named(self.scene, name).select(F.col("token").alias("scene_token"))
-        return Dataset(self.scene, self.sample.join(F.broadcast(one), "scene_token"), self.sample_data, self.ego_pose, self.sensor, self.annotation, self.category)
+        return Dataset(self.scene, self.sample.join(F.broadcast(one), "scene_token"), self.sample_data, self.ego_pose, self.sensor, self.annotation, self.category, self.records, self.parts)
 
     def frames(self, channels: list[str] | None = None, key_frames: bool = True) -> DataFrame:
         """Records of sensors with their sample, pose and intrinsics: key frames, unless all are asked for."""
-        rows = self.sample_data.where("is_key_frame") if key_frames else self.sample_data
-        rows = S.frames(rows, self.sample, self.ego_pose, self.sensor)
+        rows = self.records.where("is_key_frame") if key_frames else self.records
+        if channels is not None:  # records of other sensors don't move; those without a sensor become an error
+            rows = rows.where(F.col("_channel").isin(channels) | F.col("_channel").isNull())
+        posed = readers.looked_up(rows.drop("_channel"), "ego_pose_token", self.ego_pose.select(F.col("token").alias("_token"), *S.raw_pose(), F.lit(True).alias("_pose")))
+        rows = S.placed(posed, self.sample, self.sensor, self.parts)
         return rows if channels is None else S.in_channels(rows, channels)
 
     def boxes(self, keep_unmapped: bool = False) -> DataFrame:
@@ -52,7 +61,7 @@ class Dataset:
 
     def boxes_in_view(self, channels: list[str] | None = None, near: float = 0.1) -> DataFrame:
         """Boxes whose centre is in the image, of each camera's key frame."""
-        return B.seen_in_ego(B.frame_boxes(self.frames(channels or S.CAMERAS), self.boxes()), own_intrinsics(), near)
+        return B.seen_in_ego(B.frame_boxes(self.frames(channels or S.CAMERAS), dealt(self.boxes(), self.parts, "sample_token")), own_intrinsics(), near)
 
     def boxes_2d(self, channels: list[str] | None = None, near: float = 0.1, min_size: float = 1.0) -> DataFrame:
         """Their boxes in the image."""
@@ -103,18 +112,19 @@ def open_tables(spark: SparkSession, folder: str, classes: DataFrame | None = No
     classes: raw category name -> category_name, id, category_group (name once each); by default readers.categories. A raw
     category that it lacks has no class. Annotations have no velocity of their own: vx and vy are null.
     """
-    raw = {name: spark.read.schema(ddl).parquet(f"{folder}/{name}") for name, ddl in readers.SCHEMAS.items()}
+    raw = {name: readers.converted(spark, folder, name) for name in readers.SCHEMAS}
     time = F.timestamp_micros("timestamp")
     sample = raw["sample"].select(F.col("token").alias("sample_token"), "scene_token", time.alias("sample_ts"))
-    data = raw["sample_data"].select("token", "sample_token", "ego_pose_token", "calibrated_sensor_token", "is_key_frame", "filename", "width", "height", time.alias("sd_ts"))
-    rig = raw["calibrated_sensor"].select("token", "sensor_token", *pose_columns(), *intrinsic_columns())
-    rig = rig.join(raw["sensor"].select(F.col("token").alias("sensor_token"), "channel"), "sensor_token", "left")
+    record = [*("token", "sample_token", "ego_pose_token", "calibrated_sensor_token", "is_key_frame", "filename", "width", "height"), time.alias("sd_ts")]
+    data = raw["sample_data"].select(*record)
+    records = raw["sample_data"].select(*record, F.col("channel").alias("_channel"))
+    rig = raw["calibrated_sensor"].select("token", "sensor_token", "channel", *pose_columns(), *intrinsic_columns())
     sensor = required(rig, {"channel": ("sensor", "sensor_token")}, "token", keep=True).withColumnRenamed("token", "sensor_id").drop("sensor_token")
     size = [F.get("size", F.lit(i)).alias(n) for i, n in enumerate(("sw", "sl", "sh"))]
-    notes = raw["sample_annotation"].select("token", "sample_token", "instance_token", *size, *pose_columns()).withColumnsRenamed({"t" + c: "c" + c for c in "xyz"})
-    instance = raw["instance"].select(F.col("token").alias("instance_token"), "category_token", F.lit(True).alias("_instance"))
-    notes = required(notes.join(instance, "instance_token", "left"), {"_instance": ("instance", "instance_token")}, "token")
+    notes = raw["sample_annotation"].select("token", "sample_token", "instance_token", "category_token", F.col("has_instance").alias("_instance"), *size, *pose_columns()).withColumnsRenamed({"t" + c: "c" + c for c in "xyz"})
+    notes = required(notes, {"_instance": ("instance", "instance_token")}, "token")
     notes = notes.withColumnRenamed("token", "annotation_token").withColumns({c: F.lit(None).cast("double") for c in ("vx", "vy")})
-    known = raw["category"].select(F.col("token").alias("category_token"), "name").join(classes or readers.categories(spark), "name", "left")
+    # Categories are some dozens; Spark can't tell the size of a join, and would deal annotations to a few hot categories.
+    known = raw["category"].select(F.col("token").alias("category_token"), "name").join(F.broadcast(classes or readers.categories(spark)), "name", "left").hint("broadcast")
     pose = raw["ego_pose"].select("token", *pose_columns())
-    return Dataset(raw["scene"], sample, data, pose, sensor, notes, known)
+    return Dataset(raw["scene"], sample, data, pose, sensor, notes, known, records, parts_for(max(raw["sample_data"].count(), raw["sample_annotation"].count())))

@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.checks import required
 from ..operators.grouped import starts, whole_groups
-from ..session import on_workers
+from ..session import on_workers, shuffles_freed
 
 #: Bytes of files that one partition reads, about, and points of an Arrow batch.
 GROUP_BYTES, BATCH_ROWS = 32 << 20, 1 << 16
@@ -435,4 +435,11 @@ def record_files(df: DataFrame, path: str, per_file: int = 50_000) -> None:
     Spark makes the JSON where the rows lie, once: nothing is counted or moved, and files take about a tenth of their text.
     """
     register(df.sparkSession)
-    df.select(F.to_json(F.struct(*df.columns)).alias("record")).write.format("json_records").option("per_file", per_file).mode("overwrite").save(path)
+    with shuffles_freed(df.sparkSession):
+        df.select(F.to_json(F.struct(*df.columns)).alias("record")).write.format("json_records").option("per_file", per_file).mode("overwrite").save(path)
+
+
+def remove_folder(path: str) -> None:
+    """Delete a folder of files that were stored on the way to others."""
+    fs, place = _system(path)
+    fs.delete_dir(place)

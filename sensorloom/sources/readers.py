@@ -7,21 +7,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import dealt, parts_for, shuffles_freed
 from .formats import register
 
 _POSE = "translation array<double>, rotation array<double>"
-#: Schemas of the record tables, declared so that no pass over the files infers them.
+#: Schemas of the record tables, declared so that no pass over the files infers them; a table comes after those that it points to.
 SCHEMAS = {
     "scene": "token string, name string",
     "sample": "token string, scene_token string, timestamp bigint",
-    "sample_data": "token string, sample_token string, ego_pose_token string, calibrated_sensor_token string, is_key_frame boolean, filename string, width int, height int, timestamp bigint",
-    "ego_pose": f"token string, {_POSE}",
-    "calibrated_sensor": f"token string, sensor_token string, {_POSE}, camera_intrinsic array<array<double>>",
     "sensor": "token string, channel string",
-    "sample_annotation": f"token string, sample_token string, instance_token string, size array<double>, {_POSE}",
-    "instance": "token string, category_token string",
+    "calibrated_sensor": f"token string, sensor_token string, {_POSE}, camera_intrinsic array<array<double>>",
+    "ego_pose": f"token string, {_POSE}",
+    "sample_data": "token string, sample_token string, ego_pose_token string, calibrated_sensor_token string, is_key_frame boolean, filename string, width int, height int, timestamp bigint",
     "category": "token string, name string",
+    "instance": "token string, category_token string",
+    "sample_annotation": f"token string, sample_token string, instance_token string, size array<double>, {_POSE}",
+}
+#: What the converted tables hold besides, of the records that theirs point to (null where there is none).
+RESOLVED = {
+    "calibrated_sensor": "channel string",
+    "sample_data": "channel string",
+    "sample_annotation": "has_instance boolean, category_token string",
 }
 #: Raw category -> (name, id, group) of the ten detection classes (fixed values).
 CATEGORIES = [
@@ -50,10 +58,49 @@ def read_table(spark: SparkSession, folder: str, name: str, parts: bool = False)
     return spark.read.schema(SCHEMAS[name]).option("multiLine", True).json(f"{folder}/{name}" + ("" if parts else ".json"))
 
 
+def converted(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table that convert_table wrote."""
+    return spark.read.schema(", ".join([SCHEMAS[name], *([RESOLVED[name]] if name in RESOLVED else [])])).parquet(f"{out}/{name}")
+
+
+#: Rows of a table that each task gets whole to look records up in, at most.
+FEW = 20_000
+
+
+def looked_up(rows: DataFrame, key: str, other: DataFrame) -> DataFrame:
+    """rows with what `other` (one row a token, _token) has of the record that their key names; null where there is none.
+
+    A task holds a few records of `other`, or its part of them, and rows stream past: nothing is sorted.
+    """
+    n = other.count()
+    at = F.col(key) == F.col("_token")
+    if n <= FEW:
+        return rows.join(F.broadcast(other), at, "left").drop("_token")
+    parts = parts_for(n)
+    return dealt(rows, parts, key).join(dealt(other, parts, "_token").hint("shuffle_hash"), at, "left").drop("_token")
+
+
+def convert_table(spark: SparkSession, folder: str, out: str, name: str, parts: bool = False) -> None:
+    """A record table as Parquet, with what RESOLVED says; the tables that it points to were converted before.
+
+    Annotations meet their instances here, once, and what that moved is freed: queries move them to their samples only.
+    """
+    other = lambda n, *columns: converted(spark, out, n).select(F.col("token").alias("_token"), *columns)
+    with shuffles_freed(spark):
+        rows = read_table(spark, folder, name, parts)
+        if name == "calibrated_sensor":
+            rows = looked_up(rows, "sensor_token", other("sensor", "channel"))
+        elif name == "sample_data":
+            rows = looked_up(rows, "calibrated_sensor_token", other("calibrated_sensor", "channel"))
+        elif name == "sample_annotation":
+            rows = looked_up(rows, "instance_token", other("instance", F.lit(True).alias("has_instance"), "category_token"))
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}")
+
+
 def convert_tables(spark: SparkSession, folder: str, out: str, parts: bool = False) -> None:
     """All record tables as Parquet, once; dataset.open_tables reads them."""
     for name in SCHEMAS:
-        read_table(spark, folder, name, parts).write.mode("overwrite").parquet(f"{out}/{name}")
+        convert_table(spark, folder, out, name, parts)
 
 
 def categories(spark: SparkSession) -> DataFrame:
