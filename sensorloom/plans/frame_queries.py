@@ -70,11 +70,11 @@ SELECT scene_token, channel, window_id, nth, token AS image, 1266e0 + camera AS
 @query("a13_window_bundles", STACKED)
 def _(fx):
     """Each camera's windows as stacks of images, intrinsics, poses to the global frame and their inverses; shown a row for each place."""
-    rows, pose = S.moved_pose(S.in_channels(frames(fx), S.CAMERAS))
-    camera = (F.col("images") % 10).cast("double")
+    rows = S.in_channels(frames(fx), S.CAMERAS)
+    camera = (F.col("_0") % 10).cast("double")
     k = F.array(F.array(1266.0 + camera, F.lit(0.0), 816.0 - camera), F.array(F.lit(0.0), 1266.0 + camera, F.lit(491.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-    made = {"images": F.col("images"), "intrinsics": k, **S.made_poses()}
-    stacks = S.stacked_windows(rows, ["scene_token", "channel"], ["token"], {"images": F.col("token"), **pose}, made, 7, 3)
+    made = {"images": F.col("_0"), "intrinsics": k, **S.made_poses()}
+    stacks = S.stacked_windows(rows, ["scene_token", "channel"], ["token"], S.moved_pose(), made, 7, 3, arrived=S.arrived_pose)
     parts = [F.col(f"rows.{name}").alias(name) for name in made]
     stacks = stacks.select("scene_token", "channel", "window_id", *parts)
     shown = stacks.select("scene_token", "channel", "window_id", F.posexplode(F.arrays_zip(*made)).alias("nth", "x"))

@@ -69,7 +69,7 @@ class Dataset:
 
     def windows(self, size: int, stride: int, channels: list[str] | None = None) -> DataFrame:
         """Sliding windows of each camera's key frames, as a depth model takes them: see scene.window_bundles."""
-        return S.window_bundles(self.frames(channels or S.CAMERAS), size, stride)
+        return S.window_bundles(self.frames(channels or S.CAMERAS), size, stride, parts=self.parts)
 
     def points(self, folder: str, channel: str = "LIDAR_TOP", key_frames: bool = True, keys: tuple[str, ...] = ("token", "sample_token"), packed: bool = False) -> DataFrame:
         """Points of one lidar's frames from their files below folder: columns of the frames (keys), point_idx, x, y, z, intensity, ring.
@@ -106,11 +106,12 @@ def intrinsic_columns() -> list[Column]:
     return [number(at(i, j)).alias(n) for n, (i, j) in zip(OWN_INTRINSICS, ((0, 0), (1, 1), (0, 2), (1, 2)), strict=True)]
 
 
-def open_tables(spark: SparkSession, folder: str, classes: DataFrame | None = None) -> Dataset:
+def open_tables(spark: SparkSession, folder: str, classes: DataFrame | None = None, resolved: bool = True) -> Dataset:
     """The Parquet tables that readers.convert_tables wrote, as a Dataset.
 
     classes: raw category name -> category_name, id, category_group (name once each); by default readers.categories. A raw
-    category that it lacks has no class. Annotations have no velocity of their own: vx and vy are null.
+    category that it lacks has no class. Annotations have no velocity of their own: vx and vy are null. resolved: as the tables
+    were converted (annotations meet their instances there, or here).
     """
     raw = {name: readers.converted(spark, folder, name) for name in readers.SCHEMAS}
     time = F.timestamp_micros("timestamp")
@@ -121,7 +122,8 @@ def open_tables(spark: SparkSession, folder: str, classes: DataFrame | None = No
     rig = raw["calibrated_sensor"].select("token", "sensor_token", "channel", *pose_columns(), *intrinsic_columns())
     sensor = required(rig, {"channel": ("sensor", "sensor_token")}, "token", keep=True).withColumnRenamed("token", "sensor_id").drop("sensor_token")
     size = [F.get("size", F.lit(i)).alias(n) for i, n in enumerate(("sw", "sl", "sh"))]
-    notes = raw["sample_annotation"].select("token", "sample_token", "instance_token", "category_token", F.col("has_instance").alias("_instance"), *size, *pose_columns()).withColumnsRenamed({"t" + c: "c" + c for c in "xyz"})
+    notes = raw["sample_annotation"] if resolved else readers.with_category(readers.converted(spark, folder, "sample_annotation", False), raw["instance"])
+    notes = notes.select("token", "sample_token", "instance_token", "category_token", F.col("has_instance").alias("_instance"), *size, *pose_columns()).withColumnsRenamed({"t" + c: "c" + c for c in "xyz"})
     notes = required(notes, {"_instance": ("instance", "instance_token")}, "token")
     notes = notes.withColumnRenamed("token", "annotation_token").withColumns({c: F.lit(None).cast("double") for c in ("vx", "vy")})
     # Categories are some dozens; Spark can't tell the size of a join, and would deal annotations to a few hot categories.

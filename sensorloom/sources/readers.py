@@ -58,9 +58,15 @@ def read_table(spark: SparkSession, folder: str, name: str, parts: bool = False)
     return spark.read.schema(SCHEMAS[name]).option("multiLine", True).json(f"{folder}/{name}" + ("" if parts else ".json"))
 
 
-def converted(spark: SparkSession, out: str, name: str) -> DataFrame:
+def converted(spark: SparkSession, out: str, name: str, resolved: bool = True) -> DataFrame:
     """A table that convert_table wrote."""
-    return spark.read.schema(", ".join([SCHEMAS[name], *([RESOLVED[name]] if name in RESOLVED else [])])).parquet(f"{out}/{name}")
+    more = [RESOLVED[name]] if resolved and name in RESOLVED else []
+    return spark.read.schema(", ".join([SCHEMAS[name], *more])).parquet(f"{out}/{name}")
+
+
+def with_category(notes: DataFrame, instances: DataFrame) -> DataFrame:
+    """Annotations with what RESOLVED says of them."""
+    return looked_up(notes, "instance_token", instances.select(F.col("token").alias("_token"), F.lit(True).alias("has_instance"), "category_token"))
 
 
 #: Rows of a table that each task gets whole to look records up in, at most.
@@ -80,10 +86,11 @@ def looked_up(rows: DataFrame, key: str, other: DataFrame) -> DataFrame:
     return dealt(rows, parts, key).join(dealt(other, parts, "_token").hint("shuffle_hash"), at, "left").drop("_token")
 
 
-def convert_table(spark: SparkSession, folder: str, out: str, name: str, parts: bool = False) -> None:
+def convert_table(spark: SparkSession, folder: str, out: str, name: str, parts: bool = False, resolved: bool = True) -> None:
     """A record table as Parquet, with what RESOLVED says; the tables that it points to were converted before.
 
-    Annotations meet their instances here, once, and what that moved is freed: queries move them to their samples only.
+    Annotations meet their instances here, once, and what that moved is freed: queries move them to their samples only. Where no
+    boxes are asked for, resolved=False spares that; dataset.open_tables then joins them when they are.
     """
     other = lambda n, *columns: converted(spark, out, n).select(F.col("token").alias("_token"), *columns)
     with shuffles_freed(spark):
@@ -92,15 +99,15 @@ def convert_table(spark: SparkSession, folder: str, out: str, name: str, parts:
             rows = looked_up(rows, "sensor_token", other("sensor", "channel"))
         elif name == "sample_data":
             rows = looked_up(rows, "calibrated_sensor_token", other("calibrated_sensor", "channel"))
-        elif name == "sample_annotation":
-            rows = looked_up(rows, "instance_token", other("instance", F.lit(True).alias("has_instance"), "category_token"))
+        elif name == "sample_annotation" and resolved:
+            rows = with_category(rows, converted(spark, out, "instance"))
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/{name}")
 
 
-def convert_tables(spark: SparkSession, folder: str, out: str, parts: bool = False) -> None:
+def convert_tables(spark: SparkSession, folder: str, out: str, parts: bool = False, resolved: bool = True) -> None:
     """All record tables as Parquet, once; dataset.open_tables reads them."""
     for name in SCHEMAS:
-        convert_table(spark, folder, out, name, parts)
+        convert_table(spark, folder, out, name, parts, resolved)
 
 
 def categories(spark: SparkSession) -> DataFrame:

@@ -5,6 +5,7 @@ import time
 import pytest
 
 from sensorloom import session
+from sensorloom.operators import scene as S
 from sensorloom.plans import source_queries
 from sensorloom.plans.fixtures import Fixtures
 from sensorloom.sources import dataset, formats, readers
@@ -77,3 +78,33 @@ def test_remove_folder(tmp_path):
     (tmp_path / "a/b").write_text("x")
     formats.remove_folder(f"file://{tmp_path}/a")
     assert not (tmp_path / "a").exists()
+
+
+def test_annotations_meet_their_instances_at_the_conversion_or_later(spark, tmp_path):
+    whole = opened(spark, tmp_path, records())
+    readers.convert_tables(spark, f"file://{tmp_path}/json", f"file://{tmp_path}/plain", resolved=False)
+    plain = dataset.open_tables(spark, f"file://{tmp_path}/plain", resolved=False)
+    assert "category_token" not in readers.converted(spark, f"file://{tmp_path}/plain", "sample_annotation", False).columns
+    for rows in (lambda d: d.boxes_2d(), lambda d: d.boxes(keep_unmapped=True), lambda d: d.windows(3, 2)):
+        assert sorted(map(str, rows(plain).collect())) == sorted(map(str, rows(whole).select(*rows(plain).columns).collect()))
+
+
+def test_windows_sort_rows_as_they_moved_and_deal_a_samples_cameras_together(spark, tmp_path):
+    lines = plan(opened(spark, tmp_path, records()).windows(3, 2)).splitlines()
+    at = next(i for i, line in enumerate(lines) if "Window [" in line and "collect_list(_row" in line)
+    nested = next(i for i, line in enumerate(lines) if i > at and "AS _row#" in line)
+    ordered = next(i for i, line in enumerate(lines) if i > at and " Sort [" in line)
+    assert nested < ordered  # the plan's top is its end: nested values are made of sorted rows
+    moved = next(line for line in lines[ordered:] if "Exchange hashpartitioning(" in line)
+    assert "_block#" in moved and "channel#" not in moved
+    assert "eqw#" in "".join(lines[ordered : lines.index(moved)])  # poses are composed behind the move
+
+
+def test_windows_in_parts_equal_those_in_few(spark, tmp_path):
+    tables = records()
+    tables["sample"] = [{"token": f"t{i}", "scene_token": "s1", "timestamp": 500_000 * i} for i in range(90)]
+    tables["sample_data"] = [{**tables["sample_data"][0], "token": f"d{i}{c}", "sample_token": f"t{i}", "calibrated_sensor_token": c, "filename": f"{c}/{i}", "timestamp": 500_000 * i} for i in range(90) for c in ("c1", "c2", "l1")]
+    tables["sample_annotation"] = []
+    frames = opened(spark, tmp_path, tables).frames()
+    rows = lambda parts: sorted(map(str, S.window_bundles(frames, 3, 2, parts=parts).collect()))
+    assert rows(9) == rows(0) and len(rows(0)) == 3 * 45  # [0, 3), [2, 5), ..., [86, 89), [87, 90)
